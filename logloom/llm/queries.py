@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import packing, pieces, sharding
 from .common import table
 
 
@@ -17,6 +17,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(F.col("text"), path).alias("ids"))
+    both = ids.select("doc_id", "ids", pieces.decoded(F.col("ids"), path).alias("decoded"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.external_shuffle(table(spark, sf_dir, "documents")).select(
         F.col("record.doc_id").alias("doc_id"),
@@ -29,5 +41,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_packing": op5_packing, "op9_sharding": op9_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_packing": op5_packing, "op7_pieces": op7_pieces, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
