@@ -8,8 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, sharding
-from .common import table
+from . import language, packing, pieces, sharding, simhash
+from .common import learnable, table
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(learnable(F.col("doc_id"))))
+    found = docs.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), language.predicted(F.col("text"), model, spark).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +36,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.external_shuffle(table(spark, sf_dir, "documents")).select(
         F.col("record.doc_id").alias("doc_id"),
@@ -41,5 +53,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_packing": op5_packing, "op7_pieces": op7_pieces, "op9_sharding": op9_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op5_packing": op5_packing, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {}
