@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 PAIR_ENTRIES = 2_000_000
+LONGEST = 64  # characters, more than any piece has
 _models: dict[str, PieceModel] = {}
 
 
@@ -50,75 +51,105 @@ class PieceModel:
         self.chars = {p for p in self.id_of if len(p) == 1}
         self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
-        whole = {p for p in self.id_of if len(p) == 1 or self.merged(p) == [p]}  # others never come out of merging
-        self.shorter = {self.id_of[p]: next((self.id_of[q] for q in (p[:k] for k in range(len(p) - 1, 0, -1)) if q in whole), -1) for p in whole}
-        self.size = [len(p) for p in self.text]
+        # pieces in the order in which merging makes them, characters first; the two parts that each was made of last
+        made = {p: self.merged(p, parts=True) for p in self.id_of}
+        order = sorted((p for p in made if made[p]), key=lambda p: (len(p) > 1, self.rank[p]))  # others never come out of merging
+        self.at = {p: k for k, p in enumerate(order)}
+        self.name = order
+        self.left = [self.at[made[p][0]] for p in order]
+        self.right = [self.at[made[p][-1]] for p in order]
+        self.size = [len(p) for p in order]
+        self.id = [self.id_of[p] for p in order]
         self.matcher = ahocorasick.Automaton()
-        for p in whole:
-            self.matcher.add_word(p, (len(p) - 1, self.id_of[p]))
-        self.matcher.make_automaton()
-
-    def merged(self, text: str) -> list[str]:
-        """Merging by rank, leftmost first; only for the short strings of the checks."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        self.best: dict[str, int] = {}  # for each prefix of a piece, the longest piece that begins it
+        for p in sorted(order, key=len):
+            self.matcher.add_word(p, self.at[p])
+            for k in range(1, len(p) + 1):
+                self.best[p[:k]] = self.at[p[:k]] if p[:k] in self.at else self.best[p[: k - 1]]
+        self.shorter = [self.best.get(p[:-1], -1) for p in order]
+
+    def merged(self, text: str, parts: bool = False) -> list[str]:
+        """Merging by rank, leftmost first. With parts: the last two that merge to the whole, if it comes out."""
+        now, rank = list(text), self.rank
+        while len(now) > 1 + parts:
+            ranks = [rank.get(x + y, np.inf) for x, y in pairwise(now)]
+            at = min(range(len(ranks)), key=ranks.__getitem__)
+            if ranks[at] == np.inf:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            now[at : at + 2] = [now[at] + now[at + 1]]
+        return now if not parts or len(now) <= 2 else []
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get(a << 32 | b)
-        if known is None:
-            if len(self.pairs) > PAIR_ENTRIES:
-                self.pairs.clear()
-            x, y = self.text[a], self.text[b]
-            known = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
-        return known
+        """Whether a and b stay apart when their characters are merged anew.
+
+        Undoes the merges of both, the latest first; wherever the two that touch would have merged
+        earlier than the merge undone last, the pair isn't what merging gives."""
+        x, y, before, at, name = a, b, len(self.name), self.at, self.name
+        while True:
+            made = at.get(name[x] + name[y])
+            if made is not None and made < before:
+                return False
+            if self.size[x] == self.size[y] == 1:
+                return True
+            if self.size[y] == 1 or (self.size[x] > 1 and x > y):
+                before, x = x, self.right[x]
+            else:  # of two equal merges the left one comes first
+                before, y = y + 1, self.left[y]
 
     def split(self, text: str) -> list[int]:
         """Tokens of a text of known characters, by backtracking."""
-        n, size, shorter, pairs, fits = len(text), self.size, self.shorter, self.pairs, self.fits
-        longest = [-1] * (n + 1)
-        for end, (less, i) in self.matcher.iter(text):
-            longest[end - less] = i  # ends ascend, so the longest match of each start stays
-        failed = bytearray(n + 1)
+        n, size, shorter, pairs, best, reach = len(text), self.size, self.shorter, self.pairs, self.best, self.matcher.longest_prefix
+        failed: set[int] = set()
         out: list[int] = []
-        at, i, last = 0, longest[0], -1
-        while at < n:
-            while i >= 0 and (failed[at + size[i]] or (last >= 0 and not (known if (known := pairs.get(last << 32 | i)) is not None else fits(last, i)))):
+        at, last = 0, -1
+        i = best[text[: reach(text)]]
+        while True:
+            while i >= 0:
+                if at + size[i] not in failed:
+                    if last < 0:
+                        break
+                    known = pairs.get(last << 16 | i)
+                    if known is None:
+                        if len(pairs) > PAIR_ENTRIES:
+                            pairs.clear()
+                        known = pairs[last << 16 | i] = self.fits(last, i)
+                    if known:
+                        break
                 i = shorter[i]
             if i >= 0:
                 out.append(i)
                 at += size[i]
-                last, i = i, longest[at]
+                if at == n:
+                    return out
+                last = i
+                rest = text[at : at + LONGEST]
+                i = best[rest[: reach(rest)]]
             else:
-                failed[at] = 1
+                failed.add(at)
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
                 i = out.pop()
                 at -= size[i]
                 i = shorter[i]
                 last = out[-1] if out else -1
-        return out
 
     def chunk(self, text: str) -> list[int]:
         if self.chars.issuperset(text):
-            return self.split(text)
+            return [self.id[k] for k in self.split(text)]
         ids: list[int] = []
         run = 0
         for i, c in enumerate(text):
             if c not in self.chars:
                 if run < i:
-                    ids += self.split(text[run:i])
+                    ids += [self.id[k] for k in self.split(text[run:i])]
                 ids += [self.bytes.get(b, self.unknown) for b in c.encode()]
                 run = i + 1
-        return ids + self.split(text[run:]) if run < len(text) else ids
+        return ids + [self.id[k] for k in self.split(text[run:])] if run < len(text) else ids
+
+    def coded(self, chunk: str) -> bytes:
+        if self.chars.issuperset(chunk):
+            return array("i", [self.id[k] for k in self.split(chunk)]).tobytes()
+        return array("i", self.chunk(chunk)).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids as 32-bit integers, the end id last."""
@@ -134,7 +165,7 @@ class PieceModel:
             chunks = marked.split(MARK)
         new = {c for c in chunks if c not in kept}
         for c in new:
-            kept[c] = array("i", self.chunk(MARK + c)).tobytes()
+            kept[c] = self.coded(MARK + c)
         ids = b"".join(map(kept.__getitem__, chunks))
         if len(kept) > CACHE_ENTRIES:
             kept.clear()
@@ -180,19 +211,32 @@ def encoded(text: Column, path: str) -> Column:
     """array<int>: the ids of each text, the end id last."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model(path)
         for b in batches:
-            ids = [m.encode(t) for t in b.to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, "i4"), *ids])))
+            yield ragged([model(path).encode(t) for t in b.to_pylist()])
 
     return F.arrow_udf(run, "array<int>")(text)
 
 
 def decoded(ids: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = model(path)
         for b in batches:
-            yield pa.array([m.decode(x.values.to_pylist()) if x.is_valid else "" for x in b], pa.string())
+            yield pa.array([model(path).decode(x.values.to_pylist()) if x.is_valid else "" for x in b], pa.string())
 
     return F.arrow_udf(run, "string")(ids)
+
+
+def round_trip(text: Column, path: str) -> Column:
+    """struct<ids, decoded>: encoded() and decoded() of its ids, without the way there and back."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = model(path)
+        for b in batches:
+            ids = [m.encode(t) for t in b.to_pylist()]
+            yield pa.StructArray.from_arrays([ragged(ids), pa.array([m.decode(x.tolist()) for x in ids], pa.string())], ["ids", "decoded"])
+
+    return F.arrow_udf(run, "struct<ids: array<int>, decoded: string>")(text)
+
+
+def ragged(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, "i4"), *rows])))

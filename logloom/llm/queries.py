@@ -26,8 +26,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = table(spark, sf_dir, "documents").select("doc_id", pieces.encoded(F.col("text"), path).alias("ids"))
-    both = ids.select("doc_id", "ids", pieces.decoded(F.col("ids"), path).alias("decoded"))
+    both = table(spark, sf_dir, "documents").select("doc_id", pieces.round_trip(F.col("text"), path).alias("p")).select("doc_id", "p.*")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
