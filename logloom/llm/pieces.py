@@ -99,13 +99,13 @@ class PieceModel:
     def split(self, text: str) -> list[int]:
         """Tokens of a text of known characters, by backtracking."""
         n, size, shorter, pairs, best, reach = len(text), self.size, self.shorter, self.pairs, self.best, self.matcher.longest_prefix
-        failed: set[int] = set()
+        failed = bytearray(n + 1)  # bits of positions from which no encoding goes on
         out: list[int] = []
         at, last = 0, -1
         i = best[text[: reach(text)]]
         while True:
             while i >= 0:
-                if at + size[i] not in failed:
+                if not failed[at + size[i]]:
                     if last < 0:
                         break
                     known = pairs.get(last << 16 | i)
@@ -125,7 +125,7 @@ class PieceModel:
                 rest = text[at : at + LONGEST]
                 i = best[rest[: reach(rest)]]
             else:
-                failed.add(at)
+                failed[at] = 1
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
                 i = out.pop()
