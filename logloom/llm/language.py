@@ -24,24 +24,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 20_000, entries: int = 60_000) -> dict[str, Any]:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, entries: int = 60_000) -> dict[str, Any]:
     """A model from rows of (key, text, lang); the counting runs on Spark, the bounded result is gathered."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, sample_rows / max(1, rows.count()))
     lot = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 30))
     rows = rows.where(lot < int(share * (1 << 30)))
     words = rows.select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([^\W\d_]+)"), F.lit(1))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    words = checkpointed(words)
     marked = F.concat(F.lit("<"), F.substring("w", 1, 60), F.lit(">"))
     grams = words.select("l", "n", marked.alias("w")).select("l", "n", "w", F.explode(F.array(*map(F.lit, ORDERS))).alias("k")).where("length(w) >= k")
     grams = grams.select("l", "n", "k", F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("g")).groupBy("l", "k", "g").agg(F.sum("n").alias("n"))
-    counts = words.select("l", F.lit(0).alias("k"), F.col("w").alias("g"), "n").union(grams.select("l", "k", "g", "n"))
+    counts = checkpointed(words.select("l", F.lit(0).alias("k"), F.col("w").alias("g"), "n").union(grams.select("l", "k", "g", "n")))
     by = counts.groupBy("k", "g").agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("n"), F.sum("n").alias("all")).where("all > 1 OR k > 0")
     totals = {(r["l"], r["k"]): r["n"] for r in counts.groupBy("l", "k").agg(F.sum("n").alias("n")).collect()}
+    by = checkpointed(by)
     kept = [r for k in (0, *ORDERS) for r in by.where(F.col("k") == k).orderBy(F.desc("all"), "g").limit(entries).collect()]
     langs = sorted({l for l, _ in totals})
     share_of = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).count().withColumnRenamed("count", "n").collect()}
@@ -55,30 +59,28 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 class Scorer:
+    """The model, and a bounded table of the scores of unseen words met so far."""
+
     def __init__(self, m: dict[str, Any]):
-        self.langs, self.prior, self.index, self.table = m["langs"], m["prior"], m["index"], m["table"]
+        self.langs, self.prior, self.index, self.known = m["langs"], m["prior"], m["index"], len(m["table"])
+        self.table = np.concatenate([m["table"], np.zeros((CACHE_ENTRIES, len(self.langs)), "f4")])
         self.words: dict[str, int] = dict(m["index"][0])
-        self.rows: list[np.ndarray] = list(m["table"])
-        self.base = len(self.rows), dict(m["index"][0])
+        self.used = self.known
 
     def unseen(self, word: str) -> int:
+        if self.used == len(self.table):
+            self.words, self.used = dict(self.index[0]), self.known
         marked = f"<{word[:60]}>"
-        row = np.zeros(len(self.langs), "f4")
+        row = self.table[self.used]
+        row[:] = 0
         for k in ORDERS:
-            known = [i for j in range(len(marked) - k + 1) if (i := self.index[k].get(marked[j : j + k])) is not None]
-            if known:
-                row = self.table[known].mean(0)
+            seen = [i for j in range(len(marked) - k + 1) if (i := self.index[k].get(marked[j : j + k])) is not None]
+            if seen:
+                row[:] = self.table[seen].mean(0)
                 break
-        if len(self.rows) > CACHE_ENTRIES:
-            n, words = self.base
-            self.rows, self.words = self.rows[:n], dict(words)
-        self.rows.append(row)
-        self.words[word] = len(self.rows) - 1
-        return len(self.rows) - 1
-
-    def row(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        return self.rows[self.unseen(word) if at is None else at]
+        self.words[word] = self.used
+        self.used += 1
+        return self.used - 1
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text and self.langs else []
@@ -88,8 +90,11 @@ class Scorer:
         for lo in range(0, len(words), 4096):
             some = words[lo : lo + 4096]
             at = list(map(self.words.get, some))
-            rows = self.rows
-            total += np.array([rows[i] if i is not None else self.row(w) for i, w in zip(at, some, strict=True)]).sum(0)
+            fresh = [w for w, i in zip(some, at, strict=True) if i is None] if None in at else []
+            total += self.table[[i for i in at if i is not None]].sum(0, dtype="f8")
+            for w in fresh:
+                i = self.words.get(w)
+                total += self.table[self.unseen(w) if i is None else i]
         p = np.exp(total - total.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
