@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, sharding, simhash, toxicity, vectors
+from . import language, packing, pieces, sharding, simhash, spots, toxicity, vectors
 from .common import learnable, table
 
 
@@ -74,5 +74,42 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op3_vectors": op3_vectors, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {"op3_vectors": OP3_SQL}
+
+def op10_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, following = F.col("text"), F.col("next_text")
+    rows = spots.with_next(table(spark, sf_dir, "documents")).select("doc_id", "text", "next_text", spots.edited(text, following).alias("edited"))
+    sets = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(spots.signatures(F.col(c)).alias(f"s_{c}") for c in ("text", "edited", "next_text")))
+    return sets.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        spots.digest(F.col("s_text")).alias("fingerprint"),
+        spots.digest(F.col("s_edited")).alias("edited_fingerprint"),
+        spots.likeness(F.col("s_text"), F.col("s_edited")).alias("near_edited"),
+        spots.likeness(F.col("s_text"), F.col("s_next_text")).alias("near_next"),
+    )
+
+
+def _signatures_sql(text: str) -> str:
+    common = ", ".join(f"'{w}'" for w in dict.fromkeys(spots.COMMON))
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"""(SELECT CASE WHEN len(g) > 0 THEN list_sort(list_distinct(g)) ELSE [lower({text})] END FROM (
+      SELECT list_transform(list_filter(a, lambda i, j: i - j + 2 < len(c)), lambda i, j: w[i + 1] || ' ' || c[i - j + 2] || ' ' || c[i - j + 3]) AS g FROM (
+        SELECT w, list_filter(w, lambda x: x NOT IN ({common})) AS c, list_filter(range(len(w)), lambda i: w[i + 1] IN ({common})) AS a FROM (SELECT {words} AS w))))"""
+
+
+def _op10_sql() -> str:
+    like = "CAST(len(list_intersect({0}, {1})) AS DOUBLE) / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM d),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
+s AS (SELECT *, {_signatures_sql("text")} AS st, {_signatures_sql("edited")} AS se, {_signatures_sql("next_text")} AS sn FROM e)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, sha256(array_to_string(st, chr(10))) AS fingerprint,
+  sha256(array_to_string(se, chr(10))) AS edited_fingerprint, {like.format("st", "se")} AS near_edited, {like.format("st", "sn")} AS near_next
+FROM s
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op3_vectors": op3_vectors, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots}
+ORACLES: dict[str, str] = {"op3_vectors": OP3_SQL, "op10_spots": _op10_sql()}
