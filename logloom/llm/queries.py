@@ -8,10 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, sharding, simhash, spots, toxicity, vectors
+from . import language, packing, pieces, repeats, sharding, simhash, spots, toxicity, vectors
 from .common import learnable, table
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return repeats.without_repeats(docs).select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM n WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE doc_id > first_id),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM x),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+r AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY doc_id, span),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM r GROUP BY doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h ELSE substr(h, 1, 2 * a[1]) || array_to_string(list_transform(range(1, len(a) + 1), lambda j: substr(h, 2 * z[j] + 1, 2 * (coalesce(a[j + 1], n.n) - z[j]))), '') END)) AS kept_sha256
+FROM n LEFT JOIN k USING (doc_id)
+"""
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(learnable(F.col("doc_id"))))
@@ -111,5 +133,5 @@ FROM s
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language": op2_language, "op3_vectors": op3_vectors, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots}
-ORACLES: dict[str, str] = {"op3_vectors": OP3_SQL, "op10_spots": _op10_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots}
+ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op3_vectors": OP3_SQL, "op10_spots": _op10_sql()}
