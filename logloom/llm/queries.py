@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, repeats, sharding, simhash, spots, toxicity, vectors
+from . import language, packing, pieces, quality, repeats, sharding, simhash, spots, toxicity, vectors
 from .common import learnable, table
 
 
@@ -57,6 +57,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs.where(learnable(F.col("doc_id"))), table(spark, sf_dir, "labels").where(learnable(F.col("doc_id"))))
+    found = docs.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), quality.graded(F.col("text"), model, spark).alias("g"))
+    return found.select("doc_id", "held_out", F.col("g.expected").alias("expected_grade"), F.col("g.tail").alias("score"), F.when(F.col("g.tail") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -133,5 +140,5 @@ FROM s
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots}
 ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op3_vectors": OP3_SQL, "op10_spots": _op10_sql()}
