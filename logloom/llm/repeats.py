@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0xD6E8FEB86659FD93)
-BLOCK = 1 << 20
+BLOCK = 1 << 17  # strings hashed at once
+FOLDS = 16
+SENT = ("ids", "docs", "counts", "folds", "bytes")
 REPLY = "__chunk int, ids binary, counts binary, runs binary, docs binary"
 
 
@@ -42,38 +44,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def rolled(b: np.ndarray, length: int, seed: int) -> np.ndarray:
     """64-bit hashes of all strings of length bytes, by doubling."""
     odd = np.uint64(2 * seed + 0x9E3779B97F4A7C15)
-    now, size, out, done, rest = mixed((b.astype("u8") + np.uint64(seed + 1)) * MIX), 1, None, 0, length
+    of_byte = mixed((np.arange(256, dtype="u8") + np.uint64(seed + 1)) * MIX)
+    now, size, out, done, rest = of_byte[b], 1, None, 0, length
     while True:
         if rest & 1:
             n = len(b) - done - size + 1
-            out = now[:n] if out is None else mixed(out[:n] * odd + now[done : done + n])
+            out = now[:n] if out is None else joined(out[:n], now[done : done + n], odd)
             done += size
         rest >>= 1
         if not rest:
-            return out
-        now = mixed(now[:-size] * odd + now[size:])
+            return mixed(out)
+        now = joined(now[:-size], now[size:], odd)
         size *= 2
 
 
-def units(b: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of strings with one anchor: (first start, strings, anchor - first start, anchor's hash, two hashes of the first and last string).
-
-    Works block by block; a run that a block's end cuts is two runs of the same anchor."""
-    reach = length - gram + 1  # anchors that a string may have
-    for lo in range(0, len(b) - length + 1, BLOCK):
-        part = b[lo : lo + BLOCK + length - 1]
-        h = rolled(part, gram, 1)
-        low, at, size = (h >> np.uint64(32)).astype("u4"), np.arange(len(h), dtype="i4"), 1
-        while size < reach:  # leftmost minimum of reach hashes
-            step = min(size, reach - size)
-            left, right = low[:-step], low[step:]
-            at = np.where(left <= right, at[:-step], at[step:])
-            low = np.minimum(left, right)
-            size += step
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:], len(at)] - 1
-        anchor = at[first]
-        yield first + lo, last - first + 1, anchor - first, h[anchor], first, last, part
+def joined(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
+    x = a * odd
+    x += b
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def segment_ids(part: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
@@ -83,17 +72,50 @@ def segment_ids(part: np.ndarray, first: np.ndarray, last: np.ndarray, length: i
 
 
 class Chunk:
-    """The units of a chunk's documents."""
+    """A chunk's documents end to end, and the units of their strings: runs of strings with one anchor.
+
+    Worked off block by block; a run that a block's end cuts is two runs of the same anchor."""
 
     def __init__(self, table: pa.Table, key: str, text: str, length: int, gram: int):
         self.keys, self.length, self.gram = table[key].to_pylist(), length, gram
         self.bytes = [np.frombuffer((t or "").encode(), "u1") for t in table[text].to_pylist()]
-
-    def __iter__(self) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
-        for row, (k, b) in enumerate(zip(self.keys, self.bytes, strict=True)):
-            if k is not None and len(b) >= self.length:
-                for u in units(b, self.length, self.gram):
-                    yield row, k, u
+        used = [i for i, (k, b) in enumerate(zip(self.keys, self.bytes, strict=True)) if k is not None and len(b) >= length]
+        self.rows = np.array(used, "i8")
+        self.key = np.array([self.keys[i] for i in used], "i8")
+        sizes = np.array([len(self.bytes[i]) for i in used], "i8")
+        self.every = np.concatenate([np.zeros(0, "u1"), *(self.bytes[i] for i in used)])
+        self.begin = np.cumsum(sizes) - sizes
+        self.sizes = sizes
+
+    def units(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """document (place among those used), first string (place in every), strings, anchor's hash, first and last string in part, part."""
+        length, reach = self.length, self.length - self.gram + 1  # reach: anchors that a string may have
+        for lo in range(0, len(self.every) - length + 1, BLOCK):
+            part = self.every[lo : lo + BLOCK + length - 1]
+            h = rolled(part, self.gram, 1)
+            low, at, size = (h >> np.uint64(32)).astype("u4"), np.arange(len(h), dtype="i4"), 1
+            while size < reach:  # leftmost minimum of reach hashes
+                step = min(size, reach - size)
+                left, right = low[:-step], low[step:]
+                at = np.where(left <= right, at[:-step], at[step:])
+                low = np.minimum(left, right)
+                size += step
+            d0, d1 = np.searchsorted(self.begin, (lo, lo + len(at) - 1), "right") - 1
+            docs = np.arange(d0, d1 + 1)
+            ends = np.minimum(self.begin[docs] + self.sizes[docs] - lo, len(at) + length - 1)
+            starts = np.maximum(self.begin[docs] - lo, 0)
+            stop = ends - length + 1  # strings of each document in this block: starts to stop
+            edge = at[1:] != at[:-1]
+            cut = np.zeros(len(at) + 1, bool)
+            cut[1:-1] = edge
+            cut[starts] = True
+            cut[np.maximum(stop, 0)] = True
+            first = np.flatnonzero(cut[:-1])
+            last = np.r_[first[1:], len(at)] - 1
+            doc = np.searchsorted(self.begin, first + lo, "right") - 1
+            inside = first < stop[doc - d0]
+            first, last, doc = first[inside], last[inside], doc[inside]
+            yield doc, first + lo, last - first + 1, h[at[first]], first, last, part
 
 
 def gathered(table: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -115,12 +137,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     def anchors(table: pa.Table) -> pa.Table:
         """The chunk's anchor hashes by bucket, and whether two of its documents have them."""
-        seen, owner = [], []
-        for _, k, (_, _, _, h, *_) in Chunk(table, key, text, length, gram):
-            h = np.unique(h)
-            seen.append(h)
-            owner.append(np.full(len(h), k, "i8"))
-        h, o = (np.concatenate([np.zeros(0, t), *x]) for t, x in (("u8", seen), ("i8", owner)))
+        chunk = Chunk(table, key, text, length, gram)
+        seen = [(h, chunk.key[doc]) for doc, _, _, h, *_ in chunk.units()]
+        h, o = (np.concatenate([np.zeros(0, t), *(x[k] for x in seen)]) for k, t in ((0, "u8"), (1, "i8")))
         order = np.lexsort((o, h))
         h, o = h[order], o[order]
         new = np.r_[True, h[1:] != h[:-1]][: len(h)]
@@ -146,22 +165,25 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     def strings(table: pa.Table, shared: pa.Table) -> pa.Table:
         """The strings around the chunk's repeated anchors, once each with their smallest document."""
-        known = [np.frombuffer(k, "u4").astype("u8") << np.uint64(20) | np.uint64(b) for b, k in zip(shared["bucket"].to_pylist(), shared["keys"].to_pylist(), strict=True)]
+        known = [np.frombuffer(k, "u4").astype("u8") << np.uint64(32) | np.uint64(b) for b, k in zip(shared["bucket"].to_pylist(), shared["keys"].to_pylist(), strict=True)]
         known = np.sort(np.concatenate([np.zeros(0, "u8"), *known]))
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         bytes_: list[np.ndarray] = []
         if len(known) and table.num_rows:
-            for _, k, (_, n, _, h, first, last, part) in Chunk(table, key, text, length, gram):
-                code = (h // np.uint64(buckets)).astype("u4").astype("u8") << np.uint64(20) | (h % np.uint64(buckets))
+            chunk = Chunk(table, key, text, length, gram)
+            for doc, _, n, h, first, last, part in chunk.units():
+                rest, bucket = h // np.uint64(buckets), h % np.uint64(buckets)
+                code = rest.astype("u4").astype("u8") << np.uint64(32) | bucket
                 hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
                 if len(hit):
                     ids, m = segment_ids(part, first[hit], last[hit], length), n[hit] + length - 1
-                    for c, x in zip(cols, (ids, np.full(len(hit), k, "i8"), (h[hit] % np.uint64(buckets)).astype("i8"), n[hit], m), strict=False):
+                    fold = (rest[hit] >> np.uint64(32)).astype("u1") % FOLDS
+                    for c, x in zip(cols, (ids, chunk.key[doc[hit]], bucket[hit].astype("i8"), n[hit], m, fold), strict=True):
                         c.append(x)
                     bytes_.append(part[spread(first[hit], m)])
         if not bytes_:
-            return pa.table({"bucket": pa.array([], pa.int32()), "__chunk": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("ids", "docs", "counts", "bytes")}})
-        ids, doc, bucket, n, m = (np.concatenate(c) for c in cols[:5])
+            return pa.table({"bucket": pa.array([], pa.int32()), "__chunk": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in SENT}})
+        ids, doc, bucket, n, m, fold = map(np.concatenate, cols)
         every, start = np.concatenate(bytes_), np.cumsum(m) - m
         order = np.lexsort((doc, ids, bucket))
         order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
@@ -169,23 +191,30 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         out = []
         for a, b in zip(at, np.r_[at[1:], len(order)], strict=True):
             o = order[a:b]
-            out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype("u1").tobytes(), every[spread(start[o], m[o])].tobytes()))
-        chunk = table["__chunk"][0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "__chunk": pa.array([chunk] * len(some), pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("ids", "docs", "counts", "bytes"), zip(*out, strict=True), strict=True)}})
+            out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype("u1").tobytes(), fold[o].tobytes(), every[spread(start[o], m[o])].tobytes()))
+        number = table["__chunk"][0].as_py()
+        return pa.table({"bucket": pa.array(some, pa.int32()), "__chunk": pa.array([number] * len(some), pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(SENT, zip(*out, strict=True), strict=True)}})
 
     def smallest(table: pa.Table) -> pa.Table:
         """For each chunk's strings in a bucket: runs of sub-strings with one smallest document, where it isn't the chunk's own alone."""
         ids = [np.frombuffer(x, "u8") for x in table["ids"].to_pylist()]
         doc, n = gathered(table, "docs", "i8"), gathered(table, "counts", "u1").astype("i8")
-        every, size = gathered(table, "bytes", "u1"), n + length - 1
-        at = spread(np.cumsum(size) - size, n)
-        one, two = rolled(every, length, 3)[at], rolled(every, length, 4)[at]
-        order = np.lexsort((two, one))
-        new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
-        owner = np.repeat(doc, n)
-        least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
-        mine = np.empty(len(order), "i8")
-        mine[order] = least[np.cumsum(new) - 1]
+        fold, every, size = gathered(table, "folds", "u1"), gathered(table, "bytes", "u1"), n + length - 1
+        begin, place = np.cumsum(size) - size, np.cumsum(n) - n
+        mine = np.empty(n.sum(), "i8")
+        for f in range(FOLDS):  # strings of one anchor are in one fold; a fold at a time bounds the memory
+            own = np.flatnonzero(fold == f)
+            if not len(own):
+                continue
+            some = every[spread(begin[own], size[own])]
+            at = spread(np.cumsum(size[own]) - size[own], n[own])
+            one, two = rolled(some, length, 3)[at], rolled(some, length, 4)[at]
+            order = np.lexsort((two, one))
+            new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+            least = np.minimum.reduceat(np.repeat(doc[own], n[own])[order], np.flatnonzero(new))
+            found = np.empty(len(order), "i8")
+            found[order] = least[np.cumsum(new) - 1]
+            mine[spread(place[own], n[own])] = found
         unit = np.repeat(np.arange(len(n)), n)
         head = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (unit[1:] != unit[:-1])])
         runs, of = np.diff(np.r_[head, len(mine)]), unit[head]
@@ -208,39 +237,38 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         order = np.argsort(ids, kind="stable")
         ids, where, count = ids[order], (np.cumsum(count) - count)[order], count[order]
         chunk = Chunk(table, key, text, length, gram)
-        marks: dict[int, list[np.ndarray]] = {}
-        if len(ids):
-            for row, k, (start, n, _, _, first, last, part) in chunk:
-                mine = segment_ids(part, first, last, length)
-                place = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
-                hit = np.flatnonzero(ids[place] == mine)
-                if len(hit):
-                    c = count[place[hit]]
-                    r = spread(where[place[hit]], c)
-                    ends = np.cumsum(runs[r])
-                    begun = np.repeat(ends[np.cumsum(c) - c] - runs[r][np.cumsum(c) - c], c)  # before each unit's first run
-                    begin = np.repeat(start[hit], c) + ends - runs[r] - begun
-                    gone = least[r] < k
-                    if gone.any():
-                        marks.setdefault(row, []).append(np.stack([begin[gone], begin[gone] + runs[r][gone] - 1 + length]))
+        edge = np.zeros(len(chunk.every) + 1, "i4")
+        for doc, start, n, _, first, last, part in chunk.units() if len(ids) else ():
+            mine = segment_ids(part, first, last, length)
+            place = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
+            hit = np.flatnonzero(ids[place] == mine)
+            if len(hit):
+                c = count[place[hit]]
+                r = spread(where[place[hit]], c)
+                ends = np.cumsum(runs[r])
+                before = np.cumsum(c) - c  # each unit's first run
+                begin = np.repeat(start[hit], c) + ends - runs[r] - np.repeat(ends[before] - runs[r][before], c)
+                gone = least[r] < np.repeat(chunk.key[doc[hit]], c)
+                np.add.at(edge, begin[gone], 1)
+                np.add.at(edge, (begin + runs[r] - 1 + length)[gone], -1)
+        stays = np.cumsum(edge[:-1]) == 0
+        part_of = {int(row): stays[a : a + n] for row, a, n in zip(chunk.rows, chunk.begin, chunk.sizes, strict=True)}
         kept, spans = [], []
         for row, b in enumerate(chunk.bytes):
-            if row not in marks:
+            left = part_of.get(row)
+            if left is None or left.all():
                 kept.append(b.tobytes())
                 spans.append([])
                 continue
-            begin, end = np.concatenate(marks[row], axis=1)
-            edge = np.bincount(begin, minlength=len(b) + 1) - np.bincount(end, minlength=len(b) + 1)
-            stays = np.cumsum(edge)[: len(b)] == 0
-            kept.append(b[stays].tobytes())
-            turn = np.flatnonzero(np.diff(np.r_[True, stays, True]))
+            kept.append(b[left].tobytes())
+            turn = np.flatnonzero(np.diff(np.r_[True, left, True]))
             spans.append([{"start": int(a), "length": int(z - a)} for a, z in zip(turn[::2], turn[1::2], strict=True)])
         return pa.Table.from_arrays([*table.columns[:-1], pa.array(kept, pa.binary()), pa.array(spans, SPANS)], names=out_names)
 
     out_names = [*docs.columns, "kept", "spans"]
     sent = rows.groupBy("__chunk").applyInArrow(anchors, "bucket int, __chunk int, keys binary, many binary")
     back = sent.groupBy("bucket").applyInArrow(repeated, "bucket int, __chunk int, keys binary")
-    around = rows.groupBy("__chunk").cogroup(back.groupBy("__chunk")).applyInArrow(strings, "bucket int, __chunk int, ids binary, docs binary, counts binary, bytes binary")
+    around = rows.groupBy("__chunk").cogroup(back.groupBy("__chunk")).applyInArrow(strings, "bucket int, __chunk int, ids binary, docs binary, counts binary, folds binary, bytes binary")
     reply = around.groupBy("bucket").applyInArrow(smallest, REPLY)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "__chunk")
     return rows.groupBy("__chunk").cogroup(reply.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, spans array<struct<start: long, length: long>>")
