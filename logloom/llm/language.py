@@ -31,7 +31,7 @@ ORDERS = (5, 4, 3, 2, 1)
 CACHE_ENTRIES = 300_000
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, entries: int = 60_000) -> dict[str, Any]:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, entries: int = 20_000) -> dict[str, Any]:
     """A model from rows of (key, text, lang); the counting runs on Spark, the bounded result is gathered."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     share = min(1.0, sample_rows / max(1, rows.count()))
