@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,3 +119,27 @@ def temporal_coverage(contributions: DataFrame) -> DataFrame:
     """One row: sessions by attribution status, and the share of tokens that has a time."""
     by = contributions.groupBy("sid", "status").agg(F.sum("usage.total_tokens").alias("t"), F.sum(F.when(F.col("occurred_at").isNotNull(), F.col("usage.total_tokens"))).alias("timed"))
     return by.agg(*[F.count_if(F.col("status") == s).alias(f"{s}_sessions") for s in ("complete", "partial", "fallback")], (F.coalesce(F.sum("timed"), F.lit(0)) / F.sum("t")).alias("attributed_fraction"))
+
+
+def period_table(sessions: DataFrame, contributions: DataFrame, activity: DataFrame, since: datetime, until: datetime) -> DataFrame:
+    """(repository, sessions, tokens, calls) of a period; each on its own clock. Repositories are joined by key."""
+    roots = sessions.select("sid", "repository_root")
+    inside = lambda c: (F.col(c) >= F.lit(since)) & (F.col(c) < F.lit(until))
+    s = sessions.where(inside("started_at")).groupBy("repository_root").agg(F.count("*").alias("sessions"))
+    t = contributions.where(inside("occurred_at")).join(roots, "sid").groupBy(F.col("repository_root").alias("tr")).agg(F.sum("usage.total_tokens").alias("tokens"))
+    c = activity.where(inside("occurred_at")).join(roots, "sid").groupBy(F.col("repository_root").alias("cr")).agg(F.count("*").alias("calls"))
+    rows = s.join(t, F.col("repository_root").eqNullSafe(F.col("tr")), "left").join(c, F.col("repository_root").eqNullSafe(F.col("cr")), "left")
+    return rows.select(F.col("repository_root").alias("repository"), "sessions", "tokens", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+def comparison(sessions: DataFrame, contributions: DataFrame, since: datetime, until: datetime) -> DataFrame:
+    """One row: a period against the equally long one before."""
+    before = since - (until - since)
+
+    def one(a: datetime, z: datetime, tail: str) -> DataFrame:
+        s = sessions.where((F.col("started_at") >= F.lit(a)) & (F.col("started_at") < F.lit(z))).agg(F.count("*").alias("sessions" + tail))
+        t = contributions.where((F.col("occurred_at") >= F.lit(a)) & (F.col("occurred_at") < F.lit(z))).agg(F.sum("usage.total_tokens").alias("tokens" + tail))
+        return s.crossJoin(t)  # one row each
+
+    both = one(since, until, "").crossJoin(one(before, since, "_before"))
+    return both.withColumn("tokens_change", F.when(F.col("tokens_before") > 0, (F.col("tokens") - F.col("tokens_before")) / F.col("tokens_before")))
