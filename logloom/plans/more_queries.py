@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions import prompts as P
-from logloom.operators import commits, coverage, outcomes, search, tasks, tools, usage
+from logloom.operators import commits, coverage, jobs, outcomes, prompts, provenance, search, tasks, tools, usage
 from logloom.sources import exports, records
 
 from . import views as X
-from .queries import TOKENS, accounted_sessions, contributions, query
+from .queries import EVENTS, TOKENS, accounted_sessions, contributions, event_verdicts, query
 
 
 @query(
@@ -300,3 +300,28 @@ def raw_daily_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("inc", F.col("a") - F.coalesce(F.lag("a").over(w), F.lit(0))).where("inc > 0").groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day")).agg(F.sum("inc").alias("tokens"))
 
 
+RESOLVED = "SELECT tr.sid, tr.i, ts AS osid, ti AS oi, CASE WHEN tr.status LIKE 'inherited%' AND t IN ('ambiguous', 'unknown') THEN 'ambiguous' ELSE tr.status END AS status FROM tr JOIN og o ON o.sid = ts AND o.i = ti WHERE o.up IS NULL"
+
+
+@query(
+    """SELECT p.sid, p.i, row_number() OVER (PARTITION BY p.sid ORDER BY p.i) - 1 AS prompt_ordinal, s.sessions, s.replays FROM (SELECT re.sid, re.i FROM re JOIN m ON m.sid = re.sid AND m.i = re.i JOIN fx_sessions f ON f.sid = re.sid WHERE re.status = 'origin' AND family = 'user_message' AND client_kind IN ('cli', 'editor')) p
+    LEFT JOIN (SELECT osid, oi, count(DISTINCT sid) AS sessions, count(*) FILTER (sid <> osid) AS replays FROM re WHERE status = 'origin' OR status LIKE 'inherited%' GROUP BY ALL) s ON s.osid = p.sid AND s.oi = p.i""",
+    **EVENTS,
+    re=RESOLVED,
+)
+def prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts once each, with the sessions that show and that replay them."""
+    events = X.messages(spark, sf_dir)
+    resolved = provenance.origins(events, event_verdicts(spark, sf_dir))
+    rows = prompts.observed(prompts.logical(events, resolved, X.sessions(spark, sf_dir)), resolved)
+    return rows.select("sid", "i", "prompt_ordinal", "sessions", "replays")
+
+
+@query("SELECT sid, count(*) FILTER (cumulative_total < p) AS decreases, 0 AS component_over_total FROM (SELECT sid, cumulative_total, lag(cumulative_total) OVER (PARTITION BY sid ORDER BY event_ordinal) AS p FROM fx_token_events) GROUP BY sid")
+def token_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.token_warnings(X.token_events(spark, sf_dir))
+
+
+@query("SELECT 'documents' AS name, count(*) AS rows, count(text) AS with_text FROM documents UNION ALL SELECT 'conversations', count(*), count(text) FROM conversations")
+def privacy_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.inventory({n: (X.read(spark, sf_dir, n), "text") for n in ("documents", "conversations")})

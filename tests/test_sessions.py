@@ -254,3 +254,20 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_jobs(spark, tmp_path):
+    from logloom.operators import jobs
+
+    lines = lambda rows: records.parsed(spark.createDataFrame(rows, "sid long, ordinal long, line string"))
+    first = jobs.upsert(None, lines([(1, 0, '{"type":"a"}'), (2, 0, '{"type":"b"}')]))
+    jobs.write(first, str(tmp_path / "t"))
+    before = spark.read.parquet(str(tmp_path / "t")).drop("session_bucket")
+    after = jobs.upsert(before, lines([(1, 0, '{"type":"z"}'), (1, 1, '{"type":"y"}'), (2, 0, "{broken"), (3, 0, '{"type":"c"}')]))
+    assert sorted((r["sid"], r["record_type"], r["stale"]) for r in after.collect()) == [(1, "y", False), (1, "z", False), (2, "b", True), (3, "c", False)]
+    shapes = jobs.unknown_shapes(after, ["a", "b"], most=1).collect()
+    assert sorted((r["sid"], r["name"], r["n"]) for r in shapes) == [(1, "__other__", 1), (1, "z", 1), (3, "c", 1)]
+    prints = {r["sid"]: r["fingerprint"] for r in jobs.schema_fingerprint(after).collect()}
+    assert len(set(prints.values())) == 3
+    old, new = (spark.createDataFrame(r, "sid long, digest string") for r in ([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]))
+    assert {r["state"]: r["sessions"] for r in jobs.counts(old, new).collect()} == {"unchanged": 1, "updated": 1, "discovered": 1}
