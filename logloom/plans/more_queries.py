@@ -133,9 +133,10 @@ def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     **TOKENS,
 )
 def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks told by a seventh of the activity alone, there being no prompts."""
-    none = spark.createDataFrame([], "sid long, prompt_ordinal int, text string")
-    kinds = tasks.classified(none, X.activity(spark, sf_dir).where("event_id % 7 = 0"))
+    """Tasks told by the prompts, by the activity where no rule has a hit."""
+    events = X.messages(spark, sf_dir)
+    resolved = provenance.origins(events, event_verdicts(spark, sf_dir))
+    kinds = tasks.classified(prompts.logical(events, resolved, X.sessions(spark, sf_dir)), X.activity(spark, sf_dir))
     facts = kinds.join(accounted_sessions(spark, sf_dir).select("sid", F.col("accounted.total_tokens").alias("tokens")), "sid", "left").withColumn("outcome", F.lit("unknown"))
     return tasks.report(facts, "action").drop("successes")
 
