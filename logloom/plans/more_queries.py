@@ -206,10 +206,10 @@ OUTCOMES = {
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes from a fifth of the activity, errors, aborts and completions told from the rest of the kinds."""
-    a = X.activity(spark, sf_dir).where("event_id % 5 = 0").withColumn("source_ordinal", (F.row_number().over(W.partitionBy("sid").orderBy("occurred_at", "event_id")) - 1).cast("long"))
+    """Outcomes from all activity, errors, aborts and completions told from the rest of the kinds, and commits linked with high confidence."""
+    a = X.activity(spark, sf_dir).withColumn("source_ordinal", (F.row_number().over(W.partitionBy("sid").orderBy("occurred_at", "event_id")) - 1).cast("long"))
     life = a.where("command_category = 'other'").select("sid", "source_ordinal", F.when(F.col("result_status") == "failure", "error").when(F.col("event_id") % 2 == 0, "abort").otherwise("task_complete").alias("kind"))
-    high = a.where("command_category = 'git_mutation' AND event_id % 3 = 0 AND result_status = 'success'").select("sid", X.later(F.col("occurred_at"), F.lit(3)).alias("committed_at"))
+    high = linked(spark, sf_dir).where("tier = 'high'").join(X.commits(spark, sf_dir), "commit_hash").select("sid", "committed_at")
     return outcomes.classified(outcomes.evidence(a, life, high))
 
 

@@ -37,3 +37,37 @@ def test_task_report_is_of_all_prompts_and_activity(spark, activity):
         rest = next((a for c, a in (("testing", "testing"), ("editing_patching", "implementation"), ("git_mutation", "git_or_release")) if c in kinds[sid]), "unknown")
         want[P.ACTIONS[sums[sid].index(top)][0] if top else rest] += 1
     assert {r["action"]: r["sessions"] for r in Q.task_report(spark, SF).collect()} == dict(want)
+
+
+def test_outcomes_are_of_all_activity(spark, activity):
+    commits = {r["commit_hash"]: r["committed_at"] for r in X.commits(spark, SF).collect()}
+    high = defaultdict(list)
+    for r in Q.linked(spark, SF).where("tier = 'high'").collect():
+        high[r["sid"]].append(commits[r["commit_hash"]])
+    by = defaultdict(list)
+    for r in activity:
+        by[r["sid"]].append(r)
+    want = {}
+    for sid, rows in by.items():
+        seen, at = [], []
+        for i, r in enumerate(rows):
+            c, s = r["command_category"], r["result_status"]
+            if c == "editing_patching" or (c == "testing" and s != "unknown"):
+                seen.append((10 * i, "edit" if c == "editing_patching" else "validation_pass" if s == "success" else "validation_fail"))
+                at.append((r["occurred_at"], 10 * i))
+            elif c == "other":
+                seen.append((10 * i + 5, "error" if s == "failure" else "abort" if r["event_id"] % 2 == 0 else "task_complete"))
+        seen += [(max((q for t, q in at if t <= h), default=0) + 1, "high_commit") for h in high[sid]]
+        last = defaultdict(lambda: -1, {kind: k for k, (_, kind) in enumerate(sorted(seen))})
+        good = max(last["validation_pass"], last["high_commit"])
+        if not seen:
+            continue
+        if last["abort"] > last["task_complete"]:
+            want[sid] = "abandoned"
+        elif last["validation_fail"] >= 0 and last["validation_pass"] <= last["validation_fail"] or last["error"] >= 0 and good <= last["error"]:
+            want[sid] = "failed"
+        elif last["validation_fail"] >= 0:
+            want[sid] = "success_with_warnings"
+        else:
+            want[sid] = "success" if good >= 0 else "partial" if last["edit"] >= 0 else "unknown"
+    assert any(high.values()) and {r["sid"]: r["outcome"] for r in Q.session_outcome(spark, SF).collect()} == want
