@@ -12,7 +12,10 @@ the same place in equal strings. What holds for the anchors is induced for the s
 
 All three passes read one shuffle of the texts (chunks are dealt by a hash of id and text, and bounded by
 ``chunk_bytes``); nothing but hashes of anchors and the strings around repeated ones is moved besides. A
-passage that very many documents share counts once a chunk. Strings are told apart by 128-bit hashes.
+passage that very many documents share counts once a chunk where the text around it is the same too. Around
+an anchor of more than ``hot`` documents the chunks send, instead, the hash of each string of ``length``
+bytes with its smallest document, to buckets by that hash, so that one anchor spreads over all of them.
+Strings are told apart by 128-bit hashes.
 
 Defined cases: a null text has no bytes; rows without an id neither remove nor lose anything; rows that
 repeat an id do not remove each other; texts shorter than ``length`` stay as they are; other columns stay
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +131,7 @@ def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20, hot: int = 1 << 16) -> DataFrame:
     """docs, kept (binary, the remaining bytes) and spans (array of start and length of the maximal removed runs)."""
     total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
@@ -144,29 +148,41 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         h, o = h[order], o[order]
         new = np.r_[True, h[1:] != h[:-1]][: len(h)]
         first = np.flatnonzero(new)
-        many = np.maximum.reduceat(o, first) > o[first] if len(h) else np.zeros(0, bool)
+        once = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])][: len(h)]
+        number = np.add.reduceat(once.astype("i8"), first) if len(h) else np.zeros(0, "i8")
         h = h[first]
         bucket = (h % np.uint64(buckets)).astype("i8")
         order = np.lexsort((h, bucket))
-        h, many, bucket = (h // np.uint64(buckets))[order].astype("u4"), many[order], bucket[order]
+        h, number, bucket = (h // np.uint64(buckets))[order].astype("u4"), number[order], bucket[order]
+        many = number > 1
         some, at = np.unique(bucket, return_index=True)
         parts = list(zip(at, np.r_[at[1:], len(h)][: len(at)], strict=True))
         # a hash goes as 32 bits beside its bucket; another string with the same bits only adds work in the second pass
-        return pa.table({"bucket": pa.array(some, pa.int32()), "__chunk": pa.array(np.full(len(some), table["__chunk"][0].as_py()), pa.int32()), "keys": pa.array([h[a:b].tobytes() for a, b in parts], pa.binary()), "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in parts], pa.binary())})
+        return pa.table({"bucket": pa.array(some, pa.int32()), "__chunk": pa.array(np.full(len(some), table["__chunk"][0].as_py()), pa.int32()), "keys": pa.array([h[a:b].tobytes() for a, b in parts], pa.binary()), "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in parts], pa.binary()), "docs": pa.array([np.minimum(number[a:b][many[a:b]], 65535).astype("u2").tobytes() for a, b in parts], pa.binary())})
 
     def repeated(table: pa.Table) -> pa.Table:
-        """Of each chunk's hashes in a bucket, those that more than one document has."""
+        """Of each chunk's hashes in a bucket, those that more than one document has, and whether more than hot documents have them."""
         keys = [np.frombuffer(x, "u4") for x in table["keys"].to_pylist()]
         many = np.concatenate([np.unpackbits(np.frombuffer(x, "u1"))[: len(k)] for x, k in zip(table["many"].to_pylist(), keys, strict=True)]).astype(bool)
         every = np.sort(np.concatenate([*keys, np.concatenate(keys)[many]]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         found = [k[np.isin(k, twice, assume_unique=True)] for k in keys]
-        return pa.table({"bucket": table["bucket"], "__chunk": table["__chunk"], "keys": pa.array([k.tobytes() for k in found], pa.binary())})
+        number = np.ones(len(many), "i8")
+        number[many] = gathered(table, "docs", "u2")
+        place = np.minimum(np.searchsorted(twice, np.concatenate(keys)), max(len(twice) - 1, 0))
+        hit = twice[place] == np.concatenate(keys) if len(twice) else np.zeros(len(many), bool)
+        crowd = np.bincount(place[hit], number[hit], len(twice)) > hot
+        crowds = [np.packbits(crowd[np.searchsorted(twice, k)]).tobytes() for k in found]
+        return pa.table({"bucket": table["bucket"], "__chunk": table["__chunk"], "keys": pa.array([k.tobytes() for k in found], pa.binary()), "hot": pa.array(crowds, pa.binary())})
 
     def strings(table: pa.Table, shared: pa.Table) -> pa.Table:
         """The strings around the chunk's repeated anchors, once each with their smallest document."""
         known = [np.frombuffer(k, "u4").astype("u8") << np.uint64(32) | np.uint64(b) for b, k in zip(shared["bucket"].to_pylist(), shared["keys"].to_pylist(), strict=True)]
-        known = np.sort(np.concatenate([np.zeros(0, "u8"), *known]))
+        crowd = np.concatenate([np.zeros(0, "u1"), *(np.unpackbits(np.frombuffer(x, "u1"))[: len(k)] for x, k in zip(shared["hot"].to_pylist(), known, strict=True))]).astype(bool)
+        known = np.concatenate([np.zeros(0, "u8"), *known])
+        order = np.argsort(known)
+        known, crowd = known[order], crowd[order]
+        lone: list[tuple[np.ndarray, ...]] = []
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         bytes_: list[np.ndarray] = []
         if len(known) and table.num_rows:
@@ -174,29 +190,72 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             for doc, _, n, h, first, last, part in chunk.units():
                 rest, bucket = h // np.uint64(buckets), h % np.uint64(buckets)
                 code = rest.astype("u4").astype("u8") << np.uint64(32) | bucket
-                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code)
+                place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                hit = known[place] == code
+                many = np.flatnonzero(hit & crowd[place])
+                hit = np.flatnonzero(hit & ~crowd[place])
+                if len(many):
+                    at = spread(first[many], n[many])
+                    lone.append((rolled(part, length, 3)[at], rolled(part, length, 4)[at], np.repeat(chunk.key[doc[many]], n[many])))
                 if len(hit):
                     ids, m = segment_ids(part, first[hit], last[hit], length), n[hit] + length - 1
                     fold = (rest[hit] >> np.uint64(32)).astype("u1") % FOLDS
                     for c, x in zip(cols, (ids, chunk.key[doc[hit]], bucket[hit].astype("i8"), n[hit], m, fold), strict=True):
                         c.append(x)
                     bytes_.append(part[spread(first[hit], m)])
+        found, out = alone(lone), []
         if not bytes_:
-            return pa.table({"bucket": pa.array([], pa.int32()), "__chunk": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in SENT}})
+            return sent_table(table, found, np.zeros(0, "i8"), out)
         ids, doc, bucket, n, m, fold = map(np.concatenate, cols)
         every, start = np.concatenate(bytes_), np.cumsum(m) - m
         order = np.lexsort((doc, ids, bucket))
         order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
         some, at = np.unique(bucket[order], return_index=True)
-        out = []
         for a, b in zip(at, np.r_[at[1:], len(order)], strict=True):
             o = order[a:b]
             out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype("u1").tobytes(), fold[o].tobytes(), every[spread(start[o], m[o])].tobytes()))
-        number = table["__chunk"][0].as_py()
-        return pa.table({"bucket": pa.array(some, pa.int32()), "__chunk": pa.array([number] * len(some), pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(SENT, zip(*out, strict=True), strict=True)}})
+        return sent_table(table, found, some, out)
+
+    def alone(lone: list[tuple[np.ndarray, ...]]) -> list[tuple[int, tuple[bytes, ...]]]:
+        """The chunk's strings around hot anchors by bucket: two hashes, the smallest document, and whether the chunk has another."""
+        if not lone:
+            return []
+        one, two, doc = map(np.concatenate, zip(*lone, strict=True))
+        order = np.lexsort((doc, two, one))
+        one, two, doc = one[order], two[order], doc[order]
+        head = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        more = doc[np.r_[head[1:], len(doc)] - 1] > doc[head]
+        one, two, doc = one[head], two[head], doc[head]
+        bucket = (two % np.uint64(4 * buckets)).astype("i8") + buckets  # beyond those of the anchors
+        order = np.argsort(bucket, kind="stable")
+        some, at = np.unique(bucket[order], return_index=True)
+        parts = [order[a:b] for a, b in zip(at, np.r_[at[1:], len(order)], strict=True)]
+        return [(int(b), (one[o].tobytes(), doc[o].tobytes(), b"", more[o].astype("u1").tobytes(), two[o].tobytes())) for b, o in zip(some, parts, strict=True)]
+
+    def sent_table(table: pa.Table, found: list[tuple[int, tuple[bytes, ...]]], some: np.ndarray, out: list[tuple[bytes, ...]]) -> pa.Table:
+        every = [*out, *(x for _, x in found)]
+        number = table["__chunk"][0].as_py() if every else 0
+        return pa.table({"bucket": pa.array([*some.tolist(), *(b for b, _ in found)], pa.int32()), "__chunk": pa.array([number] * len(every), pa.int32()), **{c: pa.array([x[k] for x in every], pa.binary()) for k, c in enumerate(SENT)}})
+
+    def smallest_alone(table: pa.Table) -> pa.Table:
+        """For each chunk's strings around hot anchors in a bucket: their smallest document, where the chunk has a greater one."""
+        one, two, doc, more = (gathered(table, c, k) for c, k in (("ids", "u8"), ("bytes", "u8"), ("docs", "i8"), ("folds", "u1")))
+        order = np.lexsort((two, one))
+        new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+        least = np.empty(len(order), "i8")
+        least[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        needed, out, done = (least < doc) | (more > 0), [], 0
+        for x in table["ids"].to_pylist():
+            k = np.arange(done, done + len(x) // 8)
+            done += len(k)
+            k = k[needed[k]]
+            out.append((one[k].tobytes(), b"", two[k].tobytes(), least[k].tobytes()))
+        return pa.table({"__chunk": table["__chunk"], **{c: pa.array(x, pa.binary()) for c, x in zip(("ids", "counts", "runs", "docs"), zip(*out, strict=True), strict=True)}})
 
     def smallest(table: pa.Table) -> pa.Table:
         """For each chunk's strings in a bucket: runs of sub-strings with one smallest document, where it isn't the chunk's own alone."""
+        if table["bucket"][0].as_py() >= buckets:
+            return smallest_alone(table)
         ids = [np.frombuffer(x, "u8") for x in table["ids"].to_pylist()]
         doc, n = gathered(table, "docs", "i8"), gathered(table, "counts", "u1").astype("i8")
         fold, every, size = gathered(table, "folds", "u1"), gathered(table, "bytes", "u1"), n + length - 1
@@ -232,13 +291,31 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         """The chunk's documents without the bytes of strings that a smaller document has."""
         if not table.num_rows:
             return pa.Table.from_arrays([*table.columns[:-1], pa.array([], pa.binary()), pa.array([], SPANS)], names=out_names)
+        lone = pc.and_(pc.equal(pc.binary_length(reply["counts"]), 0), pc.greater(pc.binary_length(reply["ids"]), 0))
+        reply, apart = reply.filter(pc.invert(lone)), reply.filter(lone)
+        one, two, other = gathered(apart, "ids", "u8"), gathered(apart, "runs", "u8"), gathered(apart, "docs", "i8")
+        order = np.lexsort((two, one))
+        one, two, other = one[order], two[order], other[order]
         ids, count = gathered(reply, "ids", "u8"), gathered(reply, "counts", "u1").astype("i8")
         runs, least = gathered(reply, "runs", "u1").astype("i8"), gathered(reply, "docs", "i8")
         order = np.argsort(ids, kind="stable")
         ids, where, count = ids[order], (np.cumsum(count) - count)[order], count[order]
         chunk = Chunk(table, key, text, length, gram)
         edge = np.zeros(len(chunk.every) + 1, "i4")
-        for doc, start, n, _, first, last, part in chunk.units() if len(ids) else ():
+        for doc, start, n, _, first, last, part in chunk.units() if len(ids) or len(one) else ():
+            if len(one):
+                at = spread(first, n)
+                h = rolled(part, length, 3)[at]
+                place = np.minimum(np.searchsorted(one, h), len(one) - 1)
+                hit = one[place] == h
+                hit[hit] = two[place[hit]] == rolled(part, length, 4)[at[hit]]
+                owner = np.repeat(chunk.key[doc], n)
+                gone = hit & (other[place] < owner)
+                begin = spread(start, n)[gone]
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + length, -1)
+            if not len(ids):
+                continue
             mine = segment_ids(part, first, last, length)
             place = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
             hit = np.flatnonzero(ids[place] == mine)
@@ -266,8 +343,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         return pa.Table.from_arrays([*table.columns[:-1], pa.array(kept, pa.binary()), pa.array(spans, SPANS)], names=out_names)
 
     out_names = [*docs.columns, "kept", "spans"]
-    sent = rows.groupBy("__chunk").applyInArrow(anchors, "bucket int, __chunk int, keys binary, many binary")
-    back = sent.groupBy("bucket").applyInArrow(repeated, "bucket int, __chunk int, keys binary")
+    sent = rows.groupBy("__chunk").applyInArrow(anchors, "bucket int, __chunk int, keys binary, many binary, docs binary")
+    back = sent.groupBy("bucket").applyInArrow(repeated, "bucket int, __chunk int, keys binary, hot binary")
     around = rows.groupBy("__chunk").cogroup(back.groupBy("__chunk")).applyInArrow(strings, "bucket int, __chunk int, ids binary, docs binary, counts binary, folds binary, bytes binary")
     reply = around.groupBy("bucket").applyInArrow(smallest, REPLY)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "__chunk")
