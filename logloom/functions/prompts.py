@@ -70,7 +70,7 @@ def hits(text: Column, p: str) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    """struct<text, redactions, status, original_characters, stored_characters>."""
+    """struct<text, redactions, status, original_characters, stored_characters, text_sha256>; the digest is of the whole redacted text."""
     n, now = F.lit(0), text
     for p, by in REDACTIONS:
         n = n + hits(now, p)
@@ -78,7 +78,7 @@ def redacted(text: Column) -> Column:
     long = F.length(now) > LIMIT
     stored = F.when(long, F.concat(F.substring(now, 1, LIMIT - len(MARKER)), F.lit(MARKER))).otherwise(now)
     status = F.when((n > 0) & long, "redacted_and_truncated").when(n > 0, "redacted").when(long, "truncated").otherwise("none")
-    return F.struct(stored.alias("text"), n.alias("redactions"), status.alias("status"), F.length(text).alias("original_characters"), F.length(stored).alias("stored_characters"))
+    return F.struct(stored.alias("text"), n.alias("redactions"), status.alias("status"), F.length(text).alias("original_characters"), F.length(stored).alias("stored_characters"), F.sha2(now, 256).alias("text_sha256"))
 
 
 def lines_without(text: Column, p: str) -> Column:

@@ -73,7 +73,7 @@ def _redaction_sql() -> str:
 @query(_redaction_sql())
 def prompt_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.prompts(spark, sf_dir).select("prompt_id", P.redacted(F.col("text")).alias("r"))
-    return rows.select("prompt_id", "r.redactions", F.sha2("r.text", 256).alias("text_sha256"), "r.original_characters")
+    return rows.select("prompt_id", "r.redactions", "r.text_sha256", "r.original_characters")
 
 
 # the other engine's word boundaries know ASCII letters only

@@ -1,5 +1,6 @@
 """Registered queries against the whole of their tables, told apart in Python."""
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -71,3 +72,10 @@ def test_outcomes_are_of_all_activity(spark, activity):
         else:
             want[sid] = "success" if good >= 0 else "partial" if last["edit"] >= 0 else "unknown"
     assert any(high.values()) and {r["sid"]: r["outcome"] for r in Q.session_outcome(spark, SF).collect()} == want
+
+
+def test_redaction_digests_the_whole_text(spark, tmp_path):
+    text = "plain words " * 10_000
+    spark.createDataFrame([(1, text, "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = Q.prompt_redaction(spark, str(tmp_path)).first()
+    assert len(text) > P.LIMIT and r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
