@@ -1,6 +1,6 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-One weight vector over hashed words and word pairs is shared by all grades; ordered thresholds cut its
+One weight vector over hashed words and eight text shapes is shared by all grades; ordered thresholds cut its
 score into grades: P(grade > j) = sigmoid(score - threshold j). A text gets its expected grade and the
 probability of the upper grades, by which rows are selected.
 
