@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.operators.lineage import checkpointed
+from logloom.checkpoints import checkpointed
 
 GRACE = 600  # seconds after a session's end
 BUCKET = 3600

@@ -5,22 +5,14 @@ exact: runs of equal cumulative vectors, in order."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.checkpoints import checkpointed
 from logloom.functions import vectors as V
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def single_parent(edges: DataFrame) -> DataFrame:
     """Edges of the children that have one parent."""
     return edges.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("parent")).where("n = 1").select("parent", "child")

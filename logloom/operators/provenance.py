@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.operators.lineage import ancestry, checkpointed, prefix_runs, single_parent
+from logloom.checkpoints import checkpointed
+from logloom.operators.lineage import ancestry, prefix_runs, single_parent
 
 INHERITED = ("inherited_prefix", "inherited_exact")
 

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.checkpoints import checkpointed
 from logloom.operators import lineage, provenance, sessions, usage
 
 from . import views as X
@@ -35,7 +36,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accounted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per session, written once for the plans that use it more than once."""
     verdicts = lineage.edge_verdicts(X.token_events(spark, sf_dir), X.edges(spark, sf_dir))
-    return lineage.checkpointed(lineage.accounted(observed(spark, sf_dir), verdicts))
+    return checkpointed(lineage.accounted(observed(spark, sf_dir), verdicts))
 
 
 def scoped(spark: SparkSession, sf_dir: str, accounted: DataFrame | None = None) -> DataFrame:
