@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logloom.checkpoints import checkpointed
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpointed", "learnable", "prefix_sums", "table"]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder (a temporary one where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def learnable(doc_id: Column) -> Column:
-    """False for the fifth of the documents that is held out of every fit."""
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) != 0
+    """False for the fifth of the documents that is held out of every fit, and for rows without an id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) != 0, F.lit(False))
 
 
 def prefix_sums(df: DataFrame, key: str, value: str, out: str, block: int = 4096) -> DataFrame:

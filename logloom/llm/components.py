@@ -11,8 +11,10 @@ from .common import checkpointed
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of links (a, b).
 
-    Each round takes the smallest label among neighbours, then the label of that label, so that rounds
-    grow with the logarithm of the longest chain. Labels are cut off in the shared checkpoint folder."""
+    Each round takes the smallest label among neighbours, then the label of that label. Near-duplicates make
+    short chains, which takes few rounds; a long chain whose ids lie in an adverse order may take as many
+    rounds as it has nodes. A node's neighbours count by an aggregate, so a hub is no group of one task.
+    Labels are cut off in the shared checkpoint folder."""
     both = checkpointed(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     labels = checkpointed(labels)
