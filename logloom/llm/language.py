@@ -1,27 +1,30 @@
 """Language identification, words first.
 
 A word seen often enough in training scores by its log frequency in each language; an unseen one falls
-back to its character n-grams, the longest order first of which any is known. A document's score per
-language is the sum over its words (with the languages' shares), its probability a softmax of that sum.
+back to its character n-grams, the longest order first of which any is known, over its whole length. A
+document's score per language is the sum over its words (with the languages' shares), its probability a
+softmax of that sum; it isn't calibrated, and near 1 for all but short or mixed texts.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``, dealt by a hash of the id) and
-holds at most ``entries`` words and as many n-grams of each order, most frequent first.
+holds ``entries`` words and as many n-grams of each order; every language has an equal part of them, its
+most frequent ones.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from,
-every text is ``und``; a tie goes to the smaller language name; repeated rows score alike; other columns
-are not read.
+every text is ``und``; a tie goes to the smaller language name; rows without an id aren't learned from;
+repeated rows score alike; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -29,52 +32,68 @@ from .common import checkpointed
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 CACHE_ENTRIES = 300_000
+_scorers: dict[str, Scorer] = {}
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, entries: int = 20_000) -> dict[str, Any]:
-    """A model from rows of (key, text, lang); the counting runs on Spark, the bounded result is gathered."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = 10_000, entries: int = 60_000) -> dict[str, Any]:
+    """A model from rows of (key, text, lang); the counting runs on Spark, the bounded result is gathered.
+
+    The model: langs, their log shares, and for each order (0: words) its entries as one text with a table of
+    their log frequencies by language."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     share = min(1.0, sample_rows / max(1, rows.count()))
     lot = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 30))
     rows = rows.where(lot < int(share * (1 << 30)))
     words = rows.select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([^\W\d_]+)"), F.lit(1))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
     words = checkpointed(words)
-    marked = F.concat(F.lit("<"), F.substring("w", 1, 60), F.lit(">"))
+    marked = F.concat(F.lit("<"), "w", F.lit(">"))
     grams = words.select("l", "n", marked.alias("w")).select("l", "n", "w", F.explode(F.array(*map(F.lit, ORDERS))).alias("k")).where("length(w) >= k")
     grams = grams.select("l", "n", "k", F.explode(F.expr("transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))")).alias("g")).groupBy("l", "k", "g").agg(F.sum("n").alias("n"))
     counts = checkpointed(words.select("l", F.lit(0).alias("k"), F.col("w").alias("g"), "n").union(grams.select("l", "k", "g", "n")))
-    by = counts.groupBy("k", "g").agg(F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("n"), F.sum("n").alias("all")).where("all > 1 OR k > 0")
     totals = {(r["l"], r["k"]): r["n"] for r in counts.groupBy("l", "k").agg(F.sum("n").alias("n")).collect()}
-    by = checkpointed(by)
-    kept = [r for k in (0, *ORDERS) for r in by.where(F.col("k") == k).orderBy(F.desc("all"), "g").limit(entries).collect()]
+    shares = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}
     langs = sorted({l for l, _ in totals})
-    share_of = {r["l"]: r["n"] for r in rows.groupBy(F.col(lang).alias("l")).count().withColumnRenamed("count", "n").collect()}
-    seen = sum(share_of.values())
-    scores: list[dict[str, int]] = [{} for _ in range(max(ORDERS) + 1)]
-    table = np.zeros((len(kept), len(langs)), "f4")
-    for i, r in enumerate(kept):
-        scores[r["k"]][r["g"]] = i
-        table[i] = [math.log((r["n"].get(l, 0) + 0.1) / (totals.get((l, r["k"]), 0) + 1000)) for l in langs]
-    return {"langs": langs, "prior": np.array([math.log(share_of.get(l, 1) / seen) for l in langs]), "index": scores, "table": table, "id": hash((tuple(langs), len(kept), float(table.sum())))}
+    model: dict[str, Any] = {"id": uuid.uuid4().hex, "langs": langs, "prior": np.log([shares.get(l, 1) / sum(shares.values()) for l in langs]), "entries": []}
+    if not langs:
+        return model
+    # a word met once tells of one text only; the entries are dealt to the languages in equal parts
+    every = F.sum("n").over(W.partitionBy("k", "g"))
+    place = F.row_number().over(W.partitionBy("k", "l").orderBy(F.desc("n"), "g"))
+    chosen = counts.withColumn("all", every).where("all > 1 OR k > 0").withColumn("place", place).where(F.col("place") <= entries // len(langs)).select("k", "g").distinct()
+    each = [F.coalesce(F.sum(F.when(F.col("l") == l, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, l in enumerate(langs)]
+    kept = checkpointed(counts.join(chosen, ["k", "g"]).groupBy("k", "g").agg(*each))
+    for k in range(max(ORDERS) + 1):
+        t = kept.where(F.col("k") == k).drop("k").orderBy("g").toArrow()
+        n = np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1)
+        below = np.array([totals.get((l, k), 0) + 1000.0 for l in langs])
+        model["entries"].append(("\n".join(t["g"].to_pylist()), np.log((n + 0.1) / below).astype("f4")))
+    return model
 
 
 class Scorer:
     """The model, and a bounded table of the scores of unseen words met so far."""
 
     def __init__(self, m: dict[str, Any]):
-        self.langs, self.prior, self.index, self.known = m["langs"], m["prior"], m["index"], len(m["table"])
-        self.table = np.concatenate([m["table"], np.zeros((CACHE_ENTRIES, len(self.langs)), "f4")])
-        self.words: dict[str, int] = dict(m["index"][0])
-        self.used = self.known
+        self.langs, self.prior = m["langs"], m["prior"]
+        self.index: list[dict[str, int]] = []
+        tables, at = [np.zeros((0, len(self.langs)), "f4")], 0
+        for names, table in m["entries"]:
+            self.index.append({g: at + i for i, g in enumerate(names.split("\n"))} if len(table) else {})
+            tables.append(table)
+            at += len(table)
+        self.known = self.used = at
+        self.table = np.concatenate([*tables, np.zeros((CACHE_ENTRIES, len(self.langs)), "f4")])
+        self.words = dict(self.index[0]) if self.index else {}
 
     def unseen(self, word: str) -> int:
         if self.used == len(self.table):
             self.words, self.used = dict(self.index[0]), self.known
-        marked = f"<{word[:60]}>"
+        marked = f"<{word}>"
         row = self.table[self.used]
         row[:] = 0
         for k in ORDERS:
-            seen = [i for j in range(len(marked) - k + 1) if (i := self.index[k].get(marked[j : j + k])) is not None]
+            index = self.index[k]
+            seen = [i for j in range(len(marked) - k + 1) if (i := index.get(marked[j : j + k])) is not None]
             if seen:
                 row[:] = self.table[seen].mean(0)
                 break
@@ -100,9 +119,6 @@ class Scorer:
         return self.langs[best], float(p[best] / p.sum())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predicted(text: Column, model: dict[str, Any], spark: Any) -> Column:
     """struct<lang, score>; the model is bounded by fit's parameters."""
     shared = spark.sparkContext.broadcast(model)
