@@ -18,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -58,7 +57,8 @@ def linked(reps: DataFrame, full: int = 128) -> DataFrame:
     half = F.when(bit < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")))
     variants = reps.select("fp", "node", F.explode(F.expr("sequence(0, 63)")).alias("bit")).select("fp", "node", (bit.cast("long") * (1 << 32) + wiped).alias("key"))
-    shared = variants.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
+    # a key's members are counted by an aggregate and joined to the count, so that no task sorts a whole crowd
+    shared = variants.join(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     # bounded groups: verified pairs only
     groups = shared.where(F.col("n") <= full).groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("g"))
     pairs = F.expr("flatten(transform(g, (x, i) -> transform(filter(slice(g, i + 2, size(g)), y -> bit_count(x.fp ^ y.fp) <= 2), y -> struct(x.node AS a, y.node AS b))))")
