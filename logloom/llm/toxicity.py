@@ -6,8 +6,8 @@ others. Trees are grown on a second part and calibrated on a third, so that no r
 score in the fit. The sample is bounded by ``sample_rows``; lexicons by ``entries``.
 
 Defined cases: a null or empty text has zero rates and is scored like any other; labels null or without
-a text are not learned from; where a label is missing on one side altogether, the score is the share of
-the label; repeated rows score alike; other columns are not read.
+a text are not learned from, nor are rows without an id; where a label is missing on one side altogether, the score is the
+share of the label; repeated rows score alike; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-# Second-person words of the languages met, and signs that stand for letters.
+# Second-person words of English, German, French and Spanish, and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’…¿¡"
@@ -51,7 +51,7 @@ def features(text: str | None, words: frozenset[str], prefixes: frozenset[str])
     hidden = sum((p := w.strip(EDGE)) not in words and p.translate(STANDS_FOR) in words for w in tokens if w in odd_words) if odd else 0
     close = sum(not SECOND_PERSON.isdisjoint(plain[max(0, i - NEAR) : i + NEAR + 1]) for i in at)
     upper = int(counts[65:91].sum())
-    return [1000 * len(at) / n, min(len(at), 20), 1000 * begun / n, min(begun, 20), close, upper / chars, int(counts[ASCII_PUNCT].sum()) / chars, int(counts[33]) / chars, obscured / n, hidden, math.log1p(n)]
+    return [1000 * len(at) / n, math.log1p(len(at)), 1000 * begun / n, math.log1p(begun), math.log1p(close), upper / chars, int(counts[ASCII_PUNCT].sum()) / chars, int(counts[33]) / chars, obscured / n, math.log1p(hidden), math.log1p(n)]
 
 
 def featured(text: Column, lexicon: Any) -> Column:
@@ -82,12 +82,12 @@ class Model:
         self.lexicon, self.trees, self.curve, self.share = lexicon, trees, curve, share
 
     def scored(self, docs: DataFrame, text: str = "text", score: str = "score") -> DataFrame:
-        """docs and the score; the trees' own columns are dropped (their names begin with two underscores)."""
-        if self.trees is None:
-            return docs.withColumn(score, F.lit(float(self.share)))
-        rows = self.raw(docs.withColumn("__features", array_to_vector(featured(F.col(text), self.lexicon))))
+        """docs and the score (in the place of a column of that name)."""
         kept = [F.col(f"`{c}`") for c in docs.columns if c != score]
-        return self.curve.transform(rows).select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score"))).alias(score))
+        if self.trees is None:
+            return docs.select(*kept, F.lit(float(self.share)).alias(score))
+        rows = self.raw(docs.select(F.struct(*kept).alias("record"), array_to_vector(featured(F.col(text), self.lexicon)).alias("__features")))
+        return self.curve.transform(rows).select("record.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score"))).alias(score))
 
     def raw(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("__p", vector_to_array("__probability")[1])
@@ -95,7 +95,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = 30_000, entries: int = 4_000, trees: int = 12, depth: int = 3, seed: int = 42) -> Model:
     spark = docs.sparkSession
-    known = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("__y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("__y"))
     lot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20))
     share = min(1.0, sample_rows / max(1, known.count()))
     # ids come first, so that only the sample's texts are moved
@@ -110,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model(lexicon, None, None, bad / n if n else 0.0)
     grown = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=32, minInstancesPerNode=5).setRawPredictionCol("__raw").setProbabilityCol("__probability").fit(learned.where("part < 16"))
     model = Model(lexicon, grown, None, bad / n)
-    pairs = model.raw(learned.where("part >= 16")).select("__p", "label")
-    model.curve = IsotonicRegression(featuresCol="__p", labelCol="label", predictionCol="__score").fit(pairs)
+    # a row per distinct score, weighted by its rows: many texts share a score
+    pairs = model.raw(learned.where("part >= 16")).groupBy("__p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    model.curve = IsotonicRegression(featuresCol="__p", labelCol="label", weightCol="weight", predictionCol="__score").fit(pairs)
     return model
