@@ -1,11 +1,11 @@
 """Encoding and decoding with a merge-type sentence-piece vocabulary.
 
-Encoding is exact without a merge queue: at each position the longest vocabulary match (found with an
-Aho-Corasick automaton) is taken if it may stand beside the token before it; two tokens may stand
-together if merging their joined characters gives back just these two. Where no match fits, the last
-token is taken back for a shorter one, and a bitfield remembers the positions from which no encoding
-goes on. No piece of such a vocabulary holds a word mark after another character, so a text is encoded
-in chunks (word marks and what follows up to the next one), which are kept in a bounded table.
+Encoding is exact without a merge queue: an Aho-Corasick automaton finds the longest vocabulary match at each
+position in one pass; a match is taken if it may stand beside the token before it, which it may if merging
+the joined characters of both anew gives back just these two. Where no match fits, the last token is taken
+back for a shorter one, and a bitfield remembers the positions from which no encoding goes on. No piece of
+such a vocabulary holds a word mark after another character, so a text is encoded in chunks (word marks and
+what follows up to the next one), which are kept in a bounded table, as are the pairs that were checked.
 
 Defined cases: a null or empty text is the end id alone and decodes to the empty text; characters out of
 the vocabulary become byte pieces; repeated rows are encoded as often as they come; other columns stay
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CACHE_ENTRIES = 300_000
 PAIR_ENTRIES = 2_000_000
-LONGEST = 64  # characters, more than any piece has
 _models: dict[str, PieceModel] = {}
 
 
@@ -51,68 +50,56 @@ class PieceModel:
         self.chars = {p for p in self.id_of if len(p) == 1}
         self.pairs: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
-        # pieces in the order in which merging makes them, characters first; the two parts that each was made of last
-        made = {p: self.merged(p, parts=True) for p in self.id_of}
-        order = sorted((p for p in made if made[p]), key=lambda p: (len(p) > 1, self.rank[p]))  # others never come out of merging
-        self.at = {p: k for k, p in enumerate(order)}
-        self.name = order
-        self.left = [self.at[made[p][0]] for p in order]
-        self.right = [self.at[made[p][-1]] for p in order]
-        self.size = [len(p) for p in order]
-        self.id = [self.id_of[p] for p in order]
+        # pieces that merging their characters gives back; others never come out of it
+        self.name = [p for p in self.id_of if self.merged(p) == [p]]
+        self.at = {p: k for k, p in enumerate(self.name)}
+        self.size = [len(p) for p in self.name]
+        self.id = [self.id_of[p] for p in self.name]
         self.matcher = ahocorasick.Automaton()
-        self.best: dict[str, int] = {}  # for each prefix of a piece, the longest piece that begins it
-        for p in sorted(order, key=len):
-            self.matcher.add_word(p, self.at[p])
-            for k in range(1, len(p) + 1):
-                self.best[p[:k]] = self.at[p[:k]] if p[:k] in self.at else self.best[p[: k - 1]]
-        self.shorter = [self.best.get(p[:-1], -1) for p in order]
-
-    def merged(self, text: str, parts: bool = False) -> list[str]:
-        """Merging by rank, leftmost first. With parts: the last two that merge to the whole, if it comes out."""
+        for p, k in self.at.items():
+            self.matcher.add_word(p, k)
+        self.matcher.make_automaton()
+        # the next shorter piece that begins a piece
+        self.shorter = [next((self.at[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.at), -1) for p in self.name]
+
+    def merged(self, text: str) -> list[str]:
+        """Characters merged by rank, leftmost first, until nothing merges."""
         now, rank = list(text), self.rank
-        while len(now) > 1 + parts:
+        while len(now) > 1:
             ranks = [rank.get(x + y, np.inf) for x, y in pairwise(now)]
-            at = min(range(len(ranks)), key=ranks.__getitem__)
-            if ranks[at] == np.inf:
+            least = min(ranks)
+            if least == np.inf:
                 break
+            at = ranks.index(least)
             now[at : at + 2] = [now[at] + now[at + 1]]
-        return now if not parts or len(now) <= 2 else []
+        return now
 
     def fits(self, a: int, b: int) -> bool:
-        """Whether a and b stay apart when their characters are merged anew.
-
-        Undoes the merges of both, the latest first; wherever the two that touch would have merged
-        earlier than the merge undone last, the pair isn't what merging gives."""
-        x, y, before, at, name = a, b, len(self.name), self.at, self.name
-        while True:
-            made = at.get(name[x] + name[y])
-            if made is not None and made < before:
-                return False
-            if self.size[x] == self.size[y] == 1:
-                return True
-            if self.size[y] == 1 or (self.size[x] > 1 and x > y):
-                before, x = x, self.right[x]
-            else:  # of two equal merges the left one comes first
-                before, y = y + 1, self.left[y]
+        """Whether a and b stay apart when their characters are merged anew."""
+        x, y = self.name[a], self.name[b]
+        return self.merged(x + y) == [x, y]
 
     def split(self, text: str) -> list[int]:
         """Tokens of a text of known characters, by backtracking."""
-        n, size, shorter, pairs, best, reach = len(text), self.size, self.shorter, self.pairs, self.best, self.matcher.longest_prefix
-        failed = bytearray(n + 1)  # bits of positions from which no encoding goes on
+        n, size, shorter, pairs, width = len(text), self.size, self.shorter, self.pairs, len(self.name)
+        longest = [-1] * n
+        for end, k in self.matcher.iter(text):  # of the matches that begin at a place, the longest comes last
+            longest[end + 1 - size[k]] = k
+        failed = bytearray((n >> 3) + 1)  # a bit for each position from which no encoding goes on
         out: list[int] = []
         at, last = 0, -1
-        i = best[text[: reach(text)]]
+        i = longest[0]
         while True:
             while i >= 0:
-                if not failed[at + size[i]]:
+                end = at + size[i]
+                if not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
-                    known = pairs.get(last << 16 | i)
+                    known = pairs.get(last * width + i)
                     if known is None:
                         if len(pairs) > PAIR_ENTRIES:
                             pairs.clear()
-                        known = pairs[last << 16 | i] = self.fits(last, i)
+                        known = pairs[last * width + i] = self.fits(last, i)
                     if known:
                         break
                 i = shorter[i]
@@ -122,10 +109,9 @@ class PieceModel:
                 if at == n:
                     return out
                 last = i
-                rest = text[at : at + LONGEST]
-                i = best[rest[: reach(rest)]]
+                i = longest[at]
             else:
-                failed[at] = 1
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError(f"no encoding of {text!r}")
                 i = out.pop()
