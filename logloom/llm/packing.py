@@ -12,6 +12,7 @@ are packed as often as they come; other columns of the input are not read.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -28,8 +29,11 @@ _tokenizers: dict[tuple[str, str], WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Byte-level BPE whose pre-tokens never cross a space that follows a non-space, so chunks up to such a
-    space are encoded apart and kept in a bounded table."""
+    """A tokenizer, and the same vocabulary as ranks for the texts that can go by chunks.
+
+    The byte-level pattern's pre-tokens never cross a space that follows a non-space, so chunks up to such a
+    space are encoded apart and kept in a bounded table. Texts with a special token, and all texts of a
+    tokenizer with another pattern or a normalizer, go through the tokenizer whole."""
 
     def __init__(self, json_path: str, rank_path: str):
         import public_tokenizers
@@ -40,12 +44,15 @@ class WordTokenizer:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.full = Tokenizer.from_file(json_path)
+        made = json.loads(self.full.to_str())
+        before = made.get("pre_tokenizer") or {}
+        self.by_chunks = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special):
+        if not self.by_chunks or any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         kept = self.kept
         if re.search(r"\s ", text):
