@@ -5,8 +5,9 @@ the distance of two vectors from below, and so, their norms known, the inner pro
 over few segments are tried first, finer ones for what is left, and the inner product only for the
 survivors that can still enter the k best.
 
-Queries are laid out in blocks and rows in splits, both of bounded size, that meet on (block, split);
-each meeting keeps k rows a query.
+Queries are laid out in blocks and rows in splits, both of bounded size, that meet on (block, split); each
+meeting bounds its queries a few at a time and keeps k rows a query. A row moves once for each block of
+queries, whatever the bounds then spare: blocks are as large as memory allows.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of
 unequal length never meet; of rows that repeat an id the smallest vector counts; ties go to the smaller
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEVELS = (4, 16)
+STEP = 128  # queries bounded at once
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -37,12 +39,14 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
     out: list[tuple[int, int, int]] = []
     q, x = queries.astype("f8"), rows.astype("f8")
     exact = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]) < 2**52
-    coarse = statistics(q, LEVELS[0]) @ statistics(x, LEVELS[0]).T
+    coarse_q, coarse_x = statistics(q, LEVELS[0]), statistics(x, LEVELS[0])
     fine_q, fine_x = statistics(q, LEVELS[1]), statistics(x, LEVELS[1])
     slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0) + 1e-6
     for i in range(len(q)):
+        if i % STEP == 0:
+            coarse = coarse_q[i : i + STEP] @ coarse_x.T
         own = row_ids == ids[i]
-        bound = np.where(own, -np.inf, coarse[i])
+        bound = np.where(own, -np.inf, coarse[i % STEP])
         n = len(bound) - int(own.sum())
         if n <= 0:
             continue
@@ -63,7 +67,7 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
     return out
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = 4096, split: int = 16384) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = 32768, split: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose key is divisible by every."""
     v = F.col(vector)
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col(key).isNotNull() & (F.size(v) > 0)
