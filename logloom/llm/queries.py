@@ -15,7 +15,8 @@ from .common import learnable, table
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return repeats.without_repeats(docs).select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = repeats.without_repeats(docs).select("record.*", "kept", "spans")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP1_SQL = """
@@ -119,6 +120,13 @@ def op10_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus joined with itself by its fingerprints: each document's class of equal fingerprints, and the class's links."""
+    members, links = spots.near_pairs(table(spark, sf_dir, "documents"))
+    n = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(n, "class", "left").select("doc_id", F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def _signatures_sql(text: str) -> str:
     common = ", ".join(f"'{w}'" for w in dict.fromkeys(spots.COMMON))
     words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -140,5 +148,16 @@ FROM s
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots}
-ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op3_vectors": OP3_SQL, "op10_spots": _op10_sql()}
+def _links_sql() -> str:
+    return f"""
+WITH s AS MATERIALIZED (SELECT doc_id, {_signatures_sql("text")} AS s FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+m AS MATERIALIZED (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS class_id FROM s),
+c AS MATERIALIZED (SELECT class_id, s, len(s) AS n FROM m WHERE doc_id = class_id),
+p AS (SELECT a.class_id AS a, b.class_id AS b, len(list_intersect(a.s, b.s)) AS k, a.n + b.n AS n FROM c a JOIN c b ON a.class_id < b.class_id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM p WHERE k / (n - k)::DOUBLE >= 0.8)
+SELECT doc_id, class_id, coalesce(k.links, 0) AS links FROM m LEFT JOIN (SELECT x AS class_id, count(*) AS links FROM (SELECT a AS x FROM l UNION ALL SELECT b FROM l) GROUP BY x) k USING (class_id)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots, "spot_links": spot_links}
+ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op3_vectors": OP3_SQL, "op10_spots": _op10_sql(), "spot_links": _links_sql()}

@@ -15,11 +15,11 @@ All three passes read one shuffle of the texts (chunks are dealt by a hash of id
 passage that very many documents share counts once a chunk where the text around it is the same too. Around
 an anchor of more than ``hot`` documents the chunks send, instead, the hash of each string of ``length``
 bytes with its smallest document, to buckets by that hash, so that one anchor spreads over all of them.
-Strings are told apart by 128-bit hashes.
+Strings are told apart by 128-bit hashes. Ids are integers.
 
 Defined cases: a null text has no bytes; rows without an id neither remove nor lose anything; rows that
-repeat an id do not remove each other; texts shorter than ``length`` stay as they are; other columns stay
-as they are (names that begin with two underscores are used here).
+repeat an id do not remove each other; texts shorter than ``length`` stay as they are; the input's columns
+stay inside ``record``, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ BLOCK = 1 << 17  # strings hashed at once
 FOLDS = 16
 SENT = ("ids", "docs", "counts", "folds", "bytes")
 REPLY = "__chunk int, ids binary, counts binary, runs binary, docs binary"
+PAIR = np.dtype([("a", "u8"), ("b", "u8")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,10 +70,32 @@ def joined(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
     return x
 
 
-def segment_ids(part: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the bytes from string first to string last (less than length apart), of all of them at once."""
-    h = rolled(part, length, 2)
-    return mixed(mixed(h[first] * MIX + h[last]) + (last - first).astype("u8"))
+def segment_ids(part: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the bytes from string first to string last (less than length apart), of all of them at once."""
+    size = (last - first).astype("u8")
+    out = []
+    for seed in (2, 5):
+        h = rolled(part, length, seed)
+        out.append(mixed(mixed(h[first] * MIX + h[last]) + size))
+    return out[0], out[1]
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = np.empty(len(a), PAIR)
+    both["a"], both["b"] = a, b
+    return both
+
+
+def found_in(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each (a, b) among the sorted pairs (one, two), and whether it is there."""
+    place = np.searchsorted(one, a)
+    end = len(one) - 1
+    while True:  # on over pairs of one first hash; as good as never more than one
+        at = np.minimum(place, end)
+        on = (place <= end) & (one[at] == a) & (two[at] < b)
+        if not on.any():
+            return at, (one[at] == a) & (two[at] == b)
+        place = place + on
 
 
 class Chunk:
@@ -132,8 +155,10 @@ def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20, hot: int = 1 << 16) -> DataFrame:
-    """docs, kept (binary, the remaining bytes) and spans (array of start and length of the maximal removed runs)."""
-    total = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    """record (struct of docs' columns), kept (binary, the remaining bytes) and spans (array of start and length of the maximal removed runs)."""
+    names, total = docs.columns, docs.select(F.sum(F.octet_length(text))).first()[0] or 0
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = f"c{names.index(key)}", f"c{names.index(text)}"
     chunks = max(1, -(-total // chunk_bytes))
     buckets = max(1, -(-total // (bucket_entries * 16)))
     rows = docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int"))
@@ -183,7 +208,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         order = np.argsort(known)
         known, crowd = known[order], crowd[order]
         lone: list[tuple[np.ndarray, ...]] = []
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         bytes_: list[np.ndarray] = []
         if len(known) and table.num_rows:
             chunk = Chunk(table, key, text, length, gram)
@@ -198,22 +223,22 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                     at = spread(first[many], n[many])
                     lone.append((rolled(part, length, 3)[at], rolled(part, length, 4)[at], np.repeat(chunk.key[doc[many]], n[many])))
                 if len(hit):
-                    ids, m = segment_ids(part, first[hit], last[hit], length), n[hit] + length - 1
+                    one, two = segment_ids(part, first[hit], last[hit], length)
                     fold = (rest[hit] >> np.uint64(32)).astype("u1") % FOLDS
-                    for c, x in zip(cols, (ids, chunk.key[doc[hit]], bucket[hit].astype("i8"), n[hit], m, fold), strict=True):
+                    for c, x in zip(cols, (one, two, chunk.key[doc[hit]], bucket[hit].astype("i8"), n[hit], n[hit] + length - 1, fold), strict=True):
                         c.append(x)
-                    bytes_.append(part[spread(first[hit], m)])
+                    bytes_.append(part[spread(first[hit], n[hit] + length - 1)])
         found, out = alone(lone), []
         if not bytes_:
             return sent_table(table, found, np.zeros(0, "i8"), out)
-        ids, doc, bucket, n, m, fold = map(np.concatenate, cols)
-        every, start = np.concatenate(bytes_), np.cumsum(m) - m
-        order = np.lexsort((doc, ids, bucket))
+        one, two, doc, bucket, n, m, fold = map(np.concatenate, cols)
+        ids, every, start = paired(one, two), np.concatenate(bytes_), np.cumsum(m) - m
+        order = np.lexsort((doc, two, one, bucket))
         order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
         some, at = np.unique(bucket[order], return_index=True)
         for a, b in zip(at, np.r_[at[1:], len(order)], strict=True):
             o = order[a:b]
-            out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype("u1").tobytes(), fold[o].tobytes(), every[spread(start[o], m[o])].tobytes()))
+            out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype("u4").tobytes(), fold[o].tobytes(), every[spread(start[o], m[o])].tobytes()))
         return sent_table(table, found, some, out)
 
     def alone(lone: list[tuple[np.ndarray, ...]]) -> list[tuple[int, tuple[bytes, ...]]]:
@@ -256,8 +281,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         """For each chunk's strings in a bucket: runs of sub-strings with one smallest document, where it isn't the chunk's own alone."""
         if table["bucket"][0].as_py() >= buckets:
             return smallest_alone(table)
-        ids = [np.frombuffer(x, "u8") for x in table["ids"].to_pylist()]
-        doc, n = gathered(table, "docs", "i8"), gathered(table, "counts", "u1").astype("i8")
+        ids = [np.frombuffer(x, PAIR) for x in table["ids"].to_pylist()]
+        doc, n = gathered(table, "docs", "i8"), gathered(table, "counts", "u4").astype("i8")
         fold, every, size = gathered(table, "folds", "u1"), gathered(table, "bytes", "u1"), n + length - 1
         begin, place = np.cumsum(size) - size, np.cumsum(n) - n
         mine = np.empty(n.sum(), "i8")
@@ -284,7 +309,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             k = np.arange(done, done + len(x))
             done += len(x)
             r = spread(where[k], count[k])
-            out.append((x.tobytes(), count[k].astype("u1").tobytes(), runs[r].astype("u1").tobytes(), mine[head[r]].tobytes()))
+            out.append((x.tobytes(), count[k].astype("u4").tobytes(), runs[r].astype("u4").tobytes(), mine[head[r]].tobytes()))
         return pa.table({"__chunk": table["__chunk"], **{c: pa.array(x, pa.binary()) for c, x in zip(("ids", "counts", "runs", "docs"), zip(*out, strict=True), strict=True)}})
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -296,19 +321,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         one, two, other = gathered(apart, "ids", "u8"), gathered(apart, "runs", "u8"), gathered(apart, "docs", "i8")
         order = np.lexsort((two, one))
         one, two, other = one[order], two[order], other[order]
-        ids, count = gathered(reply, "ids", "u8"), gathered(reply, "counts", "u1").astype("i8")
-        runs, least = gathered(reply, "runs", "u1").astype("i8"), gathered(reply, "docs", "i8")
-        order = np.argsort(ids, kind="stable")
-        ids, where, count = ids[order], (np.cumsum(count) - count)[order], count[order]
+        ids, count = gathered(reply, "ids", PAIR), gathered(reply, "counts", "u4").astype("i8")
+        runs, least = gathered(reply, "runs", "u4").astype("i8"), gathered(reply, "docs", "i8")
+        order = np.lexsort((ids["b"], ids["a"]))
+        first_id, second_id, where, count = ids["a"][order], ids["b"][order], (np.cumsum(count) - count)[order], count[order]
         chunk = Chunk(table, key, text, length, gram)
         edge = np.zeros(len(chunk.every) + 1, "i4")
         for doc, start, n, _, first, last, part in chunk.units() if len(ids) or len(one) else ():
             if len(one):
                 at = spread(first, n)
-                h = rolled(part, length, 3)[at]
-                place = np.minimum(np.searchsorted(one, h), len(one) - 1)
-                hit = one[place] == h
-                hit[hit] = two[place[hit]] == rolled(part, length, 4)[at[hit]]
+                place, hit = found_in(one, two, rolled(part, length, 3)[at], rolled(part, length, 4)[at])
                 owner = np.repeat(chunk.key[doc], n)
                 gone = hit & (other[place] < owner)
                 begin = spread(start, n)[gone]
@@ -316,9 +338,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 np.add.at(edge, begin + length, -1)
             if not len(ids):
                 continue
-            mine = segment_ids(part, first, last, length)
-            place = np.minimum(np.searchsorted(ids, mine), len(ids) - 1)
-            hit = np.flatnonzero(ids[place] == mine)
+            place, hit = found_in(first_id, second_id, *segment_ids(part, first, last, length))
+            hit = np.flatnonzero(hit)
             if len(hit):
                 c = count[place[hit]]
                 r = spread(where[place[hit]], c)
@@ -348,7 +369,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     around = rows.groupBy("__chunk").cogroup(back.groupBy("__chunk")).applyInArrow(strings, "bucket int, __chunk int, ids binary, docs binary, counts binary, folds binary, bytes binary")
     reply = around.groupBy("bucket").applyInArrow(smallest, REPLY)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "__chunk")
-    return rows.groupBy("__chunk").cogroup(reply.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, spans array<struct<start: long, length: long>>")
+    left = rows.groupBy("__chunk").cogroup(reply.groupBy("__chunk")).applyInArrow(cut, f"{fields}, kept binary, spans array<struct<start: long, length: long>>")
+    return left.select(F.struct(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]).alias("record"), "kept", "spans")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))

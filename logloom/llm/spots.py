@@ -66,28 +66,45 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
     """key, text and next_text: the text of the row with the next smaller key (after the last: the first's).
 
     Rows are dealt into ranges of the key, each sorted by itself; the first row of the range that follows
-    is added at the end of each, so that texts move once."""
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    n, bounds = rows.agg(F.count("*"), F.percentile_approx("k", [i / cuts for i in range(cuts + 1)], 10_000)).first()
-    bounds = sorted(set(bounds or [0]))
-    fine = max(1, math.ceil((n or 0) / bucket_rows / max(1, len(bounds) - 1)))
+    is added at the end of each, so that texts move once. Rows without a key, and those of a key that fills
+    more than a cut of its own, are dealt into ranges of their texts' hash instead."""
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    n, known, least, most, points = rows.agg(F.count("*"), F.count("k"), F.min("k"), F.max("k"), F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 10_000)).first()
+    points = [least, *points, most] if known else [0]
+    bounds = sorted(set(points))
+    fine = max(1, math.ceil(n / bucket_rows / max(1, len(bounds) - 1)))
+    parts = {b: math.ceil(known * points.count(b) / cuts / bucket_rows) for b in bounds if points.count(b) > 1}
+    number = lambda x: F.lit(str(x)).cast(rows.schema["k"].dataType)
 
     def range_of(lo: int, hi: int) -> Column:
-        """Within bounds[lo:hi + 1], by halving, then in equal steps."""
+        """Within bounds[lo:hi + 1], by halving: a range for the bound itself, then equal steps (in floating point, which keeps the order and never overflows)."""
         if hi - lo <= 1:
-            step = F.floor((F.col("k") - bounds[lo]) * fine / max(1, bounds[hi] - bounds[lo]))
-            return lo * fine + F.greatest(F.lit(0), F.least(step, F.lit(fine - 1)))
+            width = max(1.0, float(bounds[hi]) - float(bounds[lo]))
+            step = F.floor((F.col("k").cast("double") - float(bounds[lo])) / width * fine)
+            inside = F.lit(lo * (fine + 1) + 1) + F.greatest(F.lit(0), F.least(step, F.lit(fine - 1)))
+            return F.when(F.col("k") == number(bounds[lo]), lo * (fine + 1)).when((F.col("k") == number(bounds[hi])) & F.lit(hi > lo), hi * (fine + 1)).otherwise(inside)
         mid = (lo + hi) // 2
-        return F.when(F.col("k") < bounds[mid], range_of(lo, mid)).otherwise(range_of(mid, hi))
-
-    ranges = F.coalesce(range_of(0, len(bounds) - 1), F.lit(-1)).cast("long")
-    dealt = rows.select("k", "t", ranges.alias("r"), F.lit(0).alias("added"))
-    place = F.struct(F.coalesce(F.col("k").cast("long"), F.lit(-(2**63))), F.xxhash64("t"))
+        return F.when(F.col("k") < number(bounds[mid]), range_of(lo, mid)).otherwise(range_of(mid, hi))
+
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    pieces = F.when(F.col("k").isNull(), math.ceil((n - known) / bucket_rows))
+    for b, p in parts.items():
+        pieces = pieces.when(F.col("k") == number(b), p)
+    pieces = pieces.otherwise(1)
+    first = F.coalesce(range_of(0, len(bounds) - 1), F.lit(-1)).cast("long")
+    dealt = rows.select("k", "t", "h", F.struct(first.alias("r"), F.least(F.floor(share * pieces), pieces - 1).cast("long").alias("s")).alias("r"), F.lit(0).alias("added"))
+    place = F.struct(F.coalesce(F.col("k").cast("long"), F.lit("-9223372036854775808").cast("long")), "h")
     heads = checkpointed(dealt.groupBy("r").agg(F.max_by("t", place).alias("t")))
-    order = W.orderBy(F.desc("r"))  # a row per range
-    ring = heads.select("r", F.coalesce(F.lag("r").over(order), F.max("r").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * 0 + F.min("r").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("before"))
-    ends = heads.join(ring, "r").select(F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "t", F.col("before").alias("r"), F.lit(1).alias("added"))
-    down = W.partitionBy("r").orderBy("added", F.desc_nulls_last("k"), F.desc(F.xxhash64("t")))
+    # the range before each: within blocks of ranges, then between blocks
+    block = F.floor(F.col("r.r") / 4096)
+    ranges = heads.select("r", block.alias("block"))
+    tops = ranges.groupBy("block").agg(F.max("r").alias("top"))
+    tops = tops.select("block", F.lag("top").over(W.orderBy("block")).alias("below"), F.max("top").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"))
+    lower = ranges.select("r", "block", F.lag("r").over(W.partitionBy("block").orderBy("r")).alias("lower")).join(tops, "block")
+    # after the smallest row comes the greatest one
+    ring = lower.select(F.coalesce("lower", "below", "last").alias("smaller"), "r")
+    ends = heads.withColumnRenamed("r", "smaller").join(ring, "smaller").select(F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "t", F.lit(None).cast("long").alias("h"), "r", F.lit(1).alias("added"))
+    down = W.partitionBy("r").orderBy("added", F.desc_nulls_last("k"), F.desc("h"))
     return dealt.unionByName(ends).select("k", "t", "added", F.lead("t").over(down).alias("next_text")).where("added = 0").select(F.col("k").alias(key), F.col("t").alias(text), "next_text")
 
 

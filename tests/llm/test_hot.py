@@ -24,5 +24,5 @@ def test_repeats_around_a_common_phrase(spark, hot):
         rows.append((r.randrange(10**6), t + some(30)))
     rows += [(k + 10**7, t) for k, t in rows[:20]] + [(rows[0][0], rows[3][1])]
     found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=3000, bucket_entries=64, hot=hot)
-    got = sorted((x["doc_id"], bytes(x["kept"])) for x in found.collect())
+    got = sorted((x["record"]["doc_id"], bytes(x["kept"])) for x in found.collect())
     assert got == sorted((k, b) for k, b, _ in cut(rows, 50)) and sum(len(b) for _, b in got) < sum(len(t) for _, t in rows)

@@ -76,18 +76,18 @@ def cut(rows, length):
 def test_repeats(docs, empty, block, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", block)
     found = repeats.without_repeats(docs, chunk_bytes=2000, bucket_entries=64)
-    assert found.columns == [*docs.columns, "kept", "spans"]
-    assert sorted(((r["doc_id"] or 0, bytes(r["kept"]), len(r["spans"])) for r in found.collect())) == sorted((k or 0, b, n) for k, b, n in cut(ROWS, 50))
+    assert found.columns == ["record", "kept", "spans"] and found.select("record.*").columns == docs.columns
+    assert sorted(((r["record"]["doc_id"] or 0, bytes(r["kept"]), len(r["spans"])) for r in found.collect())) == sorted((k or 0, b, n) for k, b, n in cut(ROWS, 50))
     assert repeats.without_repeats(empty).count() == 0
 
 
 def test_repeats_random(spark):
     r = random.Random(3)
-    for length, gram in ((50, 20), (8, 3)):
-        parts = ["".join(r.choice("ab") for _ in range(r.randrange(5, 90))) for _ in range(12)]
+    for length, gram in ((50, 20), (8, 3), (300, 20)):
+        parts = ["".join(r.choice("ab") for _ in range(r.randrange(5, 90))) for _ in range(12)] + ["".join(r.choice("abc") for _ in range(700))]
         rows = [(k, "".join(r.choice(parts) for _ in range(r.randrange(6)))) for k in range(40)]
         found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length, gram=gram, chunk_bytes=700, bucket_entries=16)
-        assert sorted((x["doc_id"], bytes(x["kept"]), len(x["spans"])) for x in found.collect()) == cut(rows, length)
+        assert sorted((x["record"]["doc_id"], bytes(x["kept"]), len(x["spans"])) for x in found.collect()) == cut(rows, length)
 
 
 def test_language(spark, empty):
@@ -260,6 +260,22 @@ def test_sharding(docs, empty):
     assert sharding.external_shuffle(empty).count() == 0
 
 
+def test_sharding_is_the_same_under_other_partitions(spark, tmp_path):
+    rows = [(k % 150, prose(k % 37, k % 150), "x") for k in range(400)] + [(7, "the same long text " * 9, "x")] * 60
+    found = []
+    for parts in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        df = sharding.external_shuffle(spark.createDataFrame(rows, "doc_id long, text string, shard string").coalesce(1), bucket_bytes=1500, task_buckets=3)
+        found.append(sorted((r["position"], r["shard"], r["slot"], r["record"]["doc_id"], r["record"]["text"]) for r in df.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and [x[0] for x in found[0]] == list(range(460))
+    assert max(sum(r["n"] for r in [x]) for x in df.where("record.doc_id = 7 AND length(record.text) > 160").groupBy("bucket").agg(F.count("*").alias("n")).collect()) < 40
+    sharding.write(df, str(tmp_path / "shards"))
+    for s in range(8):
+        back = [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "shards" / f"__shard={s}")).orderBy("__slot").collect()]
+        assert back == [x[3] for x in sorted(found[0], key=lambda x: x[2]) if x[1] == s]
+
+
 def signatures(t):
     import re
 
