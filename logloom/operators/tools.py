@@ -54,17 +54,20 @@ def top(activity: DataFrame, key: str, n: int) -> DataFrame:
     return activity.groupBy(key).agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), key).limit(n)
 
 
-def repeated(activity: DataFrame, least: int = 2) -> DataFrame:
-    """Fingerprints met more than once, with the text of the first."""
+def repeated(activity: DataFrame, least: int = 2, limit: int | None = None) -> DataFrame:
+    """Fingerprints met more than once, with the text of the first; the most frequent of them first."""
     at = F.struct("occurred_at", "event_id")
-    return activity.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(
+    rows = activity.where("fingerprint IS NOT NULL").groupBy("fingerprint").agg(
         F.count("*").alias("runs"),
         F.count_distinct("sid").alias("sessions"),
         F.min("occurred_at").alias("first_at"),
         F.max("occurred_at").alias("last_at"),
         F.bool_or("redacted").alias("any_redacted"),
+        F.bool_or("truncated").alias("any_truncated"),
         F.min_by("text", at).alias("text"),
     ).where(F.col("runs") >= least)
+    rows = rows.orderBy(F.desc("runs"), F.lower("text"), "fingerprint")
+    return rows.limit(limit) if limit else rows
 
 
 def per_session(activity: DataFrame) -> DataFrame:

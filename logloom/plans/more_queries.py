@@ -12,6 +12,7 @@ from logloom.functions import prompts as P
 from logloom.operators import commits, coverage, jobs, outcomes, prompts, provenance, search, tasks, tools, usage
 from logloom.sources import exports, records
 
+from . import commands as lines
 from . import views as X
 from .queries import EVENTS, TOKENS, accounted_sessions, contributions, event_verdicts, query
 
@@ -30,30 +31,20 @@ def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.top(X.activity(spark, sf_dir), "command_category", 10)
 
 
-COMMANDS = "SELECT event_id, sid, occurred_at, 'run ' || (CASE command_category WHEN 'testing' THEN 'pytest tests/unit' WHEN 'git_inspection' THEN 'git status' WHEN 'git_mutation' THEN 'git commit' ELSE 'ls' END) || ' --n ' || (event_id % 50) || CASE WHEN event_id % 9 = 0 THEN ' --token abcdef' || event_id ELSE '' END AS command, result_status FROM fx_activity"
-
-
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Command lines made from the activity; some carry a secret."""
-    name = F.when(F.col("command_category") == "testing", "pytest tests/unit").when(F.col("command_category") == "git_inspection", "git status").when(F.col("command_category") == "git_mutation", "git commit").otherwise("ls")
-    line = F.concat(F.lit("run "), name, F.lit(" --n "), (F.col("event_id") % 50).cast("string"), F.when(F.col("event_id") % 9 == 0, F.concat(F.lit(" --token abcdef"), F.col("event_id").cast("string"))).otherwise(""))
-    return X.activity(spark, sf_dir).select("event_id", "sid", "occurred_at", line.alias("command"), "result_status")
-
-
 @query(
-    """SELECT fingerprint, count(*) AS runs, count(DISTINCT sid) AS sessions, bool_or(redacted) AS any_redacted, arg_min(text, event_id) AS text
-    FROM (SELECT *, sha256(text) AS fingerprint FROM (SELECT event_id, sid, regexp_replace(command, '(--token )([^ ;&|]+)', '\\1[REDACTED]') AS text, command LIKE '%--token%' AS redacted FROM cm)) GROUP BY fingerprint HAVING count(*) >= 2""",
-    cm=COMMANDS,
+    """SELECT sha256(text) AS fingerprint, count(*) AS runs, count(DISTINCT sid) AS sessions, epoch_us(min(occurred_at)) AS first_at, epoch_us(max(occurred_at)) AS last_at, bool_or(redacted) AS any_redacted, false AS any_truncated, min(text) AS text
+    FROM cm GROUP BY text HAVING count(*) >= 2 ORDER BY runs DESC, lower(text) LIMIT 20""",
+    cm=lines.SQL,
 )
 def repeated_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.repeated(tools.classified(commands(spark, sf_dir))).drop("first_at", "last_at")
+    found = tools.repeated(tools.classified(lines.commands(X.activity(spark, sf_dir))), limit=20)
+    return found.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})
 
 
-@query()
+@query("SELECT executable, command_category, test_scope, executable = 'git' AND command_category = 'git_mutation' AND executable IS NOT NULL AS is_commit, redacted, count(*) AS n FROM cm GROUP BY ALL", cm=lines.SQL)
 def command_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories and scopes of the commands behind the word that runs them."""
-    rows = commands(spark, sf_dir).withColumn("command", F.concat(F.lit("cd /x && env A=1 sudo -u me "), F.substring("command", 5, 1000)))
-    return tools.classified(rows).groupBy("executable", "command_category", "test_scope", "is_commit", "redacted").agg(F.count("*").alias("n"))
+    """Categories and scopes of commands behind what stands before them."""
+    return tools.classified(lines.commands(X.activity(spark, sf_dir))).groupBy("executable", "command_category", "test_scope", "is_commit", "redacted").agg(F.count("*").alias("n"))
 
 
 @query("SELECT sid, sum(n)::BIGINT AS calls, sum(failed)::BIGINT AS failures FROM (SELECT sid, command_category, count(*) AS n, count(*) FILTER (result_status = 'failure') AS failed FROM fx_activity GROUP BY ALL) GROUP BY sid")
