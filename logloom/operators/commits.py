@@ -1,23 +1,30 @@
 """Commits linked to sessions, by tier of evidence.
 
-HIGH: a successful commit action shows the hash (or an unambiguous beginning). MEDIUM: the one commit of
-the repository in the action's time, while no other session of the repository is open. LOW: the nearest
-of several."""
+HIGH: a successful commit action shows the hash, or a beginning that one commit of the repository has; it is
+not looked at further. MEDIUM: the one commit in the action's time, made after the commit that the session
+started from, by a successful action, while no other session of the repository is open. LOW: the nearest of
+the others in the action's time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpointed
 
 GRACE = 600  # seconds after a session's end
+OPEN = 1800  # seconds that a session without an end is taken to go on after an action
 BUCKET = 3600
+TIERS = ("low", "medium", "high")
+
+
+def hour(c: Column) -> Column:
+    return F.floor(F.unix_timestamp(c) / BUCKET)
 
 
 def by_hash(actions: DataFrame, commits: DataFrame) -> DataFrame:
-    """(sid, event_id, commit_hash): actions with a shown_hash of seven characters or more that one commit of the repository begins with."""
+    """(sid, event_id, commit_hash): successful actions with a shown_hash of seven characters or more that one commit of the repository begins with."""
     a = actions.where("result_status = 'success' AND length(shown_hash) >= 7").withColumn("short", F.substring("shown_hash", 1, 7))
     c = commits.select("repository_root", "commit_hash", F.substring("commit_hash", 1, 7).alias("short"))
     found = a.join(c, ["repository_root", "short"]).where(F.col("commit_hash").startswith(F.col("shown_hash")))
@@ -25,59 +32,93 @@ def by_hash(actions: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def candidates(actions: DataFrame, commits: DataFrame) -> DataFrame:
-    """(sid, event_id, commit_hash, committed_at, result_status, n) with action time <= commit time <= session end + grace.
+    """(sid, event_id, repository_root, commit_hash, committed_at, result_status, occurred_at, start_hash, n) with action time <= commit time <= session end + grace; not the commit that the session started from.
 
-    actions: sid, event_id, repository_root, occurred_at, until, result_status. A range join: both sides are
-    cut into hours, so that a commit meets the actions of its own hours only."""
-    hour = lambda c: F.floor(F.unix_timestamp(c) / BUCKET)
-    until = F.coalesce(F.col("until"), F.col("occurred_at")) + F.expr(f"INTERVAL {GRACE} SECONDS")
-    a = actions.where("repository_root IS NOT NULL").withColumn("latest", F.greatest(until, F.col("occurred_at")))
+    actions: sid, event_id, repository_root, occurred_at, until, result_status, start_hash (null if unknown). A
+    range join: both sides are cut into hours, so that a commit meets the actions of its own hours only."""
+    until = F.coalesce(F.col("until"), F.col("occurred_at") + F.expr(f"INTERVAL {OPEN} SECONDS")) + F.expr(f"INTERVAL {GRACE} SECONDS")
+    a = actions.where("repository_root IS NOT NULL").withColumn("latest", until).where("latest >= occurred_at")
     a = a.withColumn("hour", F.explode(F.sequence(hour("occurred_at"), hour("latest"))))
     c = commits.withColumn("hour", hour("committed_at"))
     near = a.join(c.select("repository_root", "hour", "commit_hash", "committed_at"), ["repository_root", "hour"]).where("committed_at >= occurred_at AND committed_at <= latest")
-    return near.select("sid", "event_id", "repository_root", "commit_hash", "committed_at", "result_status", "occurred_at", F.count("*").over(W.partitionBy("event_id")).alias("n"))
+    near = near.where(~F.coalesce((F.length("start_hash") >= 7) & F.col("commit_hash").startswith(F.lower("start_hash")), F.lit(False)))
+    return near.select("sid", "event_id", "repository_root", "commit_hash", "committed_at", "result_status", "occurred_at", "start_hash", F.count("*").over(W.partitionBy("event_id")).alias("n"))
 
 
 def nearest(found: DataFrame, k: int = 5) -> DataFrame:
     """The k candidates of an action that are nearest in time."""
-    order = W.partitionBy("event_id").orderBy("committed_at", "commit_hash")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    order = W.partitionBy("event_id").orderBy(F.abs(F.unix_micros("committed_at") - F.unix_micros("occurred_at")), "committed_at", "commit_hash")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
 def uncontested(found: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Candidates at whose time no other session of the repository is open (one without an end stays open)."""
-    other = sessions.select(F.col("sid").alias("other"), "repository_root", "started_at", "ended_at")
-    open_ = (F.col("started_at") <= F.col("committed_at")) & (F.col("ended_at").isNull() | (F.col("committed_at") <= F.col("ended_at"))) & (F.col("other") != F.col("sid"))
-    busy = found.join(other, "repository_root").where(open_).select("sid", "event_id", "commit_hash").distinct()
-    return found.join(busy, ["sid", "event_id", "commit_hash"], "left_anti")
-
-
-def tiers(high: DataFrame, found: DataFrame, sessions: DataFrame, per_action: int = 5, per_session: int = 20) -> DataFrame:
-    """(sid, commit_hash, tier): the best tier of each pair."""
-    single = found.where("n = 1 AND result_status = 'success'")
-    medium = uncontested(single, sessions)
-    rest = nearest(found.join(medium, ["sid", "event_id", "commit_hash"], "left_anti"), per_action)
-    low = rest.withColumn("at", F.row_number().over(W.partitionBy("sid").orderBy("committed_at", "commit_hash", "event_id"))).where(F.col("at") <= per_session)
-    every = high.select("sid", "commit_hash", F.lit(3).alias("rank")).unionByName(medium.select("sid", "commit_hash", F.lit(2).alias("rank"))).unionByName(low.select("sid", "commit_hash", F.lit(1).alias("rank")))
-    return every.groupBy("sid", "commit_hash").agg(F.max("rank").alias("rank")).select("sid", "commit_hash", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("rank")).alias("tier"))
-
-
-def descends(pairs: DataFrame, commits: DataFrame, depth: int = 64) -> DataFrame:
-    """(commit_hash, ancestor) of the pairs whose commit has the (possibly shortened) ancestor in its line, depth steps up at most."""
-    links = commits.where("parent_hash IS NOT NULL").select(F.col("commit_hash").alias("now"), F.col("parent_hash").alias("next"))
-    now = checkpointed(pairs.where("length(ancestor) >= 7").select("commit_hash", "ancestor", F.col("commit_hash").alias("now")))
-    met = F.col("now").startswith(F.col("ancestor"))
-    found = now.where(met).select("commit_hash", "ancestor")
-    for _ in range(depth):
-        now = checkpointed(now.where(~met).join(links, "now").select("commit_hash", "ancestor", F.col("next").alias("now")))
-        if now.isEmpty():
-            break
-        found = found.union(now.where(met).select("commit_hash", "ancestor"))
-    return found.distinct()
-
-
-def report(links: DataFrame, usage: DataFrame) -> DataFrame:
-    """One row: pairs by tier, distinct commits and sessions, and tokens of linked sessions counted once each."""
+    """Candidates at whose time no other session of the repository is open.
+
+    Sessions with an end meet candidates in the hours that they cover. One without an end stays open: of those
+    the two that began first tell whether another one was open by then."""
+    other = sessions.select(F.col("sid").alias("other"), "repository_root", "started_at", "ended_at").where("started_at IS NOT NULL AND repository_root IS NOT NULL")
+    ended = other.where("ended_at >= started_at").withColumn("hour", F.explode(F.sequence(hour("started_at"), hour("ended_at"))))
+    at = found.withColumn("hour", hour("committed_at"))
+    busy = at.join(ended, ["repository_root", "hour"]).where("started_at <= committed_at AND committed_at <= ended_at AND other <> sid").select("event_id", "commit_hash")
+    first = other.where("ended_at IS NULL").withColumn("place", F.row_number().over(W.partitionBy("repository_root").orderBy("started_at", "other"))).where("place <= 2")
+    open_ = found.join(first, "repository_root").where("started_at <= committed_at AND other <> sid").select("event_id", "commit_hash")
+    return found.join(busy.union(open_).distinct(), ["event_id", "commit_hash"], "left_anti")
+
+
+def linked(actions: DataFrame, commits: DataFrame, sessions: DataFrame, per_action: int = 5, per_session: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(links, summary): sid, commit_hash, committed_at, tier, the best tier of each pair; and for each session with candidates how many were considered, kept and omitted.
+
+    Of a session's LOW pairs the earliest per_session are kept; the summary counts the rest."""
+    high = checkpointed(by_hash(actions, commits))
+    found = checkpointed(candidates(actions.join(high, ["sid", "event_id"], "left_anti"), commits))
+    single = found.where("n = 1 AND length(start_hash) >= 7")
+    after = descends(single.select("commit_hash", F.lower("start_hash").alias("ancestor")).distinct(), commits)
+    unique = checkpointed(single.join(after, (single.commit_hash == after.commit_hash) & (F.lower(single.start_hash) == after.ancestor), "left_semi"))
+    medium = uncontested(unique.where("result_status = 'success'"), sessions)
+    low = nearest(found.join(unique, ["event_id", "commit_hash"], "left_anti"), per_action).unionByName(unique)
+    times = commits.select("commit_hash", "repository_root", "committed_at")
+    roots = actions.select("sid", "repository_root").distinct()
+    every = high.join(roots, "sid").join(times, ["repository_root", "commit_hash"]).select("sid", "commit_hash", "committed_at", F.lit(3).alias("rank"))
+    every = every.unionByName(medium.select("sid", "commit_hash", "committed_at", F.lit(2).alias("rank"))).unionByName(low.select("sid", "commit_hash", "committed_at", F.lit(1).alias("rank")))
+    best = every.groupBy("sid", "commit_hash").agg(F.max("rank").alias("rank"), F.min("committed_at").alias("committed_at"))
+    place = F.row_number().over(W.partitionBy("sid", F.col("rank") == 1).orderBy("committed_at", "commit_hash"))
+    kept = checkpointed(best.withColumn("place", place).where((F.col("rank") > 1) | (F.col("place") <= per_session)).select("sid", "commit_hash", "committed_at", F.element_at(F.array(*map(F.lit, TIERS)), F.col("rank")).alias("tier")))
+    timed = kept.where("tier <> 'high'").groupBy("sid").agg(F.count("*").alias("kept"))
+    summary = found.groupBy("sid").agg(F.count("*").alias("considered")).join(timed, "sid", "left").select("sid", "considered", F.coalesce("kept", F.lit(0)).alias("kept"), F.greatest(F.col("considered") - F.coalesce("kept", F.lit(0)), F.lit(0)).alias("omitted"))
+    return kept, summary
+
+
+def descends(pairs: DataFrame, commits: DataFrame) -> DataFrame:
+    """(commit_hash, ancestor) of the pairs whose commit has the (possibly shortened) ancestor above it in its line.
+
+    commits: commit_hash, parent_hash (the first parent). Pointers to ancestors double in reach each round and
+    give each commit its depth; a pair then is lifted by the powers of two of its difference in depth, so that
+    rounds follow the logarithm of the longest line."""
+    e = commits.select(F.col("commit_hash").alias("node"), F.col("parent_hash").alias("up")).distinct()
+    beyond = e.select(F.col("up").alias("node")).where("node IS NOT NULL").join(e, "node", "left_anti").distinct().select("node", F.lit(None).cast("string").alias("up"))
+    e = checkpointed(e.unionByName(beyond))
+    steps = [e]
+    depth = e.select("node", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"))
+    while not steps[-1].where("up IS NOT NULL").isEmpty() and len(steps) < 62:
+        ahead = depth.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        depth = checkpointed(depth.join(ahead, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        steps.append(depth.select("node", "up"))
+    depth = depth.select("node", "depth")
+    short = F.substring("node", 1, 7).alias("short")
+    asked = pairs.where("length(ancestor) >= 7").withColumn("short", F.substring("ancestor", 1, 7))
+    tops = depth.select(F.col("node").alias("top"), F.col("depth").alias("top_depth"), short)
+    both = asked.join(tops, "short").where(F.col("top").startswith(F.col("ancestor")))
+    now = both.join(depth.select(F.col("node").alias("commit_hash"), "depth"), "commit_hash").where("depth > top_depth").select("commit_hash", "ancestor", "top", (F.col("depth") - F.col("top_depth")).alias("rise"), F.col("commit_hash").alias("node"))
+    for k, step in enumerate(steps):
+        now = now.join(step, "node", "left").select("commit_hash", "ancestor", "top", "rise", F.when(F.shiftright("rise", k) % 2 == 1, F.col("up")).otherwise(F.col("node")).alias("node"))
+        if k % 4 == 3:
+            now = checkpointed(now)
+    return now.where("node = top").select("commit_hash", "ancestor").distinct()
+
+
+def report(links: DataFrame, summary: DataFrame, usage: DataFrame) -> DataFrame:
+    """One row: pairs by tier, distinct commits and sessions, tokens of linked sessions counted once each, tokens by confirmed commit, candidates considered and omitted."""
     tokens = links.where("tier <> 'low'").select("sid").distinct().join(usage, "sid").agg(F.sum("accounted.total_tokens").alias("tokens"))
     counts = links.agg(*[F.count_if(F.col("tier") == t).alias(t) for t in ("high", "medium", "low")], F.count_distinct("commit_hash").alias("commits"), F.count_distinct("sid").alias("sessions"), F.count_distinct(F.when(F.col("tier") != "low", F.col("commit_hash"))).alias("confirmed"))
-    return counts.crossJoin(tokens).withColumn("tokens_per_confirmed", F.when(F.col("confirmed") > 0, F.col("tokens") / F.col("confirmed")))  # one row each
+    seen = summary.agg(F.coalesce(F.sum("considered"), F.lit(0)).alias("considered"), F.coalesce(F.sum("omitted"), F.lit(0)).alias("omitted"))
+    return counts.crossJoin(tokens).crossJoin(seen).withColumn("tokens_per_confirmed", F.when(F.col("confirmed") > 0, F.col("tokens") / F.col("confirmed")))  # one row each

@@ -40,7 +40,7 @@ def ancestry(edges: DataFrame) -> DataFrame:
     return now.join(cycle, "node", "left").select("node", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
-def topology(session_ids: DataFrame, edges: DataFrame) -> DataFrame:
+def topology(session_ids: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """One row: sessions, edges, children, roots, orphan edges, self edges, cyclic nodes, greatest depth."""
     ids = session_ids.select("sid").distinct().withColumn("known", F.lit(1))
     both = edges.join(ids.select(F.col("sid").alias("parent"), F.col("known").alias("p")), "parent", "left").join(ids.select(F.col("sid").alias("child"), F.col("known").alias("c")), "child", "left")
@@ -50,19 +50,33 @@ def topology(session_ids: DataFrame, edges: DataFrame) -> DataFrame:
         F.count_if(F.col("p").isNull() | F.col("c").isNull()).alias("orphan_edges"),
         F.count_if(F.col("parent") == F.col("child")).alias("self_edges"),
     )
-    up = ancestry(single_parent(edges)).agg(F.count_if("on_cycle").alias("cycle_nodes"), F.max("depth").cast("long").alias("depth"))
+    up = (ancestry(single_parent(edges)) if above is None else above).agg(F.count_if("on_cycle").alias("cycle_nodes"), F.max("depth").cast("long").alias("depth"))
     n = ids.join(edges.select(F.col("child").alias("sid"), F.lit(1).alias("spawned")).distinct(), "sid", "left").agg(F.count("*").alias("sessions"), F.count_if(F.col("spawned").isNull()).alias("roots"))
     return n.crossJoin(e).crossJoin(up)  # three rows of one
 
 
 def descendants(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """(sid): the changed sessions and all below them, level by level."""
+    """(sid): the changed sessions and all below them.
+
+    Below children of one parent pointers double in reach each round, so rounds follow the logarithm of the
+    depth; what lies below a child of several parents takes another such turn. A round that finds nothing ends
+    a turn, as what is found has no gaps, and so cycles end too."""
+    e = checkpointed(edges.select("parent", "child").where("parent <> child").distinct())
+    several = checkpointed(e.join(e.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").select("child"), "child", "left_semi"))
+    forest = e.join(several, "child", "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("up"))
     found = checkpointed(changed.select("sid").distinct())
-    last = found
-    while not last.isEmpty():
-        last = checkpointed(edges.join(last, edges.parent == last.sid).select(F.col("child").alias("sid")).distinct().join(found, "sid", "left_anti"))
-        found = checkpointed(found.union(last))
-    return found
+    n = found.count()
+    while True:
+        up, before = checkpointed(forest), -1
+        while before != n:
+            before = n
+            found = checkpointed(found.union(up.join(found, up.up == found.sid).select(F.col("node").alias("sid"))).distinct())
+            n = found.count()
+            up = checkpointed(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+        found = checkpointed(found.union(several.join(found, several.parent == found.sid).select(F.col("child").alias("sid"))).distinct())
+        if found.count() == n:
+            return found
+        n = found.count()
 
 
 def prefix_runs(parent: DataFrame, child: DataFrame, by: list[str]) -> DataFrame:
@@ -80,7 +94,7 @@ def prefix_runs(parent: DataFrame, child: DataFrame, by: list[str]) -> DataFrame
     return lengths.groupBy(*by).agg(best.alias("b")).select(*by, "b.start", "b.matched")
 
 
-def edge_verdicts(events: DataFrame, edges: DataFrame) -> DataFrame:
+def edge_verdicts(events: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """(parent, child, status, confidence, evidence, matched, baseline, incremental, deltas) of each edge.
 
     events: sid, event_ordinal, cumulative (vector), and delta (vector) if there is one. Rules in order:
@@ -91,7 +105,7 @@ def edge_verdicts(events: DataFrame, edges: DataFrame) -> DataFrame:
     order = W.partitionBy("sid").orderBy("event_ordinal")
     snaps = events.where("cumulative IS NOT NULL").withColumn("i", F.row_number().over(order) - 1).withColumn("key", V.key(F.col("cumulative")))
     e = single_parent(edges)
-    e = e.join(ancestry(e).where("on_cycle").select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), "child", "left")
+    e = e.join((ancestry(e) if above is None else above).where("on_cycle").select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), "child", "left")
     p = e.where("cyclic IS NULL").join(snaps, e.parent == snaps.sid).select("parent", "child", "i", "key", "cumulative")
     c = e.where("cyclic IS NULL").join(snaps, e.child == snaps.sid).select("parent", "child", "i", "key", "cumulative", "delta")
     runs = prefix_runs(p.select("parent", "child", "i", "key"), c.select("parent", "child", "i", "key"), ["parent", "child"])

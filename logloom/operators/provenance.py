@@ -12,7 +12,7 @@ from logloom.operators.lineage import ancestry, prefix_runs, single_parent
 INHERITED = ("inherited_prefix", "inherited_exact")
 
 
-def event_verdicts(events: DataFrame, edges: DataFrame) -> DataFrame:
+def event_verdicts(events: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
     """(parent, child, i, family, source_ordinal, status, evidence, parent_ordinal) of each event of each child.
 
     events: sid, source_ordinal, family, fingerprint, and stable_id (null if unknown). Rules in order: a
@@ -24,7 +24,7 @@ def event_verdicts(events: DataFrame, edges: DataFrame) -> DataFrame:
     own = W.partitionBy("sid", "family").orderBy("source_ordinal")
     rows = events.select("sid", "source_ordinal", "family", "fingerprint", "stable_id", (F.row_number().over(order) - 1).alias("i"), (F.row_number().over(own) - 1).alias("k"), F.concat_ws("|", "family", "fingerprint").alias("key"))
     e = single_parent(edges)
-    e = e.join(ancestry(e).where("on_cycle").select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), "child", "left")
+    e = e.join((ancestry(e) if above is None else above).where("on_cycle").select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), "child", "left")
     c = e.join(rows, e.child == rows.sid).drop("sid")
     p = e.join(rows, e.parent == rows.sid).drop("sid").where("cyclic IS NULL")
     has_parent = p.select("parent", "child", F.lit(True).alias("seen")).distinct()
@@ -79,14 +79,18 @@ def replay_summary(verdicts: DataFrame) -> DataFrame:
     return by.withColumn("status", F.when(F.col("inherited") > 0, "inherited_prefix").when(F.col("ambiguous") > 0, "ambiguous").when(F.col("unknown") > 0, "unknown").otherwise("origin"))
 
 
-def origins(events: DataFrame, verdicts: DataFrame) -> DataFrame:
+def origins(events: DataFrame, verdicts: DataFrame, edges: DataFrame) -> DataFrame:
     """(sid, i, status, origin_sid, origin_i): inherited events followed up to where they began.
 
-    Pointers double in reach each round. An event whose trail ends in an ambiguous or unknown one is ambiguous."""
+    Pointers double in reach each round. An event whose trail ends in an ambiguous or unknown one is ambiguous.
+    Events of a session without a parent are its own; those of a child without a verdict (of several
+    parents, that is) are unknown."""
     order = W.partitionBy("sid").orderBy("source_ordinal")
     every = events.select("sid", (F.row_number().over(order) - 1).alias("i"))
     v = verdicts.select(F.col("child").alias("sid"), "i", "status", F.when(F.col("status").isin(*INHERITED), F.struct(F.col("parent").alias("sid"), F.col("parent_index").alias("i"))).alias("up"))
-    now = checkpointed(every.join(v, ["sid", "i"], "left").select("sid", "i", F.coalesce("status", F.lit("origin")).alias("status"), "up", F.struct("sid", "i").alias("top")))
+    spawned = edges.select(F.col("child").alias("sid"), F.lit("unknown").alias("none")).distinct()
+    every = every.join(spawned, "sid", "left")
+    now = checkpointed(every.join(v, ["sid", "i"], "left").select("sid", "i", F.coalesce("status", "none", F.lit("origin")).alias("status"), "up", F.struct("sid", "i").alias("top")))
     own = now.select(F.struct("sid", "i").alias("at"), F.col("status").alias("top_status"))
     trail = now.select("sid", "i", "status", "up", F.coalesce("up", "top").alias("top"))
     while True:

@@ -9,12 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions import prompts as P
-from logloom.operators import commits, coverage, jobs, outcomes, prompts, provenance, search, tasks, tools, usage
+from logloom.operators import commits, coverage, jobs, outcomes, prompts, search, tasks, tools, usage
 from logloom.sources import exports, records
 
 from . import commands as lines
 from . import views as X
-from .queries import EVENTS, TOKENS, accounted_sessions, contributions, event_verdicts, query
+from .queries import EVENTS, TOKENS, accounted_sessions, contributions, query, resolved_events
+from .stored import stored
+
+
+RESOLVED = "SELECT tr.sid, tr.i, ts AS osid, ti AS oi, CASE WHEN tr.status LIKE 'inherited%' AND t IN ('ambiguous', 'unknown') THEN 'ambiguous' ELSE tr.status END AS status FROM tr JOIN og o ON o.sid = ts AND o.i = ti WHERE o.up IS NULL"
 
 
 @query(
@@ -119,54 +123,72 @@ def task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.classified(rows).select("sid", "action", "domain")
 
 
-@query(
-    "SELECT action, count(*) AS sessions, sum(accounted)::BIGINT AS tokens, count(accounted) AS known_sessions, median(accounted) AS median_tokens, quantile_cont(accounted, 0.9) AS p90_tokens FROM (SELECT sid, CASE WHEN bool_or(command_category = 'testing') THEN 'testing' WHEN bool_or(command_category = 'editing_patching') THEN 'implementation' WHEN bool_or(command_category = 'git_mutation') THEN 'git_or_release' ELSE 'unknown' END AS action FROM fx_activity WHERE event_id % 7 = 0 GROUP BY sid) LEFT JOIN ac USING (sid) GROUP BY action",
-    **TOKENS,
-)
-def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks told by the prompts, by the activity where no rule has a hit."""
-    events = X.messages(spark, sf_dir)
-    resolved = provenance.origins(events, event_verdicts(spark, sf_dir))
-    kinds = tasks.classified(prompts.logical(events, resolved, X.sessions(spark, sf_dir)), X.activity(spark, sf_dir))
-    facts = kinds.join(accounted_sessions(spark, sf_dir).select("sid", F.col("accounted.total_tokens").alias("tokens")), "sid", "left").withColumn("outcome", F.lit("unknown"))
-    return tasks.report(facts, "action").drop("successes")
-
-
 COMMITS = {
-    "ca": "SELECT a.sid, event_id, s.repository_root, a.occurred_at, greatest(coalesce(s.ended_at, a.occurred_at) + INTERVAL 600 SECOND, a.occurred_at) AS latest, a.result_status, CASE WHEN event_id % 3 = 0 THEN substr(sha256('c' || event_id), 1, 12) END AS shown FROM fx_activity a JOIN fx_sessions s USING (sid) WHERE command_category = 'git_mutation'",
-    "cn": "SELECT ca.sid, ca.event_id, ca.repository_root, c.commit_hash, c.committed_at, ca.result_status, ca.occurred_at, count(*) OVER (PARTITION BY ca.event_id) AS n FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND c.committed_at BETWEEN ca.occurred_at AND ca.latest",
-    "hi": "SELECT sid, event_id, min(c.commit_hash) AS commit_hash FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND starts_with(c.commit_hash, shown) WHERE result_status = 'success' GROUP BY sid, event_id HAVING count(*) = 1",
-    "me": "SELECT sid, event_id, commit_hash FROM cn WHERE n = 1 AND result_status = 'success' AND NOT EXISTS (SELECT 1 FROM fx_sessions s WHERE s.repository_root = cn.repository_root AND s.sid <> cn.sid AND s.started_at <= cn.committed_at AND (s.ended_at IS NULL OR cn.committed_at <= s.ended_at))",
-    "rs": "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY committed_at, commit_hash) AS k FROM cn WHERE NOT EXISTS (SELECT 1 FROM me WHERE me.sid = cn.sid AND me.event_id = cn.event_id AND me.commit_hash = cn.commit_hash)",
-    "lo": "SELECT *, row_number() OVER (PARTITION BY sid ORDER BY committed_at, commit_hash, event_id) AS q FROM rs WHERE k <= 5",
-    "tl": "SELECT sid, commit_hash, max(r) AS r FROM (SELECT sid, commit_hash, 3 AS r FROM hi UNION ALL SELECT sid, commit_hash, 2 FROM me UNION ALL SELECT sid, commit_hash, 1 FROM lo WHERE q <= 20) GROUP BY ALL",
+    "sh": "SELECT s.sid, s.repository_root, s.started_at, s.ended_at, CASE WHEN s.sid % 3 <> 0 THEN upper(substr(arg_max(c.commit_hash, (c.committed_at, c.commit_hash)), 1, 12)) END AS start_hash FROM fx_sessions s LEFT JOIN fx_commits c ON c.repository_root = s.repository_root AND c.committed_at < s.started_at + INTERVAL 10 DAY GROUP BY s.sid, s.repository_root, s.started_at, s.ended_at",
+    "ca": "SELECT a.sid, event_id, s.repository_root, a.occurred_at, coalesce(s.ended_at, a.occurred_at + INTERVAL 1800 SECOND) + INTERVAL 600 SECOND AS latest, a.result_status, CASE WHEN event_id % 3 = 0 THEN substr(sha256('c' || event_id), 1, 12) END AS shown, lower(start_hash) AS start_hash FROM fx_activity a JOIN sh s USING (sid) WHERE command_category = 'git_mutation' AND s.repository_root IS NOT NULL",
+    "hi": "SELECT sid, event_id, min(c.commit_hash) AS commit_hash, min(c.committed_at) AS committed_at FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND starts_with(c.commit_hash, shown) WHERE result_status = 'success' GROUP BY sid, event_id HAVING count(*) = 1",
+    "cn": "SELECT ca.sid, ca.event_id, ca.repository_root, c.commit_hash, c.committed_at, ca.result_status, ca.occurred_at, ca.start_hash, count(*) OVER (PARTITION BY ca.event_id) AS n FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND c.committed_at BETWEEN ca.occurred_at AND ca.latest AND NOT coalesce(starts_with(c.commit_hash, ca.start_hash), false) WHERE event_id NOT IN (SELECT event_id FROM hi)",
+    # the views' histories are straight lines in the order of time
+    "un": "SELECT cn.* FROM cn JOIN fx_commits c ON c.repository_root = cn.repository_root AND starts_with(c.commit_hash, cn.start_hash) WHERE n = 1 AND (c.committed_at, c.commit_hash) < (cn.committed_at, cn.commit_hash)",
+    "me": "SELECT sid, event_id, commit_hash, committed_at FROM un WHERE result_status = 'success' AND NOT EXISTS (SELECT 1 FROM fx_sessions s WHERE s.repository_root = un.repository_root AND s.sid <> un.sid AND s.started_at <= un.committed_at AND (s.ended_at IS NULL OR un.committed_at <= s.ended_at))",
+    "rs": "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(committed_at) - epoch_us(occurred_at)), committed_at, commit_hash) AS k FROM cn WHERE (event_id, commit_hash) NOT IN (SELECT (event_id, commit_hash) FROM un)",
+    "ta": "SELECT sid, commit_hash, max(r) AS r, min(committed_at) AS committed_at FROM (SELECT sid, commit_hash, committed_at, 3 AS r FROM hi UNION ALL SELECT sid, commit_hash, committed_at, 2 FROM me UNION ALL SELECT sid, commit_hash, committed_at, 1 FROM rs WHERE k <= 5 UNION ALL SELECT sid, commit_hash, committed_at, 1 FROM un) GROUP BY sid, commit_hash",
+    "tl": "SELECT * FROM ta WHERE r > 1 UNION ALL SELECT sid, commit_hash, r, committed_at FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY committed_at, commit_hash) AS q FROM ta WHERE r = 1) WHERE q <= 20",
+    "cs": "SELECT sid, count(*) AS considered, coalesce(any_value(k), 0) AS kept, greatest(count(*) - coalesce(any_value(k), 0), 0) AS omitted FROM cn LEFT JOIN (SELECT sid, count(*) AS k FROM tl WHERE r < 3 GROUP BY sid) USING (sid) GROUP BY sid",
 }
 
 
 def commit_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit actions of sessions, two thirds of which tell the commit that they started from."""
     shown = F.when(F.col("event_id") % 3 == 0, F.substring(F.sha2(F.concat(F.lit("c"), F.col("event_id").cast("string")), 256), 1, 12))
-    s = X.sessions(spark, sf_dir).select("sid", "repository_root", F.col("ended_at").alias("until"))
-    return X.activity(spark, sf_dir).where("command_category = 'git_mutation'").join(s, "sid").select("sid", "event_id", "repository_root", "occurred_at", "until", "result_status", shown.alias("shown_hash"))
+    s, c = X.sessions(spark, sf_dir), X.commits(spark, sf_dir).select(F.col("repository_root").alias("cr"), "commit_hash", "committed_at")
+    # the last commit before the tenth day, by the order of one union
+    days = s.select("sid", "repository_root", F.timestamp_micros(F.unix_micros("started_at") + 864_000_000_000).alias("at"), F.lit(None).cast("string").alias("commit_hash"), F.lit(0).alias("turn"))
+    line = days.union(c.select(F.lit(None).cast("long"), "cr", "committed_at", "commit_hash", F.lit(1)))
+    last = F.last("commit_hash", ignorenulls=True).over(W.partitionBy("repository_root").orderBy("at", "turn", "commit_hash").rowsBetween(W.unboundedPreceding, -1))
+    start = line.withColumn("start_hash", F.upper(F.substring(last, 1, 12))).where("turn = 0 AND repository_root IS NOT NULL AND sid % 3 <> 0").select("sid", "start_hash")
+    s = s.where("repository_root IS NOT NULL").select("sid", "repository_root", F.col("ended_at").alias("until")).join(start, "sid", "left")
+    return X.activity(spark, sf_dir).where("command_category = 'git_mutation'").join(s, "sid").select("sid", "event_id", "repository_root", "occurred_at", "until", "result_status", shown.alias("shown_hash"), "start_hash")
 
 
-@query("SELECT sid, event_id, commit_hash, n FROM cn", **COMMITS)
+@query("SELECT sid, event_id, commit_hash, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT ca.sid, ca.event_id, c.commit_hash FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND c.committed_at BETWEEN ca.occurred_at AND ca.latest AND NOT coalesce(starts_with(c.commit_hash, ca.start_hash), false))", **COMMITS)
 def commit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits.candidates(commit_actions(spark, sf_dir), X.commits(spark, sf_dir)).select("sid", "event_id", "commit_hash", "n")
 
 
+@stored
+def commit_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and summaries in one table: a summary has no commit."""
+    links, summary = commits.linked(commit_actions(spark, sf_dir), X.commits(spark, sf_dir), X.sessions(spark, sf_dir))
+    return links.unionByName(summary, allowMissingColumns=True)
+
+
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actions, c = commit_actions(spark, sf_dir), X.commits(spark, sf_dir)
-    return commits.tiers(commits.by_hash(actions, c), commits.candidates(actions, c), X.sessions(spark, sf_dir))
+    return commit_links(spark, sf_dir).where("commit_hash IS NOT NULL").select("sid", "commit_hash", "committed_at", "tier")
+
+
+def commit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commit_links(spark, sf_dir).where("commit_hash IS NULL").select("sid", "considered", "kept", "omitted")
 
 
 @query("SELECT sid, commit_hash, ['low', 'medium', 'high'][r] AS tier FROM tl", **COMMITS)
 def commit_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(spark, sf_dir)
+    return linked(spark, sf_dir).select("sid", "commit_hash", "tier")
 
 
-@query("SELECT count(*) FILTER (r = 3) AS high, count(*) FILTER (r = 2) AS medium, count(*) FILTER (r = 1) AS low, count(DISTINCT commit_hash) AS commits, count(DISTINCT sid) AS sessions FROM tl", **COMMITS)
+@query("SELECT * FROM cs", **COMMITS)
+def candidate_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commit_summaries(spark, sf_dir)
+
+
+@query(
+    """SELECT count(*) FILTER (r = 3) AS high, count(*) FILTER (r = 2) AS medium, count(*) FILTER (r = 1) AS low, count(DISTINCT commit_hash) AS commits, count(DISTINCT sid) AS sessions, count(DISTINCT commit_hash) FILTER (r > 1) AS confirmed,
+      (SELECT sum(accounted)::BIGINT FROM ac WHERE sid IN (SELECT sid FROM tl WHERE r > 1)) AS tokens, (SELECT sum(considered)::BIGINT FROM cs) AS considered, (SELECT sum(omitted)::BIGINT FROM cs) AS omitted,
+      (SELECT sum(accounted)::BIGINT FROM ac WHERE sid IN (SELECT sid FROM tl WHERE r > 1)) / count(DISTINCT commit_hash) FILTER (r > 1)::DOUBLE AS tokens_per_confirmed FROM tl""",
+    **(TOKENS | COMMITS),
+)
 def commit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commits.report(linked(spark, sf_dir), accounted_sessions(spark, sf_dir)).select("high", "medium", "low", "commits", "sessions")
+    return commits.report(linked(spark, sf_dir), commit_summaries(spark, sf_dir), accounted_sessions(spark, sf_dir))
 
 
 @query(
@@ -176,17 +198,19 @@ def commit_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits with their third parent back, found by walking up."""
     c = X.commits(spark, sf_dir)
     back = F.substring(F.lag("commit_hash", 3).over(W.partitionBy("repository_root").orderBy("committed_at", "commit_hash")), 1, 10)
-    return commits.descends(c.select("commit_hash", back.alias("ancestor")).where("ancestor IS NOT NULL"), c, depth=4)
+    return commits.descends(c.select("commit_hash", back.alias("ancestor")).where("ancestor IS NOT NULL"), c)
 
 
 OUTCOMES = {
-    "ao": "SELECT *, row_number() OVER (PARTITION BY sid ORDER BY occurred_at, event_id) - 1 AS o FROM fx_activity WHERE event_id % 5 = 0",
-    "ev": """
+    **COMMITS,
+    "ao": "SELECT *, row_number() OVER (PARTITION BY sid ORDER BY occurred_at, event_id) - 1 AS o FROM fx_activity",
+    "oe": """
       SELECT sid, o * 10 AS q, CASE WHEN command_category = 'editing_patching' THEN 'edit' WHEN result_status = 'success' THEN 'validation_pass' ELSE 'validation_fail' END AS kind, occurred_at FROM ao
         WHERE command_category = 'editing_patching' OR (command_category = 'testing' AND result_status <> 'unknown')
       UNION ALL SELECT sid, o * 10 + 5, CASE WHEN result_status = 'failure' THEN 'error' WHEN event_id % 2 = 0 THEN 'abort' ELSE 'task_complete' END, NULL FROM ao WHERE command_category = 'other'""",
-    "hc": "SELECT sid, occurred_at + INTERVAL 3 MINUTE AS t FROM ao WHERE command_category = 'git_mutation' AND event_id % 3 = 0 AND result_status = 'success'",
-    "al": "SELECT sid, q, kind FROM ev UNION ALL SELECT hc.sid, coalesce((SELECT max(q) FROM ev WHERE ev.sid = hc.sid AND ev.occurred_at <= hc.t), 0) + 1, 'high_commit' FROM hc",
+    "hc": "SELECT sid, committed_at AS t FROM tl WHERE r = 3",
+    "hp": "SELECT hc.sid, max(oe.q) AS q, hc.t FROM hc LEFT JOIN oe ON oe.sid = hc.sid AND oe.occurred_at <= hc.t GROUP BY hc.sid, hc.t",
+    "al": "SELECT sid, q, kind FROM oe UNION ALL SELECT hc.sid, coalesce(hp.q, 0) + 1, 'high_commit' FROM hc JOIN hp ON hp.sid = hc.sid AND hp.t = hc.t",
     "pl": "SELECT sid, kind, row_number() OVER (PARTITION BY sid ORDER BY q, kind) AS at_ FROM al",
     "ls": "SELECT sid, " + ", ".join(f"coalesce(max(at_) FILTER (kind = '{k}'), -1) AS {k}" for k in outcomes.KINDS) + " FROM pl GROUP BY sid",
     "oc": """SELECT sid, CASE WHEN abort > task_complete THEN 'abandoned' WHEN validation_fail >= 0 AND validation_pass <= validation_fail THEN 'failed' WHEN error >= 0 AND greatest(validation_pass, high_commit) <= error THEN 'failed'
@@ -196,11 +220,12 @@ OUTCOMES = {
 }
 
 
+@stored
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes from all activity, errors, aborts and completions told from the rest of the kinds, and commits linked with high confidence."""
     a = X.activity(spark, sf_dir).withColumn("source_ordinal", (F.row_number().over(W.partitionBy("sid").orderBy("occurred_at", "event_id")) - 1).cast("long"))
     life = a.where("command_category = 'other'").select("sid", "source_ordinal", F.when(F.col("result_status") == "failure", "error").when(F.col("event_id") % 2 == 0, "abort").otherwise("task_complete").alias("kind"))
-    high = linked(spark, sf_dir).where("tier = 'high'").join(X.commits(spark, sf_dir), "commit_hash").select("sid", "committed_at")
+    high = linked(spark, sf_dir).where("tier = 'high'").select("sid", "committed_at")
     return outcomes.classified(outcomes.evidence(a, life, high))
 
 
@@ -214,6 +239,48 @@ def outcome_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.report(judged(spark, sf_dir))
 
 
+def _session_tasks_sql() -> dict[str, str]:
+    """Tasks of sessions: logical prompts by the rules, the activity where none has a hit."""
+    def n(p: str) -> str:
+        return f"least(3, len(regexp_extract_all(t, '{p}'))) * w"
+
+    sums = ", ".join(f"sum({n(p)}) AS {k}{i}" for k, rules in (("a", P.ACTIONS), ("d", P.DOMAINS)) for i, (_, p) in enumerate(rules))
+    best = lambda k, rules: "CASE WHEN greatest(" + ", ".join(f"coalesce({k}{i}, 0)" for i in range(len(rules))) + ") = 0 THEN NULL " + " ".join(f"WHEN {k}{i} = greatest(" + ", ".join(f"{k}{j}" for j in range(len(rules))) + f") THEN '{name}'" for i, (name, _) in enumerate(rules)) + " END"
+    negated = P.NEGATED.replace("'", "''")
+    letters = LETTERS.replace("text", "m.text")
+    return {
+        "re": RESOLVED,
+        "lp": f"SELECT p.sid, CASE WHEN row_number() OVER (PARTITION BY p.sid ORDER BY m.source_ordinal) = 1 THEN 3 ELSE 2 END AS w, array_to_string(list_filter(string_split({letters}, chr(10)), lambda l: NOT regexp_matches(l, '{negated}')), chr(10)) AS t FROM re p JOIN m AS k ON k.sid = p.sid AND k.i = p.i JOIN fx_messages m ON m.sid = k.sid AND m.source_ordinal = k.source_ordinal JOIN fx_sessions f ON f.sid = p.sid WHERE p.status = 'origin' AND k.family = 'user_message' AND client_kind IN ('cli', 'editor')",
+        "ps": f"SELECT sid, {sums} FROM lp GROUP BY sid",
+        "ak": "SELECT sid, bool_or(command_category = 'testing') AS testing, bool_or(command_category = 'editing_patching') AS editing, bool_or(command_category = 'git_mutation') AS git FROM fx_activity GROUP BY sid",
+        "tk": f"SELECT sid, coalesce({best('a', P.ACTIONS)}, CASE WHEN testing THEN 'testing' WHEN editing THEN 'implementation' WHEN git THEN 'git_or_release' ELSE 'unknown' END) AS action, coalesce({best('d', P.DOMAINS)}, CASE WHEN testing OR editing THEN 'software_engineering' WHEN git THEN 'git_release' ELSE 'unknown' END) AS domain, ps.sid IS NOT NULL AND greatest(" + ", ".join(f"coalesce({k}{i}, 0)" for k, rules in (("a", P.ACTIONS), ("d", P.DOMAINS)) for i in range(len(rules))) + ") > 0 AS by_prompt FROM ps FULL JOIN ak USING (sid)",
+    }
+
+
+TASKS = {**EVENTS, **_session_tasks_sql()}
+
+
+@query("SELECT sid, action, domain FROM tk", **TASKS)
+def session_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_task_rows(spark, sf_dir).select("sid", "action", "domain")
+
+
+@query(
+    "SELECT action, count(*) AS sessions, sum(accounted)::BIGINT AS tokens, count(accounted) AS known_sessions, median(accounted) AS median_tokens, quantile_cont(accounted, 0.9) AS p90_tokens, count(*) FILTER (outcome LIKE 'success%') AS successes FROM tk LEFT JOIN ac USING (sid) LEFT JOIN oc USING (sid) GROUP BY action",
+    **(TOKENS | TASKS | OUTCOMES),
+)
+def task_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds, known = session_task_rows(spark, sf_dir), accounted_sessions(spark, sf_dir).select("sid", F.col("accounted.total_tokens").alias("tokens"))
+    return tasks.report(kinds.join(known, "sid", "left").join(judged(spark, sf_dir).select("sid", "outcome"), "sid", "left"), "action")
+
+
+@stored
+def session_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks told by the prompts, by the activity where no rule has a hit."""
+    events = X.messages(spark, sf_dir)
+    return tasks.classified(prompts.logical(events, resolved_events(spark, sf_dir), X.sessions(spark, sf_dir)), X.activity(spark, sf_dir))
+
+
 def _in(column: str, a: str, b: str) -> str:
     return f"{column} >= TIMESTAMP '{a}' AND {column} < TIMESTAMP '{b}'"
 
@@ -292,9 +359,6 @@ def raw_daily_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("inc", F.col("a") - F.coalesce(F.lag("a").over(w), F.lit(0))).where("inc > 0").groupBy(F.date_format("occurred_at", "yyyy-MM-dd").alias("day")).agg(F.sum("inc").alias("tokens"))
 
 
-RESOLVED = "SELECT tr.sid, tr.i, ts AS osid, ti AS oi, CASE WHEN tr.status LIKE 'inherited%' AND t IN ('ambiguous', 'unknown') THEN 'ambiguous' ELSE tr.status END AS status FROM tr JOIN og o ON o.sid = ts AND o.i = ti WHERE o.up IS NULL"
-
-
 @query(
     """SELECT p.sid, p.i, row_number() OVER (PARTITION BY p.sid ORDER BY p.i) - 1 AS prompt_ordinal, s.sessions, s.replays FROM (SELECT re.sid, re.i FROM re JOIN m ON m.sid = re.sid AND m.i = re.i JOIN fx_sessions f ON f.sid = re.sid WHERE re.status = 'origin' AND family = 'user_message' AND client_kind IN ('cli', 'editor')) p
     LEFT JOIN (SELECT osid, oi, count(DISTINCT sid) AS sessions, count(*) FILTER (sid <> osid) AS replays FROM re WHERE status = 'origin' OR status LIKE 'inherited%' GROUP BY ALL) s ON s.osid = p.sid AND s.oi = p.i""",
@@ -304,7 +368,7 @@ RESOLVED = "SELECT tr.sid, tr.i, ts AS osid, ti AS oi, CASE WHEN tr.status LIKE
 def prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts once each, with the sessions that show and that replay them."""
     events = X.messages(spark, sf_dir)
-    resolved = provenance.origins(events, event_verdicts(spark, sf_dir))
+    resolved = resolved_events(spark, sf_dir)
     rows = prompts.observed(prompts.logical(events, resolved, X.sessions(spark, sf_dir)), resolved)
     return rows.select("sid", "i", "prompt_ordinal", "sessions", "replays")
 

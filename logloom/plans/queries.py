@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.checkpoints import checkpointed
 from logloom.operators import lineage, provenance, sessions, usage
 
 from . import views as X
+from .stored import one_state, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,30 +22,46 @@ def query(sql: str | None = None, **more: str) -> Callable:
     """Registers a query, and its SQL over the views."""
 
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with one_state(spark, sf_dir):
+                return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = X.with_views(sql, **more)
-        return f
+        return run
 
     return keep
 
 
+@stored
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.session_totals(X.token_events(spark, sf_dir))
 
 
+@stored
+def thread_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.ancestry(lineage.single_parent(X.edges(spark, sf_dir)))
+
+
+@stored
+def edge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.edge_verdicts(X.token_events(spark, sf_dir), X.edges(spark, sf_dir), thread_ancestry(spark, sf_dir))
+
+
+@stored
 def accounted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per session, written once for the plans that use it more than once."""
-    verdicts = lineage.edge_verdicts(X.token_events(spark, sf_dir), X.edges(spark, sf_dir))
-    return checkpointed(lineage.accounted(observed(spark, sf_dir), verdicts))
+    return lineage.accounted(observed(spark, sf_dir), edge_verdicts(spark, sf_dir))
 
 
-def scoped(spark: SparkSession, sf_dir: str, accounted: DataFrame | None = None) -> DataFrame:
-    return X.sessions(spark, sf_dir).join(accounted_sessions(spark, sf_dir) if accounted is None else accounted, "sid", "left")
+def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sessions(spark, sf_dir).join(accounted_sessions(spark, sf_dir), "sid", "left")
 
 
-def contributions(spark: SparkSession, sf_dir: str, accounted: DataFrame | None = None) -> DataFrame:
-    return usage.attributed(accounted_sessions(spark, sf_dir) if accounted is None else accounted, X.token_events(spark, sf_dir))
+@stored
+def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.attributed(accounted_sessions(spark, sf_dir), X.token_events(spark, sf_dir))
 
 
 # the last snapshot of each session, and the verdict of each edge: the longest run along a diagonal
@@ -129,7 +146,7 @@ def stats_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     **TOKENS,
 )
 def thread_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.topology(X.sessions(spark, sf_dir), X.edges(spark, sf_dir))
+    return lineage.topology(X.sessions(spark, sf_dir), X.edges(spark, sf_dir), thread_ancestry(spark, sf_dir))
 
 
 @query(
@@ -139,7 +156,7 @@ def thread_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     **TOKENS,
 )
 def thread_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.ancestry(lineage.single_parent(X.edges(spark, sf_dir)))
+    return thread_ancestry(spark, sf_dir)
 
 
 @query("SELECT DISTINCT sid FROM (WITH RECURSIVE d AS (SELECT sid FROM fx_sessions WHERE sid % 25 = 4 UNION SELECT child FROM d JOIN fx_edges ON parent = d.sid) SELECT sid FROM d)")
@@ -149,7 +166,7 @@ def descendant_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT parent, child, status, CASE status WHEN 'inherited_prefix' THEN n WHEN 'inherited_exact' THEN 1 WHEN 'independent' THEN 1 END::BIGINT AS matched, CASE status WHEN 'inherited_prefix' THEN run_end WHEN 'inherited_exact' THEN first WHEN 'independent' THEN first END AS baseline, CASE status WHEN 'inherited_prefix' THEN last - run_end WHEN 'inherited_exact' THEN last - first WHEN 'independent' THEN last END AS incremental, 'unavailable' AS deltas FROM vd", **TOKENS)
 def token_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = lineage.edge_verdicts(X.token_events(spark, sf_dir), X.edges(spark, sf_dir))
+    v = edge_verdicts(spark, sf_dir)
     return v.select("parent", "child", "status", "matched", F.col("baseline.total_tokens").alias("baseline"), F.col("incremental.total_tokens").alias("incremental"), "deltas")
 
 
@@ -184,14 +201,12 @@ def _period_sql(p: str) -> str:
 
 @query(_period_sql("{}::DATE"), **TOKENS)
 def usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = accounted_sessions(spark, sf_dir)
-    return usage.by_period(scoped(spark, sf_dir, known), contributions(spark, sf_dir, known), "day")
+    return usage.by_period(scoped(spark, sf_dir), contributions(spark, sf_dir), "day")
 
 
 @query(_period_sql("date_trunc('week', {})::DATE"), **TOKENS)
 def usage_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = accounted_sessions(spark, sf_dir)
-    return usage.by_period(scoped(spark, sf_dir, known), contributions(spark, sf_dir, known), "week")
+    return usage.by_period(scoped(spark, sf_dir), contributions(spark, sf_dir), "week")
 
 
 @query("SELECT sid, epoch_us(occurred_at) AS at, tokens, status, reason FROM ct", **TOKENS)
@@ -234,14 +249,20 @@ EVENTS = {
         CASE WHEN e.child IN (SELECT node FROM cyc) THEN NULL WHEN c.i < wb.n THEN wb.s + c.i WHEN c.k < fb.n THEN p.i END AS parent_index
       FROM e1 e JOIN m c ON c.sid = e.child LEFT JOIN wb ON wb.parent = e.parent AND wb.child = e.child LEFT JOIN fb ON fb.parent = e.parent AND fb.child = e.child AND fb.family = c.family
       LEFT JOIN m p ON p.sid = e.parent AND p.family = c.family AND p.k = fb.s + c.k LEFT JOIN (SELECT DISTINCT sid, key FROM m) x ON x.sid = e.parent AND x.key = c.key""",
-    "og": "SELECT m.sid, m.i, coalesce(ev.status, 'origin') AS status, CASE WHEN ev.status = 'inherited_prefix' THEN ev.parent END AS up, ev.parent_index AS ui FROM m LEFT JOIN ev ON ev.child = m.sid AND ev.i = m.i",
+    "og": "SELECT m.sid, m.i, coalesce(ev.status, CASE WHEN m.sid IN (SELECT child FROM fx_edges) THEN 'unknown' ELSE 'origin' END) AS status, CASE WHEN ev.status = 'inherited_prefix' THEN ev.parent END AS up, ev.parent_index AS ui FROM m LEFT JOIN ev ON ev.child = m.sid AND ev.i = m.i",
     "tr": "SELECT sid, i, status, sid AS ts, i AS ti, status AS t FROM og UNION ALL SELECT tr.sid, tr.i, tr.status, a.up, a.ui, b.status FROM tr JOIN og a ON a.sid = tr.ts AND a.i = tr.ti JOIN og b ON b.sid = a.up AND b.i = a.ui",
 }
 FAMILY = "count(*) AS observed, count(*) FILTER (status = 'origin') AS originated, count(*) FILTER (status LIKE 'inherited%') AS inherited, count(*) FILTER (status = 'ambiguous') AS ambiguous, count(*) FILTER (status = 'unknown') AS unknown"
 
 
+@stored
 def event_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.event_verdicts(X.messages(spark, sf_dir), X.edges(spark, sf_dir))
+    return provenance.event_verdicts(X.messages(spark, sf_dir), X.edges(spark, sf_dir), thread_ancestry(spark, sf_dir))
+
+
+@stored
+def resolved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.origins(X.messages(spark, sf_dir), event_verdicts(spark, sf_dir), X.edges(spark, sf_dir))
 
 
 @query("SELECT parent, child, i, family, source_ordinal, status, parent_index FROM ev", **EVENTS)
@@ -266,4 +287,4 @@ def provenance_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     **EVENTS,
 )
 def event_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.origins(X.messages(spark, sf_dir), event_verdicts(spark, sf_dir))
+    return resolved_events(spark, sf_dir)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from logloom.functions.vectors import FIELDS
 
+from .stored import stored
+
 START = "2024-01-01 00:00:00"
 
 
@@ -23,6 +25,7 @@ def later(ts: Column, minutes: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + minutes.cast("long") * 60_000_000)
 
 
+@stored
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sid = F.col("sid")
     turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("sid")).agg(F.max("turn").alias("last"))
@@ -37,6 +40,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spawn edges, with one orphan and one cycle."""
     sid = F.col("conv_id")
@@ -46,6 +50,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spawned.union(odd)
 
 
+@stored
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a session in order; every second child first replays three turns of its parent."""
     own = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sid"), F.lit(1).alias("own"), "turn", "role", "text")
@@ -55,6 +60,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("sid", place.alias("source_ordinal"), F.concat("role", F.lit("_message")).alias("family"), F.sha2(F.concat_ws("|", "role", "text"), 256).alias("fingerprint"), "text")
 
 
+@stored
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative snapshots of a session; every second child first replays four of its parent's and goes on from them."""
     conv = read(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
@@ -74,6 +80,7 @@ def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_totals(spark, sf_dir).select("sid", "event_ordinal", "occurred_at", total.alias("cumulative"))
 
 
+@stored
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
     kind = F.create_map(*map(F.lit, ("view", "git_inspection", "purchase", "git_mutation", "signup", "editing_patching", "click", "testing", "error", "other")))
@@ -86,6 +93,7 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = activity(spark, sf_dir).where("command_category = 'git_mutation'")
     rows = acts.select(F.sha2(F.concat(F.lit("c"), F.col("event_id").cast("string")), 256).alias("commit_hash"), F.concat(F.lit("/repos/repo-"), F.col("sid") % 8).alias("repository_root"), later(F.col("occurred_at"), F.lit(3)).alias("committed_at"))

@@ -54,6 +54,8 @@ def test_ancestry(spark):
     assert lineage.ancestry(long).agg(F.max("depth")).first()[0] == 70
     down = lineage.descendants(edges, spark.createDataFrame([(2,), (9,)], "sid long"))
     assert {r["sid"] for r in down.collect()} == {2, 3, 4, 9, 10}
+    below = lineage.descendants(long.union(spark.createDataFrame([(70, 100), (3, 100), (100, 101)], "parent long, child long")), spark.createDataFrame([(60,)], "sid long"))
+    assert {r["sid"] for r in below.collect()} == {*range(60, 71), 100, 101}
 
 
 def usage_of(spark, events, baseline=None, accounted=None):
@@ -111,7 +113,7 @@ def test_provenance(spark):
     ev, v, found = provenance_of(spark, base, [*base, ("user", "x", None), ("tool", "y", None)])
     assert found == ["inherited_prefix"] * 4 + ["origin"] * 2
     assert provenance.replay_summary(v).where("inherited = 2").count() == 2
-    tops = provenance.origins(ev, v).where("sid = 2").orderBy("i").collect()
+    tops = provenance.origins(ev, v, spark.createDataFrame([(1, 2)], "parent long, child long")).where("sid = 2").orderBy("i").collect()
     assert [(r["origin_sid"], r["origin_i"]) for r in tops] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 4), (2, 5)]
     assert provenance_of(spark, [("tool", "b", None)], [("tool", "b", None)])[2] == ["ambiguous"]
     assert provenance_of(spark, [("tool", "b", "i1")], [("tool", "b", "i1"), ("tool", "b", "i2")])[2] == ["inherited_exact", "origin"]
@@ -193,16 +195,41 @@ def test_search(spark):
 
 
 def test_commits(spark):
-    actions = spark.createDataFrame([(1, 10, "/r", T0, T0 + timedelta(minutes=5), "success", None), (2, 20, "/q", T0, None, "success", "abcdef1")], "sid long, event_id long, repository_root string, occurred_at timestamp, until timestamp, result_status string, shown_hash string")
-    log = [("/r", f"{i:040x}", T0 + timedelta(seconds=20 * i), None) for i in range(1, 31)] + [("/q", "abcdef1" + "0" * 33, T0 + timedelta(days=2), None)]
-    c = spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp, parent_hash string")
-    found = commits.candidates(actions, c)
-    s = spark.createDataFrame([(1, "/r", T0, None), (2, "/q", T0, None)], "sid long, repository_root string, started_at timestamp, ended_at timestamp")
-    tiers = commits.tiers(commits.by_hash(actions, c), found, s).groupBy("tier").count().collect()
-    assert found.count() == 30 and {r["tier"]: r["count"] for r in tiers} == {"low": 5, "high": 1}
-    chain = spark.createDataFrame([("/r", f"{i:040d}", T0, f"{i - 1:040d}") for i in range(1, 6)], "repository_root string, commit_hash string, committed_at timestamp, parent_hash string")
-    pairs = spark.createDataFrame([(f"{5:040d}", f"{2:040d}"), (f"{2:040d}", f"{5:040d}")], "commit_hash string, ancestor string")
-    assert commits.descends(pairs, chain).count() == 1
+    """Thirty commits after one action; a shown hash; a single commit after the session's start, with and without what MEDIUM asks for."""
+    kind = "sid long, event_id long, repository_root string, occurred_at timestamp, until timestamp, result_status string, shown_hash string, start_hash string"
+    m = lambda k: timedelta(minutes=k)
+    c = lambda k: f"{k:040x}"
+    log = [("/r", c(i), T0 + timedelta(seconds=20 * i), None) for i in range(1, 31)]
+    log += [("/q", "abcdef1" + "0" * 33, T0 + timedelta(days=2), None)]
+    for k, root in enumerate(("/m", "/n", "/o", "/p")):
+        log += [(root, c(1000 + 10 * k + i), T0 + m(30 * i), c(1000 + 10 * k + i - 1) if i else None) for i in range(3)]
+    actions = [
+        (1, 10, "/r", T0, T0 + m(5), "success", None, None),
+        (2, 20, "/q", T0, None, "success", "abcdef1", None),
+        (3, 30, "/m", T0 + m(50), T0 + m(55), "success", None, c(1000)),  # descends from its start: medium
+        (4, 40, "/n", T0 + m(50), T0 + m(55), "success", None, None),  # no start
+        (5, 50, "/o", T0 + m(50), T0 + m(55), "success", None, c(1022)),  # the start itself is no candidate
+        (6, 60, "/p", T0 + m(50), T0 + m(55), "success", None, c(1030)),  # another session is open
+        (3, 31, "/m", T0 + m(50), None, "failure", c(1002)[:12], c(1000)),  # a failed action
+    ]
+    s = [(k, root, T0, T0 + m(200)) for k, root in enumerate(("/r", "/q", "/m", "/n", "/o", "/p"), 1)] + [(7, "/p", T0 + m(10), None)]
+    tables = spark.createDataFrame(actions, kind), spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp, parent_hash string"), spark.createDataFrame(s, "sid long, repository_root string, started_at timestamp, ended_at timestamp")
+    links, summary = commits.linked(*tables)
+    got = {}
+    for r in links.collect():
+        got.setdefault(r["sid"], []).append(r["tier"])
+    assert got == {1: ["low"] * 5, 2: ["high"], 3: ["medium"], 4: ["low"], 6: ["low"]}
+    assert {r["sid"]: (r["considered"], r["kept"], r["omitted"]) for r in summary.collect()} == {1: (30, 5, 25), 3: (2, 1, 1), 4: (1, 1, 0), 6: (1, 1, 0)}
+    chain = spark.createDataFrame([("/r", f"{i:040d}", T0, f"{i - 1:040d}") for i in range(1, 70)], "repository_root string, commit_hash string, committed_at timestamp, parent_hash string")
+    pairs = spark.createDataFrame([(f"{i:040d}", f"{k:040d}") for i, k in ((5, 2), (2, 5), (69, 1), (69, 0), (64, 63), (7, 7))], "commit_hash string, ancestor string")
+    assert {(int(r[0]), int(r[1])) for r in commits.descends(pairs, chain).collect()} == {(5, 2), (69, 1), (69, 0), (64, 63)}
+
+
+def test_events_of_a_child_of_two_parents_are_unknown(spark):
+    ev = spark.createDataFrame([(s, i, "user", f"{i}", None) for s in (1, 2, 3) for i in range(3)], "sid long, source_ordinal long, family string, fingerprint string, stable_id string")
+    edges = spark.createDataFrame([(1, 3), (2, 3)], "parent long, child long")
+    rows = provenance.origins(ev, provenance.event_verdicts(ev, edges), edges).collect()
+    assert {(r["sid"], r["status"]) for r in rows} == {(1, "origin"), (2, "origin"), (3, "unknown")}
 
 
 def test_records(spark, tmp_path):
