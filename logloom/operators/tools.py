@@ -25,13 +25,16 @@ def classified(calls: DataFrame, command: str = "command") -> DataFrame:
 
 
 def paired(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """calls with the result of the same call id, where that id is one call's and one known (or one single) result's."""
+    """calls with the result of the same call id, where that id is one call's and one known (or one single) result's.
+
+    results: sid, call_id, result_status, and what else is told of a result."""
+    rest = [c for c in results.columns if c not in ("sid", "call_id")]
     one_call = calls.withColumn("__n", F.count("*").over(W.partitionBy("sid", "call_id")))
     known = F.col("result_status") != "unknown"
-    per = results.groupBy("sid", "call_id").agg(F.count("*").alias("__all"), F.count_if(known).alias("__known"), F.max_by("result_status", F.when(known, 1).otherwise(0)).alias("result_status"))
-    per = per.where("__known = 1 OR __all = 1").select("sid", "call_id", "result_status")
-    mate = F.when((F.col("__n") == 1) & F.col("call_id").isNotNull(), F.col("call_id"))
-    return one_call.withColumn("__id", mate).join(per.withColumnRenamed("call_id", "__id"), ["sid", "__id"], "left").drop("__id", "__n").fillna("unknown", ["result_status"])
+    per = results.where("call_id IS NOT NULL").groupBy("sid", "call_id").agg(F.count("*").alias("__all"), F.count_if(known).alias("__known"), F.max_by(F.struct(*rest), F.when(known, 1).otherwise(0)).alias("__result"))
+    per = per.where("__known = 1 OR __all = 1").select(F.col("sid").alias("__sid"), F.col("call_id").alias("__id"), "__result")
+    rows = one_call.join(per, (F.col("sid") == F.col("__sid")) & (F.col("call_id") == F.col("__id")) & (F.col("__n") == 1), "left")
+    return rows.select(*calls.columns, *[F.col(f"__result.{c}").alias(c) for c in rest]).fillna("unknown", ["result_status"])
 
 
 def summary(activity: DataFrame) -> DataFrame:

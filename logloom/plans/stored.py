@@ -44,21 +44,26 @@ def one_state(spark: SparkSession, sf_dir: str) -> Iterator[None]:
         _now.key = before
 
 
+def written(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """The path under that name for the sources' state; the first call writes it."""
+    key = getattr(_now, "key", None)
+    digest = key[1] if key and key[0] == sf_dir else state(spark, sf_dir)
+    path = f"{shared_folder(spark)}/tables-{digest}/{name}"
+    with _guard:
+        lock = _written.setdefault(path, threading.Lock())
+    with lock:
+        if path not in _done:
+            write(path)
+            _done.add(path)
+    return path
+
+
 def stored(make: Make) -> Make:
     """The function's table, read from where it was written; the first call writes it."""
 
     @functools.wraps(make)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = getattr(_now, "key", None)
-        digest = key[1] if key and key[0] == sf_dir else state(spark, sf_dir)
-        path = f"{shared_folder(spark)}/tables-{digest}/{make.__name__}"
-        with _guard:
-            lock = _written.setdefault(path, threading.Lock())
-        with lock:
-            if path not in _done:
-                make(spark, sf_dir).write.mode("overwrite").parquet(path)
-                _done.add(path)
-        return spark.read.parquet(path)
+        return spark.read.parquet(written(spark, sf_dir, make.__name__, lambda path: make(spark, sf_dir).write.mode("overwrite").parquet(path)))
 
     TABLES[make.__name__] = read
     return read

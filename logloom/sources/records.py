@@ -21,9 +21,15 @@ ALIASES = {
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, line): lines of text files with their place from 0, also where a file is read in several splits."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    return raw.select("file", (F.row_number().over(W.partitionBy("file").orderBy("block", "at")) - 1).alias("ordinal"), "line")
+    """(file, ordinal, last, terminated, line): lines of text files with their place from 0, also where a file is read in several splits.
+
+    terminated: whether the file's last line ends in a line feed, told from the file's size."""
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    order, whole = W.partitionBy("file").orderBy("block", "at"), W.partitionBy("file")
+    n = F.count("*").over(whole)
+    rows = raw.select("file", (F.row_number().over(order) - 1).alias("ordinal"), n.alias("n"), (F.sum(F.octet_length("line")).over(whole) + n <= F.col("size")).alias("terminated"), "line")
+    return rows.select("file", "ordinal", (F.col("ordinal") == F.col("n") - 1).alias("last"), "terminated", "line")
 
 
 def got(v: Column, path: str, kind: str = "string") -> Column:
@@ -51,15 +57,16 @@ def short(c: Column) -> Column:
 
 
 def parsed(rows: DataFrame, line: str = "line") -> DataFrame:
-    """rows with status (oversized, malformed or ok), record and payload type, role, text, cumulative and delta vectors."""
+    """rows with status (oversized, partial, malformed or ok; partial: the last line of a file, cut short), record and payload type, role, text, cumulative and delta vectors."""
     big = F.octet_length(line) > MAX_LINE
     v = F.when(~big, F.try_parse_json(F.col(line)))
     rows = rows.withColumn("__v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
     v = F.col("__v")
+    open_end = F.col("last") & ~F.col("terminated") if {"last", "terminated"} <= set(rows.columns) else F.lit(False)
     text = F.array_join(F.transform(F.try_variant_get(v, "$.payload.content", "array<variant>"), lambda x: F.try_variant_get(x, "$.text", "string")), "\n")
     return rows.select(
         *[F.col(c) for c in rows.columns if c not in ("__v", line)],
-        F.when(big, "oversized").when(v.isNull(), "malformed").otherwise("ok").alias("status"),
+        F.when(big, "oversized").when(v.isNull() & open_end, "partial").when(v.isNull(), "malformed").otherwise("ok").alias("status"),
         short(F.coalesce(*[got(v, f"$.{k}") for k in ("type", "event", "kind")])).alias("record_type"),
         short(got(v, "$.payload.type")).alias("payload_type"),
         got(v, "$.payload.role").alias("role"),
