@@ -20,7 +20,7 @@ def logical(events: DataFrame, resolved: DataFrame, sessions: DataFrame) -> Data
 
 def observed(prompts: DataFrame, resolved: DataFrame) -> DataFrame:
     """prompts with the number of sessions that show them, and of those that only replay them."""
-    seen = resolved.where("origin_sid IS NOT NULL").groupBy(F.col("origin_sid").alias("sid"), F.col("origin_i").alias("i")).agg(F.count_distinct("sid").alias("sessions"), F.count_if(F.col("sid") != F.col("origin_sid")).alias("replays"))
+    seen = resolved.where("origin_sid IS NOT NULL").groupBy(F.col("origin_sid").alias("sid"), F.col("origin_i").alias("i")).agg(F.count_distinct("sid").alias("sessions"), F.count_if(F.col("sid") != F.col("origin_sid")).alias("replays"), F.count_distinct(F.when(F.col("sid") != F.col("origin_sid"), F.col("sid"))).alias("replay_sessions"))
     return prompts.join(seen, ["sid", "i"], "left")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime, timedelta, tzinfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -143,3 +143,106 @@ def comparison(sessions: DataFrame, contributions: DataFrame, since: datetime, u
 
     both = one(since, until, "").crossJoin(one(before, since, "_before"))
     return both.withColumn("tokens_change", F.when(F.col("tokens_before") > 0, (F.col("tokens") - F.col("tokens_before")) / F.col("tokens_before")))
+
+
+def zone_name(where: tzinfo) -> str:
+    return getattr(where, "key", None) or "UTC"
+
+
+def windowed(scoped: DataFrame, contributions: DataFrame, since: datetime | None = None, until: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, parts): the contributions in the window, and the sessions that have one or began in it, with what they used in it.
+
+    Without bounds everything stays, contributions without a time too; with a bound those are left out."""
+    parts = contributions.join(scoped.select("sid"), "sid", "left_semi")
+    bounded = since is not None or until is not None
+    inside = lambda c: (F.lit(True) if since is None else F.col(c) >= F.lit(since)) & (F.lit(True) if until is None else F.col(c) < F.lit(until))
+    if bounded:
+        parts = parts.where(F.col("occurred_at").isNotNull() & inside("occurred_at"))
+    used = parts.groupBy("sid").agg(V.total(lambda f: F.col("usage")[f]).alias("used"), F.count("*").alias("parts"))
+    rows = scoped.join(used, "sid", "left")
+    if bounded:
+        rows = rows.where(F.col("parts").isNotNull() | F.coalesce(inside("started_at"), F.lit(False)))
+    return rows, parts
+
+
+def scope(rows: DataFrame, parts: DataFrame, where: tzinfo = UTC, since: datetime | None = None, until: datetime | None = None, now: datetime | None = None) -> DataFrame:
+    """One row: first and last local day of the scope, and how many those are."""
+    days = rows.select(period(F.col("started_at"), "day", zone_name(where)).alias("d")).union(parts.select(period(F.col("occurred_at"), "day", zone_name(where)))).agg(F.min("d").alias("a"), F.max("d").alias("z"))
+    a = F.lit(since.astimezone(where).date()) if since else F.col("a")
+    if until is not None:
+        z = F.lit((until - timedelta(microseconds=1)).astimezone(where).date())
+    else:
+        z = F.lit((now or datetime.now(UTC)).astimezone(where).date()) if since else F.col("z")
+    return days.select(a.alias("first_day"), z.alias("last_day")).withColumn("days", F.when(F.col("last_day") >= F.col("first_day"), F.datediff("last_day", "first_day") + 1))
+
+
+def window_metrics(rows: DataFrame, days: DataFrame, *keys: str) -> DataFrame:
+    """Sessions, what they used in the window with how many of them tell it, what they used in all, and sessions a day, by keys."""
+    total = F.col("observed.total_tokens")
+    by = rows.groupBy(*keys).agg(
+        F.count("*").alias("sessions"),
+        *[F.sum(F.col("used")[f]).alias(f) for f in V.FIELDS if f != "cache_write_input_tokens"],
+        F.count("used.total_tokens").alias("known_sessions"),
+        F.sum(total).alias("observed_tokens"),
+        F.avg(total).alias("mean_tokens"),
+        F.median(total).alias("median_tokens"),
+        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY observed.total_tokens)").cast("long").alias("p90_tokens"),
+    )
+    return by.crossJoin(days.select("days")).withColumn("sessions_per_day", F.when(F.col("days") > 0, F.col("sessions") / F.col("days"))).drop("days")  # one row
+
+
+def ranked(groups: DataFrame, label: Column, *keys: str, top: int | None = None) -> DataFrame:
+    """Groups in the order of reports: known totals first, the greatest first, then by sessions, label and key."""
+    if top is not None and top < 1:
+        raise ValueError("top must be at least 1")
+    rows = groups.orderBy(F.desc_nulls_last("total_tokens"), F.desc("sessions"), F.lower(label), *keys)
+    return rows.limit(top) if top else rows
+
+
+def window_periods(rows: DataFrame, parts: DataFrame, days: DataFrame, kind: str, where: tzinfo = UTC) -> DataFrame:
+    """By local day or week: sessions by their start, tokens by event time, sessions a day over the days of the period that are in scope.
+
+    Tokens without a time (of windows without bounds) are a period of their own, the last."""
+    zone = zone_name(where)
+    total = F.col("observed.total_tokens")
+    starts = rows.where("started_at IS NOT NULL").groupBy(period(F.col("started_at"), kind, zone).alias("p")).agg(F.count("*").alias("sessions"), F.avg(total).alias("mean_tokens"), F.median(total).alias("median_tokens"))
+    tokens = parts.groupBy(period(F.col("occurred_at"), kind, zone).alias("p")).agg(F.sum("usage.total_tokens").alias("tokens"), F.count_distinct("sid").alias("contributing_sessions"))
+    s, t = starts.alias("s"), tokens.alias("t")
+    both = s.join(t, F.col("s.p").eqNullSafe(F.col("t.p")), "full").select(F.coalesce("s.p", "t.p").alias("p"), F.coalesce("s.sessions", F.lit(0)).alias("sessions"), "t.tokens", F.coalesce("t.contributing_sessions", F.lit(0)).alias("contributing_sessions"), "s.mean_tokens", "s.median_tokens")
+    both = both.crossJoin(days.select("first_day", "last_day"))  # one row
+    first, last = F.greatest("p", "first_day"), F.least(F.date_add("p", 6 if kind == "week" else 0), F.col("last_day"))
+    n = F.when(F.col("p").isNotNull() & (last >= first), F.datediff(last, first) + 1)
+    rows = both.withColumn("sessions_per_day", F.when(n > 0, F.col("sessions") / n)).drop("first_day", "last_day")
+    return rows.orderBy(F.asc_nulls_last("p")).withColumn("p", F.col("p").cast("string")).withColumnRenamed("p", "period")
+
+
+def child_states(accounted: DataFrame, edges: DataFrame, session_ids: DataFrame) -> DataFrame:
+    """One row: totals observed, inherited and reconciled, threads by state, and the share of children with tokens that is accounted for."""
+    s, total = F.col("lineage"), F.col("observed.total_tokens")
+    sure = s.isin("inherited_prefix", "inherited_exact")
+    known = F.count_if((s != "root") & total.isNotNull())
+    ids = session_ids.select("sid").distinct()
+    orphans = edges.join(ids.select(F.col("sid").alias("parent"), F.lit(1).alias("p")), "parent", "left").join(ids.select(F.col("sid").alias("child"), F.lit(1).alias("c")), "child", "left").agg(F.count_if(F.col("p").isNull() | F.col("c").isNull()).alias("orphan_edges"))
+    row = accounted.agg(
+        F.sum(total).alias("observed_tokens"),
+        F.coalesce(F.sum(F.when(sure, F.col("baseline.total_tokens"))), F.lit(0)).alias("inherited_tokens"),
+        F.sum("accounted.total_tokens").alias("reconciled_tokens"),
+        F.count_if(s == "root").alias("root_threads"),
+        F.count_if(s != "root").alias("child_threads"),
+        F.count_if(sure).alias("reconciled_children"),
+        *[F.count_if(s == k).alias(f"{k}_children") for k in ("independent", "ambiguous", "unavailable", "cycle")],
+        F.coalesce(F.sum(F.when(s.isin("ambiguous", "cycle"), total)), F.lit(0)).alias("ambiguous_tokens"),
+        F.when(known > 0, F.count_if((sure | (s == "independent")) & total.isNotNull()) / known).alias("child_coverage"),
+    )
+    return row.crossJoin(orphans)  # one row each
+
+
+def attribution_coverage(contributions: DataFrame, accounted: DataFrame) -> DataFrame:
+    """One row: sessions by attribution status (unavailable: no contribution), tokens with and without a time, and reasons with their sessions."""
+    t = F.col("usage.total_tokens")
+    by = contributions.groupBy("sid").agg(F.first("status").alias("status"), F.first("reason").alias("reason"), F.sum(F.when(F.col("occurred_at").isNotNull(), t)).alias("timed"), F.sum(F.when(F.col("occurred_at").isNull(), t)).alias("untimed"))
+    rows = accounted.select("sid").join(by, "sid", "left")
+    counts = rows.agg(*[F.count_if(F.coalesce("status", F.lit("unavailable")) == s).alias(f"{s}_sessions") for s in ("complete", "partial", "fallback", "unavailable")], F.coalesce(F.sum("timed"), F.lit(0)).alias("attributed_tokens"), F.coalesce(F.sum("untimed"), F.lit(0)).alias("unattributed_tokens"))
+    reasons = rows.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("reasons"))  # a row per reason
+    total = F.col("attributed_tokens") + F.col("unattributed_tokens")
+    return counts.crossJoin(reasons).withColumn("attributed_fraction", F.when(total > 0, F.col("attributed_tokens") / total))
