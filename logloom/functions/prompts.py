@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +54,7 @@ DOMAINS = (
     ("developer_tooling", r"(?i)\b(cli|pytest|ruff|mypy|tooling|observability)\b|開發工具|开发工具"),
     ("software_engineering", r"(?i)\b(code|python|repository|api|database|test|bug|implementation)\b|代碼|代码|軟件|软件|程式|程序"),
 )
+# Labels of facets, and lines that ask for nothing.
 FACETS = (("ORCA", r"(?i)\borca\b"), ("VASP", r"(?i)\bvasp\b"), ("CP2K", r"(?i)\bcp2k\b"), ("ASE", r"(?i)\base\b"), ("Multiwfn", r"(?i)\bmultiwfn\b"), ("XPS", r"(?i)\bxps\b"), ("workflow", r"(?i)\b(workflow|orchestration|pipeline)\b|工作流|流程"))
 NEGATED = r"(?i)^\s*(?:[-*]\s*)?(?:do not|don't|never|non-goal\s*:|不要|不得|切勿)\b"
 
@@ -85,24 +84,34 @@ def lines_without(text: Column, p: str) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(unicode(p))), "\n")
 
 
+def once(value: Column, then: object) -> Column:
+    """then(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def features(text: Column) -> Column:
-    t = F.regexp_replace(text, "\r\n?", "\n")
-    positive = lines_without(t, FEATURES["non_goal"])
-    many = hits(positive, FEATURES["commits"]) > 0
-    needs = hits(t, FEATURES["requirement"])
-    return F.struct(
-        F.length(text).alias("characters"),
-        F.when(t == "", 0).otherwise(hits(t, "\n") + 1).alias("lines"),
-        hits(t, FEATURES["heading"]).alias("headings"),
-        (hits(t, FEATURES["acceptance"]) > 0).alias("has_acceptance_criteria"),
-        (hits(positive, FEATURES["validation"]) > 0).alias("requests_validation"),
-        hits(t, FEATURES["path"]).alias("paths"),
-        ((hits(positive, FEATURES["commit"]) > 0) | many).alias("requests_commit"),
-        many.alias("requests_multiple_commits"),
-        (hits(t, FEATURES["non_goal"]) > 0).alias("has_non_goals"),
-        (hits(t, FEATURES["read_only"]) > 0).alias("has_read_only_constraint"),
-        F.when((needs == 0) & (F.trim(t) != ""), 1).otherwise(needs).alias("requirements"),
-    )
+    """Struct of descriptive features; each text is cut into lines and searched once by each pattern."""
+    parts = once(F.regexp_replace(text, "\r\n?", "\n"), lambda t: F.struct(t.alias("t"), lines_without(t, FEATURES["non_goal"]).alias("p")))
+
+    def of(x: Column) -> Column:
+        t, positive = x["t"], x["p"]
+        has = lambda s, k: s.rlike(unicode(FEATURES[k]))
+        counts = F.struct(has(positive, "commits").alias("many"), hits(t, FEATURES["requirement"]).alias("needs"))
+        return once(counts, lambda n: F.struct(
+            F.length(text).alias("characters"),
+            F.when(t == "", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).alias("lines"),
+            hits(t, FEATURES["heading"]).alias("headings"),
+            has(t, "acceptance").alias("has_acceptance_criteria"),
+            has(positive, "validation").alias("requests_validation"),
+            hits(t, FEATURES["path"]).alias("paths"),
+            (has(positive, "commit") | n["many"]).alias("requests_commit"),
+            n["many"].alias("requests_multiple_commits"),
+            has(t, "non_goal").alias("has_non_goals"),
+            has(t, "read_only").alias("has_read_only_constraint"),
+            F.when((n["needs"] == 0) & (F.trim(t) != ""), 1).otherwise(n["needs"]).alias("requirements"),
+        ))
+
+    return once(parts, of)
 
 
 def scores(text: Column, weight: Column, rules: tuple[tuple[str, str], ...]) -> Column:
@@ -114,7 +123,3 @@ def best(sums: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     """The rule of the greatest sum, the first of equals; null where all are zero."""
     top = F.array_max(sums)
     return F.when(top > 0, F.element_at(F.array(*[F.lit(n) for n, _ in rules]), F.array_position(sums, top).cast("int")))
-
-
-def added(a: list[Column]) -> Column:
-    return reduce(lambda x, y: x + y, a)

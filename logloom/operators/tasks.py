@@ -55,13 +55,3 @@ def report(facts: DataFrame, *keys: str) -> DataFrame:
         F.expr("percentile(tokens, 0.9)").alias("p90_tokens"),
         F.count_if(F.col("outcome").startswith("success")).alias("successes"),
     )
-
-
-def feature_outcomes(facts: DataFrame, features: list[str], least: int = 5) -> DataFrame:
-    """(feature, with_n, without_n, with_success, without_success) of the boolean features that enough sessions have and lack."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("present")) for f in features]))
-    good = F.col("outcome").startswith("success")
-    rows = facts.where("outcome IS NOT NULL").select("outcome", pairs.alias("p")).select("outcome", "p.*")
-    on, off = F.col("present"), ~F.col("present")
-    by = rows.groupBy("feature").agg(F.count_if(on).alias("with_n"), F.count_if(off).alias("without_n"), (F.count_if(on & good) / F.count_if(on)).alias("with_success"), (F.count_if(off & good) / F.count_if(off)).alias("without_success"))
-    return by.where((F.col("with_n") >= least) & (F.col("without_n") >= least))

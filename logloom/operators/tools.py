@@ -53,8 +53,20 @@ def summary(activity: DataFrame) -> DataFrame:
     )
 
 
+def of(activity: DataFrame, categories: list[str] | None = None, sid: int | str | None = None, commands_only: bool = False) -> DataFrame:
+    """Activity of some categories, of one session, or with a command."""
+    test = F.lit(True)
+    if categories:
+        test &= F.col("command_category").isin(categories)
+    if sid is not None:
+        test &= F.col("sid") == sid
+    if commands_only:
+        test &= F.col("fingerprint").isNotNull()
+    return activity.where(test)
+
+
 def top(activity: DataFrame, key: str, n: int) -> DataFrame:
-    return activity.groupBy(key).agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), key).limit(n)
+    return activity.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), key).limit(n)
 
 
 def repeated(activity: DataFrame, least: int = 2, limit: int | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +12,8 @@ from logloom.sources import exports
 
 from . import commands as lines
 from . import views as X
-from .more_queries import COMMITS, OUTCOMES, RESOLVED, TASKS, commit_summaries, judged, linked, session_task_rows
-from .queries import EVENTS, TOKENS, accounted_sessions, contributions, edge_verdicts, event_verdicts, observed, query, resolved_events
+from .more_queries import COMMITS, OUTCOMES, RESOLVED, TASKS, judged, linked, session_task_rows
+from .queries import EVENTS, TOKENS, accounted_sessions, contributions, observed, query, resolved_events
 from .stored import stored
 
 ZONE = params.zone("America/New_York")
