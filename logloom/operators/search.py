@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 
 
 def postings(prompts: DataFrame, key: str = "prompt_id", text: str = "text") -> DataFrame:
-    """(key, token, pos): lower-case runs of letters and digits."""
+    """(key, token, tf, len, positions): of each text its lower-case runs of letters and digits, how often and where they stand, and the text's length."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return prompts.select(key, F.posexplode(words).alias("pos", "token"))
+    rows = prompts.select(key, words.alias("w")).select(key, F.size("w").alias("len"), F.posexplode("w").alias("pos", "token"))
+    return rows.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def search(index: DataFrame, every: list[str] = (), some: list[str] = (), without: list[str] = (), phrase: list[str] = (), prefix: str | None = None, key: str = "prompt_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def lengths(index: DataFrame, key: str = "prompt_id") -> DataFrame:
+    """(key, len) of each text with a word."""
+    return index.groupBy(key).agg(F.first("len").alias("len"))
+
+
+def search(index: DataFrame, every: list[str] = (), some: list[str] = (), without: list[str] = (), phrase: list[str] = (), prefix: str | None = None, key: str = "prompt_id", k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
     """(key, score) of the texts that have all of every and of the phrase in order, one of some, none of without.
 
-    Scores over every, some, the phrase and words of the prefix; greater is better. Lengths and counts are
-    over the whole index."""
+    Scores over every, some, the phrase and words of the prefix; greater is better. Lengths are told by the
+    index, so that only the postings of the words asked for are moved. sizes: lengths() of the index, if kept."""
     asked = list(dict.fromkeys([*every, *some, *phrase]))
-    lengths = index.groupBy(key).agg(F.count("*").alias("len"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    size = (lengths(index, key) if sizes is None else sizes).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     hit = F.col("token").isin(asked)
     if prefix:
         hit = hit | F.col("token").startswith(prefix)
     found = index.where(hit | F.col("token").isin(list(without)))
-    tf = found.groupBy(key, "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))  # a row per word asked for
     has = lambda words: F.size(F.array_intersect("tokens", F.array(*map(F.lit, words))))
-    sets = tf.groupBy(key).agg(F.collect_set("token").alias("tokens"))
+    sets = found.groupBy(key).agg(F.collect_set("token").alias("tokens"), F.collect_list(F.struct("token", "tf", "len", "positions")).alias("terms"))
     need = list(dict.fromkeys([*every, *phrase]))
     if need:
         sets = sets.where(has(need) == len(need))
@@ -39,11 +42,13 @@ def search(index: DataFrame, every: list[str] = (), some: list[str] = (), withou
     if prefix:
         sets = sets.where(F.exists("tokens", lambda t: t.startswith(prefix)))
     if len(phrase) > 1:
-        at = found.where(F.col("token").isin(list(phrase))).select(key, "pos", "token")
-        runs = at.withColumn("offset", F.explode(F.array(*[F.lit(i) for i in range(len(phrase))]))).where(F.element_at(F.array(*map(F.lit, phrase)), F.col("offset") + 1) == F.col("token"))
-        runs = runs.groupBy(key, (F.col("pos") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n")).where(F.col("n") == len(phrase))
-        sets = sets.join(runs.select(key).distinct(), key, "left_semi")
-    part = tf.where(hit).join(sets.select(key), key, "left_semi").join(lengths, key).join(F.broadcast(df), "token").crossJoin(F.broadcast(size))  # one row
+        at = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["token"], x["positions"])))
+        starts = at[phrase[0]]
+        for i, w in enumerate(phrase[1:], 1):
+            starts = F.array_intersect(starts, F.transform(at[w], lambda p: p - F.lit(i)))  # noqa: B023
+        sets = sets.where(F.size(starts) > 0)
+    df = found.groupBy("token").agg(F.count("*").alias("df"))
+    part = sets.select(key, F.explode("terms").alias("x")).select(key, "x.token", "x.tf", "x.len").where(hit).join(df, "token").crossJoin(F.broadcast(size))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return part.groupBy(key).agg(F.sum(weight).alias("score"))
@@ -51,7 +56,7 @@ def search(index: DataFrame, every: list[str] = (), some: list[str] = (), withou
 
 def snippets(index: DataFrame, hits: DataFrame, words: list[str], key: str = "prompt_id", width: int = 18) -> DataFrame:
     """(key, snippet): the tokens from a little before the first hit, the hits in brackets."""
-    rows = index.join(hits.select(key), key, "left_semi")
+    rows = index.join(hits.select(key), key, "left_semi").select(key, "token", F.explode("positions").alias("pos"))
     first = F.min(F.when(F.col("token").isin(words), F.col("pos"))).over(W.partitionBy(key))
     near = rows.withColumn("first", first).where((F.col("pos") >= F.col("first") - 4) & (F.col("pos") < F.col("first") - 4 + width))
     shown = F.when(F.col("token").isin(words), F.concat(F.lit("["), "token", F.lit("]"))).otherwise(F.col("token"))

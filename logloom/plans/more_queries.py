@@ -35,20 +35,26 @@ def top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.top(X.activity(spark, sf_dir), "command_category", 10)
 
 
+@stored
+def tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity of the command lines: one row per call, with the safe command and its class."""
+    return tools.classified(lines.commands(X.activity(spark, sf_dir)))
+
+
 @query(
     """SELECT sha256(text) AS fingerprint, count(*) AS runs, count(DISTINCT sid) AS sessions, epoch_us(min(occurred_at)) AS first_at, epoch_us(max(occurred_at)) AS last_at, bool_or(redacted) AS any_redacted, false AS any_truncated, min(text) AS text
     FROM cm GROUP BY text HAVING count(*) >= 2 ORDER BY runs DESC, lower(text) LIMIT 20""",
     cm=lines.SQL,
 )
 def repeated_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tools.repeated(tools.classified(lines.commands(X.activity(spark, sf_dir))), limit=20)
+    found = tools.repeated(tool_rows(spark, sf_dir), limit=20)
     return found.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})
 
 
 @query("SELECT executable, command_category, test_scope, executable = 'git' AND command_category = 'git_mutation' AND executable IS NOT NULL AS is_commit, redacted, count(*) AS n FROM cm GROUP BY ALL", cm=lines.SQL)
 def command_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories and scopes of commands behind what stands before them."""
-    return tools.classified(lines.commands(X.activity(spark, sf_dir))).groupBy("executable", "command_category", "test_scope", "is_commit", "redacted").agg(F.count("*").alias("n"))
+    return tool_rows(spark, sf_dir).groupBy("executable", "command_category", "test_scope", "is_commit", "redacted").agg(F.count("*").alias("n"))
 
 
 @query("SELECT sid, sum(n)::BIGINT AS calls, sum(failed)::BIGINT AS failures FROM (SELECT sid, command_category, count(*) AS n, count(*) FILTER (result_status = 'failure') AS failed FROM fx_activity GROUP BY ALL) GROUP BY sid")
@@ -71,6 +77,21 @@ def prompt_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("prompt_id", "r.redactions", "r.text_sha256", "r.original_characters")
 
 
+@stored
+def prompt_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.postings(X.prompts(spark, sf_dir))
+
+
+@stored
+def prompt_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.lengths(prompt_postings(spark, sf_dir))
+
+
+@stored
+def prompt_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.prompts(spark, sf_dir).select("prompt_id", P.features(F.col("text")).alias("f")).select("prompt_id", "f.*")
+
+
 # the other engine's word boundaries know ASCII letters only
 LETTERS = "regexp_replace(text, '[À-ÖØ-öø-ÿ]', 'x', 'g')"
 
@@ -86,14 +107,13 @@ def _features_sql() -> str:
 
 @query(_features_sql())
 def prompt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.prompts(spark, sf_dir).select("prompt_id", P.features(F.col("text")).alias("f"))
-    return rows.select("prompt_id", *(f"f.{c}" for c in ("characters", "lines", "has_acceptance_criteria", "requests_validation", "requests_multiple_commits", "has_non_goals", "has_read_only_constraint")))
+    return prompt_feature_table(spark, sf_dir).select("prompt_id", *(c for c in ("characters", "lines", "has_acceptance_criteria", "requests_validation", "requests_multiple_commits", "has_non_goals", "has_read_only_constraint")))
 
 
 @query()
 def prompt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counting features (their patterns look behind, which the other engine cannot)."""
-    return X.prompts(spark, sf_dir).select("prompt_id", P.features(F.col("text")).alias("f")).select("prompt_id", "f.headings", "f.paths", "f.requests_commit", "f.requirements")
+    return prompt_feature_table(spark, sf_dir).select("prompt_id", "headings", "paths", "requests_commit", "requirements")
 
 
 @query(
@@ -105,8 +125,8 @@ def prompt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf="SELECT prompt_id, token, count(*) AS tf FROM po WHERE token IN ('the', 'of', 'und', 'der') GROUP BY ALL",
 )
 def prompt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(X.prompts(spark, sf_dir))
-    return search.search(index, every=["the"], some=["of", "und"], without=["der"]).withColumn("score", F.round("score", 6))
+    index = prompt_postings(spark, sf_dir)
+    return search.search(index, sizes=prompt_lengths(spark, sf_dir), every=["the"], some=["of", "und"], without=["der"]).withColumn("score", F.round("score", 6))
 
 
 def _tasks_sql() -> str:

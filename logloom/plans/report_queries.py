@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from logloom import params
 from logloom.functions import prompts as P
-from logloom.operators import prompts, sessions, tools, usage
+from logloom.operators import prompts, sessions, usage
 from logloom.sources import exports
 
 from . import commands as lines
 from . import views as X
-from .more_queries import COMMITS, OUTCOMES, RESOLVED, TASKS, judged, linked, session_task_rows
+from .more_queries import COMMITS, OUTCOMES, RESOLVED, TASKS, judged, linked, session_task_rows, tool_rows
 from .queries import EVENTS, TOKENS, accounted_sessions, contributions, observed, query, resolved_events
-from .stored import stored
 
 ZONE = params.zone("America/New_York")
 SINCE, UNTIL = params.time_range("2024-01-01", "2024-01-10", where=ZONE)
@@ -118,12 +117,6 @@ def attribution_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.withColumn("reasons", F.coalesce(F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","), F.lit("")))
 
 
-@stored
-def tool_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Activity of the command lines: one row per call, with the safe command and its class."""
-    return tools.classified(lines.commands(X.activity(spark, sf_dir)))
-
-
 # ---- session rows
 
 SESSION_ROWS = TOKENS | FULL | TASKS | OUTCOMES | {

@@ -286,15 +286,21 @@ def test_streaming(spark, tmp_path):
 def test_jobs(spark, tmp_path):
     from logloom.operators import jobs
 
-    lines = lambda rows: records.parsed(spark.createDataFrame(rows, "sid long, ordinal long, line string"))
-    first = jobs.upsert(None, lines([(1, 0, '{"type":"a"}'), (2, 0, '{"type":"b"}')]))
+    lines = lambda rows: records.parsed(spark.createDataFrame([(*r, False, True) if len(r) == 3 else r for r in rows], "sid long, ordinal long, line string, last boolean, terminated boolean"))
+    first = jobs.upsert(None, lines([(1, 0, '{"type":"a"}'), (2, 0, '{"type":"b"}'), (9, 0, '{"type":"i"}')]))
     jobs.write(first, str(tmp_path / "t"))
-    before = spark.read.parquet(str(tmp_path / "t")).drop("session_bucket")
-    after = jobs.upsert(before, lines([(1, 0, '{"type":"z"}'), (1, 1, '{"type":"y"}'), (2, 0, "{broken"), (3, 0, '{"type":"c"}')]))
-    assert sorted((r["sid"], r["record_type"], r["stale"]) for r in after.collect()) == [(1, "y", False), (1, "z", False), (2, "b", True), (3, "c", False)]
+    before = spark.read.parquet(str(tmp_path / "t"))
+    # a malformed line in the middle is only left out; a last line cut short keeps what was there
+    new = lines([(1, 0, '{"type":"z"}'), (1, 1, '{"type":"y"}'), (2, 0, '{"type":"c"}'), (2, 1, "{broken", True, False), (3, 0, '{"type":"c"}'), (3, 1, "{broken"), (3, 2, '{"type":"d"}')])
+    after = jobs.upsert(before, new).cache()
+    assert sorted((r["sid"], r["record_type"], r["stale"]) for r in after.where("sid < 9").collect()) == [(1, "y", False), (1, "z", False), (2, "b", True), (3, "c", False), (3, "d", False)]
+    buckets = {r[0] for r in spark.range(1, 4).select(jobs.bucket(F.col("id"))).collect()}
+    assert {r[0] for r in after.select(jobs.bucket(F.col("sid"))).distinct().collect()} <= buckets
+    jobs.write(after, str(tmp_path / "t"))
+    assert {r["sid"] for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {1, 2, 3, 9}
     shapes = jobs.unknown_shapes(after, ["a", "b"], most=1).collect()
-    assert sorted((r["sid"], r["name"], r["n"]) for r in shapes) == [(1, "__other__", 1), (1, "z", 1), (3, "c", 1)]
+    assert sorted((r["sid"], r["name"], r["n"]) for r in shapes if r["sid"] < 9) == [(1, "__other__", 1), (1, "z", 1), (3, "__other__", 1), (3, "c", 1)]
     prints = {r["sid"]: r["fingerprint"] for r in jobs.schema_fingerprint(after).collect()}
-    assert len(set(prints.values())) == 3
+    assert len({prints[k] for k in (1, 2, 3)}) == 3
     old, new = (spark.createDataFrame(r, "sid long, digest string") for r in ([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]))
     assert {r["state"]: r["sessions"] for r in jobs.counts(old, new).collect()} == {"unchanged": 1, "updated": 1, "discovered": 1}
