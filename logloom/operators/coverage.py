@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# What can be known of a session.
+CAPABILITIES = ("rollout_metadata", "token_usage", "token_lineage", "prompt_content", "event_provenance", "tool_activity", "command_extraction", "task_lifecycle", "git_metadata", "duration_timestamps", "repository_attribution", "model_attribution", "provenance_matching", "session_catalogue", "thread_relationships")
+
+
 def capabilities(sessions: DataFrame, token_events: DataFrame) -> DataFrame:
     """(sid, capability, available), long form."""
     used = token_events.select("sid").distinct().withColumn("used", F.lit(True))
@@ -15,6 +19,36 @@ def capabilities(sessions: DataFrame, token_events: DataFrame) -> DataFrame:
     return rows.select("sid", F.explode(F.array(*[F.struct(F.lit(k).alias("capability"), v.alias("available")) for k, v in known.items()])).alias("c")).select("sid", "c.*")
 
 
+def matrix(facts: DataFrame) -> DataFrame:
+    """(sid, capability, status, evidence): fifteen rows a session.
+
+    facts: sid, a count (null: not looked at) under each capability's name, and partial_line, odd_tools, unresolved
+    (flags). Available with evidence, not_observed without; degraded where a log is cut short, where tools come
+    in an unknown form only, or where no event could be resolved; unknown where nothing was looked at."""
+    bad = {"rollout_metadata": F.col("partial_line"), "tool_activity": F.col("odd_tools") & (F.col("tool_activity") == 0), "command_extraction": F.col("odd_tools") & (F.col("command_extraction") == 0), "provenance_matching": F.col("unresolved") & (F.col("provenance_matching") == 0)}
+    def one(k: str) -> Column:
+        status = F.when(F.col(k).isNull(), "unknown").when(bad.get(k, F.lit(False)), "degraded").when(F.col(k) > 0, "available").otherwise("not_observed")
+        return F.struct(F.lit(k).alias("capability"), status.alias("status"), F.coalesce(F.col(k).cast("long"), F.lit(0)).alias("evidence"))
+
+    return facts.select("sid", F.explode(F.array(*map(one, CAPABILITIES))).alias("c")).select("sid", "c.*")
+
+
+def run_coverage(rows: DataFrame, run: int) -> DataFrame:
+    """(run, capability, total, available, degraded, not_observed, unknown, ratio): a run's sessions by status, a row for each capability."""
+    by = rows.groupBy("capability").agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in ("available", "degraded", "not_observed", "unknown")])
+    return by.select(F.lit(run).alias("run"), "*", (F.col("available") / F.col("total")).alias("ratio"))
+
+
+def carried(before: DataFrame, run: int) -> DataFrame:
+    """The last run's coverage under a new run, for a run in which nothing changed."""
+    last = before.agg(F.max("run").alias("last"))
+    return before.crossJoin(last).where("run = last").drop("last").withColumn("run", F.lit(run))  # one row
+
+
+def status(ratio: Column, regressed: Column) -> Column:
+    return F.when(ratio.isNull(), "unknown").when(regressed, "regressed").when(ratio == 0, "not_observed").when(ratio < 1, "partial").otherwise("complete")
+
+
 def snapshot(rows: DataFrame, *run: str) -> DataFrame:
     by = rows.groupBy(*run, "capability").agg(F.count("*").alias("sessions"), F.count_if("available").alias("available"))
     return by.withColumn("ratio", F.col("available") / F.col("sessions"))

@@ -396,8 +396,3 @@ def prompt_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sid, count(*) FILTER (cumulative_total < p) AS decreases, 0 AS component_over_total FROM (SELECT sid, cumulative_total, lag(cumulative_total) OVER (PARTITION BY sid ORDER BY event_ordinal) AS p FROM fx_token_events) GROUP BY sid")
 def token_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.token_warnings(X.token_events(spark, sf_dir))
-
-
-@query("SELECT 'documents' AS name, count(*) AS rows, count(text) AS with_text FROM documents UNION ALL SELECT 'conversations', count(*), count(text) FROM conversations")
-def privacy_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.inventory({n: (X.read(spark, sf_dir, n), "text") for n in ("documents", "conversations")})

@@ -62,7 +62,10 @@ def texts(v: Column) -> Column:
 
 def attachments(v: Column) -> Column:
     """Kind and digest of what a message brings besides its text."""
-    lists = [F.transform(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<variant>"), F.array().cast("array<variant>")), lambda x, k=k: F.concat(F.lit(k + ":"), digest(x))) for k in ("images", "local_images", "audio", "local_audio")]
+    def listed(k: str) -> Column:
+        return F.transform(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.concat(F.lit(k + ":"), digest(x)))
+
+    lists = [listed(k) for k in ("images", "local_images", "audio", "local_audio")]
     parts = F.filter(F.coalesce(F.try_variant_get(v, "$.content", "array<variant>"), F.array().cast("array<variant>")), lambda x: (kind(x) == "OBJECT") & ~F.coalesce(got(x, "$.type") == "input_text", F.lit(False)))
     return F.concat(*lists, F.transform(parts, lambda x: F.concat(F.coalesce(got(x, "$.type"), F.lit("attachment")), F.lit(":"), digest(x))))
 

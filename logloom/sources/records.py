@@ -76,22 +76,22 @@ def parsed(rows: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-def malformed(rows: DataFrame) -> DataFrame:
-    """Lines by status."""
-    return parsed(rows).groupBy("status").agg(F.count("*").alias("lines"))
+def inner(x: Column) -> Column:
+    """The fields of an object, the items of a list: array of path and value."""
+    kind = F.regexp_extract(F.schema_of_variant(x["v"]), "^[A-Z]+", 0)
+    fields = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string, variant>")), lambda e: F.struct(F.concat_ws(".", x["path"], e["key"]).alias("path"), e["value"].alias("v")))
+    items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda e: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), e.alias("v")))
+    return F.coalesce(F.when(kind == "OBJECT", fields).when(kind == "ARRAY", items), F.array().cast("array<struct<path: string, v: variant>>"))
 
 
 def field_profile(rows: DataFrame, line: str = "line", depth: int = 6) -> DataFrame:
-    """(path, type, n, min, max and mean text length) of the fields of JSON lines, depth levels down; never values."""
-    level = rows.select(F.lit("$").alias("path"), F.try_parse_json(F.col(line)).alias("v")).where("v IS NOT NULL")
-    found = None
-    for _ in range(depth):
-        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-        inner = level.where(kind == "OBJECT").select("path", F.explode(F.expr("try_variant_get(v, '$', 'map<string, variant>')")).alias("k", "v")).select(F.concat_ws(".", "path", "k").alias("path"), "v")
-        items = level.where(kind == "ARRAY").select(F.concat("path", F.lit("[]")).alias("path"), F.explode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("v"))
-        level = inner.union(items)
-        part = level.select("path", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("type"), F.length(F.try_variant_get("v", "$", "string")).alias("len"))
-        found = part if found is None else found.union(part)
+    """(path, type, n, min, max and mean text length) of the fields of JSON lines, depth levels down; never values.
+
+    All levels of a line are unfolded within its row, so that the source is read and parsed once."""
+    now = rows.select(F.struct(F.lit("$").alias("path"), F.try_parse_json(F.col(line)).alias("v")).alias("x")).where("x.v IS NOT NULL").select(inner(F.col("x")).alias("l1"))
+    for k in range(2, depth + 1):
+        now = now.withColumn(f"l{k}", F.flatten(F.transform(f"l{k - 1}", inner)))
+    found = now.select(F.explode(F.concat(*[F.col(f"l{k}") for k in range(1, depth + 1)])).alias("x")).select("x.path", F.regexp_extract(F.schema_of_variant("x.v"), "^[A-Z]+", 0).alias("type"), F.length(F.try_variant_get("x.v", "$", "string")).alias("len"))
     text = F.when(F.col("type") == "STRING", F.col("len"))
     return found.groupBy("path", "type").agg(F.count("*").alias("n"), F.min(text).alias("shortest"), F.max(text).alias("longest"), F.avg(text).alias("mean_length"))
 

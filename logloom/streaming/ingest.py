@@ -12,6 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from logloom.sources import records
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # what stateful counters need
+
 
 def ingest(lines: DataFrame, out: str, checkpoint: str, more: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Record lines (a stream of immutable chunks) parsed and appended as Parquet.
@@ -25,10 +27,17 @@ def ingest(lines: DataFrame, out: str, checkpoint: str, more: Callable[[DataFram
 
 
 def windowed_usage(steps: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tokens by window of event time; what comes later than the watermark is left out (count it with late_steps)."""
+    """Tokens by window of event time, once the watermark is past it; what comes later still is left out (late_steps tells what)."""
     return steps.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width).alias("w")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("steps")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "tokens", "steps")
 
 
+def late_steps(steps: DataFrame, closed: DataFrame) -> DataFrame:
+    """(start, tokens, steps): what a batch of steps holds for windows of which closed (start, end, tokens, steps) tells fewer steps."""
+    width = closed.select("start", "end")
+    held = steps.join(width, (F.col("occurred_at") >= F.col("start")) & (F.col("occurred_at") < F.col("end"))).groupBy("start").agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("all_steps"))
+    return held.join(closed, "start").where("all_steps > steps").select("start", (F.col("all_tokens") - F.col("tokens")).alias("tokens"), (F.col("all_steps") - F.col("steps")).alias("steps"))
+
+
 class Increments(StatefulProcessor):
     """Holds each session's last cumulative total; a fall yields a row marked as such and starts anew."""
 
