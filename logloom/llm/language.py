@@ -7,7 +7,7 @@ softmax of that sum; it isn't calibrated, and near 1 for all but short or mixed
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``, dealt by a hash of the id) and
 holds ``entries`` words and as many n-grams of each order; every language has an equal part of them, its
-most frequent ones.
+most frequent ones (of those that are equally frequent, all or none).
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from,
 every text is ``und``; a tie goes to the smaller language name; rows without an id aren't learned from;
@@ -19,19 +19,19 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 _scorers: dict[str, Scorer] = {}
 
 
@@ -56,14 +56,25 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     model: dict[str, Any] = {"id": uuid.uuid4().hex, "langs": langs, "prior": np.log([shares.get(l, 1) / sum(shares.values()) for l in langs]), "entries": []}
     if not langs:
         return model
-    # a word met once tells of one text only; the entries are dealt to the languages in equal parts
-    every = F.sum("n").over(W.partitionBy("k", "g"))
-    place = F.row_number().over(W.partitionBy("k", "l").orderBy(F.desc("n"), "g"))
-    chosen = counts.withColumn("all", every).where("all > 1 OR k > 0").withColumn("place", place).where(F.col("place") <= entries // len(langs)).select("k", "g").distinct()
+    # an order's entries are dealt to the languages in equal parts: each takes the counts that its part has room for
+    part, least = entries // len(langs), {}
+    hist = counts.groupBy("k", "l", "n").agg(F.count("*").alias("m")).orderBy("k", "l", F.desc("n")).toArrow().to_pylist()  # a row per distinct count
+    for (k, l), rows_ in groupby(hist, lambda r: (r["k"], r["l"])):
+        room = part
+        for r in rows_:
+            room -= r["m"]
+            if room < 0:
+                break
+            least[k, l] = r["n"]
     each = [F.coalesce(F.sum(F.when(F.col("l") == l, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, l in enumerate(langs)]
-    kept = checkpointed(counts.join(chosen, ["k", "g"]).groupBy("k", "g").agg(*each))
+    wanted = F.lit(False)
+    for i, l in enumerate(langs):
+        for k in (0, *ORDERS):
+            wanted |= (F.col("k") == k) & (F.col(f"n{i}") >= least.get((k, l), 1 << 62))
+    # a word met once tells of one text only
+    kept = checkpointed(counts.groupBy("k", "g").agg(F.sum("n").alias("all"), *each).where(wanted & ((F.col("all") > 1) | (F.col("k") > 0))).drop("all"))
     for k in range(max(ORDERS) + 1):
-        t = kept.where(F.col("k") == k).drop("k").orderBy("g").toArrow()
+        t = kept.where(F.col("k") == k).drop("k").toArrow().sort_by("g")
         n = np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], axis=1)
         below = np.array([totals.get((l, k), 0) + 1000.0 for l in langs])
         model["entries"].append(("\n".join(t["g"].to_pylist()), np.log((n + 0.1) / below).astype("f4")))
@@ -95,7 +106,7 @@ class Scorer:
             index = self.index[k]
             seen = [i for j in range(len(marked) - k + 1) if (i := index.get(marked[j : j + k])) is not None]
             if seen:
-                row[:] = self.table[seen].mean(0)
+                row[:] = self.table[seen].mean(0, dtype="f8")
                 break
         self.words[word] = self.used
         self.used += 1
