@@ -91,7 +91,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
     for b, p in parts.items():
         pieces = pieces.when(F.col("k") == number(b), p)
     pieces = pieces.otherwise(1)
-    first = F.coalesce(range_of(0, len(bounds) - 1), F.lit(-1)).cast("long")
+    first = F.when(F.col("k").isNull(), -1).otherwise(range_of(0, len(bounds) - 1)).cast("long")
     dealt = rows.select("k", "t", "h", F.struct(first.alias("r"), F.least(F.floor(share * pieces), pieces - 1).cast("long").alias("s")).alias("r"), F.lit(0).alias("added"))
     place = F.struct(F.coalesce(F.col("k").cast("long"), F.lit("-9223372036854775808").cast("long")), "h")
     heads = checkpointed(dealt.groupBy("r").agg(F.max_by("t", place).alias("t")))
