@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ FEATURES = {
     "requirement": r"(?im)^\s*(?:[-*+]\s+|\d+[.)]\s+|(?:must|should|support|ensure|add|implement|create|do not|never)\b|(?:必須|必须|應|应|需要|支持|實現|实现|添加|不要|不得)\b)",
 }
 
+# Texts without any of these (in lower case) cannot match the pattern, and are not searched by it.
+NEEDED = {
+    "acceptance": ("acceptance criteria", "驗收標準", "验收标准"),
+    "validation": ("pytest", "test", "validat", "verify", "ruff", "mypy", "測試", "测试", "驗證", "验证", "校驗", "校验"),
+    "path": ("/", ".py", ".md", ".toml", ".json", ".yaml", ".yml", ".sql", ".sh", ".ts", ".js", ".cpp", ".c", ".h"),
+    "commit": ("commit", "提交"),
+    "commits": ("commit", "提交"),
+    "non_goal": ("do not", "don't", "never", "non-goal", "不要", "不得", "切勿", "非目"),
+    "read_only": ("read", "do not", "只讀", "只读", "不得", "不要"),
+}
+
 # Intent rules in their order, which breaks ties; (name, pattern).
 ACTIONS = (
     ("code_review", r"(?i)\b(code review|review|audit)\b|審查|审查|評審|评审"),
@@ -91,11 +104,18 @@ def once(value: Column, then: object) -> Column:
 
 def features(text: Column) -> Column:
     """Struct of descriptive features; each text is cut into lines and searched once by each pattern."""
-    parts = once(F.regexp_replace(text, "\r\n?", "\n"), lambda t: F.struct(t.alias("t"), lines_without(t, FEATURES["non_goal"]).alias("p")))
+    def any_of(low: Column, k: str) -> Column:
+        return reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in NEEDED[k]])
+
+    def cut(t: Column) -> Column:
+        low = F.lower(t)
+        return once(low, lambda x: F.struct(t.alias("t"), x.alias("low"), F.when(any_of(x, "non_goal"), lines_without(t, FEATURES["non_goal"])).otherwise(t).alias("p")))
+
+    parts = once(F.regexp_replace(text, "\r\n?", "\n"), cut)
 
     def of(x: Column) -> Column:
         t, positive = x["t"], x["p"]
-        has = lambda s, k: s.rlike(unicode(FEATURES[k]))
+        has = lambda s, k: any_of(x["low"], k) & s.rlike(unicode(FEATURES[k]))
         counts = F.struct(has(positive, "commits").alias("many"), hits(t, FEATURES["requirement"]).alias("needs"))
         return once(counts, lambda n: F.struct(
             F.length(text).alias("characters"),
@@ -103,7 +123,7 @@ def features(text: Column) -> Column:
             hits(t, FEATURES["heading"]).alias("headings"),
             has(t, "acceptance").alias("has_acceptance_criteria"),
             has(positive, "validation").alias("requests_validation"),
-            hits(t, FEATURES["path"]).alias("paths"),
+            F.when(any_of(x["low"], "path"), hits(t, FEATURES["path"])).otherwise(0).alias("paths"),
             (has(positive, "commit") | n["many"]).alias("requests_commit"),
             n["many"].alias("requests_multiple_commits"),
             has(t, "non_goal").alias("has_non_goals"),

@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 
 
 def postings(prompts: DataFrame, key: str = "prompt_id", text: str = "text") -> DataFrame:
-    """(key, token, tf, len, positions): of each text its lower-case runs of letters and digits, how often and where they stand, and the text's length."""
+    """(key, token, pos, len): where each lower-case run of letters and digits stands, and how many its text has. Nothing is moved."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = prompts.select(key, words.alias("w")).select(key, F.size("w").alias("len"), F.posexplode("w").alias("pos", "token"))
-    return rows.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return prompts.select(key, words.alias("w")).select(key, F.size("w").alias("len"), F.posexplode("w").alias("pos", "token")).select(key, "token", "pos", "len")
 
 
 def lengths(index: DataFrame, key: str = "prompt_id") -> DataFrame:
     """(key, len) of each text with a word."""
-    return index.groupBy(key).agg(F.first("len").alias("len"))
+    return index.where("pos = 0").select(key, "len")
 
 
 def search(index: DataFrame, every: list[str] = (), some: list[str] = (), without: list[str] = (), phrase: list[str] = (), prefix: str | None = None, key: str = "prompt_id", k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
@@ -31,6 +30,7 @@ def search(index: DataFrame, every: list[str] = (), some: list[str] = (), withou
         hit = hit | F.col("token").startswith(prefix)
     found = index.where(hit | F.col("token").isin(list(without)))
     has = lambda words: F.size(F.array_intersect("tokens", F.array(*map(F.lit, words))))
+    found = found.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.collect_list("pos").alias("positions"))
     sets = found.groupBy(key).agg(F.collect_set("token").alias("tokens"), F.collect_list(F.struct("token", "tf", "len", "positions")).alias("terms"))
     need = list(dict.fromkeys([*every, *phrase]))
     if need:
@@ -56,7 +56,7 @@ def search(index: DataFrame, every: list[str] = (), some: list[str] = (), withou
 
 def snippets(index: DataFrame, hits: DataFrame, words: list[str], key: str = "prompt_id", width: int = 18) -> DataFrame:
     """(key, snippet): the tokens from a little before the first hit, the hits in brackets."""
-    rows = index.join(hits.select(key), key, "left_semi").select(key, "token", F.explode("positions").alias("pos"))
+    rows = index.join(hits.select(key), key, "left_semi")
     first = F.min(F.when(F.col("token").isin(words), F.col("pos"))).over(W.partitionBy(key))
     near = rows.withColumn("first", first).where((F.col("pos") >= F.col("first") - 4) & (F.col("pos") < F.col("first") - 4 + width))
     shown = F.when(F.col("token").isin(words), F.concat(F.lit("["), "token", F.lit("]"))).otherwise(F.col("token"))
