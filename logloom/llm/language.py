@@ -31,7 +31,7 @@ from .common import checkpointed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 120_000
 _scorers: dict[str, Scorer] = {}
 
 
@@ -82,7 +82,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 class Scorer:
-    """The model, and a bounded table of the scores of unseen words met so far."""
+    """The model, and a bounded table of the scores of unseen words met of late: of two halves, the older one gives way."""
 
     def __init__(self, m: dict[str, Any]):
         self.langs, self.prior = m["langs"], m["prior"]
@@ -92,25 +92,31 @@ class Scorer:
             self.index.append({g: at + i for i, g in enumerate(names.split("\n"))} if len(table) else {})
             tables.append(table)
             at += len(table)
-        self.known = self.used = at
-        self.table = np.concatenate([*tables, np.zeros((CACHE_ENTRIES, len(self.langs)), "f4")])
-        self.words = dict(self.index[0]) if self.index else {}
+        self.known, self.half, self.used = at, 0, 0
+        self.table = np.concatenate([*tables, np.zeros((2 * CACHE_ENTRIES, len(self.langs)), "f4")])
+        self.words = dict(self.index[0]) if self.index else {}  # known ones and those of the newer half
+        self.older: dict[str, int] = {}
 
     def unseen(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.words, self.used = dict(self.index[0]), self.known
+        if self.used == CACHE_ENTRIES:
+            known = self.index[0]
+            self.older = {w: i for w, i in self.words.items() if w not in known}
+            self.words, self.half, self.used = dict(known), 1 - self.half, 0
+        at = self.known + self.half * CACHE_ENTRIES + self.used
+        before = self.older.get(word)
+        self.table[at] = self.score_of(word) if before is None else self.table[before]
+        self.words[word] = at
+        self.used += 1
+        return at
+
+    def score_of(self, word: str) -> np.ndarray | float:
         marked = f"<{word}>"
-        row = self.table[self.used]
-        row[:] = 0
         for k in ORDERS:
             index = self.index[k]
             seen = [i for j in range(len(marked) - k + 1) if (i := index.get(marked[j : j + k])) is not None]
             if seen:
-                row[:] = self.table[seen].mean(0, dtype="f8")
-                break
-        self.words[word] = self.used
-        self.used += 1
-        return self.used - 1
+                return self.table[seen].mean(0, dtype="f8")
+        return 0.0
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text and self.langs else []
