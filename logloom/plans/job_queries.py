@@ -18,20 +18,17 @@ from .queries import EVENTS, TOKENS, query, resolved_events
 from .report_queries import FULL, PROMPTS, full, prompt_facts
 from .stored import stored, written
 
-SID = F.col("sid")
-
-
 # ---- catalogues
 
 def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions as a catalogue may hold them: other names, times in three notations, sources and remotes in several forms."""
     s = X.sessions(spark, sf_dir)
     at, end = F.col("started_at"), F.col("ended_at")
-    created = F.when(SID % 3 == 0, F.unix_timestamp(at).cast("string")).when(SID % 3 == 1, F.unix_millis(at).cast("string")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    source = F.when(F.col("client_kind") == "subagent", F.concat(F.lit('{"subagent":{"thread_spawn":{"parent_thread_id":"'), SID - 1, F.lit('"}}}'))).when(F.col("client_kind") == "cli", "CLI").otherwise("vscode")
-    repo = F.concat(F.lit("me/repo-"), SID % 8, F.lit(".git"))
-    url = F.when(SID % 4 == 0, F.concat(F.lit("git@Host.org:"), repo)).when(SID % 4 == 1, F.concat(F.lit("https://user:pw@host.org/"), repo)).when(SID % 4 == 2, F.concat(F.lit("ssh://git@host.org:2222/"), repo))
-    rows = s.select(SID.cast("string").alias("Thread_ID"), F.concat(F.lit("logs/./s-"), SID, F.lit(".jsonl")).alias("rollout_path"), created.alias("created_at"), F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("ended_at"), source.alias("source"), F.col("repository_root").alias("cwd"), url.alias("git_origin_url"), F.when(SID % 6 == 0, "1").otherwise("no").alias("is_archived"))
+    created = F.when(F.col("sid") % 3 == 0, F.unix_timestamp(at).cast("string")).when(F.col("sid") % 3 == 1, F.unix_millis(at).cast("string")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    source = F.when(F.col("client_kind") == "subagent", F.concat(F.lit('{"subagent":{"thread_spawn":{"parent_thread_id":"'), F.col("sid") - 1, F.lit('"}}}'))).when(F.col("client_kind") == "cli", "CLI").otherwise("vscode")
+    repo = F.concat(F.lit("me/repo-"), F.col("sid") % 8, F.lit(".git"))
+    url = F.when(F.col("sid") % 4 == 0, F.concat(F.lit("git@Host.org:"), repo)).when(F.col("sid") % 4 == 1, F.concat(F.lit("https://user:pw@host.org/"), repo)).when(F.col("sid") % 4 == 2, F.concat(F.lit("ssh://git@host.org:2222/"), repo))
+    rows = s.select(F.col("sid").cast("string").alias("Thread_ID"), F.concat(F.lit("logs/./s-"), F.col("sid"), F.lit(".jsonl")).alias("rollout_path"), created.alias("created_at"), F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("ended_at"), source.alias("source"), F.col("repository_root").alias("cwd"), url.alias("git_origin_url"), F.when(F.col("sid") % 6 == 0, "1").otherwise("no").alias("is_archived"))
     return rows.union(rows.limit(1).withColumn("Thread_ID", F.lit(None).cast("string")))
 
 
@@ -46,13 +43,13 @@ def catalogue_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.sessions(spark, sf_dir).where("sid % 5 <> 0").select(F.concat(F.lit("/home/u/logs/s-"), SID, F.lit(".jsonl")).alias("path"), SID.cast("long").alias("size"), F.col("started_at").alias("modified_at"))
+    return X.sessions(spark, sf_dir).where("sid % 5 <> 0").select(F.concat(F.lit("/home/u/logs/s-"), F.col("sid"), F.lit(".jsonl")).alias("path"), F.col("sid").cast("long").alias("size"), F.col("started_at").alias("modified_at"))
 
 
 @query("SELECT sid, CASE WHEN sid % 11 = 1 THEN '/elsewhere/s-' || sid || '.jsonl' ELSE '/home/u/logs/s-' || sid || '.jsonl' END AS path, CASE WHEN sid % 11 = 1 THEN 'outside_home' WHEN sid % 5 = 0 THEN 'missing' ELSE 'present' END AS status FROM fx_sessions")
 def log_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of logs made absolute, and what of them is there."""
-    rows = X.sessions(spark, sf_dir).select("sid", F.when(SID % 11 == 1, F.concat(F.lit("../../elsewhere/s-"), SID, F.lit(".jsonl"))).otherwise(F.concat(F.lit("logs/./s-"), SID, F.lit(".jsonl"))).alias("path"))
+    rows = X.sessions(spark, sf_dir).select("sid", F.when(F.col("sid") % 11 == 1, F.concat(F.lit("../../elsewhere/s-"), F.col("sid"), F.lit(".jsonl"))).otherwise(F.concat(F.lit("logs/./s-"), F.col("sid"), F.lit(".jsonl"))).alias("path"))
     return catalogue.placed(rows, "/home/u", files(spark, sf_dir))
 
 
@@ -62,9 +59,9 @@ def log_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def catalogue_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of a catalogue; in one every log is there, and it has edges."""
-    rows = X.sessions(spark, sf_dir).select("sid", F.concat(F.lit("/home/u/logs/s-"), SID, F.lit(".jsonl")).alias("path"))
+    rows = X.sessions(spark, sf_dir).select("sid", F.concat(F.lit("/home/u/logs/s-"), F.col("sid"), F.lit(".jsonl")).alias("path"))
     every = rows.withColumn("snapshot", F.lit("a")).unionByName(rows.where("sid % 5 <> 0").withColumn("snapshot", F.lit("b")))
-    about = X.sessions(spark, sf_dir).groupBy(F.when(SID % 2 == 0, "a").otherwise("b").alias("snapshot")).agg(F.max("started_at").alias("modified_at")).withColumns({"has_edges": F.col("snapshot") == "b", "has_times": F.lit(True)})
+    about = X.sessions(spark, sf_dir).groupBy(F.when(F.col("sid") % 2 == 0, "a").otherwise("b").alias("snapshot")).agg(F.max("started_at").alias("modified_at")).withColumns({"has_edges": F.col("snapshot") == "b", "has_times": F.lit(True)})
     return catalogue.chosen(every, files(spark, sf_dir), about)
 
 
@@ -91,7 +88,7 @@ def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of a table under other names, in order, with their ends looked up."""
     raw = X.edges(spark, sf_dir).select(F.col("parent").cast("string").alias("PARENT_thread_id"), F.col("child").cast("string").alias("child_id"))
-    ids = X.sessions(spark, sf_dir).select(SID.cast("string").alias("sid"), F.lit(1).alias("known"))
+    ids = X.sessions(spark, sf_dir).select(F.col("sid").cast("string").alias("sid"), F.lit(1).alias("known"))
     e = catalogue.edges(raw).join(ids.select(F.col("sid").alias("parent"), F.col("known").alias("p")), "parent", "left").join(ids.select(F.col("sid").alias("child"), F.col("known").alias("c")), "child", "left")
     return e.select(F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"), (F.col("parent") == F.col("child")).alias("self"), (F.col("p").isNull() | F.col("c").isNull()).alias("orphan")).orderBy("child", "parent")
 
@@ -105,8 +102,8 @@ def topology_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Files now and as they were: every fifth has grown, every seventh is new."""
-    now = X.sessions(spark, sf_dir).select("sid", F.concat(F.lit("s-"), SID).alias("path"), (SID + 10).cast("long").alias("size"), F.col("started_at").alias("modified_at"))
-    was = now.where("sid % 7 <> 0").select("path", F.when(SID % 5 == 0, F.col("size") - 1).otherwise(F.col("size")).alias("size"), "modified_at", F.lit("v1").alias("version"), F.lit("old").alias("fingerprint"))
+    now = X.sessions(spark, sf_dir).select("sid", F.concat(F.lit("s-"), F.col("sid")).alias("path"), (F.col("sid") + 10).cast("long").alias("size"), F.col("started_at").alias("modified_at"))
+    was = now.where("sid % 7 <> 0").select("path", F.when(F.col("sid") % 5 == 0, F.col("size") - 1).otherwise(F.col("size")).alias("size"), "modified_at", F.lit("v1").alias("version"), F.lit("old").alias("fingerprint"))
     return now, was
 
 
@@ -123,7 +120,7 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest after a run in which every third changed file was cut short: those keep what was last read well."""
     now, was = listing(spark, sf_dir)
-    parsed = records.changed_files(now, was).select("sid", F.when(SID % 3 == 0, "partial").otherwise("ok").alias("status"), F.lit("new").alias("fingerprint"))
+    parsed = records.changed_files(now, was).select("sid", F.when(F.col("sid") % 3 == 0, "partial").otherwise("ok").alias("status"), F.lit("new").alias("fingerprint"))
     return jobs.manifest(now, was, parsed, "v2").select("path", "size", "version", "status", "warning")
 
 
@@ -132,7 +129,7 @@ def index_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log row of that run."""
     now, was = listing(spark, sf_dir)
     rows = now.join(records.changed_files(now, was).select("sid", F.lit(True).alias("changed")), "sid", "left").join(was.select("path", F.lit(True).alias("known")), "path", "left")
-    state = F.when(F.col("changed").isNull(), "unchanged").when(SID % 3 == 0, "stale").when(F.col("known").isNull(), "new").otherwise("updated")
+    state = F.when(F.col("changed").isNull(), "unchanged").when(F.col("sid") % 3 == 0, "stale").when(F.col("known").isNull(), "new").otherwise("updated")
     return jobs.run_log(rows.select("sid", state.alias("state")), 7, F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp")).drop("started_at", "finished_at")
 
 
@@ -150,14 +147,14 @@ def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New metadata over old: known over unknown, the later end."""
     hour = lambda k: F.timestamp_micros(F.unix_micros("started_at") + k * 3_600_000_000)
     old = X.sessions(spark, sf_dir).select("sid", hour(1).alias("ended_at"), F.lit("old").alias("model"))
-    new = X.sessions(spark, sf_dir).select("sid", F.when(SID % 3 == 0, hour(2)).alias("ended_at"), F.when(SID % 2 == 0, "new").alias("model"))
+    new = X.sessions(spark, sf_dir).select("sid", F.when(F.col("sid") % 3 == 0, hour(2)).alias("ended_at"), F.when(F.col("sid") % 2 == 0, "new").alias("model"))
     return catalogue.merged(old, new).select("sid", "model", F.unix_micros("ended_at").alias("ended"))
 
 
 @query("SELECT sid, state, at_ FROM (SELECT sid, 's' || k AS state, k * 10 AS at_, row_number() OVER (PARTITION BY sid ORDER BY k * 10 DESC, 'p' || k DESC) AS r FROM fx_sessions, (SELECT unnest([1, 2, 3]) AS k) WHERE k <= 1 + sid % 3) WHERE r = 1")
 def latest_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's newest row of the ingestion log."""
-    rows = X.sessions(spark, sf_dir).select("sid", F.explode(F.sequence(F.lit(1), (1 + SID % 3).cast("int"))).alias("k")).select("sid", F.concat(F.lit("s"), "k").alias("state"), (F.col("k") * 10).alias("at_"), F.concat(F.lit("p"), "k").alias("path"))
+    rows = X.sessions(spark, sf_dir).select("sid", F.explode(F.sequence(F.lit(1), (1 + F.col("sid") % 3).cast("int"))).alias("k")).select("sid", F.concat(F.lit("s"), "k").alias("state"), (F.col("k") * 10).alias("at_"), F.concat(F.lit("p"), "k").alias("path"))
     return sessions.latest(rows, ["sid"], F.desc("at_"), F.desc("path")).select("sid", "state", "at_")
 
 
@@ -170,7 +167,7 @@ def changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sid FROM fx_sessions WHERE sid % 4 = 0 OR sid % 6 = 0")
 def outdated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions that an older classifier of tasks or outcomes has judged."""
-    tables = [(X.sessions(spark, sf_dir).select("sid", F.when(SID % n == 0, "v1").otherwise("v2").alias("version")), "v2") for n in (4, 6)]
+    tables = [(X.sessions(spark, sf_dir).select("sid", F.when(F.col("sid") % n == 0, "v1").otherwise("v2").alias("version")), "v2") for n in (4, 6)]
     return jobs.dirty_by_version(tables)
 
 
@@ -226,7 +223,7 @@ def history_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt history of two lines a session, one without a session; every tenth session's one line is broken."""
     at = F.unix_timestamp("started_at")
     good = X.sessions(spark, sf_dir).where("sid % 10 <> 0")
-    a = good.select(F.to_json(F.struct(SID.cast("string").alias("session_id"), at.alias("ts"), F.lit("x").alias("text"))).alias("line"))
+    a = good.select(F.to_json(F.struct(F.col("sid").cast("string").alias("session_id"), at.alias("ts"), F.lit("x").alias("text"))).alias("line"))
     b = good.select(F.to_json(F.struct(F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit("x").alias("prompt"))).alias("line"))
     bad = X.sessions(spark, sf_dir).where("sid % 10 = 0").select(F.lit('{"ts":').alias("line"))
     return census.history(a.union(b).union(bad)).withColumns({c: F.unix_micros(c) for c in ("oldest", "newest")})
@@ -235,13 +232,13 @@ def history_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'modified' AS pick, 's-' || sid AS path FROM (SELECT sid, ntile(4) OVER (ORDER BY started_at, 's-' || sid) AS k, row_number() OVER (ORDER BY started_at, 's-' || sid) AS r, count(*) OVER () AS n FROM fx_sessions) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r) = 1 OR r = n")
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five logs evenly spread over time (a sampling operator)."""
-    rows = X.sessions(spark, sf_dir).select(F.concat(F.lit("s-"), SID).alias("path"), F.col("started_at").alias("modificationTime"))
+    rows = X.sessions(spark, sf_dir).select(F.concat(F.lit("s-"), F.col("sid")).alias("path"), F.col("started_at").alias("modificationTime"))
     return census.spread(rows, 5).select(F.lit("modified").alias("pick"), "path")
 
 
 @query("SELECT 'repo-' || (sid % 8) AS folder, count(*) AS files, sum(sid)::BIGINT AS bytes FROM fx_sessions GROUP BY 1")
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.sessions(spark, sf_dir).select(F.concat(F.lit("/logs/repo-"), SID % 8, F.lit("/s-"), SID).alias("path"), SID.alias("length"), F.col("started_at").alias("modificationTime"))
+    rows = X.sessions(spark, sf_dir).select(F.concat(F.lit("/logs/repo-"), F.col("sid") % 8, F.lit("/s-"), F.col("sid")).alias("path"), F.col("sid").alias("length"), F.col("started_at").alias("modificationTime"))
     return census.inventory(rows).select("folder", "files", "bytes")
 
 
@@ -300,7 +297,7 @@ def coverage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run in which five of six sessions lost what was known of them, against the one before."""
     rows = capability_rows(spark, sf_dir)
-    lost = rows.withColumn("status", F.when(SID % 6 == 0, F.col("status")).otherwise("not_observed"))
+    lost = rows.withColumn("status", F.when(F.col("sid") % 6 == 0, F.col("status")).otherwise("not_observed"))
     both = coverage.run_coverage(rows, 1).unionByName(coverage.run_coverage(lost, 2)).select("run", "capability", F.col("total").alias("sessions"), "ratio")
     found = coverage.against_previous(both).where("run = 2")
     return found.select("capability", "ratio", F.col("ratio_before").alias("before"), "regressed", coverage.status(F.col("ratio"), F.col("regressed")).alias("status"))
@@ -317,7 +314,7 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     now, was = listing(spark, sf_dir)
     lines = records.parsed(log_rows(spark, sf_dir)).agg(F.count_if(F.col("status") == "malformed"))
     spawned = resolved_events(spark, sf_dir).agg(F.count_if(F.col("status") == "unknown") / F.count("*"))
-    metrics = {"sessions": s.agg(F.count("*")), "stale_sessions": s.agg(F.count_if(SID % 35 == 0)), "malformed_lines": lines, "unknown_event_rate": spawned, "capabilities_degraded": capability_rows(spark, sf_dir).agg(F.count_if(F.col("status") == "degraded")), "source_minus_index": now.join(was, "path", "left_anti").agg(F.count("*"))}
+    metrics = {"sessions": s.agg(F.count("*")), "stale_sessions": s.agg(F.count_if(F.col("sid") % 35 == 0)), "malformed_lines": lines, "unknown_event_rate": spawned, "capabilities_degraded": capability_rows(spark, sf_dir).agg(F.count_if(F.col("status") == "degraded")), "source_minus_index": now.join(was, "path", "left_anti").agg(F.count("*"))}
     out = None
     for k, df in metrics.items():
         row = df.select(F.lit(k).alias("metric"), F.col(df.columns[0]).cast("double").alias("value"))

@@ -28,7 +28,7 @@ _now = threading.local()
 
 def state(spark: SparkSession, sf_dir: str) -> str:
     """A digest of the source files; only their listing is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{n}.parquet" for n in SOURCES])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{{{','.join(SOURCES)}}}.parquet")
     names = F.xxhash64("path", "length", "modificationTime")
     return hashlib.sha256(repr(tuple(files.agg(F.count("*"), F.bit_xor(names)).first())).encode()).hexdigest()[:24]
 

@@ -133,3 +133,13 @@ def test_paths_and_names(spark):
     typed = events.typed(spark.createDataFrame([(1, i, json.dumps({"type": f"new{i}", "payload": {"type": "task_rolled"}})) for i in range(5)], "sid long, ordinal long, line string"))
     found = {(r["kind"], r["name"]): r["n"] for r in census.unknown(typed, most=3).collect()}
     assert found == {("record_type", "new0"): 1, ("record_type", "new1"): 1, ("record_type", "new2"): 1, ("record_type", census.MORE): 2, ("payload_type", "task_rolled"): 5}
+
+
+def test_the_entry_is_imported_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
