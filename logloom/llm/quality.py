@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 from typing import Any
 
 import numpy as np
