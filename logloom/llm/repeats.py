@@ -15,7 +15,7 @@ All three passes read one shuffle of the texts (chunks are dealt by a hash of id
 passage that very many documents share counts once a chunk where the text around it is the same too. Around
 an anchor of more than ``hot`` documents the chunks send, instead, the hash of each string of ``length``
 bytes with its smallest document, to buckets by that hash, so that one anchor spreads over all of them.
-Strings are told apart by 128-bit hashes. Ids are integers.
+Strings are told apart by 128-bit hashes, the units of one chunk by 96 bits. Ids are integers.
 
 Defined cases: a null text has no bytes; rows without an id neither remove nor lose anything; rows that
 repeat an id do not remove each other; texts shorter than ``length`` stay as they are; the input's columns
@@ -37,7 +37,7 @@ BLOCK = 1 << 17  # strings hashed at once
 FOLDS = 16
 SENT = ("ids", "docs", "counts", "folds", "bytes")
 REPLY = "__chunk int, ids binary, counts binary, runs binary, docs binary"
-PAIR = np.dtype([("a", "u8"), ("b", "u8")])
+PAIR = np.dtype([("a", "u8"), ("b", "u4")])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -71,13 +71,13 @@ def joined(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
 
 
 def segment_ids(part: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the bytes from string first to string last (less than length apart), of all of them at once."""
+    """Two hashes, of 64 and 32 bits, of the bytes from string first to string last (less than length apart), of all of them at once."""
     size = (last - first).astype("u8")
     out = []
     for seed in (2, 5):
         h = rolled(part, length, seed)
         out.append(mixed(mixed(h[first] * MIX + h[last]) + size))
-    return out[0], out[1]
+    return out[0], (out[1] >> np.uint64(32)).astype("u4")
 
 
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,6 +161,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     key, text = f"c{names.index(key)}", f"c{names.index(text)}"
     chunks = max(1, -(-total // chunk_bytes))
     buckets = max(1, -(-total // (bucket_entries * 16)))
+    small = "u1" if length < 256 else "u4"  # holds how many strings may share an anchor
     rows = docs.withColumn("__chunk", F.pmod(F.xxhash64(key, text), F.lit(chunks)).cast("int"))
     schema = rows.schema
 
@@ -238,7 +239,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         some, at = np.unique(bucket[order], return_index=True)
         for a, b in zip(at, np.r_[at[1:], len(order)], strict=True):
             o = order[a:b]
-            out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype("u4").tobytes(), fold[o].tobytes(), every[spread(start[o], m[o])].tobytes()))
+            out.append((ids[o].tobytes(), doc[o].tobytes(), n[o].astype(small).tobytes(), fold[o].tobytes(), every[spread(start[o], m[o])].tobytes()))
         return sent_table(table, found, some, out)
 
     def alone(lone: list[tuple[np.ndarray, ...]]) -> list[tuple[int, tuple[bytes, ...]]]:
@@ -282,7 +283,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         if table["bucket"][0].as_py() >= buckets:
             return smallest_alone(table)
         ids = [np.frombuffer(x, PAIR) for x in table["ids"].to_pylist()]
-        doc, n = gathered(table, "docs", "i8"), gathered(table, "counts", "u4").astype("i8")
+        doc, n = gathered(table, "docs", "i8"), gathered(table, "counts", small).astype("i8")
         fold, every, size = gathered(table, "folds", "u1"), gathered(table, "bytes", "u1"), n + length - 1
         begin, place = np.cumsum(size) - size, np.cumsum(n) - n
         mine = np.empty(n.sum(), "i8")
@@ -309,7 +310,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             k = np.arange(done, done + len(x))
             done += len(x)
             r = spread(where[k], count[k])
-            out.append((x.tobytes(), count[k].astype("u4").tobytes(), runs[r].astype("u4").tobytes(), mine[head[r]].tobytes()))
+            out.append((x.tobytes(), count[k].astype(small).tobytes(), runs[r].astype(small).tobytes(), mine[head[r]].tobytes()))
         return pa.table({"__chunk": table["__chunk"], **{c: pa.array(x, pa.binary()) for c, x in zip(("ids", "counts", "runs", "docs"), zip(*out, strict=True), strict=True)}})
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -321,8 +322,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         one, two, other = gathered(apart, "ids", "u8"), gathered(apart, "runs", "u8"), gathered(apart, "docs", "i8")
         order = np.lexsort((two, one))
         one, two, other = one[order], two[order], other[order]
-        ids, count = gathered(reply, "ids", PAIR), gathered(reply, "counts", "u4").astype("i8")
-        runs, least = gathered(reply, "runs", "u4").astype("i8"), gathered(reply, "docs", "i8")
+        ids, count = gathered(reply, "ids", PAIR), gathered(reply, "counts", small).astype("i8")
+        runs, least = gathered(reply, "runs", small).astype("i8"), gathered(reply, "docs", "i8")
         order = np.lexsort((ids["b"], ids["a"]))
         first_id, second_id, where, count = ids["a"][order], ids["b"][order], (np.cumsum(count) - count)[order], count[order]
         chunk = Chunk(table, key, text, length, gram)
