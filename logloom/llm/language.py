@@ -7,9 +7,9 @@ softmax of that sum; it isn't calibrated, and near 1 for all but short or mixed
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``, dealt by a hash of the id) and
 holds ``entries`` words and as many n-grams of each order; every language has an equal part of them, its
-most frequent ones (of those that are equally frequent, all or none).
+most frequent ones (of those that are equally frequent, all or none; words met once in the sample aren't kept).
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from,
+Defined cases: a text that is null or has no letter (digits, fractions and marks are none) is ``und`` with score 0; with nothing to learn from,
 every text is ``und``; a tie goes to the smaller language name; rows without an id aren't learned from;
 repeated rows score alike; other columns are not read.
 """
@@ -17,9 +17,11 @@ repeated rows score alike; other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 from typing import Any
 
 import numpy as np
@@ -29,7 +31,30 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and marks that follow it, when learning (JVM) and when scoring (Python).
+WORD = r"(\p{L}[\p{L}\p{M}]*)"
+
+
+def character_class(wanted: Callable[[str], bool]) -> str:
+    """The assigned code points of the wanted general categories, as ranges of a character class."""
+    out = []
+    for kind, run in groupby(chain(range(0x40000), range(0xE0000, 0xE1000)), lambda c: wanted(unicodedata.category(chr(c)))):
+        if kind:
+            first, *rest = run
+            out.append(f"\\U{first:08x}-\\U{rest[-1] if rest else first:08x}")
+    return "".join(out)
+
+
+LETTERS = re.compile(f"[{character_class(lambda k: k[0] == 'L')}][{character_class(lambda k: k[0] in 'LM')}]*")
+#: Without one of these a word is what Python takes for letters, which is found faster.
+ODD = re.compile(f"[{character_class(lambda k: k[0] == 'M' or k in ('No', 'Nl'))}]")
+PLAIN = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    return (PLAIN if text.isascii() or not ODD.search(text) else LETTERS).findall(text)
+
+
 ORDERS = (5, 4, 3, 2, 1)
 CACHE_ENTRIES = 120_000
 _scorers: dict[str, Scorer] = {}
@@ -44,7 +69,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     share = min(1.0, sample_rows / max(1, rows.count()))
     lot = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 30))
     rows = rows.where(lot < int(share * (1 << 30)))
-    words = rows.select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([^\W\d_]+)"), F.lit(1))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    words = rows.select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
     words = checkpointed(words)
     marked = F.concat(F.lit("<"), "w", F.lit(">"))
     grams = words.select("l", "n", marked.alias("w")).select("l", "n", "w", F.explode(F.array(*map(F.lit, ORDERS))).alias("k")).where("length(w) >= k")
@@ -119,7 +144,7 @@ class Scorer:
         return 0.0
 
     def score(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text and self.langs else []
+        words = words_of(text.lower()) if text and self.langs else []
         if not words:
             return "und", 0.0
         total = self.prior.copy()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, quality, repeats, sharding, simhash, spots, toxicity, vectors
+from . import centroids, language, negatives, packing, pieces, quality, repeats, sharding, simhash, spots, token_counts, toxicity, vectors
 from .common import learnable, table
 
 
@@ -159,5 +159,64 @@ SELECT doc_id, class_id, coalesce(k.links, 0) AS links FROM m LEFT JOIN (SELECT
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots, "spot_links": spot_links}
-ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op3_vectors": OP3_SQL, "op10_spots": _op10_sql(), "spot_links": _links_sql()}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+OP11_SQL = """
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT q.n AS a, q.vec_id AS anchor_id, q.label = x.label AS same, x.n AS b, x.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(x.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM w q JOIN w x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id AND len(x.v) = len(q.v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, b) AS r FROM s WHERE same),
+g AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id, s.b) AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND p.r <= 5 AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 10
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    found = table(spark, sf_dir, "documents").select("doc_id", n_bytes.alias("n_bytes"), token_counts.counted(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("n_tokens"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def _op13_sql() -> str:
+    def near(t: str) -> str:
+        return f"""(SELECT n, c AS cluster, distance FROM (SELECT n, c, distance, row_number() OVER (PARTITION BY n ORDER BY distance, c) AS r
+          FROM (SELECT x.n, y.c, sum((x.x - y.x) * (x.x - y.x)) AS distance FROM e x JOIN {t} y USING (k) GROUP BY ALL)) WHERE r = 1)"""
+
+    rounds = [
+        f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.c, c{i}.k, CAST(coalesce(m.x, c{i}.x) AS BIGINT) AS x FROM c{i} LEFT JOIN (
+      SELECT a.cluster AS c, k, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM {near(f"c{i}")} a JOIN e USING (n) GROUP BY ALL) m USING (c, k))"""
+        for i in range(3)
+    ]
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS n, vec_id, v
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+e AS MATERIALIZED (SELECT n, unnest(range(64)) AS k, CAST(unnest(v) AS HUGEINT) AS x FROM w),
+c0 AS (SELECT n AS c, k, x FROM e WHERE n < 16),
+{", ".join(rounds)},
+a AS MATERIALIZED {near("c3")},
+s AS (SELECT c AS cluster, sha256(array_to_string(list(x ORDER BY k), ',')) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT w.vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a JOIN s USING (cluster) JOIN w USING (n)
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repeats": op1_repeats, "op2_language": op2_language, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_pieces": op7_pieces, "op8_simhash": op8_simhash, "op9_sharding": op9_sharding, "op10_spots": op10_spots, "op11_negatives": op11_negatives, "op12_token_counts": op12_token_counts, "op13_centroids": op13_centroids, "spot_links": spot_links}
+ORACLES: dict[str, str] = {"op1_repeats": OP1_SQL, "op3_vectors": OP3_SQL, "op10_spots": _op10_sql(), "op11_negatives": OP11_SQL, "op13_centroids": _op13_sql(), "spot_links": _links_sql()}

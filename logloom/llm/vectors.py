@@ -5,24 +5,28 @@ the distance of two vectors from below, and so, their norms known, the inner pro
 over few segments are tried first, finer ones for what is left, and the inner product only for the
 survivors that can still enter the k best.
 
-Queries are laid out in blocks and rows in splits, both of bounded size, that meet on (block, split); each
-meeting bounds its queries a few at a time and keeps k rows a query. A row moves once for each block of
-queries, whatever the bounds then spare: blocks are as large as memory allows.
-
-Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of
-unequal length never meet; of rows that repeat an id the smallest vector counts; ties go to the smaller
-id; with fewer than k other rows all are returned; scores beyond a long end at its limits; other columns
-are not read.
+Queries are laid out in blocks and rows in lots, both of bounded size, that meet pairwise; a meeting bounds its
+queries a few at a time and returns k rows a query at most. Rows go in two passes: a share of them first, whose
+k-th best score of each query is the least that the second pass looks for and returns.
+
+Defined cases: vectors that are null or empty or hold null or non-finite components, and rows without an id,
+take no part; vectors of unequal length never meet; rows that repeat an id are rows of their own, none of them
+a candidate of a query of that id, and queries that repeat an id share one ranking; ties go to the smaller id;
+with fewer than k other rows all are returned; scores beyond a long end at its limits; other columns are not
+read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+from .meetings import matrix, met, scaled, sound
+
 LEVELS = (4, 16)
 STEP = 128  # queries bounded at once
 
@@ -34,8 +38,8 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of the k best of each query among rows, its own id left out."""
+def best(queries: np.ndarray, ids: np.ndarray, least: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query id, row id, score) of the k best of each query among rows of other ids, none below the query's least."""
     out: list[tuple[int, int, int]] = []
     q, x = queries.astype("f8"), rows.astype("f8")
     exact = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]) < 2**52
@@ -45,49 +49,54 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, row_ids: np.nda
     for i in range(len(q)):
         if i % STEP == 0:
             coarse = coarse_q[i : i + STEP] @ coarse_x.T
-        own = row_ids == ids[i]
-        bound = np.where(own, -np.inf, coarse[i % STEP])
-        n = len(bound) - int(own.sum())
-        if n <= 0:
-            continue
-        if n > k:
+        bound = np.where(row_ids == ids[i], -np.inf, coarse[i % STEP])
+        floor = float(least[i])
+        if np.count_nonzero(bound > -np.inf) > k:
             first = np.argpartition(-bound, k - 1)[:k]
-            least = np.min(x[first] @ q[i]) - slack[i]
-            left = np.flatnonzero(bound >= least)
-            left = left[fine_x[left] @ fine_q[i] >= least]
-        else:
-            left = np.flatnonzero(~own)
+            floor = max(floor, np.min(x[first] @ q[i]))
+        left = np.flatnonzero((bound > -np.inf) & (bound >= floor - slack[i]))
+        left = left[fine_x[left] @ fine_q[i] >= floor - slack[i]]
         if exact:
             score = (x[left] @ q[i]).astype("i8")
         else:
             wide = [sum(int(a) * int(b) for a, b in zip(rows[j], queries[i], strict=True)) for j in left]
             score = np.array([max(-(2**63), min(2**63 - 1, s)) for s in wide], "i8")
-        order = np.lexsort((row_ids[left], -score.astype("f8") if exact else np.array([-int(s) for s in score], object)))[:k] if exact else sorted(range(len(left)), key=lambda j: (-int(score[j]), int(row_ids[left[j]])))[:k]
+        left, score = left[score >= least[i]], score[score >= least[i]]
+        order = np.lexsort((row_ids[left], -score))[:k] if exact else sorted(range(len(left)), key=lambda j: (-int(score[j]), int(row_ids[left[j]])))[:k]
         out += [(int(ids[i]), int(row_ids[left[j]]), int(score[j])) for j in order]
     return out
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = 32768, split: int = 16384) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose key is divisible by every."""
-    v = F.col(vector)
-    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col(key).isNotNull() & (F.size(v) > 0)
-    whole = vectors.where(sound).select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
-    whole = whole.groupBy("id").agg(F.min("v").alias("v"))
-    n, asked = whole.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
-    blocks, splits = max(1, -(-asked // block)), max(1, -(-n // split))
-    lot = F.xxhash64("id")
-    queries = whole.where(F.col("id") % every == 0).select("id", "v", F.pmod(lot, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
-    rows = whole.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(lot, F.lit(splits)).alias("split"))
-    meet = [F.col("block").cast("long"), F.col("split").cast("long")]
-
-    def meeting(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        for size in set(q["v"].map(len)):
-            a, b = q[q["v"].map(len) == size], x[x["v"].map(len) == size]
-            if len(b):
-                out += best(np.stack(a["v"].tolist()), a["id"].to_numpy(), np.stack(b["v"].tolist()), b["id"].to_numpy(), k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy(*meet).cogroup(rows.groupBy(*meet)).applyInPandas(meeting, "query_id long, vec_id long, score long")
+OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = 32768, split: int = 16384, first: int = 16) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose key is divisible by every.
+
+    first: one row in so many goes into the first pass."""
+    v = F.col(vector)
+    whole = vectors.where(sound(v) & F.col(key).isNotNull())
+    whole = checkpointed(whole.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.size(v).alias("d"), scaled(v, scale).alias("v")))
+    asked = whole.where(F.col("id") % every == 0)
+    early = F.pmod(F.xxhash64(F.lit("early"), F.col("row")), F.lit(first)) == 0
+
+    def meeting(of: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return OUT.empty_table()
+        size = of[0].as_py()
+        found = best(matrix(a, size), a["id"].to_numpy(), a["least"].to_numpy(), matrix(b, size), b["id"].to_numpy(), k)
+        return pa.Table.from_arrays([pa.array(c) for c in np.array(found, "i8").reshape(-1, 3).T], schema=OUT)
+
+    def once(asked: DataFrame, rows: DataFrame) -> DataFrame:
+        return met(asked, rows, ["d"], meeting, "query_id long, vec_id long, score long", block, split)
+
+    none = F.lit(-(2**63)).alias("least")
+    one = checkpointed(ranked(once(asked.select("*", none), whole.where(early)), k))
+    limits = one.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("limit"))
+    again = asked.join(limits, "id", "left").select(*asked.columns, F.coalesce("limit", none).alias("least"))
+    return ranked(one.drop("rank").unionByName(once(again, whole.where(~early))), k)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import components, language, packing, pieces, quality, repeats, sharding, simhash, spots, toxicity, vectors
+from logloom.llm import components, language, packing, pieces, quality, repeats, sharding, simhash, spots, toxicity
 
 SCHEMA = "doc_id long, text string, bucket string, __x int, size long, lang string"
 PASSAGE = "the same long passage of words that several of the documents share, word for word, ü and all "
@@ -102,17 +102,22 @@ def test_language(spark, empty):
     assert ask.select(language.predicted(F.col("t"), nothing, spark).alias("p")).where("p.lang <> 'und'").count() == 0
 
 
-def test_vectors(spark):
-    r = np.random.default_rng(0)
-    rows = [(int(k), [float(x) for x in r.normal(size=24) * 0.2]) for k in range(300)]
-    rows += [(300, rows[5][1]), (301, rows[5][1]), (302, None), (303, [1.0, None] * 12), (304, [float("nan")] * 24), (400, [0.5] * 3), (305, [float("inf")] * 24), (7, rows[7][1])]
-    df = spark.createDataFrame([(k, v, "x") for k, v in rows], "vec_id long, embedding array<float>, score string")
-    found = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in vectors.top_k(df, every=50, split=64, block=4).collect()}
-    ints = {k: np.floor(np.array(v, "f4").astype("f8") * 1024).astype("i8") for k, v in rows if v and len(v) == 24 and None not in v and np.isfinite(v).all()}
-    for q in range(0, 301, 50):
-        best = sorted(((int(ints[q] @ x), k) for k, x in ints.items() if k != q), key=lambda p: (-p[0], p[1]))[:10]
-        assert [found[q, i + 1] for i in range(10)] == [(k, s) for s, k in best]
-    assert vectors.top_k(df.limit(0)).count() == 0
+def test_words_are_learned_as_they_are_scored(spark, empty):
+    """Marks belong to their word; what is no letter is no word."""
+    hi, en = "नमस्ते दुनिया में किताब पढ़ना", "well ½ naïve cafe\u0301 o'clock"
+    model = language.fit(spark.createDataFrame([(k, (hi, en)[k % 2], ("hi", "en")[k % 2]) for k in range(40)], "doc_id long, text string, lang string"))
+    known = set(model["entries"][0][0].split("\n"))
+    assert known == {*hi.split(), "well", "naïve", "cafe\u0301", "o", "clock"} == set(language.words_of(f"{hi} {en}"))
+    text = "".join(map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x30000)]))
+    assert language.words_of(text) == spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(language.WORD), F.lit(1))).first()[0] or sum(map(len, language.words_of(text))) > 130_000
+    for t in (x for _, x in ROWS if x):
+        assert language.words_of(t) == language.LETTERS.findall(t)
+    ask = spark.createDataFrame([("दुनिया",), ("½ ²",), ("\u0301",), ("12 \u0301 ٣",), ("cafe\u0301",), ("ª",)], "t string")
+    found = [(r["p"]["lang"], r["p"]["score"] > 0) for r in ask.select(language.predicted(F.col("t"), model, spark).alias("p")).collect()]
+    assert found[:5] == [("hi", True), ("und", False), ("und", False), ("und", False), ("en", True)] and found[5][0] != "und"
+    # a tie goes to the smaller name
+    tie = language.fit(spark.createDataFrame([(k, "same words", ("b", "a")[k % 2]) for k in range(4)], "doc_id long, text string, lang string"))
+    assert {r["p"]["lang"] for r in ask.select(language.predicted(F.lit("same"), tie, spark).alias("p")).collect()} == {"a"}
 
 
 def test_quality(spark, docs):
