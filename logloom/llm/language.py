@@ -17,7 +17,6 @@ repeated rows score alike; other columns are not read.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,24 +34,24 @@ from .common import checkpointed
 WORD = r"(\p{L}[\p{L}\p{M}]*)"
 
 
+def code_points(wanted: Callable[[str], bool]) -> list[str]:
+    """The assigned characters of the wanted general categories."""
+    return [c for c in map(chr, chain(range(0x40000), range(0xE0000, 0xE1000))) if wanted(unicodedata.category(c))]
+
+
 def character_class(wanted: Callable[[str], bool]) -> str:
-    """The assigned code points of the wanted general categories, as ranges of a character class."""
-    out = []
-    for kind, run in groupby(chain(range(0x40000), range(0xE0000, 0xE1000)), lambda c: wanted(unicodedata.category(chr(c)))):
-        if kind:
-            first, *rest = run
-            out.append(f"\\U{first:08x}-\\U{rest[-1] if rest else first:08x}")
-    return "".join(out)
+    runs = groupby(enumerate(code_points(wanted)), lambda x: ord(x[1]) - x[0])
+    return "".join(f"{c[0]}-{c[-1]}" for _, run in runs for c in [[x for _, x in run]])
 
 
 LETTERS = re.compile(f"[{character_class(lambda k: k[0] == 'L')}][{character_class(lambda k: k[0] in 'LM')}]*")
 #: Without one of these a word is what Python takes for letters, which is found faster.
-ODD = re.compile(f"[{character_class(lambda k: k[0] == 'M' or k in ('No', 'Nl'))}]")
+ODD = frozenset(code_points(lambda k: k[0] == "M" or k in ("No", "Nl")))
 PLAIN = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return (PLAIN if text.isascii() or not ODD.search(text) else LETTERS).findall(text)
+    return (PLAIN if text.isascii() or ODD.isdisjoint(text) else LETTERS).findall(text)
 
 
 ORDERS = (5, 4, 3, 2, 1)
