@@ -158,17 +158,22 @@ COMMITS = {
 }
 
 
-def commit_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def actions_of(s: DataFrame, history: DataFrame, activity: DataFrame) -> DataFrame:
     """Commit actions of sessions, two thirds of which tell the commit that they started from."""
     shown = F.when(F.col("event_id") % 3 == 0, F.substring(F.sha2(F.concat(F.lit("c"), F.col("event_id").cast("string")), 256), 1, 12))
-    s, c = X.sessions(spark, sf_dir), X.commits(spark, sf_dir).select(F.col("repository_root").alias("cr"), "commit_hash", "committed_at")
+    c = history.select(F.col("repository_root").alias("cr"), "commit_hash", "committed_at")
     # the last commit before the tenth day, by the order of one union
-    days = s.select("sid", "repository_root", F.timestamp_micros(F.unix_micros("started_at") + 864_000_000_000).alias("at"), F.lit(None).cast("string").alias("commit_hash"), F.lit(0).alias("turn"))
+    s = s.where("repository_root IS NOT NULL")
+    days = s.where("sid % 3 <> 0").select("sid", "repository_root", F.timestamp_micros(F.unix_micros("started_at") + 864_000_000_000).alias("at"), F.lit(None).cast("string").alias("commit_hash"), F.lit(0).alias("turn"))
     line = days.union(c.select(F.lit(None).cast("long"), "cr", "committed_at", "commit_hash", F.lit(1)))
     last = F.last("commit_hash", ignorenulls=True).over(W.partitionBy("repository_root").orderBy("at", "turn", "commit_hash").rowsBetween(W.unboundedPreceding, -1))
-    start = line.withColumn("start_hash", F.upper(F.substring(last, 1, 12))).where("turn = 0 AND repository_root IS NOT NULL AND sid % 3 <> 0").select("sid", "start_hash")
-    s = s.where("repository_root IS NOT NULL").select("sid", "repository_root", F.col("ended_at").alias("until")).join(start, "sid", "left")
-    return X.activity(spark, sf_dir).where("command_category = 'git_mutation'").join(s, "sid").select("sid", "event_id", "repository_root", "occurred_at", "until", "result_status", shown.alias("shown_hash"), "start_hash")
+    start = line.withColumn("start_hash", F.upper(F.substring(last, 1, 12))).where("turn = 0").select("sid", "start_hash")
+    s = s.select("sid", "repository_root", F.col("ended_at").alias("until")).join(start, "sid", "left")
+    return activity.where("command_category = 'git_mutation'").join(s, "sid").select("sid", "event_id", "repository_root", "occurred_at", "until", "result_status", shown.alias("shown_hash"), "start_hash")
+
+
+def commit_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions_of(X.sessions(spark, sf_dir), X.commits(spark, sf_dir), X.activity(spark, sf_dir))
 
 
 @query("SELECT sid, event_id, commit_hash, count(*) OVER (PARTITION BY event_id) AS n FROM (SELECT ca.sid, ca.event_id, c.commit_hash FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND c.committed_at BETWEEN ca.occurred_at AND ca.latest AND NOT coalesce(starts_with(c.commit_hash, ca.start_hash), false))", **COMMITS)
@@ -240,13 +245,16 @@ OUTCOMES = {
 }
 
 
-@stored
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged_of(activity: DataFrame, links: DataFrame) -> DataFrame:
     """Outcomes from all activity, errors, aborts and completions told from the rest of the kinds, and commits linked with high confidence."""
-    a = X.activity(spark, sf_dir).withColumn("source_ordinal", (F.row_number().over(W.partitionBy("sid").orderBy("occurred_at", "event_id")) - 1).cast("long"))
+    a = activity.withColumn("source_ordinal", (F.row_number().over(W.partitionBy("sid").orderBy("occurred_at", "event_id")) - 1).cast("long"))
     life = a.where("command_category = 'other'").select("sid", "source_ordinal", F.when(F.col("result_status") == "failure", "error").when(F.col("event_id") % 2 == 0, "abort").otherwise("task_complete").alias("kind"))
-    high = linked(spark, sf_dir).where("tier = 'high'").select("sid", "committed_at")
-    return outcomes.classified(outcomes.evidence(a, life, high))
+    return outcomes.classified(outcomes.evidence(a, life, links.where("tier = 'high'").select("sid", "committed_at")))
+
+
+@stored
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_of(X.activity(spark, sf_dir), linked(spark, sf_dir))
 
 
 @query("SELECT * FROM oc", **OUTCOMES)

@@ -25,10 +25,9 @@ def later(ts: Column, minutes: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + minutes.cast("long") * 60_000_000)
 
 
-@stored
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sessions_of(conv: DataFrame) -> DataFrame:
     sid = F.col("sid")
-    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("sid")).agg(F.max("turn").alias("last"))
+    turns = conv.groupBy(F.col("conv_id").alias("sid")).agg(F.max("turn").alias("last"))
     started = later(F.lit(START).cast("timestamp"), 11 * sid)
     return turns.select(
         "sid",
@@ -41,52 +40,78 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @stored
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions_of(read(spark, sf_dir, "conversations"))
+
+
+def edges_of(conv: DataFrame) -> DataFrame:
     """Spawn edges, with one orphan and one cycle."""
     sid = F.col("conv_id")
-    ids = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    ids = conv.select("conv_id").distinct()
     spawned = ids.where((sid % 5 == 0) & (sid > 0)).select(F.when(sid % 25 == 0, sid - 5).otherwise(sid - 1).alias("parent"), sid.alias("child"))
     odd = ids.where(sid.isin(1, 2, 3)).select(F.when(sid == 1, F.lit(900000001)).when(sid == 2, F.lit(3)).otherwise(F.lit(2)).cast("long").alias("parent"), sid.alias("child"))
     return spawned.union(odd)
 
 
 @stored
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a session in order; every second child first replays three turns of its parent."""
-    own = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sid"), F.lit(1).alias("own"), "turn", "role", "text")
-    replay = edges(spark, sf_dir).where("child % 10 = 0").join(own.withColumnRenamed("sid", "parent").where("turn < 3"), "parent")
-    every = own.union(replay.select(F.col("child").alias("sid"), F.lit(0).alias("own"), "turn", "role", "text"))
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_of(read(spark, sf_dir, "conversations"))
+
+
+def messages_of(conv: DataFrame, above: DataFrame, edges: DataFrame) -> DataFrame:
+    """Events of a session in order; every second child first replays three turns of its parent (of the turns above)."""
+    turns = lambda df: df.select(F.col("conv_id").alias("sid"), F.lit(1).alias("own"), "turn", "role", "text")
+    replay = edges.where("child % 10 = 0").join(turns(above).withColumnRenamed("sid", "parent").where("turn < 3"), "parent")
+    every = turns(conv).union(replay.select(F.col("child").alias("sid"), F.lit(0).alias("own"), "turn", "role", "text"))
     place = F.row_number().over(W.partitionBy("sid").orderBy("own", "turn")) - 1
     return every.select("sid", place.alias("source_ordinal"), F.concat("role", F.lit("_message")).alias("family"), F.sha2(F.concat_ws("|", "role", "text"), 256).alias("fingerprint"), "text")
 
 
 @stored
-def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative snapshots of a session; every second child first replays four of its parent's and goes on from them."""
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = read(spark, sf_dir, "conversations")
+    return messages_of(conv, conv, edges(spark, sf_dir))
+
+
+def with_sid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events with their session."""
     conv = read(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
-    raw = read(spark, sf_dir, "events").join(F.broadcast(conv))  # one row
+    return read(spark, sf_dir, "events").join(F.broadcast(conv)).withColumn("sid", F.col("user_id") % F.col("n"))  # one row
+
+
+def totals_of(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """Cumulative snapshots of a session; every second child first replays four of its parent's and goes on from them.
+
+    events: those of the sessions and their parents, with their sid."""
     order = W.partitionBy("sid").orderBy("ts", "event_id")
-    own = raw.select((F.col("user_id") % F.col("n")).alias("sid"), "ts", "event_id", F.floor(100 * F.col("value")).alias("inc"))
+    own = events.select("sid", "ts", "event_id", F.floor(100 * F.col("value")).alias("inc"))
     own = own.select("sid", "ts", F.sum("inc").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("total"), (F.row_number().over(order) - 1).alias("k"))
     first = own.where("k < 4").select(F.col("sid").alias("parent"), "ts", "total", "k")
-    replay = edges(spark, sf_dir).where("child % 10 = 0").join(first, "parent")
+    replay = edges.where("child % 10 = 0").join(first, "parent")
     base = replay.groupBy(F.col("child").alias("sid")).agg(F.max("total").alias("base"), F.count("*").alias("shift"))
     shifted = own.join(base, "sid", "left").select("sid", "ts", (F.col("total") + F.coalesce("base", F.lit(0))).alias("total"), (F.col("k") + F.coalesce("shift", F.lit(0))).alias("k"))
     return shifted.union(replay.select(F.col("child").alias("sid"), "ts", "total", "k")).select("sid", F.col("k").alias("event_ordinal"), F.col("ts").alias("occurred_at"), F.col("total").alias("cumulative_total"))
 
 
-def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+@stored
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals_of(with_sid(spark, sf_dir), edges(spark, sf_dir))
+
+
+def snapshots(totals: DataFrame) -> DataFrame:
     total = F.struct(*[(F.col("cumulative_total") if f == "total_tokens" else F.lit(None)).cast("long").alias(f) for f in FIELDS])
-    return token_totals(spark, sf_dir).select("sid", "event_ordinal", "occurred_at", total.alias("cumulative"))
+    return totals.select("sid", "event_ordinal", "occurred_at", total.alias("cumulative"))
 
 
-@stored
-def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = read(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n"))
+def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots(token_totals(spark, sf_dir))
+
+
+def activity_of(events: DataFrame) -> DataFrame:
     kind = F.create_map(*map(F.lit, ("view", "git_inspection", "purchase", "git_mutation", "signup", "editing_patching", "click", "testing", "error", "other")))
-    return read(spark, sf_dir, "events").join(F.broadcast(conv)).select(
+    return events.select(
         "event_id",
-        (F.col("user_id") % F.col("n")).alias("sid"),
+        "sid",
         F.col("ts").alias("occurred_at"),
         kind[F.col("event_type")].alias("command_category"),
         F.when(F.col("value") < 5, "unknown").when(F.col("value") < 30, "success").otherwise("failure").alias("result_status"),
@@ -94,13 +119,27 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @stored
-def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acts = activity(spark, sf_dir).where("command_category = 'git_mutation'")
-    rows = acts.select(F.sha2(F.concat(F.lit("c"), F.col("event_id").cast("string")), 256).alias("commit_hash"), F.concat(F.lit("/repos/repo-"), F.col("sid") % 8).alias("repository_root"), later(F.col("occurred_at"), F.lit(3)).alias("committed_at"))
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity_of(with_sid(spark, sf_dir))
+
+
+def repository_of(sid: Column) -> Column:
+    return F.concat(F.lit("/repos/repo-"), sid % 8)
+
+
+def commits_of(activity: DataFrame) -> DataFrame:
+    """A commit three minutes after each action; its parent is the repository's commit before it."""
+    acts = activity.where("command_category = 'git_mutation'")
+    rows = acts.select(F.sha2(F.concat(F.lit("c"), F.col("event_id").cast("string")), 256).alias("commit_hash"), repository_of(F.col("sid")).alias("repository_root"), later(F.col("occurred_at"), F.lit(3)).alias("committed_at"))
     order = W.partitionBy("repository_root").orderBy("committed_at", "commit_hash")
     return rows.withColumn("parent_hash", F.lag("commit_hash").over(order))
 
 
+@stored
+def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commits_of(activity(spark, sf_dir))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), "text", F.col("source").alias("repository"), F.col("lang").alias("model"))
 
