@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpointed
+from logloom.operators.history import descends
 
 GRACE = 600  # seconds after a session's end
 OPEN = 1800  # seconds that a session without an end is taken to go on after an action
@@ -88,34 +89,6 @@ def linked(actions: DataFrame, commits: DataFrame, sessions: DataFrame, per_acti
     return kept, summary
 
 
-def descends(pairs: DataFrame, commits: DataFrame) -> DataFrame:
-    """(commit_hash, ancestor) of the pairs whose commit has the (possibly shortened) ancestor above it in its line.
-
-    commits: commit_hash, parent_hash (the first parent). Pointers to ancestors double in reach each round and
-    give each commit its depth; a pair then is lifted by the powers of two of its difference in depth, so that
-    rounds follow the logarithm of the longest line."""
-    e = commits.select(F.col("commit_hash").alias("node"), F.col("parent_hash").alias("up")).distinct()
-    beyond = e.select(F.col("up").alias("node")).where("node IS NOT NULL").join(e, "node", "left_anti").distinct().select("node", F.lit(None).cast("string").alias("up"))
-    e = checkpointed(e.unionByName(beyond))
-    steps = [e]
-    depth = e.select("node", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"))
-    while not steps[-1].where("up IS NOT NULL").isEmpty() and len(steps) < 62:
-        ahead = depth.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        depth = checkpointed(depth.join(ahead, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        steps.append(depth.select("node", "up"))
-    depth = depth.select("node", "depth")
-    short = F.substring("node", 1, 7).alias("short")
-    asked = pairs.where("length(ancestor) >= 7").withColumn("short", F.substring("ancestor", 1, 7))
-    tops = depth.select(F.col("node").alias("top"), F.col("depth").alias("top_depth"), short)
-    both = asked.join(tops, "short").where(F.col("top").startswith(F.col("ancestor")))
-    now = both.join(depth.select(F.col("node").alias("commit_hash"), "depth"), "commit_hash").where("depth > top_depth").select("commit_hash", "ancestor", "top", (F.col("depth") - F.col("top_depth")).alias("rise"), F.col("commit_hash").alias("node"))
-    for k, step in enumerate(steps):
-        now = now.join(step, "node", "left").select("commit_hash", "ancestor", "top", "rise", F.when(F.shiftright("rise", k) % 2 == 1, F.col("up")).otherwise(F.col("node")).alias("node"))
-        if k % 4 == 3:
-            now = checkpointed(now)
-    return now.where("node = top").select("commit_hash", "ancestor").distinct()
-
-
 def report(links: DataFrame, summary: DataFrame, usage: DataFrame) -> DataFrame:
     """One row: pairs by tier, distinct commits and sessions, tokens of linked sessions counted once each, tokens by confirmed commit, candidates considered and omitted."""
     tokens = links.where("tier <> 'low'").select("sid").distinct().join(usage, "sid").agg(F.sum("accounted.total_tokens").alias("tokens"))

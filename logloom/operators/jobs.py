@@ -142,6 +142,6 @@ def replaced(before: DataFrame, after: DataFrame, keys: list[str]) -> tuple[Data
 
 
 def warnings_of(topology: DataFrame) -> DataFrame:
-    """(warning, n) of a spawn graph: self edges, orphan edges and nodes on cycles, where there are any."""
-    names = ("self_edges", "orphan_edges", "cycle_nodes")
+    """(warning, n) of a spawn graph: self edges, orphan parents and children, children of several parents and nodes on cycles, where there are any."""
+    names = ("self_edges", "orphan_parents", "orphan_children", "several_parents", "cycle_nodes")
     return topology.select(F.explode(F.array(*[F.struct(F.lit(k).alias("warning"), F.col(k).cast("long").alias("n")) for k in names])).alias("w")).select("w.*").where("n > 0")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpointed
 from logloom.functions import vectors as V
+from logloom.operators import graphs
 
 
 def single_parent(edges: DataFrame) -> DataFrame:
@@ -19,40 +20,54 @@ def single_parent(edges: DataFrame) -> DataFrame:
 
 
 def ancestry(edges: DataFrame) -> DataFrame:
-    """(node, depth, cyclic, on_cycle) of every node of single-parent edges.
-
-    Pointers to ancestors double in reach each round, so rounds grow with the logarithm of the depth.
-    depth: edges up to the root, null below or on a cycle. Nodes that no round leads to a root are below
-    a cycle; what their pointers still reach once the reach no longer shrinks are the cycles."""
-    e = edges.select(F.col("child").alias("node"), F.col("parent").alias("up"))
-    roots = e.select(F.col("up").alias("node")).join(e, "node", "left_anti").distinct().select("node", F.lit(None).cast("long").alias("up"), F.lit(0).alias("depth"))
-    now = checkpointed(e.select("node", "up", F.lit(1).alias("depth")).unionByName(roots))
-    open_, reach = now.where("up IS NOT NULL").count(), -1
-    while open_:
-        ahead = now.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        now = checkpointed(now.join(ahead, "up", "left").select("node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        left, reached = now.where("up IS NOT NULL").agg(F.count("*"), F.count_distinct("up")).first()
-        if left == open_ and reached == reach:
-            break
-        open_, reach = left, reached
-    cycle = now.where("up IS NOT NULL").select(F.col("up").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
-    cyclic = F.col("up").isNotNull()
-    return now.join(cycle, "node", "left").select("node", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
-
-
-def topology(session_ids: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """One row: sessions, edges, children, roots, orphan edges, self edges, cyclic nodes, greatest depth."""
+    """(node, depth, cyclic, on_cycle) of every node of edges, whatever number of parents they have.
+
+    depth: the longest way from a node without parents over nodes that are on no cycle, null where none leads to
+    it; cyclic: on or below a cycle."""
+    e = checkpointed(edges.select("parent", "child").distinct())
+    on = graphs.cyclic(e)
+    nodes = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct()
+    below = on if on.isEmpty() else descendants(e, on.select(F.col("node").alias("sid"))).select(F.col("sid").alias("node"))
+    marks = below.select("node", F.lit(True).alias("cyclic")), on.select("node", F.lit(True).alias("on_cycle"))
+    found = nodes.join(graphs.depths(e, on), "node", "left").join(marks[0], "node", "left").join(marks[1], "node", "left")
+    return found.select("node", "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+
+
+def in_cycles(edges: DataFrame, above: DataFrame) -> DataFrame:
+    """edges with cyclic: true where an end is on a cycle, else null."""
+    on = above.where("on_cycle").select(F.col("node"), F.lit(True).alias("cyclic"))
+    ends = [on.select(F.col("node").alias(c), F.col("cyclic").alias(f"{c}_cyclic")) for c in ("child", "parent")]
+    return edges.join(ends[0], "child", "left").join(ends[1], "parent", "left").select(*edges.columns, F.coalesce("child_cyclic", "parent_cyclic").alias("cyclic"))
+
+
+def topology(session_ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: sessions, roots, edges, valid edges (both ends known) and their children, orphan parents and orphan children apart, self edges,
+    children of several parents, nodes on cycles, the greatest depth and the trees of several generations.
+
+    Depth and cycles are those of the valid edges; a way may end on a cycle, but does not go on from there."""
     ids = session_ids.select("sid").distinct().withColumn("known", F.lit(1))
     both = edges.join(ids.select(F.col("sid").alias("parent"), F.col("known").alias("p")), "parent", "left").join(ids.select(F.col("sid").alias("child"), F.col("known").alias("c")), "child", "left")
+    fine = F.col("p").isNotNull() & F.col("c").isNotNull()
     e = both.agg(
         F.count("*").alias("edges"),
-        F.count_distinct("child").alias("children"),
-        F.count_if(F.col("p").isNull() | F.col("c").isNull()).alias("orphan_edges"),
+        F.count_if(fine).alias("valid_edges"),
+        F.count_distinct(F.when(fine, F.col("child"))).alias("children"),
+        F.count_if(F.col("p").isNull()).alias("orphan_parents"),
+        F.count_if(F.col("c").isNull()).alias("orphan_children"),
         F.count_if(F.col("parent") == F.col("child")).alias("self_edges"),
     )
-    up = (ancestry(single_parent(edges)) if above is None else above).agg(F.count_if("on_cycle").alias("cycle_nodes"), F.max("depth").cast("long").alias("depth"))
-    n = ids.join(edges.select(F.col("child").alias("sid"), F.lit(1).alias("spawned")).distinct(), "sid", "left").agg(F.count("*").alias("sessions"), F.count_if(F.col("spawned").isNull()).alias("roots"))
-    return n.crossJoin(e).crossJoin(up)  # three rows of one
+    valid = checkpointed(both.where(fine).select("parent", "child").distinct())
+    several = valid.groupBy("child").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("several_parents"))
+    above = checkpointed(ancestry(valid))
+    sound = above.where("NOT on_cycle AND depth IS NOT NULL").select(F.col("node").alias("parent"), "depth")
+    into = valid.join(sound, "parent").agg(F.max("depth").alias("d")).select(F.coalesce(F.col("d") + 1, F.lit(0)).alias("depth"))
+    up = above.agg(F.count_if("on_cycle").alias("cycle_nodes"))
+    first = valid.join(sound.where("depth = 0"), "parent").select(F.col("parent").alias("root"), F.col("child").alias("parent")).join(sound.select("parent"), "parent")
+    trees = first.join(valid.select("parent"), "parent", "left_semi").agg(F.count_distinct("root").alias("multi_generation_trees"))
+    n = ids.join(valid.select(F.col("child").alias("sid"), F.lit(1).alias("spawned")).distinct(), "sid", "left").agg(F.count("*").alias("sessions"), F.count_if(F.col("spawned").isNull()).alias("roots"))
+    for row in (e, several, up, into, trees):
+        n = n.crossJoin(row)  # one row each
+    return n
 
 
 def descendants(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -105,7 +120,7 @@ def edge_verdicts(events: DataFrame, edges: DataFrame, above: DataFrame | None =
     order = W.partitionBy("sid").orderBy("event_ordinal")
     snaps = events.where("cumulative IS NOT NULL").withColumn("i", F.row_number().over(order) - 1).withColumn("key", V.key(F.col("cumulative")))
     e = single_parent(edges)
-    e = e.join((ancestry(e) if above is None else above).where("on_cycle").select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), "child", "left")
+    e = in_cycles(e, ancestry(edges) if above is None else above)
     p = e.where("cyclic IS NULL").join(snaps, e.parent == snaps.sid).select("parent", "child", "i", "key", "cumulative")
     c = e.where("cyclic IS NULL").join(snaps, e.child == snaps.sid).select("parent", "child", "i", "key", "cumulative", "delta")
     runs = prefix_runs(p.select("parent", "child", "i", "key"), c.select("parent", "child", "i", "key"), ["parent", "child"])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpointed
-from logloom.operators.lineage import ancestry, prefix_runs, single_parent
+from logloom.operators.lineage import ancestry, in_cycles, prefix_runs, single_parent
 
 INHERITED = ("inherited_prefix", "inherited_exact")
 
@@ -24,7 +24,7 @@ def event_verdicts(events: DataFrame, edges: DataFrame, above: DataFrame | None
     own = W.partitionBy("sid", "family").orderBy("source_ordinal")
     rows = events.select("sid", "source_ordinal", "family", "fingerprint", "stable_id", (F.row_number().over(order) - 1).alias("i"), (F.row_number().over(own) - 1).alias("k"), F.concat_ws("|", "family", "fingerprint").alias("key"))
     e = single_parent(edges)
-    e = e.join((ancestry(e) if above is None else above).where("on_cycle").select(F.col("node").alias("child"), F.lit(True).alias("cyclic")), "child", "left")
+    e = in_cycles(e, ancestry(edges) if above is None else above)
     c = e.join(rows, e.child == rows.sid).drop("sid")
     p = e.join(rows, e.parent == rows.sid).drop("sid").where("cyclic IS NULL")
     has_parent = p.select("parent", "child", F.lit(True).alias("seen")).distinct()

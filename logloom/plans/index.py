@@ -69,7 +69,7 @@ def history(run: Run, roots: DataFrame | None) -> DataFrame:
 
 def above(run: Run, keys: DataFrame | None) -> DataFrame:
     """Depths and cycles of the edges from the keys upwards; a cycle through a key lies above it."""
-    return run.once("above", keys, lambda: checkpointed(lineage.ancestry(lineage.single_parent(only(run.read("edges"), with_ancestors(run, keys), "child")))))
+    return run.once("above", keys, lambda: checkpointed(lineage.ancestry(only(run.read("edges"), with_ancestors(run, keys), "child"))))
 
 
 def verdicts(run: Run, keys: DataFrame | None) -> DataFrame:

@@ -14,7 +14,7 @@ from logloom.streaming import ingest
 from . import views as X
 from .log_queries import log_activity, log_event_rows, log_rows, typed_rows
 from .more_queries import COMMITS, commit_summaries, linked
-from .queries import EVENTS, TOKENS, query, resolved_events
+from .queries import EVENTS, TOKENS, VALID, query, resolved_events, topology_row
 from .report_queries import FULL, PROMPTS, full, prompt_facts
 from .stored import stored, written
 
@@ -93,9 +93,13 @@ def spawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"), (F.col("parent") == F.col("child")).alias("self"), (F.col("p").isNull() | F.col("c").isNull()).alias("orphan")).orderBy("child", "parent")
 
 
-@query("SELECT * FROM (SELECT 'orphan_edges' AS warning, count(*) AS n FROM fx_edges WHERE parent NOT IN (SELECT sid FROM fx_sessions) OR child NOT IN (SELECT sid FROM fx_sessions) UNION ALL SELECT 'cycle_nodes', count(*) FROM cyc) WHERE n > 0", **TOKENS)
+@query(
+    """SELECT * FROM (SELECT 'orphan_parents' AS warning, count(*) AS n FROM fx_edges WHERE parent NOT IN (SELECT sid FROM fx_sessions) UNION ALL SELECT 'orphan_children', count(*) FROM fx_edges WHERE child NOT IN (SELECT sid FROM fx_sessions)
+      UNION ALL SELECT 'several_parents', count(*) FROM (SELECT child FROM ve GROUP BY child HAVING count(*) > 1) UNION ALL SELECT 'cycle_nodes', count(*) FROM vc) WHERE n > 0""",
+    **VALID,
+)
 def topology_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.warnings_of(lineage.topology(X.sessions(spark, sf_dir), X.edges(spark, sf_dir)))
+    return jobs.warnings_of(topology_row(spark, sf_dir))
 
 
 # ---- ingest

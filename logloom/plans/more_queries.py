@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions import prompts as P
-from logloom.operators import commits, coverage, jobs, outcomes, prompts, search, tasks, tools, usage
+from logloom.operators import commits, coverage, history, jobs, outcomes, prompts, search, tasks, tools, usage
 from logloom.sources import exports, records
 
 from . import commands as lines
@@ -148,8 +148,10 @@ COMMITS = {
     "ca": "SELECT a.sid, event_id, s.repository_root, a.occurred_at, coalesce(s.ended_at, a.occurred_at + INTERVAL 1800 SECOND) + INTERVAL 600 SECOND AS latest, a.result_status, CASE WHEN event_id % 3 = 0 THEN substr(sha256('c' || event_id), 1, 12) END AS shown, lower(start_hash) AS start_hash FROM fx_activity a JOIN sh s USING (sid) WHERE command_category = 'git_mutation' AND s.repository_root IS NOT NULL",
     "hi": "SELECT sid, event_id, min(c.commit_hash) AS commit_hash, min(c.committed_at) AS committed_at FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND starts_with(c.commit_hash, shown) WHERE result_status = 'success' GROUP BY sid, event_id HAVING count(*) = 1",
     "cn": "SELECT ca.sid, ca.event_id, ca.repository_root, c.commit_hash, c.committed_at, ca.result_status, ca.occurred_at, ca.start_hash, count(*) OVER (PARTITION BY ca.event_id) AS n FROM ca JOIN fx_commits c ON c.repository_root = ca.repository_root AND c.committed_at BETWEEN ca.occurred_at AND ca.latest AND NOT coalesce(starts_with(c.commit_hash, ca.start_hash), false) WHERE event_id NOT IN (SELECT event_id FROM hi)",
-    # the views' histories are straight lines in the order of time
-    "un": "SELECT cn.* FROM cn JOIN fx_commits c ON c.repository_root = cn.repository_root AND starts_with(c.commit_hash, cn.start_hash) WHERE n = 1 AND (c.committed_at, c.commit_hash) < (cn.committed_at, cn.commit_hash)",
+    # up from the commits asked about, over all parents
+    "pa": "SELECT commit_hash, unnest(parents) AS parent FROM fx_commits",
+    "anc": "SELECT DISTINCT cn.commit_hash AS node, cn.commit_hash AS top FROM cn WHERE n = 1 AND start_hash IS NOT NULL UNION SELECT anc.node, pa.parent FROM anc JOIN pa ON pa.commit_hash = anc.top",
+    "un": "SELECT cn.* FROM cn WHERE n = 1 AND EXISTS (SELECT 1 FROM anc WHERE anc.node = cn.commit_hash AND anc.top <> anc.node AND starts_with(anc.top, cn.start_hash))",
     "me": "SELECT sid, event_id, commit_hash, committed_at FROM un WHERE result_status = 'success' AND NOT EXISTS (SELECT 1 FROM fx_sessions s WHERE s.repository_root = un.repository_root AND s.sid <> un.sid AND s.started_at <= un.committed_at AND (s.ended_at IS NULL OR un.committed_at <= s.ended_at))",
     "rs": "SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(committed_at) - epoch_us(occurred_at)), committed_at, commit_hash) AS k FROM cn WHERE (event_id, commit_hash) NOT IN (SELECT (event_id, commit_hash) FROM un)",
     "ta": "SELECT sid, commit_hash, max(r) AS r, min(committed_at) AS committed_at FROM (SELECT sid, commit_hash, committed_at, 3 AS r FROM hi UNION ALL SELECT sid, commit_hash, committed_at, 2 FROM me UNION ALL SELECT sid, commit_hash, committed_at, 1 FROM rs WHERE k <= 5 UNION ALL SELECT sid, commit_hash, committed_at, 1 FROM un) GROUP BY sid, commit_hash",
@@ -217,13 +219,18 @@ def commit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT commit_hash, ancestor FROM (SELECT commit_hash, substr(lag(commit_hash, 3) OVER (PARTITION BY repository_root ORDER BY committed_at, commit_hash), 1, 10) AS ancestor FROM fx_commits) WHERE ancestor IS NOT NULL",
+    "SELECT commit_hash, ancestor FROM bk WHERE EXISTS (SELECT 1 FROM anc WHERE node = commit_hash AND top <> node AND starts_with(top, ancestor))",
+    bk="SELECT commit_hash, substr(unnest([lag(commit_hash) OVER h, lag(commit_hash, 5) OVER h]), 1, 10) AS ancestor FROM fx_commits WINDOW h AS (PARTITION BY repository_root ORDER BY committed_at, commit_hash)",
+    pa=COMMITS["pa"],
+    anc="SELECT commit_hash AS node, commit_hash AS top FROM fx_commits UNION SELECT anc.node, pa.parent FROM anc JOIN pa ON pa.commit_hash = anc.top",
 )
 def commit_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits with their third parent back, found by walking up."""
+    """Of each commit and the ones made just and five before it, the pairs in which it descends from that one."""
     c = X.commits(spark, sf_dir)
-    back = F.substring(F.lag("commit_hash", 3).over(W.partitionBy("repository_root").orderBy("committed_at", "commit_hash")), 1, 10)
-    return commits.descends(c.select("commit_hash", back.alias("ancestor")).where("ancestor IS NOT NULL"), c)
+    order = W.partitionBy("repository_root").orderBy("committed_at", "commit_hash")
+    back = c.select("commit_hash", F.array(F.lag("commit_hash").over(order), F.lag("commit_hash", 5).over(order)).alias("b"))
+    pairs = back.select("commit_hash", F.explode("b").alias("b")).where("b IS NOT NULL")
+    return history.descends(pairs.select("commit_hash", F.substring("b", 1, 10).alias("ancestor")), c)
 
 
 OUTCOMES = {

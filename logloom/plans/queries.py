@@ -42,7 +42,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored
 def thread_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.ancestry(lineage.single_parent(X.edges(spark, sf_dir)))
+    return lineage.ancestry(X.edges(spark, sf_dir))
 
 
 @stored
@@ -68,8 +68,9 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = {
     "o": "SELECT sid, arg_max(cumulative_total, event_ordinal) AS observed FROM fx_token_events GROUP BY sid",
     "e1": "SELECT child, min(parent) AS parent FROM fx_edges GROUP BY child HAVING count(*) = 1",
-    "up": "SELECT child AS node, parent AS top, 1 AS d FROM e1 UNION ALL SELECT u.node, e1.parent, u.d + 1 FROM up u JOIN e1 ON e1.child = u.top WHERE u.d < 200",
+    "up": "SELECT child AS node, parent AS top FROM fx_edges UNION SELECT u.node, e.parent FROM up u JOIN fx_edges e ON e.child = u.top",
     "cyc": "SELECT DISTINCT node FROM up WHERE node = top",
+    "dp": "SELECT parent AS node, 0 AS d FROM fx_edges WHERE parent NOT IN (SELECT child FROM fx_edges) UNION SELECT e.child, dp.d + 1 FROM dp JOIN fx_edges e ON e.parent = dp.node WHERE dp.node NOT IN (SELECT node FROM cyc)",
     "ti": "SELECT sid, cumulative_total AS v, row_number() OVER (PARTITION BY sid ORDER BY event_ordinal) - 1 AS i FROM fx_token_events",
     "st": "SELECT e.parent, e.child, p.i AS s FROM e1 e JOIN ti p ON p.sid = e.parent JOIN ti c ON c.sid = e.child AND c.i = 0 AND c.v = p.v",
     "dg": "SELECT st.parent, st.child, st.s, c.i, row_number() OVER (PARTITION BY st.parent, st.child, st.s ORDER BY c.i) - 1 AS r FROM st JOIN ti c ON c.sid = st.child JOIN ti p ON p.sid = st.parent AND p.i = st.s + c.i AND p.v = c.v",
@@ -78,7 +79,7 @@ TOKENS = {
     "ends": "SELECT sid, arg_min(v, i) AS first, arg_max(v, i) AS last FROM ti GROUP BY sid",
     "vd": """
       SELECT e.parent, e.child, c.first, c.last, b.n, q.v AS run_end, CASE
-        WHEN e.child IN (SELECT node FROM cyc) THEN 'cycle' WHEN c.sid IS NULL THEN 'unavailable' WHEN p.sid IS NULL THEN 'ambiguous'
+        WHEN e.child IN (SELECT node FROM cyc) OR e.parent IN (SELECT node FROM cyc) THEN 'cycle' WHEN c.sid IS NULL THEN 'unavailable' WHEN p.sid IS NULL THEN 'ambiguous'
         WHEN b.n >= 2 AND c.last >= q.v THEN 'inherited_prefix' WHEN c.first = p.last AND c.last >= c.first THEN 'inherited_exact'
         WHEN c.first = 0 THEN 'independent' ELSE 'ambiguous' END AS status
       FROM e1 e LEFT JOIN ends c ON c.sid = e.child LEFT JOIN ends p ON p.sid = e.parent LEFT JOIN bs b ON b.parent = e.parent AND b.child = e.child LEFT JOIN ti q ON q.sid = e.parent AND q.i = b.s + b.n - 1""",
@@ -139,20 +140,33 @@ def stats_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.overview(X.sessions(spark, sf_dir), observed(spark, sf_dir), NOW)
 
 
+@stored
+def topology_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.topology(X.sessions(spark, sf_dir), X.edges(spark, sf_dir))
+
+
+VALID = {
+    "ve": "SELECT DISTINCT parent, child FROM fx_edges WHERE parent IN (SELECT sid FROM fx_sessions) AND child IN (SELECT sid FROM fx_sessions)",
+    "vu": "SELECT child AS node, parent AS top FROM ve UNION SELECT u.node, e.parent FROM vu u JOIN ve e ON e.child = u.top",
+    "vc": "SELECT DISTINCT node FROM vu WHERE node = top",
+    "vd_": "SELECT sid AS root, sid AS node, 0 AS d FROM fx_sessions WHERE sid NOT IN (SELECT child FROM ve) UNION SELECT v.root, e.child, v.d + 1 FROM vd_ v JOIN ve e ON e.parent = v.node WHERE v.node NOT IN (SELECT node FROM vc)",
+}
+
+
 @query(
-    """SELECT (SELECT count(*) FROM fx_sessions) AS sessions, (SELECT count(*) FROM fx_sessions WHERE sid NOT IN (SELECT child FROM fx_edges)) AS roots, count(*) AS edges, count(DISTINCT child) AS children,
-      count(*) FILTER (parent NOT IN (SELECT sid FROM fx_sessions) OR child NOT IN (SELECT sid FROM fx_sessions)) AS orphan_edges, count(*) FILTER (parent = child) AS self_edges,
-      (SELECT count(*) FROM cyc) AS cycle_nodes, (SELECT max(d)::BIGINT FROM up WHERE node NOT IN (SELECT node FROM up WHERE top IN (SELECT node FROM cyc))) AS depth FROM fx_edges""",
-    **TOKENS,
+    """SELECT (SELECT count(*) FROM fx_sessions) AS sessions, (SELECT count(*) FROM fx_sessions WHERE sid NOT IN (SELECT child FROM ve)) AS roots, count(*) AS edges, (SELECT count(*) FROM ve) AS valid_edges, (SELECT count(DISTINCT child) FROM ve) AS children,
+      count(*) FILTER (parent NOT IN (SELECT sid FROM fx_sessions)) AS orphan_parents, count(*) FILTER (child NOT IN (SELECT sid FROM fx_sessions)) AS orphan_children, count(*) FILTER (parent = child) AS self_edges,
+      (SELECT count(*) FROM (SELECT child FROM ve GROUP BY child HAVING count(*) > 1)) AS several_parents, (SELECT count(*) FROM vc) AS cycle_nodes, (SELECT max(d)::BIGINT FROM vd_) AS depth,
+      (SELECT count(DISTINCT root) FROM vd_ WHERE d >= 2) AS multi_generation_trees FROM fx_edges""",
+    **VALID,
 )
 def thread_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.topology(X.sessions(spark, sf_dir), X.edges(spark, sf_dir), thread_ancestry(spark, sf_dir))
+    return topology_row(spark, sf_dir)
 
 
 @query(
-    """SELECT n.node, CASE WHEN NOT cyclic THEN coalesce(d, 0) END::BIGINT AS depth, cyclic, node IN (SELECT node FROM cyc) AS on_cycle FROM (
-      SELECT node, node IN (SELECT node FROM up WHERE top IN (SELECT node FROM cyc)) AS cyclic FROM (SELECT child AS node FROM e1 UNION SELECT parent FROM e1)) n
-      LEFT JOIN (SELECT node, max(d) AS d FROM up GROUP BY node) USING (node)""",
+    """SELECT n.node, CASE WHEN node NOT IN (SELECT node FROM cyc) THEN d END::BIGINT AS depth, node IN (SELECT node FROM cyc) OR node IN (SELECT node FROM up WHERE top IN (SELECT node FROM cyc)) AS cyclic, node IN (SELECT node FROM cyc) AS on_cycle
+      FROM (SELECT child AS node FROM fx_edges UNION SELECT parent FROM fx_edges) n LEFT JOIN (SELECT node, max(d) AS d FROM dp GROUP BY node) USING (node)""",
     **TOKENS,
 )
 def thread_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +250,7 @@ def temporal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS = {
     **{k: TOKENS[k] for k in ("e1", "up", "cyc")},
     "m": "SELECT sid, source_ordinal, family, family || '|' || fingerprint AS key, row_number() OVER (PARTITION BY sid ORDER BY source_ordinal) - 1 AS i, row_number() OVER (PARTITION BY sid, family ORDER BY source_ordinal) - 1 AS k FROM fx_messages",
-    "ee": "SELECT * FROM e1 WHERE child NOT IN (SELECT node FROM cyc)",
+    "ee": "SELECT * FROM e1 WHERE child NOT IN (SELECT node FROM cyc) AND parent NOT IN (SELECT node FROM cyc)",
     "ws": "SELECT e.parent, e.child, p.i AS s FROM ee e JOIN m p ON p.sid = e.parent JOIN m c ON c.sid = e.child AND c.i = 0 AND c.key = p.key",
     "wd": "SELECT ws.*, c.i, row_number() OVER (PARTITION BY ws.parent, ws.child, s ORDER BY c.i) - 1 AS r FROM ws JOIN m c ON c.sid = ws.child JOIN m p ON p.sid = ws.parent AND p.i = s + c.i AND p.key = c.key",
     "wb": "SELECT parent, child, arg_max(s, n * 1000000 - s) AS s, max(n) AS n FROM (SELECT parent, child, s, count(*) AS n FROM wd WHERE r = i GROUP BY ALL) GROUP BY parent, child HAVING max(n) >= 2",
@@ -244,9 +258,9 @@ EVENTS = {
     "fd": "SELECT fs.*, c.k, row_number() OVER (PARTITION BY fs.parent, fs.child, fs.family, s ORDER BY c.k) - 1 AS r FROM fs JOIN m c ON c.sid = fs.child AND c.family = fs.family JOIN m p ON p.sid = fs.parent AND p.family = fs.family AND p.k = s + c.k AND p.key = c.key",
     "fb": "SELECT parent, child, family, arg_max(s, n * 1000000 - s) AS s, max(n) AS n FROM (SELECT parent, child, family, s, count(*) AS n FROM fd WHERE r = k GROUP BY ALL) GROUP BY parent, child, family HAVING max(n) >= 2",
     "ev": """
-      SELECT e.parent, e.child, c.i, c.family, c.source_ordinal, CASE WHEN e.child IN (SELECT node FROM cyc) THEN 'ambiguous' WHEN e.parent NOT IN (SELECT sid FROM m) THEN 'unknown'
+      SELECT e.parent, e.child, c.i, c.family, c.source_ordinal, CASE WHEN e.child IN (SELECT node FROM cyc) OR e.parent IN (SELECT node FROM cyc) THEN 'ambiguous' WHEN e.parent NOT IN (SELECT sid FROM m) THEN 'unknown'
         WHEN c.i < wb.n THEN 'inherited_prefix' WHEN c.k < fb.n THEN 'inherited_prefix' WHEN x.key IS NOT NULL THEN 'ambiguous' ELSE 'origin' END AS status,
-        CASE WHEN e.child IN (SELECT node FROM cyc) THEN NULL WHEN c.i < wb.n THEN wb.s + c.i WHEN c.k < fb.n THEN p.i END AS parent_index
+        CASE WHEN e.child IN (SELECT node FROM cyc) OR e.parent IN (SELECT node FROM cyc) THEN NULL WHEN c.i < wb.n THEN wb.s + c.i WHEN c.k < fb.n THEN p.i END AS parent_index
       FROM e1 e JOIN m c ON c.sid = e.child LEFT JOIN wb ON wb.parent = e.parent AND wb.child = e.child LEFT JOIN fb ON fb.parent = e.parent AND fb.child = e.child AND fb.family = c.family
       LEFT JOIN m p ON p.sid = e.parent AND p.family = c.family AND p.k = fb.s + c.k LEFT JOIN (SELECT DISTINCT sid, key FROM m) x ON x.sid = e.parent AND x.key = c.key""",
     "og": "SELECT m.sid, m.i, coalesce(ev.status, CASE WHEN m.sid IN (SELECT child FROM fx_edges) THEN 'unknown' ELSE 'origin' END) AS status, CASE WHEN ev.status = 'inherited_prefix' THEN ev.parent END AS up, ev.parent_index AS ui FROM m LEFT JOIN ev ON ev.child = m.sid AND ev.i = m.i",

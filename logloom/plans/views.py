@@ -44,18 +44,25 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions_of(read(spark, sf_dir, "conversations"))
 
 
+#: children and their parents
+ODD = {1: [900000001], 2: [3], 3: [2], 6: [8, 9], 7: [6], 8: [7], 12: [11, 13], 14: [12], 16: [7]}
+
+
 def edges_of(conv: DataFrame) -> DataFrame:
-    """Spawn edges, with one orphan and one cycle."""
+    """Spawn edges: among them an orphan, a cycle of two, one of three that another parent leads into, one below that, and a child of two parents with one below it."""
     sid = F.col("conv_id")
     ids = conv.select("conv_id").distinct()
     spawned = ids.where((sid % 5 == 0) & (sid > 0)).select(F.when(sid % 25 == 0, sid - 5).otherwise(sid - 1).alias("parent"), sid.alias("child"))
-    odd = ids.where(sid.isin(1, 2, 3)).select(F.when(sid == 1, F.lit(900000001)).when(sid == 2, F.lit(3)).otherwise(F.lit(2)).cast("long").alias("parent"), sid.alias("child"))
+    pairs = F.create_map(*[x for child, parents in ODD.items() for x in (F.lit(child).cast("long"), F.array(*[F.lit(p).cast("long") for p in parents]))])
+    odd = ids.where(sid.isin(*ODD)).select(F.explode(pairs[sid]).alias("parent"), sid.alias("child"))
     return spawned.union(odd)
 
 
 @stored
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges_of(read(spark, sf_dir, "conversations"))
+    """And one edge between two sessions that the catalogue doesn't have."""
+    found = edges_of(read(spark, sf_dir, "conversations"))
+    return found.union(spark.createDataFrame([(900000003, 900000002)], found.schema))
 
 
 def messages_of(conv: DataFrame, above: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,11 +135,13 @@ def repository_of(sid: Column) -> Column:
 
 
 def commits_of(activity: DataFrame) -> DataFrame:
-    """A commit three minutes after each action; its parent is the repository's commit before it."""
+    """A commit three minutes after each action. Of every four of a repository the third is made on a branch beside the second, and the fourth merges it."""
     acts = activity.where("command_category = 'git_mutation'")
     rows = acts.select(F.sha2(F.concat(F.lit("c"), F.col("event_id").cast("string")), 256).alias("commit_hash"), repository_of(F.col("sid")).alias("repository_root"), later(F.col("occurred_at"), F.lit(3)).alias("committed_at"))
     order = W.partitionBy("repository_root").orderBy("committed_at", "commit_hash")
-    return rows.withColumn("parent_hash", F.lag("commit_hash").over(order))
+    k, one, two = (F.row_number().over(order) - 1) % 4, F.lag("commit_hash").over(order), F.lag("commit_hash", 2).over(order)
+    parents = F.when(k == 2, F.array(two)).when(k == 3, F.array(two, one)).otherwise(F.array(one))
+    return rows.withColumn("parents", F.array_compact(parents))
 
 
 @stored
@@ -154,7 +163,8 @@ SQL = {
       FROM conversations GROUP BY conv_id""",
     "fx_edges": """
       SELECT DISTINCT CASE WHEN conv_id % 25 = 0 THEN conv_id - 5 ELSE conv_id - 1 END AS parent, conv_id AS child FROM conversations WHERE conv_id % 5 = 0 AND conv_id > 0
-      UNION ALL SELECT DISTINCT CASE conv_id WHEN 1 THEN 900000001 WHEN 2 THEN 3 ELSE 2 END, conv_id FROM conversations WHERE conv_id IN (1, 2, 3)""",
+      UNION ALL SELECT p, c FROM (VALUES (900000001, 1), (3, 2), (2, 3), (8, 6), (9, 6), (6, 7), (7, 8), (11, 12), (13, 12), (12, 14), (7, 16)) t(p, c) WHERE c IN (SELECT conv_id FROM conversations)
+      UNION ALL SELECT 900000003, 900000002""",
     "fx_messages": """
       SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY own, turn) - 1 AS source_ordinal, role || '_message' AS family, sha256(role || '|' || text) AS fingerprint, text
       FROM (SELECT conv_id AS sid, 1 AS own, turn, role, text FROM conversations
@@ -172,13 +182,14 @@ SQL = {
         CASE event_type WHEN 'view' THEN 'git_inspection' WHEN 'purchase' THEN 'git_mutation' WHEN 'signup' THEN 'editing_patching' WHEN 'click' THEN 'testing' WHEN 'error' THEN 'other' END AS command_category,
         CASE WHEN value < 5 THEN 'unknown' WHEN value < 30 THEN 'success' ELSE 'failure' END AS result_status FROM events""",
     "fx_commits": """
-      SELECT *, lag(commit_hash) OVER (PARTITION BY repository_root ORDER BY committed_at, commit_hash) AS parent_hash
-      FROM (SELECT sha256('c' || event_id) AS commit_hash, '/repos/repo-' || (sid % 8) AS repository_root, occurred_at + INTERVAL 3 MINUTE AS committed_at FROM fx_activity WHERE command_category = 'git_mutation')""",
+      SELECT *, list_filter(CASE (row_number() OVER h - 1) % 4 WHEN 2 THEN [lag(commit_hash, 2) OVER h] WHEN 3 THEN [lag(commit_hash, 2) OVER h, lag(commit_hash) OVER h] ELSE [lag(commit_hash) OVER h] END, lambda p: p IS NOT NULL) AS parents
+      FROM (SELECT sha256('c' || event_id) AS commit_hash, '/repos/repo-' || (sid % 8) AS repository_root, occurred_at + INTERVAL 3 MINUTE AS committed_at FROM fx_activity WHERE command_category = 'git_mutation')
+      WINDOW h AS (PARTITION BY repository_root ORDER BY committed_at, commit_hash)""",
     "fx_prompts": "SELECT doc_id AS prompt_id, text, source AS repository, lang AS model FROM documents",
 }
 
 
-RECURSIVE = ("up", "tr")
+RECURSIVE = ("up", "tr", "dp", "vu", "vd_", "anc")
 
 
 def with_views(query: str, **more: str) -> str:

@@ -1,5 +1,6 @@
 """Usage, lineage, provenance, outcomes, commands, prompts, commits and sources on small tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from logloom.functions import prompts as P
 from logloom.functions import shell
 from logloom.functions import vectors as V
-from logloom.operators import commits, lineage, outcomes, provenance, search, sessions, tasks, tools, usage
+from logloom.operators import commits, history, lineage, outcomes, provenance, search, sessions, tasks, tools, usage
 from logloom.sources import catalogue, exports, records
 
 T0 = datetime(2026, 8, 1)
@@ -46,12 +47,46 @@ def test_lineage_rules(spark):
     assert verdict(spark, [10, 40], [10, 40, 20])["status"] == "ambiguous"
 
 
+def reached(edges, a):
+    seen, new = set(), {a}
+    while new:
+        new = {c for p, c in edges if p in new} - seen
+        seen |= new
+    return seen
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_graphs(spark, seed):
+    """Cycles and depths against walking, in graphs of several parents, nested cycles and long chains."""
+    r = random.Random(seed)
+    n = 14
+    edges = {(r.randrange(n), r.randrange(n)) for _ in range(r.choice([9, 14, 20]))} | {(100 + i, 101 + i) for i in range(9)} | {(109, r.randrange(n)), (r.randrange(n), 104)}
+    found = {x["node"]: (x["depth"], x["cyclic"], x["on_cycle"]) for x in lineage.ancestry(spark.createDataFrame(sorted(edges), "parent long, child long")).collect()}
+    nodes = {x for e in edges for x in e}
+    on = {x for x in nodes if x in reached(edges, x)}
+    below = on.union(*(reached(edges, x) for x in on))
+    depth = {x: 0 for x in nodes if x not in {c for _, c in edges}}
+    for _ in nodes:
+        for p, c in edges:
+            if p in depth and p not in on and c not in on:
+                depth[c] = max(depth.get(c, 0), depth[p] + 1)
+    assert found == {x: (depth.get(x) if x not in on else None, x in below, x in on) for x in nodes}
+
+
 def test_ancestry(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 7), (8, 9), (9, 10), (5, 5)], "parent long, child long")
     found = {r["node"]: (r["depth"], r["cyclic"], r["on_cycle"]) for r in lineage.ancestry(edges).collect()}
     assert found == {1: (0, False, False), 2: (1, False, False), 3: (2, False, False), 4: (3, False, False), 7: (None, True, True), 8: (None, True, True), 9: (None, True, False), 10: (None, True, False), 5: (None, True, True)}
     long = spark.createDataFrame([(i, i + 1) for i in range(70)], "parent long, child long")
     assert lineage.ancestry(long).agg(F.max("depth")).first()[0] == 70
+    several = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 1), (3, 4), (4, 5), (6, 5), (5, 7), (8, 6), (6, 7), (10, 11), (12, 11), (11, 13)], "parent long, child long")
+    found = {r["node"]: (r["depth"], r["cyclic"], r["on_cycle"]) for r in lineage.ancestry(several).collect()}
+    assert {n for n, (_, _, on) in found.items() if on} == {1, 2, 3} and found[9] == (0, False, False) and found[4] == (None, True, False)
+    assert found[5] == (2, True, False) and found[7] == (3, True, False) and found[13] == (2, False, False)
+    ids = spark.createDataFrame([(k,) for k in range(1, 13)], "sid long")
+    t = lineage.topology(ids, several.union(spark.createDataFrame([(77, 1), (78, 79), (5, 5)], "parent long, child long"))).first()
+    assert (t["edges"], t["valid_edges"], t["orphan_parents"], t["orphan_children"], t["self_edges"], t["several_parents"]) == (16, 13, 2, 2, 1, 4)
+    assert (t["cycle_nodes"], t["roots"], t["depth"], t["multi_generation_trees"]) == (4, 4, 2, 1)
     down = lineage.descendants(edges, spark.createDataFrame([(2,), (9,)], "sid long"))
     assert {r["sid"] for r in down.collect()} == {2, 3, 4, 9, 10}
     below = lineage.descendants(long.union(spark.createDataFrame([(70, 100), (3, 100), (100, 101)], "parent long, child long")), spark.createDataFrame([(60,)], "sid long"))
@@ -199,10 +234,10 @@ def test_commits(spark):
     kind = "sid long, event_id long, repository_root string, occurred_at timestamp, until timestamp, result_status string, shown_hash string, start_hash string"
     m = lambda k: timedelta(minutes=k)
     c = lambda k: f"{k:040x}"
-    log = [("/r", c(i), T0 + timedelta(seconds=20 * i), None) for i in range(1, 31)]
+    log = [("/r", c(i), T0 + timedelta(seconds=20 * i), []) for i in range(1, 31)]
     log += [("/q", "abcdef1" + "0" * 33, T0 + timedelta(days=2), None)]
     for k, root in enumerate(("/m", "/n", "/o", "/p")):
-        log += [(root, c(1000 + 10 * k + i), T0 + m(30 * i), c(1000 + 10 * k + i - 1) if i else None) for i in range(3)]
+        log += [(root, c(1000 + 10 * k + i), T0 + m(30 * i), [c(1000 + 10 * k + i - 1)] if i else None) for i in range(3)]
     actions = [
         (1, 10, "/r", T0, T0 + m(5), "success", None, None),
         (2, 20, "/q", T0, None, "success", "abcdef1", None),
@@ -213,16 +248,35 @@ def test_commits(spark):
         (3, 31, "/m", T0 + m(50), None, "failure", c(1002)[:12], c(1000)),  # a failed action
     ]
     s = [(k, root, T0, T0 + m(200)) for k, root in enumerate(("/r", "/q", "/m", "/n", "/o", "/p"), 1)] + [(7, "/p", T0 + m(10), None)]
-    tables = spark.createDataFrame(actions, kind), spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp, parent_hash string"), spark.createDataFrame(s, "sid long, repository_root string, started_at timestamp, ended_at timestamp")
+    tables = spark.createDataFrame(actions, kind), spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp, parents array<string>"), spark.createDataFrame(s, "sid long, repository_root string, started_at timestamp, ended_at timestamp")
     links, summary = commits.linked(*tables)
     got = {}
     for r in links.collect():
         got.setdefault(r["sid"], []).append(r["tier"])
     assert got == {1: ["low"] * 5, 2: ["high"], 3: ["medium"], 4: ["low"], 6: ["low"]}
     assert {r["sid"]: (r["considered"], r["kept"], r["omitted"]) for r in summary.collect()} == {1: (30, 5, 25), 3: (2, 1, 1), 4: (1, 1, 0), 6: (1, 1, 0)}
-    chain = spark.createDataFrame([("/r", f"{i:040d}", T0, f"{i - 1:040d}") for i in range(1, 70)], "repository_root string, commit_hash string, committed_at timestamp, parent_hash string")
-    pairs = spark.createDataFrame([(f"{i:040d}", f"{k:040d}") for i, k in ((5, 2), (2, 5), (69, 1), (69, 0), (64, 63), (7, 7))], "commit_hash string, ancestor string")
-    assert {(int(r[0]), int(r[1])) for r in commits.descends(pairs, chain).collect()} == {(5, 2), (69, 1), (69, 0), (64, 63)}
+
+
+def test_ancestry_over_all_parents(spark):
+    """Merges, branches of branches, clocks that run backwards, parents that nobody has read, and a long line, against walking."""
+    r = random.Random(3)
+    name = lambda i: f"{i:07d}" + "f" * 33
+    parents = {i: [i - 1] for i in range(1, 70)} | {i: sorted(r.sample(range(max(70, i - 9), i), min(i - 70, r.choice([1, 1, 2, 3]))), reverse=True) for i in range(70, 130)}
+    parents |= {70: [500], 110: [109, 30]}
+    log = [("/r", name(i), T0 + timedelta(minutes=i * r.choice([1, 1, 1, -3])) if i % 17 else None, [name(p) for p in ps]) for i, ps in parents.items()]
+    pairs = [(i, k) for i in parents for k in (i - 1, i - 4, i - 20, 500, 0, 30, i) if k >= 0]
+
+    def above(i):
+        seen, new = set(), {i}
+        while new:
+            new = {p for x in new for p in parents.get(x, [])} - seen
+            seen |= new
+        return seen
+
+    asked = spark.createDataFrame([(name(i), name(k)[:12]) for i, k in pairs], "commit_hash string, ancestor string")
+    found = history.descends(asked, spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp, parents array<string>"))
+    assert {(int(a[:7]), int(b[:7])) for a, b in found.collect()} == {(i, k) for i, k in pairs if k in above(i)}
+    assert history.descends(asked.limit(0), spark.createDataFrame([], "commit_hash string, committed_at timestamp, parents array<string>")).count() == 0
 
 
 def test_events_of_a_child_of_two_parents_are_unknown(spark):
