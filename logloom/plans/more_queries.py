@@ -51,7 +51,7 @@ def repeated_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.unix_micros(c) for c in ("first_at", "last_at")})
 
 
-@query("SELECT executable, command_category, test_scope, executable = 'git' AND command_category = 'git_mutation' AND executable IS NOT NULL AS is_commit, redacted, count(*) AS n FROM cm GROUP BY ALL", cm=lines.SQL)
+@query("SELECT executable, command_category, test_scope, is_commit, redacted, count(*) AS n FROM cm GROUP BY ALL", cm=lines.SQL)
 def command_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories and scopes of commands behind what stands before them."""
     return tool_rows(spark, sf_dir).groupBy("executable", "command_category", "test_scope", "is_commit", "redacted").agg(F.count("*").alias("n"))
