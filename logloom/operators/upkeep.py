@@ -63,6 +63,10 @@ class Store:
             if r["rows"]:
                 self.manifest[r["name"], r["bucket"]] = (r["run"], r["rows"], r["version"])
 
+    def runs(self) -> DataFrame:
+        """The manifests of all runs: written (the run), and for each bucket of each table the run that wrote it, its rows and version."""
+        return self.spark.read.parquet(f"{self.folder}/manifest")
+
     def read(self, name: str, only: set[int] | None = None, manifest: Manifest | None = None) -> DataFrame | None:
         """A table, or those of its buckets; None if it was never written."""
         if name not in self.schemas:

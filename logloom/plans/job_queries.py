@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.checkpoints import shared_folder
 from logloom.functions import prompts as P
-from logloom.operators import coverage, jobs, lineage, prompts, provenance, sessions
+from logloom.operators import coverage, jobs, prompts, provenance, sessions, upkeep
+from logloom.operators.upkeep import Store
 from logloom.sources import catalogue, census, records
 from logloom.streaming import ingest
 
+from . import index
 from . import views as X
 from .log_queries import log_activity, log_event_rows, log_rows, typed_rows
-from .more_queries import COMMITS, commit_summaries, linked
+from .more_queries import COMMITS, OUTCOMES, TASKS, commit_summaries, linked
 from .queries import EVENTS, TOKENS, VALID, query, resolved_events, topology_row
 from .report_queries import FULL, PROMPTS, full, prompt_facts
 from .stored import stored, written
 
+CHOSEN = "SELECT conv_id AS sid FROM conversations GROUP BY conv_id ORDER BY count(*) DESC, conv_id LIMIT 1"
+
 # ---- catalogues
 
 def raw_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,10 +168,14 @@ def latest_ingestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.latest(rows, ["sid"], F.desc("at_"), F.desc("path")).select("sid", "state", "at_")
 
 
-@query("SELECT parent, child, CASE WHEN child % 2 = 0 THEN 'new' ELSE 'gone' END AS state FROM fx_edges WHERE child % 3 = 0")
+@query(
+    """SELECT parent, child, 'new' AS state FROM (SELECT parent, child FROM fx_edges EXCEPT SELECT sid - 1, sid FROM fx_sessions WHERE client_kind = 'subagent')
+      UNION ALL SELECT parent, child, 'gone' FROM (SELECT sid - 1 AS parent, sid AS child FROM fx_sessions WHERE client_kind = 'subagent' EXCEPT SELECT parent, child FROM fx_edges)"""
+)
 def changed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = X.edges(spark, sf_dir)
-    return jobs.changed_edges(e.where("child % 3 <> 0 OR child % 2 = 1"), e.where("child % 3 <> 0 OR child % 2 = 0"))
+    """The edges told by the edge table against those that the sessions' own sources tell."""
+    told = X.sessions(spark, sf_dir).where("client_kind = 'subagent'").select((F.col("sid") - 1).alias("parent"), F.col("sid").alias("child"))
+    return jobs.changed_edges(told, X.edges(spark, sf_dir))
 
 
 @query("SELECT sid FROM fx_sessions WHERE sid % 4 = 0 OR sid % 6 = 0")
@@ -175,10 +185,12 @@ def outdated_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.dirty_by_version(tables)
 
 
-@query("SELECT sid, source_ordinal, CASE WHEN source_ordinal = 0 THEN 'stale' ELSE 'new' END AS state FROM fx_messages WHERE source_ordinal IN (0, 3)")
+@query(f"SELECT m.sid, max(source_ordinal) AS source_ordinal, 'new' AS state FROM fx_messages m JOIN ({CHOSEN}) c USING (sid) GROUP BY m.sid")
 def changed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.messages(spark, sf_dir).select("sid", "source_ordinal")
-    stale, new = jobs.replaced(m.where("source_ordinal <> 3"), m.where("source_ordinal <> 0"), ["sid", "source_ordinal"])
+    """Observations before and after a session went on."""
+    conv = X.read(spark, index.earlier(spark, sf_dir), "conversations")
+    keys = ["sid", "source_ordinal"]
+    stale, new = jobs.replaced(X.messages_of(conv, conv, X.edges_of(conv)).select(keys), X.messages(spark, sf_dir).select(keys), keys)
     return stale.withColumn("state", F.lit("stale")).unionByName(new.withColumn("state", F.lit("new")))
 
 
@@ -308,17 +320,17 @@ def coverage_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'sessions' AS metric, count(*)::DOUBLE AS value FROM fx_sessions UNION ALL SELECT 'stale_sessions', count(*) FILTER (sid % 35 = 0) FROM fx_sessions UNION ALL SELECT 'malformed_lines', count(*) FILTER (sid % 9 = 0) FROM fx_sessions UNION ALL SELECT 'unknown_event_rate', count(*) FILTER (og.status = 'unknown') / count(*)::DOUBLE FROM og
-      UNION ALL SELECT 'capabilities_degraded', count(*) FILTER (status = 'degraded') FROM cl UNION ALL SELECT 'source_minus_index', count(*) FILTER (sid % 7 = 0) FROM fx_sessions""",
+    f"""SELECT 'sessions' AS metric, count(*)::DOUBLE AS value FROM fx_sessions UNION ALL SELECT 'stale_sessions', count(*) FROM ({CHOSEN}) UNION ALL SELECT 'malformed_lines', count(*) FILTER (sid % 9 = 0) FROM fx_sessions UNION ALL SELECT 'unknown_event_rate', count(*) FILTER (og.status = 'unknown') / count(*)::DOUBLE FROM og
+      UNION ALL SELECT 'capabilities_degraded', count(*) FILTER (status = 'degraded') FROM cl UNION ALL SELECT 'source_minus_index', count(*) FROM fx_sessions WHERE sid NOT IN (SELECT conv_id FROM conversations) UNION ALL SELECT 'runs', 2""",
     **CAPS,
 )
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One metric a row."""
-    s = X.sessions(spark, sf_dir)
-    now, was = listing(spark, sf_dir)
+    """One metric a row. Stale are sessions whose sources went on since an index of the earlier state was built; the runs are those of the index since."""
+    s, store = X.sessions(spark, sf_dir), Store(spark, index.kept_up(spark, sf_dir))
     lines = records.parsed(log_rows(spark, sf_dir)).agg(F.count_if(F.col("status") == "malformed"))
     spawned = resolved_events(spark, sf_dir).agg(F.count_if(F.col("status") == "unknown") / F.count("*"))
-    metrics = {"sessions": s.agg(F.count("*")), "stale_sessions": s.agg(F.count_if(F.col("sid") % 35 == 0)), "malformed_lines": lines, "unknown_event_rate": spawned, "capabilities_degraded": capability_rows(spark, sf_dir).agg(F.count_if(F.col("status") == "degraded")), "source_minus_index": now.join(was, "path", "left_anti").agg(F.count("*"))}
+    stale = upkeep.changed_keys(index.states(spark, sf_dir, None), index.states(spark, index.earlier(spark, sf_dir), None))
+    metrics = {"sessions": s.agg(F.count("*")), "stale_sessions": stale.agg(F.count("*")), "malformed_lines": lines, "unknown_event_rate": spawned, "capabilities_degraded": capability_rows(spark, sf_dir).agg(F.count_if(F.col("status") == "degraded")), "source_minus_index": s.join(store.read("sessions"), "sid", "left_anti").agg(F.count("*")), "runs": store.runs().agg(F.count_distinct("written"))}
     out = None
     for k, df in metrics.items():
         row = df.select(F.lit(k).alias("metric"), F.col(df.columns[0]).cast("double").alias("value"))
@@ -326,6 +338,25 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(
+    """SELECT 'sessions' AS name, count(*) AS rows, '1' AS version FROM fx_sessions UNION ALL SELECT 'messages', count(*), '1' FROM fx_messages UNION ALL SELECT 'totals', count(*), '1' FROM fx_token_events UNION ALL SELECT 'activity', count(*), '1' FROM fx_activity
+      UNION ALL SELECT 'contributions', count(*), '1' FROM ct UNION ALL SELECT 'outcomes', count(*), '1' FROM oc UNION ALL SELECT 'tasks', count(*), '1' FROM tk UNION ALL SELECT 'commits', count(*), '1' FROM fx_commits""",
+    **(TOKENS | TASKS | OUTCOMES),
+)
+def index_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last run left of each table: rows, and the version that wrote them."""
+    store = Store(spark, index.kept_up(spark, sf_dir))
+    rows = store.runs().where((F.col("written") == store.run) & (F.col("bucket") >= 0)).groupBy("name").agg(F.sum("rows").alias("rows"), F.max("version").alias("version"))
+    return rows.where(F.col("name").isin("sessions", "messages", "totals", "activity", "contributions", "outcomes", "tasks", "commits"))
+
+
+@query("SELECT 'conversations' AS source, count(*) AS rows, count(DISTINCT conv_id) AS sessions FROM conversations UNION ALL SELECT 'events', count(*), count(DISTINCT sid) FROM fx_activity")
+def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index knows of each kind of source."""
+    states = Store(spark, index.kept_up(spark, sf_dir)).read("states")
+    return states.groupBy(F.regexp_extract("path", r"/(\w+)\.parquet", 1).alias("source")).agg(F.sum("n").alias("rows"), F.count_distinct("sid").alias("sessions"))
+
+
 # ---- texts that are kept or not
 
 @query(
@@ -342,10 +373,10 @@ def text_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query("SELECT sid, count(*) AS rows, count(*) FILTER (command_category = 'git_mutation') AS commits, 0 AS with_text FROM fx_activity WHERE command_category IN ('git_mutation', 'git_inspection') GROUP BY sid")
+@query("SELECT sid, sum(CASE command_category WHEN 'testing' THEN 3 WHEN 'other' THEN 0 ELSE 1 END)::BIGINT AS rows, count(*) FILTER (command_category = 'git_mutation') AS commits, 0 AS with_text FROM fx_activity WHERE command_category <> 'other' GROUP BY sid")
 def purged_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands without their texts; what was a commit is still told."""
-    rows = log_activity(spark, sf_dir).where("command_category IN ('git_mutation', 'git_inspection')").withColumn("operation", F.lit(None).cast("string"))
+    """All calls without their texts (a test's script makes three of them); what was a commit is still told."""
+    rows = log_activity(spark, sf_dir).withColumn("operation", F.lit(None).cast("string"))
     table, _ = jobs.purged(rows, "text", "operation")
     return table.groupBy("sid").agg(F.count("*").alias("rows"), F.count_if(F.col("operation") == "git_commit").alias("commits"), F.count("text").alias("with_text"))
 
@@ -370,41 +401,58 @@ def prompt_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.by_prefix(rows, "prompt_id", first[:40]).select("prompt_id", "sid", "prompt_ordinal", F.col("r.text").alias("text"))
 
 
-@query("SELECT sid, source_ordinal FROM (SELECT *, lead(source_ordinal) OVER (PARTITION BY sid ORDER BY source_ordinal) AS n FROM fx_messages WHERE family = 'user_message' AND source_ordinal % 2 = 0) WHERE sid % 3 = 0")
+@query("SELECT sid, 2 * source_ordinal AS source_ordinal FROM fx_messages WHERE family = 'user_message' AND sid % 3 = 0")
 def mirrored_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User records of every third session, each written in two notations one after the other."""
-    m = X.messages(spark, sf_dir).where("family = 'user_message' AND source_ordinal % 2 = 0").select("sid", "source_ordinal", "family", "fingerprint")
-    both = m.withColumn("payload_type", F.lit("message")).unionByName(m.where("sid % 3 = 0").withColumn("source_ordinal", F.col("source_ordinal") + 1).withColumn("payload_type", F.lit("user_message")))
-    return provenance.mirrored(both)
+    """All records, those of users of every third session in two notations, one after the other."""
+    m = X.messages(spark, sf_dir).select("sid", (2 * F.col("source_ordinal")).alias("source_ordinal"), "family", "fingerprint")
+    again = m.where("sid % 3 = 0 AND family = 'user_message'").select("sid", (F.col("source_ordinal") + 1).alias("source_ordinal"), "family", "fingerprint", F.lit("user_message").alias("payload_type"))
+    return provenance.mirrored(m.withColumn("payload_type", F.lit("message")).unionByName(again))
 
 
-@query("SELECT sid, commit_hash, ['low', 'medium', 'high'][r] AS tier, epoch_us(committed_at) AS at_, repository, considered, omitted FROM tl JOIN fu USING (sid) LEFT JOIN cs USING (sid) WHERE r = 3 OR committed_at >= TIMESTAMP '2024-01-10' ORDER BY committed_at DESC, repository, commit_hash, sid LIMIT 200", **(COMMITS | FULL))
+@query("SELECT sid, commit_hash, ['low', 'medium', 'high'][r] AS tier, epoch_us(committed_at) AS at_, repository, considered, omitted FROM tl JOIN fu USING (sid) LEFT JOIN cs USING (sid) ORDER BY committed_at DESC, repository, commit_hash, sid LIMIT 200", **(COMMITS | FULL))
 def commit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linked commits, the newest first, with their sessions and what was considered."""
     rows = linked(spark, sf_dir).join(full(spark, sf_dir).select("sid", "repository"), "sid").join(commit_summaries(spark, sf_dir), "sid", "left")
-    rows = rows.where((F.col("tier") == "high") | (F.col("committed_at") >= F.lit("2024-01-10").cast("timestamp")))
     return rows.orderBy(F.desc("committed_at"), "repository", "commit_hash", "sid").limit(200).select("sid", "commit_hash", "tier", F.unix_micros("committed_at").alias("at_"), "repository", "considered", "omitted")
 
 
 # ---- streams: run over what is there, and read back
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, files: int = 4) -> DataFrame:
-    """The rows as files, in the order of time, that a stream reads one at a time."""
+SLICE_ROWS = 1_000_000
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame, by: str = "occurred_at", least: int = 4) -> DataFrame:
+    """The rows as files of bounded size that a stream reads one after the other, in the order of by.
+
+    The rows are read and dealt out once; files are put in place one at a time, as a stream goes by their times."""
     def write(path: str) -> None:
-        first, last = rows.agg(F.unix_micros(F.min("occurred_at")), F.unix_micros(F.max("occurred_at"))).first()
-        part = F.floor((F.unix_micros("occurred_at") - (first or 0)) * files / ((last or 0) - (first or 0) + 1))
-        for k in range(files):
-            rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+        n = max(least, -(-rows.count() // SLICE_ROWS))
+        dealt = rows.repartitionByRange(n, by).withColumn("slice", F.spark_partition_id())
+        dealt.write.mode("overwrite").partitionBy("slice").parquet(f"{path}-slices")
+        for k in range(n):
+            spark.read.schema(dealt.schema).parquet(f"{path}-slices").where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
 
     path = written(spark, sf_dir, f"stream_{name}", write)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The provider that stateful counters need, while a stream starts."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ingest.STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def finished(spark: SparkSession, sf_dir: str, name: str, out: DataFrame) -> DataFrame:
     def write(path: str) -> None:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.STATE_STORE)
-        q = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{shared_folder(spark)}/stream-{name}-{path[-60:].replace('/', '-')}").trigger(availableNow=True).start()
-        q.awaitTermination()
+        with state_store(spark):
+            q = out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
+            q.awaitTermination()
 
     return spark.read.schema(out.schema).parquet(written(spark, sf_dir, f"streamed_{name}", write))
 
@@ -417,9 +465,33 @@ def stream_daily_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, sf_dir, "daily", out).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "tokens", "steps")
 
 
-@query("SELECT sid, epoch_us(occurred_at) AS at_, inc AS tokens, false AS fallback FROM (SELECT sid, occurred_at, event_ordinal, cumulative_total - coalesce(lag(cumulative_total) OVER (PARTITION BY sid ORDER BY event_ordinal), 0) AS inc FROM fx_token_events WHERE sid % 10 <> 0)")
+@query("SELECT sid, epoch_us(occurred_at) AS at_, inc AS tokens, false AS fallback FROM (SELECT sid, occurred_at, event_ordinal, cumulative_total - coalesce(lag(cumulative_total) OVER (PARTITION BY sid ORDER BY event_ordinal), 0) AS inc FROM fx_token_events)")
 def stream_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of the counters of sessions that replay none of their parent's."""
-    rows = X.token_totals(spark, sf_dir).where("sid % 10 <> 0")
-    out = ingest.increments(stream_of(spark, sf_dir, "counters", rows))
+    """Steps of all sessions' counters, as their logs grow."""
+    out = ingest.increments(stream_of(spark, sf_dir, "counters", X.token_totals(spark, sf_dir), by="event_ordinal"))
     return finished(spark, sf_dir, "increments", out).select("sid", F.unix_micros("occurred_at").alias("at_"), "tokens", "fallback")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, sum(floor(100 * value)::BIGINT)::BIGINT AS tokens, count(*) AS steps FROM events GROUP BY 1")
+def stream_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a stream whose steps come by their users, so that most are late: every day as its last correction leaves it."""
+    steps = X.read(spark, sf_dir, "events").select("user_id", F.col("ts").alias("occurred_at"), F.floor(100 * F.col("value")).alias("tokens"))
+
+    def write(path: str) -> None:
+        ingest.corrections(stream_of(spark, sf_dir, "late_steps", steps, by="user_id").drop("user_id"), path, f"{path}-checkpoint").awaitTermination()
+
+    signed = spark.read.schema(ingest.SIGNED).parquet(written(spark, sf_dir, "corrected", write) + "/signed")
+    return ingest.settled(signed).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "tokens", "steps")
+
+
+@query("SELECT conv_id AS sid, count(*) AS lines, sum(length(text))::BIGINT AS characters FROM conversations GROUP BY 1")
+def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record lines taken in as they come, parsed batch by batch."""
+    payload = F.struct(F.lit("message").alias("type"), "role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content"))
+    lines = X.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sid"), "turn", F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))).alias("line"))
+
+    def write(path: str) -> None:
+        ingest.ingest(stream_of(spark, sf_dir, "lines", lines, by="turn").select("sid", "line"), path, f"{path}-checkpoint").awaitTermination()
+
+    rows = spark.read.parquet(written(spark, sf_dir, "ingested", write))
+    return rows.where("status = 'ok'").groupBy("sid").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))

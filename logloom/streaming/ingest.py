@@ -23,19 +23,42 @@ def ingest(lines: DataFrame, out: str, checkpoint: str, more: Callable[[DataFram
     def keep(batch: DataFrame, number: int) -> None:
         more(records.parsed(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return lines.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).start()
+    return lines.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_usage(steps: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tokens by window of event time, once the watermark is past it; what comes later still is left out (late_steps tells what)."""
+    """Tokens by window of event time, once the watermark is past it; what comes later still is left out (corrections takes it in)."""
     return steps.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", width).alias("w")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("steps")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "tokens", "steps")
 
 
-def late_steps(steps: DataFrame, closed: DataFrame) -> DataFrame:
-    """(start, tokens, steps): what a batch of steps holds for windows of which closed (start, end, tokens, steps) tells fewer steps."""
-    width = closed.select("start", "end")
-    held = steps.join(width, (F.col("occurred_at") >= F.col("start")) & (F.col("occurred_at") < F.col("end"))).groupBy("start").agg(F.sum("tokens").alias("all_tokens"), F.count("*").alias("all_steps"))
-    return held.join(closed, "start").where("all_steps > steps").select("start", (F.col("all_tokens") - F.col("tokens")).alias("tokens"), (F.col("all_steps") - F.col("steps")).alias("steps"))
+def corrections(steps: DataFrame, out: str, checkpoint: str, width: str = "1 day") -> StreamingQuery:
+    """Window totals that late steps correct: for every window a micro-batch touches, the former total taken back and the new one put in its place.
+
+    Each micro-batch writes what it adds to each window, and the rows that retract and replace, into folders of its
+    own number; one that is run again overwrites them and reads only those before it, so its effect counts once.
+    Nothing is held back, whatever the lateness; settled() and the sum of the signed rows agree at any time."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = batch.groupBy(F.window("occurred_at", width)["start"].alias("start")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("steps"))
+        part.write.mode("overwrite").parquet(f"{out}/added/batch={number}")
+        new = spark.read.schema(part.schema).parquet(f"{out}/added/batch={number}")
+        totals = lambda df: df.groupBy("start").agg(F.sum("tokens").alias("tokens"), F.sum("steps").alias("steps"))
+        before = spark.read.schema(ADDED).parquet(f"{out}/added").where(F.col("batch") < number).join(new.select("start"), "start", "left_semi")
+        old = totals(before).withColumn("sign", F.lit(-1))
+        now = totals(before.select(new.columns).unionByName(new)).withColumn("sign", F.lit(1))
+        old.unionByName(now).write.mode("overwrite").parquet(f"{out}/signed/batch={number}")
+
+    return steps.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+ADDED = "start timestamp, tokens long, steps long, batch int"
+SIGNED = "start timestamp, tokens long, steps long, sign int, batch int"
+
+
+def settled(signed: DataFrame) -> DataFrame:
+    """(start, tokens, steps, replaced): the windows as the signed rows leave them, and how often each was replaced."""
+    return signed.groupBy("start").agg(F.sum(F.col("sign") * F.col("tokens")).alias("tokens"), F.sum(F.col("sign") * F.col("steps")).alias("steps"), F.count_if(F.col("sign") < 0).alias("replaced"))
 
 
 class Increments(StatefulProcessor):
