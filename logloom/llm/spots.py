@@ -32,6 +32,7 @@ COMMON = (
     "le la les de et un une du en que est pour dans qui sur par pas avec "
     "el y los del se las por con no una su al para lo"
 ).split()
+MOST_PARTS = 4096
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -65,45 +66,50 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = 2000, cuts: int = 64) -> DataFrame:
     """key, text and next_text: the text of the row with the next smaller key (after the last: the first's).
 
-    Rows are dealt into ranges of the key, each sorted by itself; the first row of the range that follows
-    is added at the end of each, so that texts move once. Rows without a key, and those of a key that fills
-    more than a cut of its own, are dealt into ranges of their texts' hash instead."""
+    Rows are dealt into ranges of about bucket_rows by rank: cuts of the whole table first, then parts of each cut,
+    then parts of those, so that keys that lie close together make as many ranges as others. Each range is sorted by
+    itself; the first row of the range that follows is added at the end of each, so that texts move once. Rows
+    without a key, and those of a key that fills more than a range, are dealt into ranges of their texts' hash."""
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    n, known, least, most, points = rows.agg(F.count("*"), F.count("k"), F.min("k"), F.max("k"), F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 10_000)).first()
-    points = [least, *points, most] if known else [0]
-    bounds = sorted(set(points))
-    fine = max(1, math.ceil(n / bucket_rows / max(1, len(bounds) - 1)))
-    parts = {b: math.ceil(known * points.count(b) / cuts / bucket_rows) for b in bounds if points.count(b) > 1}
-    number = lambda x: F.lit(str(x)).cast(rows.schema["k"].dataType)
-
-    def range_of(lo: int, hi: int) -> Column:
-        """Within bounds[lo:hi + 1], by halving: a range for the bound itself, then equal steps (in floating point, which keeps the order and never overflows)."""
-        if hi - lo <= 1:
-            width = max(1.0, float(bounds[hi]) - float(bounds[lo]))
-            step = F.floor((F.col("k").cast("double") - float(bounds[lo])) / width * fine)
-            inside = F.lit(lo * (fine + 1) + 1) + F.greatest(F.lit(0), F.least(step, F.lit(fine - 1)))
-            return F.when(F.col("k") == number(bounds[lo]), lo * (fine + 1)).when((F.col("k") == number(bounds[hi])) & F.lit(hi > lo), hi * (fine + 1)).otherwise(inside)
-        mid = (lo + hi) // 2
-        return F.when(F.col("k") < number(bounds[mid]), range_of(lo, mid)).otherwise(range_of(mid, hi))
-
+    n, known, points = rows.agg(F.count("*"), F.count("k"), F.percentile_approx("k", [i / cuts for i in range(1, cuts)], 10_000)).first()
+    kind = rows.schema["k"].dataType
     share = F.col("h").cast("double") / 2.0**64 + 0.5
-    pieces = F.when(F.col("k").isNull(), math.ceil((n - known) / bucket_rows))
-    for b, p in parts.items():
-        pieces = pieces.when(F.col("k") == number(b), p)
-    pieces = pieces.otherwise(1)
-    first = F.when(F.col("k").isNull(), -1).otherwise(range_of(0, len(bounds) - 1)).cast("long")
-    dealt = rows.select("k", "t", "h", F.struct(first.alias("r"), F.least(F.floor(share * pieces), pieces - 1).cast("long").alias("s")).alias("r"), F.lit(0).alias("added"))
+
+    def placed(points: Column) -> tuple[Column, Column]:
+        """The part of k between points, and into how many its rows are dealt by hash: a point that comes m times is a key of m parts."""
+        below, equal = F.size(F.filter(points, lambda p: p < F.col("k"))), F.size(F.filter(points, lambda p: p == F.col("k")))
+        return F.when(equal >= 2, below).otherwise(below + equal), F.when(equal >= 2, equal)
+
+    fine = max(1, math.ceil(known / bucket_rows / cuts))
+    parts = [fine] if fine <= cuts else [cuts, min(MOST_PARTS, math.ceil(fine / cuts))]
+    top = F.array(*[F.lit(str(p)).cast(kind) for p in points or []]) if known else F.array().cast(f"array<{kind.simpleString()}>")
+    part, times = placed(top)
+    size = F.when(times.isNotNull(), times * fine).when(F.col("k").isNull(), max(1, math.ceil((n - known) / bucket_rows))).otherwise(1)
+    dealt = rows.withColumn("q0", F.when(F.col("k").isNull(), -1).otherwise(part)).withColumn("pieces", size)
+    names = ["q0"]
+    for i, m in enumerate(parts, 1):
+        # one row for each part so far, of m points: cuts and parts bound both
+        inner = dealt.where("k IS NOT NULL AND pieces = 1").groupBy(*names).agg(F.percentile_approx("k", [j / m for j in range(1, m)], 1000).alias("points")) if m > 1 else None
+        if inner is None:
+            dealt = dealt.withColumn(f"q{i}", F.lit(0))
+        else:
+            below, equal = placed(F.col("points"))
+            # a key of several parts is the greatest of the part it stands in, and stays behind the others there
+            inside = F.col("k").isNotNull() & (F.col("pieces") == 1) & F.col("points").isNotNull()
+            dealt = dealt.join(F.broadcast(checkpointed(inner)), names, "left").withColumn(f"q{i}", F.when(inside, below).when(F.col("k").isNotNull() & (F.col("pieces") > 1), m).otherwise(0)).withColumn("pieces", F.when(inside & equal.isNotNull(), equal * math.prod(parts[i:])).otherwise(F.col("pieces"))).drop("points")
+        names.append(f"q{i}")
+    dealt = dealt.select("k", "t", "h", F.struct(*[F.col(c).cast("long").alias(c) for c in names], F.least(F.floor(share * F.col("pieces")), F.col("pieces") - 1).cast("long").alias("s")).alias("r"), F.lit(0).alias("added"))
     place = F.struct(F.coalesce(F.col("k").cast("long"), F.lit("-9223372036854775808").cast("long")), "h")
     heads = checkpointed(dealt.groupBy("r").agg(F.max_by("t", place).alias("t")))
     # the range before each: within blocks of ranges, then between blocks
-    block = F.floor(F.col("r.r") / 4096)
+    block = F.col("r.q0") * MOST_PARTS + F.col("r.q1")
     ranges = heads.select("r", block.alias("block"))
     tops = ranges.groupBy("block").agg(F.max("r").alias("top"))
     tops = tops.select("block", F.lag("top").over(W.orderBy("block")).alias("below"), F.max("top").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"))
     lower = ranges.select("r", "block", F.lag("r").over(W.partitionBy("block").orderBy("r")).alias("lower")).join(tops, "block")
     # after the smallest row comes the greatest one
     ring = lower.select(F.coalesce("lower", "below", "last").alias("smaller"), "r")
-    ends = heads.withColumnRenamed("r", "smaller").join(ring, "smaller").select(F.lit(None).cast(rows.schema["k"].dataType).alias("k"), "t", F.lit(None).cast("long").alias("h"), "r", F.lit(1).alias("added"))
+    ends = heads.withColumnRenamed("r", "smaller").join(ring, "smaller").select(F.lit(None).cast(kind).alias("k"), "t", F.lit(None).cast("long").alias("h"), "r", F.lit(1).alias("added"))
     down = W.partitionBy("r").orderBy("added", F.desc_nulls_last("k"), F.desc("h"))
     return dealt.unionByName(ends).select("k", "t", "added", F.lead("t").over(down).alias("next_text")).where("added = 0").select(F.col("k").alias(key), F.col("t").alias(text), "next_text")
 

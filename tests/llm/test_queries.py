@@ -192,3 +192,33 @@ def test_far_apart_ids(spark):
     assert len(found) == len(rows) and sorted(r["next_text"] for r in found) == sorted(t for _, t in rows)
     after = {r["doc_id"]: r["next_text"] for r in found if r["doc_id"] not in (3, None)}
     assert after[2**63 - 1] == f"the text of {2**62 + 11}" and after[0] == "the text of -5" and after[-(2**62) - 7] == f"the text of {-(2**63)}" and after[-(2**63)].startswith("nobody")
+
+
+@pytest.mark.parametrize("spread", ["even", "close", "far", "hot"])
+def test_ranges_are_even_however_ids_lie(spark, spread):
+    """Ranges by rank: ids close together, one far off, and a key of a twentieth of the rows make no range much fuller than others."""
+    from pyspark.sql import functions as F
+
+    from logloom.llm import spots
+
+    r = random.Random(2)
+    n = 8000
+    ids = {
+        "even": list(range(n)),
+        "close": [10**12 + (i if i % 3 else i * 10**6) for i in range(n)],
+        "far": [2**62, *range(n - 1)],
+        "hot": [7 if i % 20 == 0 else i for i in range(n)],
+    }[spread]
+    docs = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(ids)], "doc_id long, text string").repartition(5)
+    found = spots.with_next(docs, bucket_rows=20, cuts=8)
+    order = sorted(range(n), key=lambda i: -ids[i])
+    got = {x["text"]: x["next_text"] for x in found.collect()}
+    assert sorted(got.values()) == sorted(got) and len(got) == n
+    at = {f"text {i}": ids[i] for i in range(n)}
+    steps = [(at[a], at[b]) for a, b in got.items()]
+    follow = {ids[i]: ids[j] for i, j in zip(order, order[1:] + order[:1], strict=True)}
+    assert all(a == b or follow[a] == b for a, b in steps)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "q2" in plan  # two levels below the cuts
+    sizes = found.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert sizes.agg(F.sum("count")).first()[0] == n and r is not None
