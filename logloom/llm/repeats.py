@@ -154,8 +154,10 @@ def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20, hot: int = 1 << 16) -> DataFrame:
-    """record (struct of docs' columns), kept (binary, the remaining bytes) and spans (array of start and length of the maximal removed runs)."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50, gram: int = 20, chunk_bytes: int = 4 << 20, bucket_entries: int = 1 << 20, hot: int = 1 << 16, characters: bool = False) -> DataFrame:
+    """record (struct of docs' columns), kept (binary, the remaining bytes) and spans (array of start and length of the maximal removed runs).
+
+    characters: a character of which a byte is removed goes whole, so that what is kept is text."""
     names, total = docs.columns, docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, text = f"c{names.index(key)}", f"c{names.index(text)}"
@@ -359,6 +361,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 kept.append(b.tobytes())
                 spans.append([])
                 continue
+            if characters:
+                number = np.maximum(np.cumsum((b & 0xC0) != 0x80) - 1, 0)
+                broken = np.zeros(number[-1] + 1, bool)
+                broken[number[~left]] = True
+                left = ~broken[number]
             kept.append(b[left].tobytes())
             turn = np.flatnonzero(np.diff(np.r_[True, left, True]))
             spans.append([{"start": int(a), "length": int(z - a)} for a, z in zip(turn[::2], turn[1::2], strict=True)])
