@@ -55,15 +55,22 @@ def nearest(found: DataFrame, k: int = 5) -> DataFrame:
 def uncontested(found: DataFrame, sessions: DataFrame) -> DataFrame:
     """Candidates at whose time no other session of the repository is open.
 
-    Sessions with an end meet candidates in the hours that they cover. One without an end stays open: of those
-    the two that began first tell whether another one was open by then."""
-    other = sessions.select(F.col("sid").alias("other"), "repository_root", "started_at", "ended_at").where("started_at IS NOT NULL AND repository_root IS NOT NULL")
-    ended = other.where("ended_at >= started_at").withColumn("hour", F.explode(F.sequence(hour("started_at"), hour("ended_at"))))
-    at = found.withColumn("hour", hour("committed_at"))
-    busy = at.join(ended, ["repository_root", "hour"]).where("started_at <= committed_at AND committed_at <= ended_at AND other <> sid").select("event_id", "commit_hash")
-    first = other.where("ended_at IS NULL").withColumn("place", F.row_number().over(W.partitionBy("repository_root").orderBy("started_at", "other"))).where("place <= 2")
-    open_ = found.join(first, "repository_root").where("started_at <= committed_at AND other <> sid").select("event_id", "commit_hash")
-    return found.join(busy.union(open_).distinct(), ["event_id", "commit_hash"], "left_anti")
+    A sweep: beginnings count one up, ends one down (after what is asked at the same time), and a candidate reads the
+    sum so far, its own session taken off. Sums run within a day of a repository, and over the sums of its days."""
+    span = sessions.select("sid", "repository_root", "started_at", "ended_at").where("started_at IS NOT NULL AND repository_root IS NOT NULL AND (ended_at IS NULL OR ended_at >= started_at)")
+    record = F.struct(*[F.col(f"`{c}`") for c in found.columns])
+    none = F.lit(None).cast(found.select(record.alias("r")).schema["r"].dataType).alias("r")
+    marks = span.select("repository_root", F.col("started_at").alias("at"), F.lit(0).alias("turn"), F.lit(1).alias("step"), none)
+    marks = marks.unionByName(span.where("ended_at IS NOT NULL").select("repository_root", F.col("ended_at").alias("at"), F.lit(2).alias("turn"), F.lit(-1).alias("step"), none))
+    line = marks.unionByName(found.select("repository_root", F.col("committed_at").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"), record.alias("r"))).withColumn("day", F.to_date("at"))
+    days = line.groupBy("repository_root", "day").agg(F.sum("step").alias("steps"))
+    earlier = F.coalesce(F.sum("steps").over(W.partitionBy("repository_root").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("step").over(W.partitionBy("repository_root", "day").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0))
+    open_ = line.withColumn("inside", inside).where("turn = 1").join(days.select("repository_root", "day", earlier.alias("earlier")), ["repository_root", "day"])
+    own = span.select("sid", F.col("repository_root").alias("own_root"), "started_at", "ended_at")
+    asked = open_.select("r.*", (F.col("inside") + F.col("earlier")).alias("__open")).join(own.withColumnRenamed("sid", "__sid"), F.col("sid") == F.col("__sid"), "left")
+    mine = F.coalesce((F.col("own_root") == F.col("repository_root")) & (F.col("started_at") <= F.col("committed_at")) & (F.col("ended_at").isNull() | (F.col("committed_at") <= F.col("ended_at"))), F.lit(False))
+    return asked.where(F.col("__open") - mine.cast("int") <= 0).select(*[F.col(f"`{c}`") for c in found.columns])
 
 
 def linked(actions: DataFrame, commits: DataFrame, sessions: DataFrame, per_action: int = 5, per_session: int = 20) -> tuple[DataFrame, DataFrame]:

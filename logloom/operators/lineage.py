@@ -5,6 +5,7 @@ exact: runs of equal cumulative vectors, in order."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,19 +95,46 @@ def descendants(edges: DataFrame, changed: DataFrame) -> DataFrame:
         n = found.count()
 
 
+def longest_prefix(parent: list[int], child: list[int]) -> tuple[int, int]:
+    """(start, matched): the longest run of parent equal to the beginning of child, the earliest of equals.
+
+    Runs at each place are told from those before it, so that every row is looked at a bounded number of times."""
+    both = [*child, -1, *parent]
+    n, m = len(both), len(child)
+    run = [0] * n
+    left = right = best = start = 0
+    for i in range(1, n):
+        k = min(run[i - left], right - i) if i < right else 0
+        while i + k < n and both[k] == both[i + k]:
+            k += 1
+        run[i] = k
+        if i + k > right:
+            left, right = i, i + k
+        if i > m and k > best:
+            best, start = k, i - m - 1
+    return start, best
+
+
 def prefix_runs(parent: DataFrame, child: DataFrame, by: list[str]) -> DataFrame:
     """For each group: the longest run of parent rows equal to the child's first ones (the earliest of equals).
 
-    Both have the columns by, i (0, 1, ... within the group) and key. Returns by, start, matched."""
+    Both have the columns by, i (0, 1, ... within the group) and key. Returns by, start, matched. Only groups whose
+    first child key the parent has are looked at; a group is one edge, whatever number of places a run may start at."""
     first = child.where("i = 0").select(*by, "key")
-    starts = parent.join(first, [*by, "key"]).select(*by, F.col("i").alias("start"))
-    lined = starts.join(child, by).withColumn("j", F.col("start") + F.col("i"))
-    mate = parent.select(*by, F.col("i").alias("j"), "key")
-    hits = lined.join(mate, [*by, "j", "key"])
-    run = W.partitionBy(*by, "start").orderBy("i")
-    lengths = hits.withColumn("at", F.row_number().over(run) - 1).where("at = i").groupBy(*by, "start").agg(F.count("*").alias("matched"))
-    best = F.max_by(F.struct("start", "matched"), F.struct(F.col("matched"), -F.col("start")))
-    return lengths.groupBy(*by).agg(best.alias("b")).select(*by, "b.start", "b.matched")
+    live = parent.join(first, [*by, "key"], "left_semi").select(*by).distinct()
+    kinds = ", ".join(f"{c} {child.schema[c].dataType.simpleString()}" for c in by)
+
+    def runs(key: tuple[pa.Scalar, ...], p: pa.Table, c: pa.Table) -> pa.Table:
+        p, c = p.sort_by("i"), c.sort_by("i")
+        codes = pa.concat_arrays([*c["key"].chunks, *p["key"].chunks]).dictionary_encode().indices.to_pylist() if len(p) and len(c) else []
+        start, matched = longest_prefix(codes[len(c) :], codes[: len(c)]) if codes else (0, 0)
+        n = 1 if matched else 0
+        return pa.table({**{b: pa.array([k.as_py()] * n, k.type) for b, k in zip(by, key, strict=True)}, "start": pa.array([start] * n, pa.int64()), "matched": pa.array([matched] * n, pa.int64())})
+
+    def some(df: DataFrame) -> DataFrame:
+        return df.select(*by, F.col("i").cast("long").alias("i"), "key").join(live, by, "left_semi").select(*[F.col(c).alias(c) for c in (*by, "i", "key")])
+
+    return some(parent).groupBy(*by).cogroup(some(child).groupBy(*by)).applyInArrow(runs, f"{kinds}, start long, matched long")
 
 
 def edge_verdicts(events: DataFrame, edges: DataFrame, above: DataFrame | None = None) -> DataFrame:

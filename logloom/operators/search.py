@@ -1,9 +1,12 @@
-"""Full-text search: an inverted index as a table, ranked by BM25."""
+"""Full-text search: an inverted index as a table, ranked by BM25.
+
+The index holds a row for each word of each text, with what the word adds to the text's score. It is written in
+the order of words, and of each word the weightiest first, so that the files' own statistics skip words that
+aren't asked for and, once the k-th best score is known, all rows too light to be among the k best."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,46 +21,90 @@ def lengths(index: DataFrame, key: str = "prompt_id") -> DataFrame:
     return index.where("pos = 0").select(key, "len")
 
 
-def search(index: DataFrame, every: list[str] = (), some: list[str] = (), without: list[str] = (), phrase: list[str] = (), prefix: str | None = None, key: str = "prompt_id", k1: float = 1.2, b: float = 0.75, sizes: DataFrame | None = None) -> DataFrame:
-    """(key, score) of the texts that have all of every and of the phrase in order, one of some, none of without.
+def terms(postings: DataFrame, key: str = "prompt_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(token, key, weight, tf, df, positions): each word of each text, and what it adds to the text's score."""
+    size = lengths(postings, key).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    each = postings.groupBy("token", key).agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    rows = each.join(df, "token").crossJoin(F.broadcast(size))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return rows.select("token", key, weight.alias("weight"), "tf", "df", "positions")
+
+
+def write_terms(index: DataFrame, path: str, block: int = 1 << 20) -> None:
+    """In the order of words and falling weights, in row groups of about block bytes."""
+    order = [F.col("token"), F.desc("weight")]
+    index.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", block).parquet(path)
 
-    Scores over every, some, the phrase and words of the prefix; greater is better. Lengths are told by the
-    index, so that only the postings of the words asked for are moved. sizes: lengths() of the index, if kept."""
-    asked = list(dict.fromkeys([*every, *some, *phrase]))
-    size = (lengths(index, key) if sizes is None else sizes).agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+
+def search(index: DataFrame, every: list[str] = (), some: list[str] = (), without: list[str] = (), phrase: list[str] = (), prefix: str | None = None, key: str = "prompt_id") -> DataFrame:
+    """(key, score) of the texts that have all of every and of the phrase in order, one of some and of the words of the prefix, none of without.
+
+    index: terms(). Scores over every, some, the phrase and words of the prefix; greater is better. Where words must
+    be there, only texts of the rarest of them are looked at."""
+    need = list(dict.fromkeys([*every, *phrase]))
+    asked = list(dict.fromkeys([*need, *some]))
     hit = F.col("token").isin(asked)
     if prefix:
         hit = hit | F.col("token").startswith(prefix)
-    found = index.where(hit | F.col("token").isin(list(without)))
-    has = lambda words: F.size(F.array_intersect("tokens", F.array(*map(F.lit, words))))
-    found = found.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.collect_list("pos").alias("positions"))
-    sets = found.groupBy(key).agg(F.collect_set("token").alias("tokens"), F.collect_list(F.struct("token", "tf", "len", "positions")).alias("terms"))
-    need = list(dict.fromkeys([*every, *phrase]))
-    if need:
-        sets = sets.where(has(need) == len(need))
-    if some:
-        sets = sets.where(has(list(some)) > 0)
-    if without:
-        sets = sets.where(has(list(without)) == 0)
-    if prefix:
-        sets = sets.where(F.exists("tokens", lambda t: t.startswith(prefix)))
+    found = index.where(hit | F.col("token").isin(list(without))) if without else index.where(hit)
+    if len(need) > 1:
+        # a row for each word
+        rare = index.where(F.col("token").isin(need)).groupBy("token").agg(F.first("df").alias("df")).orderBy("df", "token").first()
+        found = found.join(index.where(F.col("token") == (rare["token"] if rare else "")).select(key), key, "left_semi")
+    count = lambda words: F.count_if(F.col("token").isin(list(words)))
+    wanted = [count(need) == len(need)] if need else []
+    wanted += [count(some) > 0] if some else []
+    wanted += [count(without) == 0] if without else []
+    wanted += [F.count_if(F.col("token").startswith(prefix)) > 0] if prefix else []
+    cols = [F.sum(F.when(hit, F.col("weight"))).alias("score")] + [c.alias(f"w{i}") for i, c in enumerate(wanted)]
     if len(phrase) > 1:
-        at = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["token"], x["positions"])))
-        starts = at[phrase[0]]
-        for i, w in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, F.transform(at[w], lambda p: p - F.lit(i)))  # noqa: B023
-        sets = sets.where(F.size(starts) > 0)
-    df = found.groupBy("token").agg(F.count("*").alias("df"))
-    part = sets.select(key, F.explode("terms").alias("x")).select(key, "x.token", "x.tf", "x.len").where(hit).join(df, "token").crossJoin(F.broadcast(size))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return part.groupBy(key).agg(F.sum(weight).alias("score"))
+        cols += [F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"p{i}") for i, w in enumerate(phrase)]
+    rows = found.groupBy(key).agg(*cols)
+    for i in range(len(wanted)):
+        rows = rows.where(f"w{i}")
+    if len(phrase) > 1:
+        starts = F.col("p0")
+        for i in range(1, len(phrase)):
+            starts = F.array_intersect(starts, F.transform(f"p{i}", lambda p: p - F.lit(i)))  # noqa: B023
+        rows = rows.where(F.size(starts) > 0)
+    return rows.select(key, "score")
+
+
+def best(index: DataFrame, some: list[str], k: int, key: str = "prompt_id") -> DataFrame:
+    """(key, score) of texts among which are the k that score highest over some words, and all that score like the last of them.
+
+    Texts are scored in full that hold one of the words at a weight of the k-th best of it; the k-th best of these
+    scores bounds the k-th best of all, and nothing below it is returned. A text of at least that score has one word at no less than its share of
+    it, so only rows of that weight are read for candidates."""
+    words = list(dict.fromkeys(some))
+    rows = index.where(F.col("token").isin(words))
+
+    def scored(least: dict[str, float]) -> DataFrame:
+        heavy = F.lit(False)
+        for w, x in least.items():
+            heavy |= (F.col("token") == w) & (F.col("weight") >= x)
+        return rows.join(rows.where(heavy).select(key).distinct(), key, "left_semi").groupBy(key).agg(F.sum("weight").alias("score"))
+
+    tops = {}
+    for w in words:
+        row = rows.where(F.col("token") == w).select("weight").orderBy(F.desc("weight")).limit(k).agg(F.min("weight"), F.max("weight")).first()
+        if row[0] is not None:
+            tops[w] = (row[0], row[1])
+    if not tops:
+        return rows.select(key, F.col("weight").alias("score")).limit(0)
+    first = scored({w: low for w, (low, _) in tops.items()}).orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count("*")).first()
+    bound = first[0] - 1e-9 if first[1] == k else 0.0
+    rest = {w: max(bound / len(tops), bound - sum(high for v, (_, high) in tops.items() if v != w)) for w in tops}
+    return scored(rest).where(F.col("score") >= bound)
 
 
-def snippets(index: DataFrame, hits: DataFrame, words: list[str], key: str = "prompt_id", width: int = 18) -> DataFrame:
-    """(key, snippet): the tokens from a little before the first hit, the hits in brackets."""
-    rows = index.join(hits.select(key), key, "left_semi")
-    first = F.min(F.when(F.col("token").isin(words), F.col("pos"))).over(W.partitionBy(key))
-    near = rows.withColumn("first", first).where((F.col("pos") >= F.col("first") - 4) & (F.col("pos") < F.col("first") - 4 + width))
-    shown = F.when(F.col("token").isin(words), F.concat(F.lit("["), "token", F.lit("]"))).otherwise(F.col("token"))
-    return near.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", shown.alias("t")))), lambda x: x["t"]), " ").alias("snippet"))
+def snippets(texts: DataFrame, words: list[str], text: str = "text", width: int = 18, before: int = 4, prefix: str | None = None) -> Column:
+    """The words from a little before the first hit, hits in brackets, cut ends marked; null where there is no hit."""
+    found = F.filter(F.split(F.lower(texts[text]), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    is_hit = lambda w: w.isin(words) | w.startswith(prefix) if prefix else w.isin(words)
+    first = F.array_min(F.filter(F.transform(found, lambda w, i: F.when(is_hit(w), i)), lambda i: i.isNotNull()))
+    at = F.greatest(first - before, F.lit(0))
+    shown = F.transform(F.slice(found, at + 1, F.lit(width)), lambda w: F.when(is_hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    return F.concat(F.when(at > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(at + width < F.size(found), "…").otherwise(""))

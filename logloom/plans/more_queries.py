@@ -15,7 +15,7 @@ from logloom.sources import exports, records
 from . import commands as lines
 from . import views as X
 from .queries import EVENTS, TOKENS, accounted_sessions, contributions, query, resolved_events
-from .stored import stored
+from .stored import TABLES, stored, written
 
 
 RESOLVED = "SELECT tr.sid, tr.i, ts AS osid, ti AS oi, CASE WHEN tr.status LIKE 'inherited%' AND t IN ('ambiguous', 'unknown') THEN 'ambiguous' ELSE tr.status END AS status FROM tr JOIN og o ON o.sid = ts AND o.i = ti WHERE o.up IS NULL"
@@ -77,14 +77,12 @@ def prompt_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("prompt_id", "r.redactions", "r.text_sha256", "r.original_characters")
 
 
-@stored
-def prompt_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(X.prompts(spark, sf_dir))
+def prompt_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of words, in the order in which searches read it."""
+    return spark.read.parquet(written(spark, sf_dir, "prompt_terms", lambda path: search.write_terms(search.terms(search.postings(X.prompts(spark, sf_dir))), path)))
 
 
-@stored
-def prompt_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lengths(prompt_postings(spark, sf_dir))
+TABLES["prompt_terms"] = prompt_terms
 
 
 @stored
@@ -125,8 +123,52 @@ def prompt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tf="SELECT prompt_id, token, count(*) AS tf FROM po WHERE token IN ('the', 'of', 'und', 'der') GROUP BY ALL",
 )
 def prompt_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = prompt_postings(spark, sf_dir)
-    return search.search(index, sizes=prompt_lengths(spark, sf_dir), every=["the"], some=["of", "und"], without=["der"]).withColumn("score", F.round("score", 6))
+    index = prompt_terms(spark, sf_dir)
+    return search.search(index, every=["the"], some=["of", "und"], without=["der"]).withColumn("score", F.round("score", 6))
+
+
+# score of each text over the words asked for; the words of a text in order, and where the first hit stands
+SCORED = {
+    "po": "SELECT prompt_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM fx_prompts",
+    "pw": "SELECT prompt_id, len(ws) AS l, unnest(ws) AS token FROM po",
+    "ln": "SELECT count(*) AS n, avg(l) AS mean FROM (SELECT len(ws) AS l FROM po WHERE len(ws) > 0)",
+}
+
+
+def _hits_sql(hit: str, keep: str) -> str:
+    shown = f"list_transform(ws[at_ + 1 : at_ + 18], lambda w: CASE WHEN {hit.format('w')} THEN '[' || w || ']' ELSE w END)"
+    return f"""SELECT prompt_id, score, (CASE WHEN at_ > 0 THEN '…' ELSE '' END) || array_to_string({shown}, ' ') || (CASE WHEN at_ + 18 < len(ws) THEN '…' ELSE '' END) AS snippet
+      FROM (SELECT prompt_id, ws, greatest(list_position(list_transform(ws, lambda w: {hit.format('w')}), true) - 1 - 4, 0) AS at_ FROM po) JOIN (
+        SELECT prompt_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score
+        FROM (SELECT prompt_id, token, l, count(*) AS tf FROM pw WHERE {hit.format('token')} GROUP BY ALL) JOIN (SELECT token, count(DISTINCT prompt_id) AS df FROM pw GROUP BY token) USING (token), ln GROUP BY prompt_id) USING (prompt_id)
+      WHERE {keep} ORDER BY score DESC, prompt_id LIMIT 20"""
+
+
+def shown(spark: SparkSession, sf_dir: str, hits: DataFrame, words: list[str], prefix: str | None = None) -> DataFrame:
+    """The twenty best, in order, with their snippets."""
+    top = hits.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "prompt_id").limit(20)
+    texts = X.prompts(spark, sf_dir).join(F.broadcast(top), "prompt_id")  # twenty rows
+    return texts.select("prompt_id", "score", search.snippets(texts, words, prefix=prefix).alias("snippet")).orderBy(F.desc("score"), "prompt_id")
+
+
+@query(_hits_sql("{} IN ('of', 'und', 'thatin')", "true"), **SCORED)
+def prompt_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all texts that have one of some words."""
+    words = ["of", "und", "thatin"]
+    return shown(spark, sf_dir, search.best(prompt_terms(spark, sf_dir), words, 20), words)
+
+
+@query(_hits_sql("{} IN ('of', 'the')", "list_contains(list_transform(range(1, len(ws)), lambda i: ws[i] = 'of' AND ws[i + 1] = 'the'), true)"), **SCORED)
+def prompt_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two words one after the other."""
+    words = ["of", "the"]
+    return shown(spark, sf_dir, search.search(prompt_terms(spark, sf_dir), phrase=words), words)
+
+
+@query(_hits_sql("starts_with({}, 'thatin')", "true"), **SCORED)
+def prompt_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a word that begins so."""
+    return shown(spark, sf_dir, search.search(prompt_terms(spark, sf_dir), prefix="thatin"), [], "thatin")
 
 
 def _tasks_sql() -> str:

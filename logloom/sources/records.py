@@ -23,13 +23,18 @@ ALIASES = {
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, last, terminated, line): lines of text files with their place from 0, also where a file is read in several splits.
 
+    Lines are counted by split; a split's lines follow those of the splits before it in its file, and a line's place
+    in its split is told by its distance from the split's first. So only counts are ordered, a row for each split.
     terminated: whether the file's last line ends in a line feed, told from the file's size."""
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    order, whole = W.partitionBy("file").orderBy("block", "at"), W.partitionBy("file")
-    n = F.count("*").over(whole)
-    rows = raw.select("file", (F.row_number().over(order) - 1).alias("ordinal"), n.alias("n"), (F.sum(F.octet_length("line")).over(whole) + n <= F.col("size")).alias("terminated"), "line")
-    return rows.select("file", "ordinal", (F.col("ordinal") == F.col("n") - 1).alias("last"), "terminated", "line")
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes"), F.first("size").alias("size"))
+    order, whole = W.partitionBy("file").orderBy("block"), W.partitionBy("file")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    all_ = F.sum("n").over(whole)
+    splits = splits.select("file", "block", "first", before.alias("before"), all_.alias("all"), (F.sum("bytes").over(whole) + all_ <= F.col("size")).alias("terminated"))
+    rows = raw.join(splits, ["file", "block"]).withColumn("ordinal", F.col("before") + F.col("at") - F.col("first"))
+    return rows.select("file", "ordinal", (F.col("ordinal") == F.col("all") - 1).alias("last"), "terminated", "line")
 
 
 def got(v: Column, path: str, kind: str = "string") -> Column:

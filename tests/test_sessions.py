@@ -1,6 +1,7 @@
 """Usage, lineage, provenance, outcomes, commands, prompts, commits and sources on small tables."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -221,12 +222,28 @@ def test_prompts(spark):
     assert t[9]["action"] == "git_or_release" and t[9]["confidence"] == "medium" and t[0]["confidence"] == "high"
 
 
-def test_search(spark):
-    index = search.postings(spark.createDataFrame([(1, "the quick brown fox"), (2, "quick the fox"), (3, "slow fox, quick brown dog"), (4, None)], "prompt_id long, text string"))
+def test_search(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick the fox"), (3, "slow fox, quick brown dog"), (4, None)], "prompt_id long, text string")
+    index = search.terms(search.postings(texts))
     ids = lambda **k: {r["prompt_id"] for r in search.search(index, **k).collect()}
-    assert ids(every=["quick"]) == {1, 2, 3} and ids(every=["fox"], without=["slow"]) == {1, 2}
+    assert ids(every=["quick"]) == {1, 2, 3} and ids(every=["fox"], without=["slow"]) == {1, 2} and ids(every=["fox", "dog"]) == {3}
     assert ids(phrase=["quick", "brown"]) == {1, 3} and ids(prefix="bro") == {1, 3} and ids(some=["dog", "the"]) == {1, 2, 3}
-    assert search.snippets(index, search.search(index, every=["dog"]), ["dog"]).first()["snippet"] == "slow fox quick brown [dog]"
+    assert ids(every=["nothing", "fox"]) == ids(phrase=["brown", "quick"]) == set()
+    assert [r[0] for r in texts.orderBy("prompt_id").select(search.snippets(texts, ["fox"], width=3, before=1)).collect()] == ["…brown [fox]", "…the [fox]", "slow [fox] quick…", None]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_reads_only_what_can_be_best(spark, tmp_path, seed):
+    """The k best over any of some words, against all scores; equal texts tie."""
+    r = random.Random(seed)
+    texts = [(i, " ".join(r.choices(["a", "b", "c", "d", "e", "f"], [20, 8, 4, 2, 1, 30], k=r.choice([3, 10, 40])))) for i in range(400)] + [(1000, "c"), (1001, "c"), (1002, "")]
+    search.write_terms(search.terms(search.postings(spark.createDataFrame(texts, "prompt_id long, text string"))), f"{tmp_path}/i", 1 << 12)
+    index = spark.read.parquet(f"{tmp_path}/i")
+    for words, k in ((["a", "c", "e"], 7), (["e"], 3), (["d", "zzz"], 1000), (["zzz"], 5)):
+        every = sorted(((round(x["score"], 9), x["prompt_id"]) for x in search.search(index, some=words).collect()), reverse=True)
+        got = sorted(((round(x["score"], 9), x["prompt_id"]) for x in search.best(index, words, k).collect()), reverse=True)
+        least = every[min(k, len(every)) - 1][0] if every else 0
+        assert got == every[: len(got)] and {x for x in every if x[0] >= least} <= set(got), (words, k)
 
 
 def test_commits(spark):
@@ -358,3 +375,51 @@ def test_jobs(spark, tmp_path):
     assert len({prints[k] for k in (1, 2, 3)}) == 3
     old, new = (spark.createDataFrame(r, "sid long, digest string") for r in ([(1, "a"), (2, "b")], [(1, "a"), (2, "c"), (3, "d")]))
     assert {r["state"]: r["sessions"] for r in jobs.counts(old, new).collect()} == {"unchanged": 1, "updated": 1, "discovered": 1}
+
+
+def test_runs_of_one_key_are_linear(spark):
+    """A parent and a child of one key over and over; and all cases against the plain search."""
+    same = [7] * 50_000
+    began = time.time()
+    assert lineage.longest_prefix([*same, 8, *same], [*same, 9]) == (0, 50_000) and lineage.longest_prefix([1, 2], []) == (0, 0)
+    assert time.time() - began < 5
+    r = random.Random(1)
+    rows, want = [[], []], {}
+    for edge in range(40):
+        p, c = ([r.choice("ab") for _ in range(r.randrange(12))] for _ in range(2))
+        for side, keys in zip(rows, (p, c), strict=True):
+            side += [(edge, i, k) for i, k in enumerate(keys)]
+        runs = [(next((k for k in range(len(c) + 1) if k == len(c) or s + k == len(p) or p[s + k] != c[k])), -s) for s in range(len(p))]
+        n, s = max(runs, default=(0, 0))
+        if n:
+            want[edge] = (-s, n)
+    frames = [spark.createDataFrame(x, "e long, i long, key string") for x in rows]
+    assert {x["e"]: (x["start"], x["matched"]) for x in lineage.prefix_runs(*frames, ["e"]).collect()} == want
+
+
+def test_lines_of_many_splits(spark, tmp_path):
+    """Ordinals follow the file though it is read in many splits; the last line is told."""
+    for name, text in (("a.jsonl", "".join(f"line {i}\n" for i in range(3000))), ("b.jsonl", "one\ntwo"), ("c.jsonl", "\n")):
+        (tmp_path / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        rows = records.lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 1
+        got = {(x["file"][-7], x["ordinal"]): (x["line"], x["last"], x["terminated"]) for x in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(got["a", i] == (f"line {i}", i == 2999, True) for i in range(3000))
+    assert got["b", 0] == ("one", False, False) and got["b", 1] == ("two", True, False) and got["c", 0] == ("", True, True) and len(got) == 3003
+
+
+def test_sweep_of_open_sessions(spark):
+    """Who else is open at a commit's time, against asking each session; a year-long one, ends and beginnings at the same instant."""
+    r = random.Random(9)
+    h = lambda k: T0 + timedelta(hours=k)
+    s = [(k, f"/{k % 2}", h(a := r.randrange(200)), r.choice([None, h(a + r.randrange(0, 60)), h(a + 8760), h(a - 1)]) if k % 5 == 0 else h(a + r.randrange(0, 9))) for k in range(40)]
+    found = [(k, 100 * k + j, f"/{k % 2}", f"c{j}", h(r.randrange(220))) for k in range(40) for j in range(3)]
+    df = spark.createDataFrame(found, "sid long, event_id long, repository_root string, commit_hash string, committed_at timestamp")
+    got = {(x["event_id"], x["commit_hash"]) for x in commits.uncontested(df, spark.createDataFrame(s, "sid long, repository_root string, started_at timestamp, ended_at timestamp")).collect()}
+    free = lambda k, root, t: not any(o != k and q == root and a <= t and (z is None or t <= z) and (z is None or z >= a) for o, q, a, z in s)
+    assert got == {(e, c) for k, e, root, c, t in found if free(k, root, t)} and got
