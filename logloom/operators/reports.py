@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators import quantiles
+
 
 def histogram(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """keys and out: ``value=count`` in the order of the values, as one text."""
@@ -32,14 +34,13 @@ def task_metrics(facts: DataFrame, *keys: str) -> DataFrame:
         F.count_if(F.col("action") == "unknown").alias("unknown_tasks"),
         F.sum("tokens").alias("tokens"),
         F.count("tokens").alias("known_sessions"),
-        F.median("observed").alias("observed_median"),
-        F.expr("percentile(observed, 0.9)").alias("observed_p90"),
         F.sum("commands").alias("commands"),
         F.sum("commits").alias("commits"),
         F.sum("prompts").alias("prompts"),
         F.count_if(F.col("feature_prompts") > 0).alias("sessions_with_features"),
         F.sum("feature_prompts").alias("prompts_with_features"),
     )
+    total = quantiles.same(total, quantiles.exact(facts, keys, F.col("observed"), {"observed_median": (0.5, "cont"), "observed_p90": (0.9, "cont")}), keys)
     if not keys:
         return total
     return joined([total, histogram(facts, list(keys), "outcome", "outcomes"), histogram(facts, list(keys), "confidence", "confidences")], list(keys)).orderBy(F.desc("sessions"), *keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions import prompts as P
+from logloom.operators import quantiles
 
 
 def classified(prompts: DataFrame, activity: DataFrame | None = None) -> DataFrame:
@@ -47,11 +48,10 @@ def classified(prompts: DataFrame, activity: DataFrame | None = None) -> DataFra
 
 def report(facts: DataFrame, *keys: str) -> DataFrame:
     """facts: sid, tokens, outcome, and the keys; p90 here interpolates."""
-    return facts.groupBy(*keys).agg(
+    sums = facts.groupBy(*keys).agg(
         F.count("*").alias("sessions"),
         F.sum("tokens").alias("tokens"),
         F.count("tokens").alias("known_sessions"),
-        F.median("tokens").alias("median_tokens"),
-        F.expr("percentile(tokens, 0.9)").alias("p90_tokens"),
         F.count_if(F.col("outcome").startswith("success")).alias("successes"),
     )
+    return quantiles.same(sums, quantiles.exact(facts, keys, F.col("tokens"), {"median_tokens": (0.5, "cont"), "p90_tokens": (0.9, "cont")}), keys)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.functions import vectors as V
+from logloom.operators import quantiles
 
 
 def session_totals(events: DataFrame) -> DataFrame:
@@ -73,23 +74,16 @@ def period(ts: Column, kind: str, zone: str = "UTC") -> Column:
     return day if kind == "day" else F.to_date(F.date_trunc("week", day))
 
 
-def metrics(value: str = "total_tokens") -> list[Column]:
-    """Aggregates over accounted sessions: null-preserving sum and its coverage, mean, median, nearest-rank p90."""
-    known = F.col("accounted")[value]
-    observed = F.col("observed")[value]
-    return [
-        F.count("*").alias("sessions"),
-        F.sum(known).alias("tokens"),
-        F.count(known).alias("known_sessions"),
-        F.avg(observed).alias("mean_tokens"),
-        F.median(observed).alias("median_tokens"),
-        F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY observed.{value})").cast("long").alias("p90_tokens"),
-    ]
+SPREAD = {"median_tokens": (0.5, "cont"), "p90_tokens": (0.9, "disc")}
 
 
 def by_dimension(scoped: DataFrame, *keys: str) -> DataFrame:
-    """scoped: sessions joined to their accounted usage; keys may be empty (a summary)."""
-    return scoped.groupBy(*keys).agg(*metrics())
+    """scoped: sessions joined to their accounted usage; keys may be empty (a summary).
+
+    Null-preserving sum and its coverage, mean, median and nearest-rank p90 of what was observed."""
+    known, observed = F.col("accounted.total_tokens"), F.col("observed.total_tokens")
+    sums = scoped.groupBy(*keys).agg(F.count("*").alias("sessions"), F.sum(known).alias("tokens"), F.count(known).alias("known_sessions"), F.avg(observed).alias("mean_tokens"))
+    return quantiles.same(sums, quantiles.exact(scoped, keys, observed, SPREAD), keys)
 
 
 def by_period(scoped: DataFrame, contributions: DataFrame, kind: str, zone: str = "UTC") -> DataFrame:
@@ -185,9 +179,8 @@ def window_metrics(rows: DataFrame, days: DataFrame, *keys: str) -> DataFrame:
         F.count("used.total_tokens").alias("known_sessions"),
         F.sum(total).alias("observed_tokens"),
         F.avg(total).alias("mean_tokens"),
-        F.median(total).alias("median_tokens"),
-        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY observed.total_tokens)").cast("long").alias("p90_tokens"),
     )
+    by = quantiles.same(by, quantiles.exact(rows, keys, total, SPREAD), keys)
     return by.crossJoin(days.select("days")).withColumn("sessions_per_day", F.when(F.col("days") > 0, F.col("sessions") / F.col("days"))).drop("days")  # one row
 
 

@@ -423,3 +423,24 @@ def test_sweep_of_open_sessions(spark):
     got = {(x["event_id"], x["commit_hash"]) for x in commits.uncontested(df, spark.createDataFrame(s, "sid long, repository_root string, started_at timestamp, ended_at timestamp")).collect()}
     free = lambda k, root, t: not any(o != k and q == root and a <= t and (z is None or t <= z) and (z is None or z >= a) for o, q, a, z in s)
     assert got == {(e, c) for k, e, root, c, t in found if free(k, root, t)} and got
+
+
+def test_quantiles(spark):
+    """Against sorting: ties, one value, negative and very large ones, null keys and null values, and no key at all."""
+    from logloom.operators import quantiles
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 0, r.randrange(-50, 50), r.randrange(10**15)])) for _ in range(500)] + [("one", 7), ("none", None)] + [("many", 5)] * 30 + [("many", 6)] * 3
+    df = spark.createDataFrame(rows, "g string, v long")
+    wanted = {"m": (0.5, "cont"), "q": (0.9, "cont"), "d": (0.9, "disc")}
+    for keys in (("g",), ()):
+        groups = {}
+        for g, v in rows:
+            if v is not None:
+                groups.setdefault((g,) if keys else (), []).append(v)
+        got = {tuple(x[k] for k in keys): (x["m"], x["q"], x["d"]) for x in quantiles.exact(df, keys, F.col("v"), wanted).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            vs = sorted(vs)
+            cont = lambda p: (lambda at: vs[int(at)] + (vs[min(len(vs) - 1, int(at) + 1)] - vs[int(at)]) * (at - int(at)))(p * (len(vs) - 1))  # noqa: E731, B023
+            assert got[g][2] == vs[-(-9 * len(vs) // 10) - 1] and all(abs(a - b) <= 1e-9 * max(1, abs(b)) for a, b in zip(got[g][:2], (cont(0.5), cont(0.9)), strict=True))
