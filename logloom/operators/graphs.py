@@ -109,17 +109,21 @@ def cyclic(edges: DataFrame, ways: DataFrame | None = None) -> DataFrame:
     return checkpointed(plain.union(marked).distinct())
 
 
-def depths(edges: DataFrame, on_cycle: DataFrame) -> DataFrame:
-    """(node, depth): the longest way from a node without parents, over nodes that are on no cycle; nodes that none leads to aren't there."""
+def depths(edges: DataFrame, on_cycle: DataFrame, ways: DataFrame | None = None) -> DataFrame:
+    """(node, depth): the longest way from a node without parents, over nodes that are on no cycle; nodes that none leads to aren't there.
+
+    ways: climbed() of the edges, which serves where no node is on a cycle."""
     edges = edges.select("parent", "child").distinct()
     nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
     roots = nodes.join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    free = edges.join(on_cycle.select(F.col("node").alias("parent")), "parent", "left_anti").join(on_cycle.select(F.col("node").alias("child")), "child", "left_anti")
-    free = checkpointed(free.select("parent", "child"))
-    ways = climbed(free)
+    free = edges
+    if ways is None or not on_cycle.isEmpty():
+        free = edges.join(on_cycle.select(F.col("node").alias("parent")), "parent", "left_anti").join(on_cycle.select(F.col("node").alias("child")), "child", "left_anti")
+        free = checkpointed(free.select("parent", "child"))
+        ways = climbed(free)
     steps = checkpointed(junctions(free, ways).groupBy("a", "b").agg(F.max("w").alias("w")))
     tops = checkpointed(roots.withColumn("depth", F.lit(0).cast("long")))
-    while True:
+    while not steps.isEmpty():
         longer = steps.join(tops, steps.a == tops.node).groupBy(F.col("b").alias("node")).agg(F.max(F.col("depth") + F.col("w")).alias("depth"))
         now = checkpointed(tops.unionByName(longer).groupBy("node").agg(F.max("depth").alias("depth")))
         if now.exceptAll(tops).isEmpty():

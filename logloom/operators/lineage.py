@@ -26,11 +26,12 @@ def ancestry(edges: DataFrame) -> DataFrame:
     depth: the longest way from a node without parents over nodes that are on no cycle, null where none leads to
     it; cyclic: on or below a cycle."""
     e = checkpointed(edges.select("parent", "child").distinct())
-    on = graphs.cyclic(e)
+    ways = graphs.climbed(e)
+    on = graphs.cyclic(e, ways)
     nodes = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct()
     below = on if on.isEmpty() else descendants(e, on.select(F.col("node").alias("sid"))).select(F.col("sid").alias("node"))
     marks = below.select("node", F.lit(True).alias("cyclic")), on.select("node", F.lit(True).alias("on_cycle"))
-    found = nodes.join(graphs.depths(e, on), "node", "left").join(marks[0], "node", "left").join(marks[1], "node", "left")
+    found = nodes.join(graphs.depths(e, on, ways), "node", "left").join(marks[0], "node", "left").join(marks[1], "node", "left")
     return found.select("node", "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 

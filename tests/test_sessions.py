@@ -278,8 +278,8 @@ def test_ancestry_over_all_parents(spark):
     """Merges, branches of branches, clocks that run backwards, parents that nobody has read, and a long line, against walking."""
     r = random.Random(3)
     name = lambda i: f"{i:07d}" + "f" * 33
-    parents = {i: [i - 1] for i in range(1, 70)} | {i: sorted(r.sample(range(max(70, i - 9), i), min(i - 70, r.choice([1, 1, 2, 3]))), reverse=True) for i in range(70, 130)}
-    parents |= {70: [500], 110: [109, 30]}
+    parents = {i: [i - 1] for i in range(1, 70)} | {i: sorted(r.sample(range(max(70, i - 5), i), min(i - 70, r.choice([1, 1, 2]))), reverse=True) for i in range(70, 90)}
+    parents |= {70: [500], 85: [84, 30]}
     log = [("/r", name(i), T0 + timedelta(minutes=i * r.choice([1, 1, 1, -3])) if i % 17 else None, [name(p) for p in ps]) for i, ps in parents.items()]
     pairs = [(i, k) for i in parents for k in (i - 1, i - 4, i - 20, 500, 0, 30, i) if k >= 0]
 
