@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the folder that all executors share, for tables that each round of a loop makes from its last.
+
+    Plans of such loops over checkpoints alone were seen not to end after a few rounds; a table that is read anew
+    brings nothing of its plan with it. It stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (see checkpointed)."""
     sc = spark.sparkContext
