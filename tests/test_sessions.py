@@ -274,6 +274,35 @@ def test_commits(spark):
     assert {r["sid"]: (r["considered"], r["kept"], r["omitted"]) for r in summary.collect()} == {1: (30, 5, 25), 3: (2, 1, 1), 4: (1, 1, 0), 6: (1, 1, 0)}
 
 
+def test_candidates_are_counted_not_paired(spark):
+    """Actions of sessions that outlast their repository's history, at equal times, over days: counts and the nearest as of all pairs, and no more rows than the nearest."""
+    r = random.Random(11)
+    c = lambda k: f"{k:07x}" + "e" * 33
+    log = [(f"/{i % 2}", c(i), T0 + timedelta(minutes=r.choice([7, 60, 200]) * r.randrange(60)) if i % 29 else None) for i in range(300)]
+    actions = [(i % 9, i // 2 if i < 20 else i, f"/{i % 3}" if i % 11 else None, T0 + timedelta(minutes=60 * r.randrange(90)), T0 + timedelta(days=r.choice([1, 5, 400])) if i % 5 else None, "success", c(r.randrange(300))[:12].upper() if i % 4 else None) for i in range(150)]
+    a = spark.createDataFrame(actions, "sid long, event_id long, repository_root string, occurred_at timestamp, until timestamp, result_status string, start_hash string")
+    h = spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp")
+    every = commits.candidates(a, h)
+    pairs = [(x["event_id"], x["occurred_at"], x["committed_at"], x["commit_hash"], x["n"]) for x in every.collect()]
+    counts, found = commits.nearest(a, h, 3)
+    assert sorted(map(tuple, counts.groupBy("sid").sum("n_own").collect())) == sorted(map(tuple, every.groupBy("sid").count().collect()))
+    best = []
+    for event in {x[0] for x in pairs}:
+        best += sorted((x for x in pairs if x[0] == event), key=lambda x: (x[2] - x[1], x[2], x[3]))[:3]
+    got = [(x["event_id"], x["occurred_at"], x["committed_at"], x["commit_hash"], x["n"]) for x in found.collect()]
+    assert sorted(got) == sorted(best) and len(pairs) > 5 * len(got)
+
+
+def test_ancestry_of_a_long_line_takes_few_rounds(spark):
+    """Over checkpoints, planning doubled with each round: a line of 3,000 didn't end in minutes."""
+    log = [("/r", f"{i:07x}" + "d" * 33, T0 + timedelta(minutes=i), [f"{i - 1:07x}" + "d" * 33] if i else []) for i in range(3000)]
+    asked = [(log[2999][1], log[k][1][:12]) for k in (0, 1500, 2999)]
+    began = time.time()
+    found = history.descends(spark.createDataFrame(asked, "commit_hash string, ancestor string"), spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp, parents array<string>"))
+    assert {x["ancestor"] for x in found.collect()} == {asked[0][1], asked[1][1]}
+    assert time.time() - began < 60
+
+
 def test_ancestry_over_all_parents(spark):
     """Merges, branches of branches, clocks that run backwards, parents that nobody has read, and a long line, against walking."""
     r = random.Random(3)
