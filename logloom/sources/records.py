@@ -37,6 +37,16 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "ordinal", (F.col("ordinal") == F.col("all") - 1).alias("last"), "terminated", "line")
 
 
+def sections(spark: SparkSession, path: str) -> DataFrame:
+    """(log, ordinal, last, terminated, line): lines of files that hold many logs, one after the other, each line after its log's name and a tab.
+
+    Places are told within a log; only a file's last log can end without a line feed."""
+    rows = lines(spark, path).withColumn("log", F.substring_index("line", "\t", 1))
+    logs = rows.groupBy("file", "log").agg(F.min("ordinal").alias("__first"), F.max("ordinal").alias("__end"), F.bool_or(F.col("last") & ~F.col("terminated")).alias("__open"))
+    rows = rows.select("file", "log", F.col("ordinal").alias("__at"), F.expr("substr(line, length(log) + 2)").alias("line")).join(logs, ["file", "log"])
+    return rows.select("log", (F.col("__at") - F.col("__first")).alias("ordinal"), (F.col("__at") == F.col("__end")).alias("last"), (~F.col("__open")).alias("terminated"), "line")
+
+
 def got(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 

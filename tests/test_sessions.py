@@ -274,6 +274,29 @@ def test_commits(spark):
     assert {r["sid"]: (r["considered"], r["kept"], r["omitted"]) for r in summary.collect()} == {1: (30, 5, 25), 3: (2, 1, 1), 4: (1, 1, 0), 6: (1, 1, 0)}
 
 
+def test_many_logs_in_a_file(spark, tmp_path):
+    """Logs one after the other, over splits: places of their own; only the file's last line can be cut short. The queries' logs aren't a file each."""
+    from logloom.plans import log_queries
+
+    logs = {f"{k}": [f'{{"k":"{k}\\t{i}"}}' for i in range(1 + k % 7)] for k in range(60)}
+    (tmp_path / "a.log").write_text("\n".join(f"{k}\t{line}" for k, log in logs.items() for line in log))
+    (tmp_path / "b.log").write_text("x\t{}\nx\t{\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    try:
+        rows = records.sections(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in sorted(rows, key=lambda r: r["ordinal"]):
+        got.setdefault(r["log"], []).append(r)
+    assert {k: [r["line"] for r in log] for k, log in got.items()} == logs | {"x": ["{}", "{"]}
+    assert all([r["ordinal"] for r in log] == list(range(len(log))) and [r["last"] for r in log] == [False] * (len(log) - 1) + [True] for log in got.values())
+    assert {r["log"] for r in rows if not r["terminated"]} == {"59"}
+    made = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(log_queries.log_files(spark, "/root/testdata/sf0.001")).count()
+    assert made < spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id").distinct().count()
+
+
 def test_candidates_are_counted_not_paired(spark):
     """Actions of sessions that outlast their repository's history, at equal times, over days: counts and the nearest as of all pairs, and no more rows than the nearest."""
     r = random.Random(11)
