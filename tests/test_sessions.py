@@ -317,7 +317,7 @@ def test_candidates_are_counted_not_paired(spark):
 
 
 def test_ancestry_of_a_long_line_takes_few_rounds(spark):
-    """Over checkpoints, planning doubled with each round: a line of 3,000 didn't end in minutes."""
+    """Over checkpoints, planning doubled with each round: a line of 3,000 had not ended after 100 seconds."""
     log = [("/r", f"{i:07x}" + "d" * 33, T0 + timedelta(minutes=i), [f"{i - 1:07x}" + "d" * 33] if i else []) for i in range(3000)]
     asked = [(log[2999][1], log[k][1][:12]) for k in (0, 1500, 2999)]
     began = time.time()
