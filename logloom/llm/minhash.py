@@ -17,8 +17,9 @@ copies of each other are the dear case: their maps meet within the band.
 
 A pair at the threshold of 0.8 meets in one of 20 bands of 5 values but for 0.04 % of the cases.
 
-The near-duplicate stage of the pipeline takes these links instead of SimHash's, whose fingerprints differ in
-about ten of 64 bits at that similarity.
+Nodes whose SimHash fingerprints (simhash, as op8 makes them) differ in two bits at most are candidates too: the
+pipeline's near-duplicate stage goes by SimHash, with this exact check behind it, and takes from MinHash what
+two bits can't tell, as fingerprints differ in about ten of 64 bits at the threshold.
 
 Defined cases: a null text is like an empty one (the empty set; all of those are one class); a document of
 fewer words than a shingle is one shingle; rows are told apart by their id and text, so that rows that
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 
 from logloom.checkpoints import written
 
-from .common import checkpointed
+from . import simhash
+from .common import checkpointed, released
 from .components import components
 from .repeats import MIX, mixed
 from .simhash import LOWER
@@ -80,6 +82,7 @@ def signatures(text: Column, words: int, n: int, rows: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
+        released()
         for b in batches:
             digests, keys = [], []
             for t in b.to_pylist():
@@ -204,11 +207,20 @@ def row_names(key: str, text: str) -> list[Column]:
     return [F.xxhash64(key, text).alias("a"), F.xxhash64(F.lit("row"), text, key).alias("b")]
 
 
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes (node, fp) that SimHash brings together: each with the least of its fingerprint, and those of fingerprints that differ in two bits at most."""
+    reps = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    same = nodes.join(reps.where("n > 1"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = simhash.linked(reps.select("fp", F.col("least").alias("node"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.union(near).distinct()
+
+
 def classes(docs: DataFrame, key: str, text: str, words: int, threshold: float, n: int, rows: int, full: int = 32, hubs: int = 256) -> tuple[DataFrame, DataFrame]:
     """(signed, found): each row's k (the key), a, b and node (its set's digest); and the component of the nodes that have links."""
-    signed = checkpointed(docs.select(F.col(key).alias("k"), *row_names(key, text), signatures(F.col(text), words, n, rows).alias("s")).select("k", "a", "b", F.col("s.digest").alias("node"), "s.keys"))
-    nodes = checkpointed(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("a").alias("a")))
+    signed = checkpointed(docs.select(F.col(key).alias("k"), *row_names(key, text), signatures(F.col(text), words, n, rows).alias("s"), simhash.fingerprints(F.col(text)).alias("fp")).select("k", "a", "b", F.col("s.digest").alias("node"), "s.keys", "fp"))
+    nodes = checkpointed(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("a").alias("a"), F.min("fp").alias("fp")))
     pairs, crowd = map(checkpointed, in_bands(nodes.select("node", "keys"), full))
+    pairs = checkpointed(pairs.union(near_fingerprints(nodes.select("node", "fp"))).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct().join(nodes.select("node", "a"), "node")
     # a node's set comes from one row of it
     texts = docs.select(row_names(key, text)[0], F.col(text).alias("t")).join(asked, "a").dropDuplicates(["node"])

@@ -113,3 +113,31 @@ def test_parity_maps_bound_the_similarity():
             assert d == minhash.differing(y, x) <= len(np.setxor1d(a, b))
             told += share < 0.8 and n > 200 and len(a) + len(b) - d < 0.8 * (len(a) + len(b) + d)
     assert told == 15
+
+
+def test_simhash_brings_together_what_bands_miss(spark):
+    """One band of 400 values, which unlike sets hardly ever share: pairs of two bits are linked all the same, if the exact check holds."""
+    from logloom.llm.simhash import fingerprint
+
+    r, docs = random.Random(9), []
+    for _ in range(20):
+        w = [f"w{r.randrange(10**6)}" for _ in range(1200)]
+        docs += [" ".join(w), " ".join(edited(r, w, 2))]
+    docs += ["a b c", "a  b c", "", "   "]
+    docs = list(enumerate(docs))
+    near = [k for k in range(0, 40, 2) if (fingerprint(docs[k][1]) ^ fingerprint(docs[k + 1][1])).bit_count() <= 2]
+    assert len(near) > 5
+    got = {x["doc_id"]: x["component"] for x in minhash.near_duplicates(frame(spark, docs), n=1, rows=400).collect()}
+    assert all(got[k + 1] == k for k in near) and got[41] == 40 and got[43] == 42
+
+
+def test_workers_keep_one_model():
+    """A step's model gives way to the next one's."""
+    from logloom.llm import common
+
+    made = []
+    make = lambda name: lambda: made.append(name) or name
+    assert [common.model(k, make(k)) for k in ("a", "a", "b", "b", "a")] == ["a", "a", "b", "b", "a"]
+    assert made == ["a", "b", "a"] and list(common._models) == ["a"]
+    common.released()
+    assert not common._models
