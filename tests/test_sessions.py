@@ -232,6 +232,17 @@ def test_search(spark, tmp_path):
     assert [r[0] for r in texts.orderBy("prompt_id").select(search.snippets(texts, ["fox"], width=3, before=1)).collect()] == ["…brown [fox]", "…the [fox]", "slow [fox] quick…", None]
 
 
+def test_words_are_grouped_within_their_text(spark):
+    """The same index without a shuffle of words; ids that repeat go by the other way."""
+    texts = [(1, "The fox, the dog: the end"), (2, "dog"), (3, None), (4, " !! "), (5, "a b " * 40 + "Ä ä")]
+    df = spark.createDataFrame(texts, "prompt_id long, text string")
+    rows = lambda found: sorted(tuple(r) for r in search.terms(found).collect())
+    assert rows(search.indexed(df)) == rows(search.postings(df)) and "positions" in search.indexed(df).columns
+    assert "Exchange" not in search.words_of(df)._jdf.queryExecution().executedPlan().toString()
+    twice = df.union(df.where("prompt_id = 2"))
+    assert rows(search.indexed(twice)) == rows(search.postings(twice)) and "pos" in search.indexed(twice).columns
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_best_reads_only_what_can_be_best(spark, tmp_path, seed):
     """The k best over any of some words, against all scores; equal texts tie."""
