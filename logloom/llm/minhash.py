@@ -3,17 +3,21 @@
 Equal sets of shingles are one node. A node's MinHash values are cut into bands; nodes that agree in a whole
 band are candidates, and a candidate pair is a link where the sets' exact similarity reaches the threshold.
 
-The nodes of a band that more than ``full`` share aren't compared pair by pair. Only components are asked for, so
-nodes that are known to be of one component are never compared. Of each crowded band the component of most nodes
-stays aside; the nodes outside it are hubs in turn, a few of a band each round, and a hub is compared with the
-nodes of its band that are of other components. Rounds go on until each node outside was a hub, so the components
-are those of all pairs of the band; copies of one text are settled by one hub.
+The nodes of a band that more than ``full`` share aren't compared pair by pair. Sets that reach the threshold share
+one of the rarest of their shingles (of n, all but as many as the threshold demands in common, and one), so such nodes
+meet by these (prefixes), and every pair that a crowded band has is found; texts that only have a long passage in
+common don't meet, as its shingles are the frequent ones.
+
+A shingle that more than ``full`` of them have among their rarest is a crowd. Only components are asked for, so
+nodes that are known to be of one component are never compared. Of each crowd the component of most nodes
+stays aside; the nodes outside it are hubs in turn, a few of a crowd each round, and a hub is compared with the
+nodes of its crowd that are of other components. Rounds go on until each node outside was a hub, so the components
+are those of all pairs of the crowd; copies of one text are settled by one hub.
 
 Before a set is moved to another, their sizes and parity maps are: a map holds the parity of the number of
 shingles that fall on each of its bits (two bits a shingle at least), and two maps differ in no more bits than
 their sets in shingles, so a pair that the bound keeps below the threshold is none. That moves a thirtieth of a
-set, and sets only for pairs that are links or nearly so. Many texts that share a long passage and are still no
-copies of each other are the dear case: their maps meet within the band.
+set, and sets only for pairs that are links or nearly so.
 
 A pair at the threshold of 0.8 meets in one of 20 bands of 5 values but for 0.04 % of the cases.
 
@@ -29,16 +33,17 @@ an id are documents too, and stay only where no other of their class has one; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import written
 
-from . import simhash
+from . import meetings, simhash
 from .common import checkpointed, released
 from .components import components
 from .repeats import MIX, mixed
@@ -46,6 +51,7 @@ from .simhash import LOWER
 
 BLOCK = 1 << 10  # shingles under all hashes at once
 LEAST_BITS = 512  # of a parity map
+MOST_HUBS, MOST_ROWS = 256, 4096  # of a crowd, that meet in one task at once
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -156,14 +162,38 @@ def linked(pairs: DataFrame, used: DataFrame, maps: DataFrame, threshold: float)
     x, y = (maps.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("map").alias(f"map_{k}")) for k in "ab")
     long = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
     near = pairs.join(x, "a").join(y, "b").where(long).where(may_reach(F.col("map_a"), F.col("map_b"), F.col("n_a") + F.col("n_b"), threshold))
-    near = checkpointed(near.select("a", "b"))
+    return alike(checkpointed(near.select("a", "b")), used, threshold)
+
+
+def alike(near: DataFrame, used: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are alike. used: node, s."""
     x, y = (used.select(F.col("node").alias(k), F.col("s").alias(f"s_{k}")) for k in "ab")
     return checkpointed(near.join(x, "a").join(y, "b").where(similarity(F.col("s_a"), F.col("s_b")) >= threshold).select("a", "b"))
 
 
-def in_bands(nodes: DataFrame, full: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowd): distinct pairs a < b of the nodes (node, keys) that agree in a band of few; and key, node of the bands of more."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
+def items(s: Column) -> Column:
+    """The shingles of a set as bytes."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            found = [np.frombuffer(v.as_py(), "i8") for v in b]
+            ends = np.cumsum([0, *map(len, found)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, "i8"), *found]), pa.int64()))
+
+    return F.arrow_udf(run, "array<long>")(s)
+
+
+def prefixes(used: DataFrame, threshold: float) -> DataFrame:
+    """(node, key): of each set (node, s) the rarest shingles, of which two sets share one if their similarity reaches the threshold; those of one set alone are left out."""
+    rows = checkpointed(used.select("node", (F.octet_length("s") / 8).cast("long").alias("n"), F.explode(items(F.col("s"))).alias("key")))
+    counts = rows.groupBy("key").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("df", "key"))
+    rarest = rows.join(counts, "key").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    return rarest.where("df > 1").select("node", "key")
+
+
+def meeting(rows: DataFrame, full: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowd): distinct pairs a < b of the nodes that share a key (node, key) of few; and key, node of the keys of more."""
     groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = checkpointed(rows.join(groups, "key"))
     few = shared.where(F.col("n") <= full).groupBy("key").agg(F.collect_list("node").alias("g"))
@@ -171,25 +201,62 @@ def in_bands(nodes: DataFrame, full: int) -> tuple[DataFrame, DataFrame]:
     return few.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), shared.where(F.col("n") > full).select("key", "node")
 
 
+def met_maps(threshold: float) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.Table], pa.Table]:
+    """(hub, node) of other components whose sizes and maps leave a similarity of the threshold possible, as matrices."""
+
+    def run(key: tuple[pa.Scalar, ...], hubs: pa.Table, rows: pa.Table) -> pa.Table:
+        maps, sizes, labels = rows["map"].to_pylist(), np.array(rows["n"].to_pylist(), "f8"), np.array([*rows["label"].to_pylist(), None], object)[:-1]
+        lengths, folded = np.array([len(m) for m in maps]), {}
+        places = {x: np.flatnonzero(lengths == x) for x in set(lengths.tolist())}
+        left, right = [], []
+        for i, (m, n, own) in enumerate(zip(hubs["map"].to_pylist(), hubs["n"].to_pylist(), hubs["own"].to_pylist(), strict=True)):
+            for length, at in places.items():
+                h, size = np.frombuffer(m, "u1"), min(length, len(m))
+                while len(h) > size:
+                    h = h[: len(h) // 2] ^ h[len(h) // 2 :]
+                if (length, size) not in folded:
+                    x = np.frombuffer(b"".join(maps[k] for k in at), "u1").reshape(len(at), length)
+                    while x.shape[1] > size:
+                        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                    folded[length, size] = x
+                d, both = np.bitwise_count(folded[length, size] ^ h).sum(1, dtype="i8"), n + sizes[at]
+                near = (both - d >= threshold * (both + d) - 1e-9) & (np.minimum(n, sizes[at]) >= threshold * np.maximum(n, sizes[at]) - 1e-9)
+                found = [k for k in at[near] if labels[k] != own]
+                left += [i] * len(found)
+                right += found
+        return pa.table({"hub": hubs["hub"].take(pa.array(left, pa.int64())), "node": rows["node"].take(pa.array(right, pa.int64()))})
+
+    return run
+
+
 def crowd_links(crowd: DataFrame, used: DataFrame, maps: DataFrame, known: DataFrame, threshold: float, hubs: int) -> DataFrame:
-    """(a, b): known, and links that connect with them what all pairs of each crowded band would connect."""
+    """(a, b): known, and links that connect with them what all pairs of each crowd (key, node) would connect.
+
+    A hub's map meets those of its crowd in blocks of bounded size, and only pairs that may be links become rows. The
+    first hub of a crowd is the node of most crowds: of near copies one that is like most of them."""
     if crowd.isEmpty():
         return known
     links, lots, was_hub = known, 1, None
-    nodes = crowd.select("node").distinct()
-    labels = written(nodes.join(components(known), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    weights = crowd.groupBy("node").agg(F.count("*").alias("crowds"))
+    nodes = checkpointed(weights.join(maps.select("node", "n", "map"), "node"))
+    labels = written(nodes.select("node").join(components(known), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    kind = nodes.schema["node"].dataType.simpleString()
     while True:
-        state = checkpointed(crowd.join(labels, "node"))
-        most = state.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+        state = checkpointed(crowd.join(nodes.join(labels, "node"), "node"))
         left = state if was_hub is None else checkpointed(state.join(was_hub, ["key", "node"], "left_anti"))
-        # the same nodes in all bands as far as may be, so that bands have pairs in common
+        outside = left
+        if was_hub is not None:
+            most = state.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+            outside = left.join(most, "key").where("label <> main")
+        # the same nodes in all crowds as far as may be, so that crowds have pairs in common
         lot = F.pmod(F.xxhash64("node"), F.lit(lots)).alias("lot")
-        chosen = left.join(most, "key").where("label <> main").groupBy("key", lot).agg(F.min(F.struct("node", "label")).alias("h"))
-        chosen = checkpointed(chosen.select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("own")))
+        chosen = outside.groupBy("key", lot).agg(F.min(F.struct(F.negative("crowds").alias("crowds"), "node", "label", "n", "map")).alias("h"))
+        chosen = checkpointed(chosen.select("key", F.col("h.node").alias("hub"), F.col("h.label").alias("own"), "h.n", "h.map"))
         if chosen.isEmpty():
             return links
-        met = left.join(chosen, "key").where("label <> own")
-        found = linked(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), used, maps, threshold)
+        met = meetings.met(chosen.withColumn("row", F.col("hub")), left.select("key", "node", "label", "n", "map", F.col("node").alias("row")), ["key"], met_maps(threshold), f"hub {kind}, node {kind}", MOST_HUBS, MOST_ROWS)
+        near = checkpointed(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+        found = alike(near, used, threshold)
         hub = chosen.select("key", F.col("hub").alias("node"))
         was_hub = hub if was_hub is None else was_hub.unionByName(hub)
         lots = min(16 * lots, hubs)
@@ -201,7 +268,6 @@ def crowd_links(crowd: DataFrame, used: DataFrame, maps: DataFrame, known: DataF
             labels = written(labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label")))
 
 
-
 def row_names(key: str, text: str) -> list[Column]:
     """a and b: hashes that name a row by its key and text."""
     return [F.xxhash64(key, text).alias("a"), F.xxhash64(F.lit("row"), text, key).alias("b")]
@@ -219,14 +285,15 @@ def classes(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     """(signed, found): each row's k (the key), a, b and node (its set's digest); and the component of the nodes that have links."""
     signed = checkpointed(docs.select(F.col(key).alias("k"), *row_names(key, text), signatures(F.col(text), words, n, rows).alias("s"), simhash.fingerprints(F.col(text)).alias("fp")).select("k", "a", "b", F.col("s.digest").alias("node"), "s.keys", "fp"))
     nodes = checkpointed(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("a").alias("a"), F.min("fp").alias("fp")))
-    pairs, crowd = map(checkpointed, in_bands(nodes.select("node", "keys"), full))
+    pairs, crowd = map(checkpointed, meeting(nodes.select("node", F.explode("keys").alias("key")), full))
     pairs = checkpointed(pairs.union(near_fingerprints(nodes.select("node", "fp"))).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct().join(nodes.select("node", "a"), "node")
     # a node's set comes from one row of it
     texts = docs.select(row_names(key, text)[0], F.col(text).alias("t")).join(asked, "a").dropDuplicates(["node"])
     used = checkpointed(texts.select("node", sets(F.col("t"), words).alias("x")).select("node", "x.s", "x.map"))
     maps = checkpointed(used.select("node", (F.octet_length("s") / 8).cast("long").alias("n"), "map"))
-    known = written(linked(pairs, used, maps, threshold))
+    few, crowd = map(checkpointed, meeting(prefixes(used.join(crowd.select("node").distinct(), "node", "left_semi"), threshold), full))
+    known = written(linked(pairs.union(few).distinct(), used, maps, threshold))
     return signed.select("k", "a", "b", "node"), components(crowd_links(crowd, used, maps, known, threshold, hubs))
 
 

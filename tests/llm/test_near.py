@@ -141,3 +141,47 @@ def test_workers_keep_one_model():
     assert made == ["a", "b", "a"] and list(common._models) == ["a"]
     common.released()
     assert not common._models
+
+
+def test_a_long_passage_is_no_crowd(spark):
+    """Unlike texts behind one passage share bands but none of their rarest shingles; near copies of one text share some."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    w = [f"w{k}" for k in range(150)]
+    unlike = [" ".join(w + [f"v{r.randrange(10**6)}" for _ in range(80)]) for _ in range(120)]
+    docs = list(enumerate(unlike + [" ".join(edited(r, w, k % 3)) for k in range(60)]))
+    s = sets(docs)
+    used = frame(spark, docs).select(F.col("doc_id").alias("node"), minhash.sets(F.col("text"), 5).alias("x")).select("node", "x.s").dropDuplicates(["s"])
+    rows = minhash.prefixes(used, 0.8).collect()
+    assert {x["node"] for x in rows} and all(x["node"] >= len(unlike) for x in rows)
+    keys = {}
+    for x in rows:
+        keys.setdefault(x["node"], set()).add(x["key"])
+    for a in keys:
+        assert all(keys[a] & keys[b] for b in keys if s[a] != s[b] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]))
+    got = {x["doc_id"]: x["component"] for x in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert got == smallest(s)
+
+
+def test_maps_meet_as_matrices():
+    """The pairs of other components that the bound leaves, as for single pairs; maps of several sizes in one crowd."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 280, "u8")
+    found = [np.unique(np.concatenate([base[: 280 - k], r.integers(0, 2**63, j, "u8")])) for k in range(0, 60, 6) for j in (0, 3, 12)]
+    maps, n, label = [minhash.parity(x) for x in found], [len(x) for x in found], [k % 4 for k in range(len(found))]
+    assert len({len(m) for m in maps}) > 1
+    hubs = pa.table({"hub": [0, 7, 20], "own": [label[k] for k in (0, 7, 20)], "n": [n[k] for k in (0, 7, 20)], "map": pa.array([maps[k] for k in (0, 7, 20)], pa.binary())})
+    rows = pa.table({"node": list(range(len(found))), "label": label, "n": n, "map": pa.array(maps, pa.binary())})
+    got = {tuple(x.values()) for x in minhash.met_maps(0.8)((), hubs, rows).to_pylist()}
+    want = set()
+    for a in (0, 7, 20):
+        for b in range(len(found)):
+            d = minhash.differing(*(np.frombuffer(maps[k], "u1") for k in (a, b)))
+            if label[a] != label[b] and n[a] + n[b] - d >= 0.8 * (n[a] + n[b] + d) - 1e-9 and min(n[a], n[b]) >= 0.8 * max(n[a], n[b]):
+                want.add((a, b))
+    assert got == want and len(want) > 10
+    assert minhash.met_maps(0.8)((), hubs.slice(0, 0), rows).num_rows == 0
