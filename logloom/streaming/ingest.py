@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,14 +70,15 @@ class Increments(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values("event_ordinal").itertuples():
-            total = int(r.cumulative_total)
-            falls = last is not None and total < last
-            out.append((key[0], r.occurred_at, total if falls or last is None else total - last, falls))
-            last = total
-        self.last.update((last,))
-        yield pd.DataFrame(out, columns=["sid", "occurred_at", "tokens", "fallback"])
+        parts = list(rows)
+        r = (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values("event_ordinal")
+        total = r["cumulative_total"].to_numpy("i8")
+        before = np.concatenate([[0 if last is None else last], total[:-1]])
+        falls = total < before
+        if last is None:
+            falls[:1] = False
+        self.last.update((int(total[-1]),))
+        yield pd.DataFrame({"sid": key[0], "occurred_at": r["occurred_at"].to_numpy(), "tokens": np.where(falls, total, total - before), "fallback": falls})
 
     def close(self) -> None:
         pass

@@ -507,3 +507,20 @@ def test_quantiles(spark):
             vs = sorted(vs)
             cont = lambda p: (lambda at: vs[int(at)] + (vs[min(len(vs) - 1, int(at) + 1)] - vs[int(at)]) * (at - int(at)))(p * (len(vs) - 1))  # noqa: E731, B023
             assert got[g][2] == vs[-(-9 * len(vs) // 10) - 1] and all(abs(a - b) <= 1e-9 * max(1, abs(b)) for a, b in zip(got[g][:2], (cont(0.5), cont(0.9)), strict=True))
+
+
+def test_sessions_come_in_few_files_of_a_stream(spark, tmp_path, monkeypatch):
+    """Many files: each session is in a bounded number of them, its steps in their order."""
+    from logloom.plans import job_queries
+
+    monkeypatch.setattr(job_queries, "SLICE_ROWS", 100)
+    monkeypatch.setattr(job_queries, "written", lambda spark, sf_dir, name, write: write(str(tmp_path / name)) or str(tmp_path / name))
+    rows = spark.createDataFrame([(s, k) for s in range(80) for k in range(40)], "sid long, event_ordinal long")
+    job_queries.stream_of(spark, "", "counted", rows, by="event_ordinal", within="sid")
+    found = {}
+    for x in spark.read.parquet(str(tmp_path / "stream_counted-slices")).collect():
+        found.setdefault(x["sid"], []).append((x["event_ordinal"], x["slice"]))
+    assert len({s for v in found.values() for _, s in v}) > 24 and sum(map(len, found.values())) == 3200
+    for v in found.values():
+        slices = [s for _, s in sorted(v)]
+        assert slices == sorted(slices) and 2 <= len(set(slices)) <= 8
