@@ -5,8 +5,12 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from logloom.checkpoints import scratch, shared_folder
 from logloom.operators import commits, history
+from logloom.operators.upkeep import only
+from logloom.plans.more_queries import judged_of
 
 T0 = datetime(2024, 1, 1)
 
@@ -41,3 +45,20 @@ def test_scratch_goes_if_the_job_fails(spark):
         assert sorted(r.id for r in a.collect()) == [1, 2, 3] and len(t.paths) == 1
         raise ValueError
     assert tables(spark) == before
+
+
+def test_outcomes_are_one_row_a_session_after_joins_by_shuffle(spark):
+    """Evidence of three kinds is a union; of 50 sessions there came 150 rows, each of one kind."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    kind = F.element_at(F.array(*map(F.lit, ("testing", "editing_patching", "other"))), (F.col("id") % 3 + 1).cast("int"))
+    act = spark.range(4000).select((F.col("id") % 100).alias("sid"), F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("occurred_at"), kind.alias("command_category"), F.lit("success").alias("result_status"))
+    links = spark.range(100).select(F.col("id").alias("sid"), F.timestamp_seconds(1_700_002_000 + F.col("id")).alias("committed_at"), F.lit("high").alias("tier"))
+    keys = spark.range(50).select(F.col("id").alias("sid"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with scratch(spark) as t:
+            act, links = t.put("act", act), t.put("links", links)
+            got = t.put("got", judged_of(only(act, keys, "sid"), only(links, keys, "sid")))
+            assert got.count() == 50 and got.exceptAll(judged_of(act, links).where("sid < 50")).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
