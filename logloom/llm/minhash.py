@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logloom.checkpoints import written
+from logloom.checkpoints import Scratch, scratch, swept
 
 from . import meetings, simhash
 from .common import checkpointed, released
@@ -229,17 +229,18 @@ def met_maps(threshold: float) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.
     return run
 
 
-def crowd_links(crowd: DataFrame, used: DataFrame, maps: DataFrame, known: DataFrame, threshold: float, hubs: int) -> DataFrame:
+def crowd_links(crowd: DataFrame, used: DataFrame, maps: DataFrame, known: DataFrame, threshold: float, hubs: int, tables: Scratch | None = None) -> DataFrame:
     """(a, b): known, and links that connect with them what all pairs of each crowd (key, node) would connect.
 
     A hub's map meets those of its crowd in blocks of bounded size, and only pairs that may be links become rows. The
     first hub of a crowd is the node of most crowds: of near copies one that is like most of them."""
     if crowd.isEmpty():
         return known
-    links, lots, was_hub = known, 1, None
+    tables = tables or Scratch(used.sparkSession)
+    links, lots, was_hub, rounds = known, 1, None, 0
     weights = crowd.groupBy("node").agg(F.count("*").alias("crowds"))
     nodes = checkpointed(weights.join(maps.select("node", "n", "map"), "node"))
-    labels = written(nodes.select("node").join(components(known), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    labels = tables.put("labels", nodes.select("node").join(components(known), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
     kind = nodes.schema["node"].dataType.simpleString()
     while True:
         state = checkpointed(crowd.join(nodes.join(labels, "node"), "node"))
@@ -260,12 +261,14 @@ def crowd_links(crowd: DataFrame, used: DataFrame, maps: DataFrame, known: DataF
         hub = chosen.select("key", F.col("hub").alias("node"))
         was_hub = hub if was_hub is None else was_hub.unionByName(hub)
         lots = min(16 * lots, hubs)
+        swept(used.sparkSession)
+        rounds += 1
         if not found.isEmpty():
-            found = written(found)
+            found = tables.put(f"found{rounds}", found)
             links = links.unionByName(found)
             x, y = (labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}")) for k in "ab")
             merged = components(found.join(x, "a").join(y, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-            labels = written(labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+            labels = tables.put("labels", labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("component", "label").alias("label")))
 
 
 def row_names(key: str, text: str) -> list[Column]:
@@ -287,14 +290,17 @@ def classes(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     nodes = checkpointed(signed.groupBy("node").agg(F.first("keys").alias("keys"), F.min("a").alias("a"), F.min("fp").alias("fp")))
     pairs, crowd = map(checkpointed, meeting(nodes.select("node", F.explode("keys").alias("key")), full))
     pairs = checkpointed(pairs.union(near_fingerprints(nodes.select("node", "fp"))).distinct())
+    swept(docs.sparkSession)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct().join(nodes.select("node", "a"), "node")
     # a node's set comes from one row of it
     texts = docs.select(row_names(key, text)[0], F.col(text).alias("t")).join(asked, "a").dropDuplicates(["node"])
     used = checkpointed(texts.select("node", sets(F.col("t"), words).alias("x")).select("node", "x.s", "x.map"))
     maps = checkpointed(used.select("node", (F.octet_length("s") / 8).cast("long").alias("n"), "map"))
     few, crowd = map(checkpointed, meeting(prefixes(used.join(crowd.select("node").distinct(), "node", "left_semi"), threshold), full))
-    known = written(linked(pairs.union(few).distinct(), used, maps, threshold))
-    return signed.select("k", "a", "b", "node"), components(crowd_links(crowd, used, maps, known, threshold, hubs))
+    swept(docs.sparkSession)
+    with scratch(docs.sparkSession) as tables:
+        known = tables.put("known", linked(pairs.union(few).distinct(), used, maps, threshold))
+        return signed.select("k", "a", "b", "node"), components(crowd_links(crowd, used, maps, known, threshold, hubs, tables))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, n: int = 20, rows: int = 5, full: int = 32, hubs: int = 256) -> DataFrame:

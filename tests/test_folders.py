@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import scratch, shared_folder
+from logloom.llm.components import components
 from logloom.operators import commits, history
 from logloom.operators.upkeep import only
 from logloom.plans.more_queries import judged_of
@@ -62,3 +63,17 @@ def test_outcomes_are_one_row_a_session_after_joins_by_shuffle(spark):
             assert got.count() == 50 and got.exceptAll(judged_of(act, links).where("sid < 50")).isEmpty()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rounds_of_components_have_the_tasks_that_their_links_need(spark):
+    """With 64 partitions each round wrote as many files, of a few rows or none."""
+    before = {x: spark.conf.get(x) for x in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for x, v in zip(before, ("64", "false"), strict=True):
+        spark.conf.set(x, v)
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7)], "a long, b long"))
+        assert found.rdd.getNumPartitions() == 1
+        assert dict(map(tuple, found.collect())) == dict.fromkeys(range(21), 0) | dict.fromkeys((100, 101, 102), 100)
+    finally:
+        for x, v in before.items():
+            spark.conf.set(x, v)
