@@ -327,6 +327,23 @@ def test_candidates_are_counted_not_paired(spark):
     assert sorted(got) == sorted(best) and len(pairs) > 5 * len(got)
 
 
+def test_candidates_meet_blocks_of_commits(spark, monkeypatch):
+    """Sessions open for centuries, over block bounds: all pairs as by hand, and behind the join no window and no shuffle, which would move every pair."""
+    monkeypatch.setattr(commits, "BLOCK_BITS", 3, raising=False)
+    r = random.Random(5)
+    c = lambda k: f"{k:07x}" + "d" * 33
+    log = [(f"/{i % 2}" if i % 31 else None, c(i), T0 + timedelta(minutes=r.randrange(3000)) if i % 23 else None) for i in range(120)] + [("/0", c(2), T0)]
+    actions = [(i % 9, i // 2 if i < 20 else i, f"/{i % 3}" if i % 11 else None, T0 + timedelta(minutes=r.randrange(-60, 3200)), T0 + timedelta(days=r.choice([1, 2, 90_000])) if i % 5 else None, c(r.randrange(120))[:12].upper() if i % 4 else "ab") for i in range(60)]
+    a = spark.createDataFrame(actions, "sid long, event_id long, repository_root string, occurred_at timestamp, until timestamp, start_hash string").withColumn("result_status", F.lit("success"))
+    found = commits.candidates(a, spark.createDataFrame(log, "repository_root string, commit_hash string, committed_at timestamp"))
+    latest = lambda at, until: (until or at + timedelta(seconds=commits.OPEN)) + timedelta(seconds=commits.GRACE)
+    want = [(s, e, x, at) for s, e, root, t, until, start in actions for home, x, at in log if root and home == root and at and t <= at <= latest(t, until) and not (len(start) >= 7 and x.startswith(start.lower()))]
+    n = {e: sum(1 for w in want if w[1] == e) for _, e, _, _ in want}
+    assert sorted(map(tuple, found.select("sid", "event_id", "commit_hash", "committed_at", "n").collect())) == sorted((*w, n[w[1]]) for w in want) and len(want) > 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Window" not in plan and "Exchange" not in plan.split("Join")[0]
+
+
 def test_ancestry_of_a_long_line_takes_few_rounds(spark):
     """Over checkpoints, planning doubled with each round: a line of 3,000 had not ended after 100 seconds."""
     log = [("/r", f"{i:07x}" + "d" * 33, T0 + timedelta(minutes=i), [f"{i - 1:07x}" + "d" * 33] if i else []) for i in range(3000)]
