@@ -10,7 +10,7 @@ The driver holds a row for each bucket, never one for each key."""
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -218,6 +218,14 @@ def depth_of(tables: Mapping[str, Table], name: str) -> int:
     return 1 + max((depth_of(tables, n) for n in tables[name].needs), default=0)
 
 
+def with_needs(tables: Mapping[str, Table], names: Iterable[str]) -> dict[str, Table]:
+    """The named tables and all that they need."""
+    found = set(names)
+    while more := {o for n in found for o in tables[n].needs} - found:
+        found |= more
+    return {n: t for n, t in tables.items() if n in found}
+
+
 def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, size, modified_at) of the files under paths; their content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)

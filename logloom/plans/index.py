@@ -12,7 +12,7 @@ from logloom.operators.upkeep import Run, Store, Table, only
 from . import views as X
 from .more_queries import OUTCOMES, TASKS, actions_of, judged_of
 from .queries import TOKENS, query
-from .stored import state, written
+from .stored import is_written, state, written
 
 SOURCES = ("conversations", "events")
 
@@ -232,14 +232,19 @@ def earlier(spark: SparkSession, sf_dir: str) -> str:
     return written(spark, sf_dir, "earlier", write)
 
 
-def kept_up(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of an index that was built of the earlier state and then brought up to the present one."""
+def kept_up(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """The folder of an index that was built of the earlier state and then brought up to the present one.
+
+    Where names are given and the whole index isn't there yet, it has those tables and what they are made of."""
+    whole = f"index-{state(spark, sf_dir)}"
+    some = names and not is_written(spark, sf_dir, whole)
+    tables = upkeep.with_needs(TABLES, names) if some else TABLES
 
     def write(path: str) -> None:
-        update(spark, earlier(spark, sf_dir), path)
-        update(spark, sf_dir, path)
+        update(spark, earlier(spark, sf_dir), path, tables)
+        update(spark, sf_dir, path, tables)
 
-    return written(spark, sf_dir, f"index-{state(spark, sf_dir)}", write)
+    return written(spark, sf_dir, "-".join((whole, *tables)) if some else whole, write)
 
 
 @query(

@@ -104,10 +104,17 @@ def typed(rows: DataFrame, line: str = "line") -> DataFrame:
     return rows.select(*rows.columns, short(F.coalesce(*[F.nullif(got(v, f"$.{k}"), F.lit("")) for k in ("type", "event", "kind")])).alias("record_type"), own.alias("payload"), short(got(v, "$.payload.type")).alias("payload_type"), timestamp(F.coalesce(got(v, "$.timestamp"), got(v, "$.ts"))).alias("occurred_at"))
 
 
-def family(payload: Column, record_type: Column, payload_type: Column) -> Column:
-    role, name = short(got(payload, "$.role")), tool(payload)
-    args = opened(F.coalesce(part(payload, "$.arguments"), part(payload, "$.input")))
-    run = F.lower(command_of(args))
+def with_family(rows: DataFrame) -> DataFrame:
+    """Typed rows with their event's family; a call's name and command are columns first, as each is asked for several times."""
+    p = F.col("payload")
+    rows = rows.withColumn("__name", F.when(F.col("payload_type").isin(*CALLS), tool(p)))
+    rows = rows.withColumn("__raw", F.when(F.col("__name").isin(*SHELLS), F.coalesce(part(p, "$.arguments"), part(p, "$.input"))))
+    rows = rows.withColumn("__args", opened(F.col("__raw"))).withColumn("__run", F.lower(command_of(F.col("__args"))))
+    return rows.withColumn("family", family(p, F.col("record_type"), F.col("payload_type"), F.col("__name"), F.col("__run"))).drop("__name", "__raw", "__args", "__run")
+
+
+def family(payload: Column, record_type: Column, payload_type: Column, name: Column, run: Column) -> Column:
+    role = short(got(payload, "$.role"))
     called = (
         F.when(name.contains("patch") | name.isin("edit", "write_file"), "patch_edit")
         .when(name.isin(*SHELLS) & run.rlike(GIT), "git_command")
@@ -131,7 +138,7 @@ def family(payload: Column, record_type: Column, payload_type: Column) -> Column
 def extracted(rows: DataFrame) -> DataFrame:
     """Events of typed rows: the rows' own columns but v and payload, with family, fingerprint, stable_id, content_length and (of user messages) text."""
     p, kept = F.col("payload"), [c for c in rows.columns if c not in ("v", "payload", "line")]
-    rows = rows.withColumn("family", family(p, F.col("record_type"), F.col("payload_type"))).where("family IS NOT NULL").withColumn("__text", texts(p))
+    rows = with_family(rows).where("family IS NOT NULL").withColumn("__text", texts(p))
     f, said = F.col("family"), F.col("__text")
     args, output, last = F.coalesce(part(p, "$.arguments"), part(p, "$.input")), part(p, "$.output"), part(p, "$.last_agent_message")
     word = lambda path: F.coalesce(short(got(p, path)), F.lit(""))
@@ -153,13 +160,17 @@ def extracted(rows: DataFrame) -> DataFrame:
 def calls(rows: DataFrame) -> DataFrame:
     """Tool calls of typed rows, those in scripts one by one: the rows' own columns, call_id, operation_ordinal, tool_name, command."""
     p, kept = F.col("payload"), [c for c in rows.columns if c not in ("v", "payload", "line")]
-    raw = F.coalesce(part(p, "$.arguments"), part(p, "$.input"))
-    args = opened(raw)
-    source = F.coalesce(F.when(tool(p).isin("js", "javascript") & (kind(part(args, "$.code")) == "STRING"), got(args, "$.code")), F.when(kind(raw) == "STRING", raw.try_cast("string")))
-    inner = F.when(tool(p).isin(*SCRIPTS), F.arrays_zip(F.regexp_extract_all(source, F.lit(NESTED), F.lit(1)).alias("name"), F.regexp_extract_all(source, F.lit(NESTED), F.lit(2)).alias("args")))
-    nested = F.transform(inner, lambda x: F.struct(x["name"].alias("name"), command_of(F.try_parse_json(x["args"])).alias("command")))
-    alone = F.array(F.struct(F.coalesce(F.nullif(tool(p), F.lit("")), F.lit("unknown")).alias("name"), command_of(args).alias("command")))
-    found = rows.where(F.col("payload_type").isin(*CALLS)).select(*kept, call_id(p).alias("call_id"), F.posexplode(F.when(F.size(nested) > 0, nested).otherwise(alone)).alias("operation_ordinal", "o"))
+    rows = rows.where(F.col("payload_type").isin(*CALLS)).withColumn("__tool", tool(p)).withColumn("__raw", F.coalesce(part(p, "$.arguments"), part(p, "$.input")))
+    # each step is a column, as the next asks for it several times
+    name, raw, said, args, source = (F.col(c) for c in ("__tool", "__raw", "__said", "__args", "__source"))
+    rows = rows.withColumn("__said", F.when(kind(raw) == "STRING", raw.try_cast("string"))).withColumn("__args", F.when(said.isNotNull(), F.try_parse_json(said)).otherwise(raw))
+    code = F.when(name.isin("js", "javascript") & (kind(part(args, "$.code")) == "STRING"), got(args, "$.code"))
+    rows = rows.withColumn("__source", F.when(name.isin(*SCRIPTS), F.coalesce(code, said)))
+    inner = F.arrays_zip(F.regexp_extract_all(source, F.lit(NESTED), F.lit(1)).alias("name"), F.regexp_extract_all(source, F.lit(NESTED), F.lit(2)).alias("args"))
+    read = F.transform(inner, lambda x: F.struct(x["name"].alias("name"), F.try_parse_json(x["args"]).alias("args")))
+    rows = rows.withColumn("__nested", F.transform(read, lambda x: F.struct(x["name"].alias("name"), command_of(x["args"]).alias("command"))))
+    alone = F.array(F.struct(F.coalesce(F.nullif(name, F.lit("")), F.lit("unknown")).alias("name"), command_of(args).alias("command")))
+    found = rows.select(*kept, call_id(p).alias("call_id"), F.posexplode(F.when(F.size("__nested") > 0, F.col("__nested")).otherwise(alone)).alias("operation_ordinal", "o"))
     return found.select(*kept, "call_id", "operation_ordinal", F.substring(F.coalesce(F.nullif(short(F.col("o.name")), F.lit("")), F.lit("unknown")), 1, 128).alias("tool_name"), F.col("o.command").alias("command"))
 
 

@@ -99,3 +99,16 @@ def test_file_changes(spark):
     assert {tuple(r) for r in upkeep.file_changes(b, a).collect()} == {("a", "gone"), ("c", "changed"), ("d", "new")}
     assert upkeep.buckets_for(0) == 8 and upkeep.buckets_for(10**14) > 1000 and upkeep.buckets_for(10**18) == upkeep.MOST_BUCKETS
     assert dataclasses.is_dataclass(Table)
+
+
+def test_an_index_of_what_is_asked_for(spark):
+    """Of the named table and what it needs alone, and of the same rows; a whole index was built for a query of one table."""
+    from logloom.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    store = upkeep.Store(spark, index.kept_up(spark, sf, "messages"))
+    assert set(store.schemas) == {"messages", "edges", "files", "states"} and store.run == 2
+    rows = lambda df: sorted(map(tuple, df.select("sid", "source_ordinal", "fingerprint").collect()))
+    assert rows(store.read("messages")) == rows(views.messages(spark, sf))
+    needs = upkeep.with_needs(index.TABLES, ["outcomes"])
+    assert set(needs) == {"outcomes", "links", "commits", "sessions", "activity"}
